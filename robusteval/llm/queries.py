@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from robusteval.llm.bpe import op4_bpe
 from robusteval.llm.simhash import op3_simhash
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_bpe": op4_bpe,
 }
 
 ORACLES: dict[str, str] = {}
