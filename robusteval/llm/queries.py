@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from robusteval.llm.bpe import op4_bpe
 from robusteval.llm.simhash import op3_simhash
+from robusteval.llm.vectorjoin import op6_vector_range_join
 
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op6_vector_range_join": op6_vector_range_join,
 }
 
 ORACLES: dict[str, str] = {}
