@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from robusteval.llm.bpe import op4_bpe
+from robusteval.llm.mixing import op9_entropy_mix
+from robusteval.llm.sharding import op7_jump_sharding
 from robusteval.llm.simhash import op3_simhash
 from robusteval.llm.vectorjoin import op6_vector_range_join
 
@@ -10,6 +12,8 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op6_vector_range_join": op6_vector_range_join,
+    "op7_jump_sharding": op7_jump_sharding,
+    "op9_entropy_mix": op9_entropy_mix,
 }
 
 ORACLES: dict[str, str] = {}
