@@ -7,12 +7,14 @@ from robusteval.llm.mixing import op9_entropy_mix
 from robusteval.llm.sharding import op7_jump_sharding
 from robusteval.llm.simhash import op3_simhash
 from robusteval.llm.vectorjoin import op6_vector_range_join
+from robusteval.llm.wavelet import op8_wavelet_tokens
 
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op6_vector_range_join": op6_vector_range_join,
     "op7_jump_sharding": op7_jump_sharding,
+    "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_entropy_mix": op9_entropy_mix,
 }
 
