@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from robusteval.llm.bpe import op4_bpe
+from robusteval.llm.langid import op10_naive_bayes_langid
 from robusteval.llm.mixing import op9_entropy_mix
 from robusteval.llm.sharding import op7_jump_sharding
 from robusteval.llm.simhash import op3_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_jump_sharding": op7_jump_sharding,
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_entropy_mix": op9_entropy_mix,
+    "op10_naive_bayes_langid": op10_naive_bayes_langid,
 }
 
 ORACLES: dict[str, str] = {}
