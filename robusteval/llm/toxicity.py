@@ -152,44 +152,71 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def beginnings(text: str) -> set[str]:
-    """The beginnings of a text's folded words, whole words marked by a space."""
-    out: set[str] = set()
-    for word in set(fold(text).split()):
+def beginnings(text: str) -> Counter:
+    """How often a text's folded words begin in each way; whole words end in a space."""
+    out: Counter = Counter()
+    for word, n in Counter(fold(text).split()).items():
         marked = word + " "
-        out.update(marked[:n] for n in range(SHORTEST, min(len(marked), LONGEST) + 1))
+        for size in range(SHORTEST, min(len(marked), LONGEST) + 1):
+            out[marked[:size]] += n
     return out
 
 
 def _count_terms(among: frozenset[str] | None):
+    """(term, docs, tokens) of a partition; the empty term counts all words."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        docs: Counter = Counter()
+        tokens: Counter = Counter()
         for pdf in batches:
             for text in pdf["text"]:
-                terms = beginnings(text or "")
-                total.update(terms if among is None else terms & among)
-        yield pd.DataFrame({"term": list(total.keys()), "n": list(total.values())}, columns=["term", "n"]).astype({"term": object, "n": "int64"})
+                found = beginnings(text or "")
+                if among is not None:
+                    found = {t: n for t, n in found.items() if t in among}
+                docs.update(found.keys())
+                tokens.update(found)
+                docs[""] += 1
+                tokens[""] += len((text or "").split())
+        terms = list(docs)
+        yield pd.DataFrame({"term": pd.Series(terms, dtype=object), "docs": pd.Series([docs[t] for t in terms], dtype="int64"), "tokens": pd.Series([tokens[t] for t in terms], dtype="int64")})
 
     return run
 
 
-def pick_terms(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_other: int, max_terms: int = MAX_TERMS, purity: float = 0.05) -> dict[str, float]:
-    """Terms and weights. A term must be far likelier in toxic documents, both in
-    rates and in share. Of terms that begin alike the shortest is taken, but one
-    that nearly always goes on the same way gives way to the longer one."""
-    good = {t: n for t, n in toxic.items() if other.get(t, 0) / max(1, n_other) <= purity * n / max(1, n_toxic) and other.get(t, 0) <= purity * n}
+Counts = dict[str, tuple[int, int]]
+
+
+def pick_terms(toxic: Counts, other: Counts, max_terms: int = MAX_TERMS, ratio: float = 6.0, evidence: float = 18.0) -> dict[str, float]:
+    """Terms and weights, from (documents, words) by term in either kind of text.
+
+    A term must be far more frequent among the words of toxic texts, and its
+    documents too unevenly divided for chance (their divergence from the share
+    of toxic words, in nats). Of terms that begin alike the shortest is taken,
+    but one that nearly always goes on the same way gives way to the longer one.
+    """
+    all_t, all_o = max(1, toxic.get("", (0, 0))[1]), max(1, other.get("", (0, 0))[1])
+    share = all_t / (all_t + all_o)
+
+    def rate(t: str) -> float:
+        return math.log((toxic[t][1] + 0.5) / (all_t + 1)) - math.log((other.get(t, (0, 0))[1] + 0.5) / (all_o + 1))
+
+    def uneven(t: str) -> float:
+        n, m = toxic[t][0], other.get(t, (0, 0))[0]
+        p = n / (n + m)
+        return (n + m) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0)) if p > share else 0.0
+
+    good = {t for t in toxic if t and rate(t) >= math.log(ratio) and uneven(t) >= evidence}
     longest_child: dict[str, int] = {}
-    for t, n in good.items():
-        longest_child[t[:-1]] = max(longest_child.get(t[:-1], 0), n)
-    weight = lambda t: math.log((good[t] + 0.5) / (n_toxic + 1)) - math.log((other.get(t, 0) + 0.5) / (n_other + 1))
+    for t in good:
+        longest_child[t[:-1]] = max(longest_child.get(t[:-1], 0), toxic[t][1])
     chosen: dict[str, float] = {}
-    for t in sorted(good, key=len):
-        if longest_child.get(t, 0) >= 0.97 * good[t]:
+    for t in sorted(good, key=lambda t: (len(t), t)):
+        if longest_child.get(t, 0) >= 0.97 * toxic[t][1]:
             continue
         if any(t[:k] in chosen for k in range(SHORTEST, len(t))):
             continue
-        chosen[t] = weight(t)
-    best = sorted(chosen, key=lambda t: (-good[t], t))[:max_terms]
+        chosen[t] = rate(t)
+    best = sorted(chosen, key=lambda t: (-toxic[t][0], t))[:max_terms]
     return {t: chosen[t] for t in best}
 
 
@@ -213,20 +240,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = save(hash_order_sample(known, train_rows, "own_id"), "labels")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = save(texts.join(F.broadcast(picked), F.col("id") == F.col("own_id")).select("id", "text", "label"), "labelled")
-    sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(sizes) < 2:
+    if len(sample.select("label").distinct().collect()) < 2:
         return Lexicon({}, exceptions)
-    least = max(3, round(0.002 * sizes[1]))
 
-    def counts(label: int, among: frozenset[str] | None, most: int, floor: int) -> dict[str, int]:
-        rows = sample.filter(F.col("label") == label).mapInPandas(_count_terms(among), "term string, n long")
-        best = rows.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor).orderBy(F.desc("n"), "term").limit(most)
-        table = best.toPandas()
-        return dict(zip(table["term"], table["n"].astype(int)))
+    def counts(label: int, among: frozenset[str] | None, floor: int) -> Counts:
+        rows = sample.filter(F.col("label") == label).dropDuplicates(["text"]).mapInPandas(_count_terms(among), "term string, docs long, tokens long")
+        best = rows.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        best = best.filter((F.col("docs") >= floor) | (F.col("term") == "")).orderBy(F.desc("docs"), "term").limit(MAX_CANDIDATES + 1)
+        return {r.term: (r.docs, r.tokens) for r in best.toPandas().itertuples()}
 
-    toxic = counts(1, None, MAX_CANDIDATES, least)
-    other = counts(0, frozenset(toxic), MAX_CANDIDATES, 1)
-    lexicon = Lexicon(pick_terms(toxic, other, sizes[1], sizes[0], max_terms), exceptions)
+    toxic = counts(1, None, 5)
+    other = counts(0, frozenset(toxic), 1)
+    lexicon = Lexicon(pick_terms(toxic, other, max_terms), exceptions)
     if not lexicon.weights:
         return lexicon
 
