@@ -5,6 +5,7 @@ from __future__ import annotations
 from robusteval.llm.bpe import op4_bpe
 from robusteval.llm.langid import op10_naive_bayes_langid
 from robusteval.llm.mixing import op9_entropy_mix
+from robusteval.llm.quality import op1_mcd_quality
 from robusteval.llm.sharding import op7_jump_sharding
 from robusteval.llm.simhash import op3_simhash
 from robusteval.llm.toxicity import op2_lexicon_toxicity
@@ -12,6 +13,7 @@ from robusteval.llm.vectorjoin import op6_vector_range_join
 from robusteval.llm.wavelet import op8_wavelet_tokens
 
 QUERIES = {
+    "op1_mcd_quality": op1_mcd_quality,
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
