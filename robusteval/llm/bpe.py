@@ -38,7 +38,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\f\v\x85\xa0"
 LATIN_PIECES = f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Pieces whose ids a worker keeps.
-STORE = 800_000
+STORE = 1_200_000
 #: Begins a special token in a list of pieces; the rule above never joins a control and a letter.
 MARK = "\0s"
 _NONE = np.int64(1) << 62

@@ -56,11 +56,14 @@ class WaveletMatrix:
     def build(cls, codes: np.ndarray, bits: int) -> WaveletMatrix:
         now, planes, zeros = codes, [], []
         for level in range(bits):
-            bit = (now >> (bits - 1 - level) & 1).astype(bool)
+            bit = (now >> (bits - 1 - level) & 1).astype(np.uint8).view(bool)
             planes.append(np.packbits(bit, bitorder="little"))
-            low = now[~bit]
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            after = np.empty_like(now)
+            np.take(now, low, out=after[: len(low)], mode="clip")
+            np.take(now, high, out=after[len(low) :], mode="clip")
+            now = after
         return cls(planes, zeros, len(codes))
 
     def decode(self) -> np.ndarray:
@@ -70,9 +73,10 @@ class WaveletMatrix:
         now = np.zeros(self.size, dtype=kind)
         for level in reversed(range(bits)):
             bit = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
+            now[self.zeros[level] :] |= kind(1 << (bits - 1 - level))
             before = np.empty(self.size, dtype=kind)
-            before[~bit] = now[: self.zeros[level]]
-            before[bit] = now[self.zeros[level] :] | kind(1 << (bits - 1 - level))
+            before[np.flatnonzero(~bit)] = now[: self.zeros[level]]
+            before[np.flatnonzero(bit)] = now[self.zeros[level] :]
             now = before
         return now
 
@@ -231,9 +235,22 @@ class LibraryCodec(bpe.Codec):
         self.library.no_truncation()
 
     def merge_new(self, pieces: list[str]) -> list[bytes]:
-        names = [p.removeprefix(bpe.MARK) for p in pieces]
-        encoded = self.library.encode_batch_fast(names, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        """Most new pieces are a space and a word: many of them side by side make
+        a text that the library splits into just these, so they share a call."""
+        found: dict[str, bytes] = {}
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        runs = [words[k : k + 256] for k in range(0, len(words), 256)]
+        for run, e in zip(runs, self.library.encode_batch(list(map("".join, runs)), add_special_tokens=False)):
+            word_of = np.array(e.word_ids, dtype=np.int64)
+            if word_of[-1] != len(run) - 1:
+                continue
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            ends = (np.cumsum(np.bincount(word_of)) * 4).tolist()
+            found.update(zip(run, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+        rest = [p for p in pieces if p not in found]
+        encoded = self.library.encode_batch_fast([p.removeprefix(bpe.MARK) for p in rest], add_special_tokens=False)
+        found.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(rest, encoded))
+        return [found[p] for p in pieces]
 
 
 _libraries: dict[str, LibraryCodec] = {}

@@ -58,3 +58,12 @@ def test_writing_again_replaces_files(tmp_path):
     wavelet.put_file(uri, b"one", "1")
     wavelet.put_file(uri, b"two", "2")
     assert [p.read_bytes() for p in (tmp_path / "a").iterdir()] == [b"two"]
+
+
+def test_library_codec_equals_the_library():
+    rng = np.random.default_rng(6)
+    library, own = Tokenizer.from_file(bpe.default_path()), wavelet.LibraryCodec(bpe.default_path())
+    letters = list("abcdefgh ijkl éßñ 中жक़้ \u0301'12.,\n<|>") + ["<|endoftext|>", "'s", " 've"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 400))) for _ in range(400)]
+    for t, raw in zip(texts, own.encode_batch(texts)):
+        assert np.frombuffer(raw, dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
