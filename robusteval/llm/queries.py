@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from robusteval.llm.bpe import op4_bpe
 from robusteval.llm.langid import op10_naive_bayes_langid
+from robusteval.llm.licenses import op5_license_scan
 from robusteval.llm.mixing import op9_entropy_mix
 from robusteval.llm.quality import op1_mcd_quality
 from robusteval.llm.sharding import op7_jump_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_license_scan": op5_license_scan,
     "op6_vector_range_join": op6_vector_range_join,
     "op7_jump_sharding": op7_jump_sharding,
     "op8_wavelet_tokens": op8_wavelet_tokens,
