@@ -211,7 +211,7 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
 
 def judge(counted: DataFrame, lang: str, source: str, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
     """counted with base_failed, distance and kept."""
-    rows = counted.withColumn("failed", base_failed()).select("*", *coordinates())
+    rows = save(counted.withColumn("failed", base_failed()).select("*", *coordinates()), "counts")
     rows = save(with_groups(rows, lang, source, min_rows), "statistics")
     found = estimates(rows.filter(~F.col("failed")).select("gid", *COORDS))
     judged = rows.join(found, "gid", "left").withColumn("distance", distance())
