@@ -38,7 +38,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\f\v\x85\xa0"
 LATIN_PIECES = f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Pieces whose ids a worker keeps.
-STORE = 1_200_000
+STORE = 500_000
 #: Begins a special token in a list of pieces; the rule above never joins a control and a letter.
 MARK = "\0s"
 _NONE = np.int64(1) << 62
@@ -86,6 +86,7 @@ class Codec:
         self.keys, self.ranks, self.made = np.r_[key[order], _NONE], np.r_[order, -1], np.r_[made[order], -1]
         self.pair = dict(zip(key.tolist(), zip(range(len(merges)), made.tolist())))
         self.store: dict[str, bytes] = {}
+        self.most = STORE
 
     # -- one long piece ---------------------------------------------------------
 
@@ -243,7 +244,7 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         store = self.store
-        if len(store) > STORE:
+        if len(store) > self.most:
             store.clear()
         known: list[list[bytes | None]] = []
         gaps: list[tuple[int, int, str]] = []

@@ -229,6 +229,7 @@ class LibraryCodec(bpe.Codec):
         from tokenizers import Tokenizer
 
         super().__init__(path)
+        self.most = 1_200_000
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()

@@ -63,8 +63,9 @@ def test_trees_equal_a_scan_of_all_pairs(own):
             assert own.merge_long(own.byte_id[list(piece.encode())].tolist()) == naive(own, piece)
 
 
-def test_store_is_bounded(own, monkeypatch):
+def test_store_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "STORE", 50)
+    own = bpe.Codec(bpe.default_path())
     for k in range(20):
         own.encode_batch([f"word{k} other{k} third{k} " * 3])
     assert len(own.store) <= 50 + 9
