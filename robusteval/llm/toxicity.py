@@ -137,11 +137,12 @@ class Lexicon:
         return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b + 1 for a, b in free)]
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """Weight of all hits, and the same per hundred words, both as logarithms."""
+        """Weight of all hits, and the same per hundred words, both as logarithms. A
+        term that recurs counts once and the logarithm of how often."""
         hits = self.hits(text) if text else []
         if not hits:
             return 0.0, 0.0
-        total = sum(w for _, _, w in hits)
+        total = sum(w * (1.0 + math.log(n)) for w, n in Counter(w for _, _, w in hits).items())
         return math.log1p(total), math.log1p(100.0 * total / (len(text.split()) + 20.0))
 
     def score(self, text: str | None) -> float:
@@ -186,7 +187,7 @@ def _count_terms(among: frozenset[str] | None):
 Counts = dict[str, tuple[int, int]]
 
 
-def pick_terms(toxic: Counts, other: Counts, max_terms: int = MAX_TERMS, ratio: float = 6.0, evidence: float = 18.0) -> dict[str, float]:
+def pick_terms(toxic: Counts, other: Counts, max_terms: int = MAX_TERMS, ratio: float = 10.0, evidence: float = 18.0) -> dict[str, float]:
     """Terms and weights, from (documents, words) by term in either kind of text.
 
     A term must be far more frequent among the words of toxic texts, and its
