@@ -149,10 +149,11 @@ def holm(tests: DataFrame, pvalue: str = "pvalue", by: list[str] | None = None)
 
 def wilson(successes: Column, total: Column, z: float = C.Z95) -> tuple[Column, Column]:
     """Bounds of the Wilson score interval within 0 and 1; (0, 0) of nothing."""
+    n = F.nullif(total, F.lit(0))
     p = F.try_divide(successes, total)
-    scale = 1 + F.lit(z * z) / F.nullif(total, F.lit(0))
-    centre = (p + F.lit(z * z) / (2 * F.nullif(total, F.lit(0)))) / scale
-    spread = F.lit(z) * F.sqrt(p * (1 - p) / F.nullif(total, F.lit(0)) + F.lit(z * z) / (4 * F.nullif(total, F.lit(0)) * F.nullif(total, F.lit(0)))) / scale
-    low = F.greatest(F.lit(0.0), centre - spread)
-    high = F.least(F.lit(1.0), centre + spread)
-    return F.coalesce(low, F.lit(0.0)), F.coalesce(high, F.lit(0.0))
+    scale = 1 + F.lit(z * z) / n
+    centre = (p + F.lit(z * z) / (2 * n)) / scale
+    spread = F.lit(z) * F.sqrt(p * (1 - p) / n + F.lit(z * z) / (4 * n * n)) / scale
+    low = F.when(total > 0, F.greatest(F.lit(0.0), centre - spread)).otherwise(F.lit(0.0))
+    high = F.when(total > 0, F.least(F.lit(1.0), centre + spread)).otherwise(F.lit(0.0))
+    return low, high

@@ -40,7 +40,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 def first_bad_line(spark: SparkSession, path: str) -> str | None:
     """file:line of a line that is no JSON object, for messages. Files are numbered
     whole, so this is for logs of moderate size."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     bad = text.filter((F.trim("line") != "") & ~F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False)))
     row = bad.orderBy("file", "n").first()
     return None if row is None else f"{row.file}:{row.n + 1}"
@@ -115,7 +115,7 @@ def markdown(title: str, groups: dict[str, dict]) -> str:
 def environment(spark: SparkSession) -> dict[str, str]:
     """What a run was made with."""
     names = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone")
-    return {"spark": spark.version, "recorded_at": utc_now()} | {n: str(spark.conf.get(n, "")) for n in names}
+    return {"spark": spark.version, "recorded_at": utc_now()} | {n: str(spark.conf.get(n, None)) for n in names}
 
 
 def read_hub(spark: SparkSession, path: str, fmt: str, question: str, answer: str, ids: list[str]) -> DataFrame:
