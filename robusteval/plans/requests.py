@@ -51,7 +51,9 @@ def stratified(rows: DataFrame, total: int, seed: int = C.EXTERNAL_SEED) -> Data
     quota = F.floor(F.lit(total) / F.col("k")) + F.when(F.col("idx") < F.lit(total) % F.col("k"), 1).otherwise(0)
     place = F.row_number().over(W.partitionBy("dataset").orderBy(hash_order(seed, "dataset", "item_id"), "item_id"))
     keys = rows.select("dataset", "item_id").withColumn("place", place)
-    return keys.join(ranked.select("dataset", quota.alias("quota")), "dataset").filter("place <= quota").select("dataset", "item_id")
+    # No quota is above the total: with the constant, each task sends that many keys at most.
+    top = keys.filter(F.col("place") <= total)
+    return top.join(ranked.select("dataset", quota.alias("quota")), "dataset").filter("place <= quota").select("dataset", "item_id")
 
 
 def first_items(rows: DataFrame, count: int, seed: int) -> DataFrame:
