@@ -45,6 +45,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fewer(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df, known to have about so many rows, in no more partitions than they need:
+    small tables then are few files, however many partitions made them."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Hadoop's file system, wherever it lies."""
     jvm = spark._jvm
@@ -111,25 +117,26 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     rest = save(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter(a < b).distinct(), "edges")
-    labels = None
-    while not rest.isEmpty():
+    labels, known = None, 0
+    while n := rest.count():
+        known = known or 2 * n
         both = rest.select(a.alias("id"), b.alias("nb")).union(rest.select(b.alias("id"), a.alias("nb")))
         step = both.groupBy("id").agg(F.least("id", F.min("nb")).alias("to"))
         for _ in range(2):
-            step = save(step, "pointers")
+            step = save(fewer(step, 2 * n), "pointers")
             nxt = step.select(F.col("id").alias("to"), F.col("to").alias("to2"))
             step = step.join(nxt, "to").select("id", F.col("to2").alias("to"))
-        step = save(step, "pointers")
+        step = save(fewer(step, 2 * n), "pointers")
         if labels is None:
             labels = step.select("id", F.col("to").alias("component"))
         else:
             moved = step.select(F.col("id").alias("component"), "to")
             labels = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-            labels = save(labels, "labels")
+            labels = save(fewer(labels, known), "labels")
         p = step.select(F.col("id").alias("a"), F.col("to").alias("pa"))
         q = step.select(F.col("id").alias("b"), F.col("to").alias("pb"))
         joined = rest.join(p, "a").join(q, "b").filter(F.col("pa") != F.col("pb"))
-        rest = save(joined.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        rest = save(fewer(joined.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), n), "edges")
     if labels is None:
         return rest.select(a.alias("id"), b.alias("component"))
     return labels

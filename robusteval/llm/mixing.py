@@ -203,7 +203,7 @@ def plan(sizes: DataFrame) -> DataFrame:
     not of the corpus, and is checked.
     """
     spark = sizes.sparkSession
-    cells = save(sizes.groupBy("source").agg(F.sum("size").alias("size")), "sources")
+    cells = save(sizes.groupBy("source").agg(F.sum("size").alias("size")).repartition(1), "sources")
     rows = sorted(cells.limit(100_001).collect(), key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
     if len(rows) > 100_000:
         raise ValueError("a mix is planned for at most 100,000 sources")

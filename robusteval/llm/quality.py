@@ -115,9 +115,10 @@ def base_failed() -> Column:
 
 
 def with_groups(rows: DataFrame, lang: str, source: str, min_rows: int) -> DataFrame:
-    """rows with ``gid``: that of their language and source, or the language, or all."""
+    """rows with ``gid``: that of their language and source, or the language, or all.
+    Tables of one row a group are written as one file."""
     fit = F.count_if(~F.col("failed"))
-    pairs = save(rows.groupBy(lang, source).agg(fit.alias("n")), "groups")
+    pairs = save(rows.groupBy(lang, source).agg(fit.alias("n")).repartition(1), "groups")
     langs = pairs.groupBy(F.col(lang).alias("l")).agg(F.sum("n").alias("m"))
     named = pairs.join(langs, F.col(lang).eqNullSafe(F.col("l")))
     gid = F.when(F.col("n") >= min_rows, F.xxhash64(F.lit(2), F.coalesce(lang, F.lit("\0")), F.coalesce(source, F.lit("\0")))).when(F.col("m") >= min_rows, F.xxhash64(F.lit(1), F.coalesce(lang, F.lit("\0")))).otherwise(F.lit(0).cast("long"))
@@ -191,13 +192,14 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
     spread = [F.percentile_approx(c, 0.5, 10_000).alias(c) for c in COORDS]
     start = rows.groupBy("gid").agg(*spread)
     diagonal = [F.lit(1 / FLOORS[i] ** 2 if i == j else 0.0) for i, j in _pairs()]
-    now = save(start.select("gid", F.array(*COORDS).alias("m"), F.array(*diagonal).alias("p")), "estimates")
+    now = save(start.select("gid", F.array(*COORDS).alias("m"), F.array(*diagonal).alias("p")).repartition(1), "estimates")
     sums = [F.sum(c).alias(f"s{k}") for k, c in enumerate(COORDS)]
     sums += [F.sum(F.col(COORDS[i]) * F.col(COORDS[j])).alias(f"q{k}") for k, (i, j) in enumerate(_pairs())]
 
     def concentrate(now: DataFrame, final: bool) -> DataFrame:
         binned = rows.join(now.select("gid", "m", "p"), "gid").groupBy("gid", bin_of(distance()).alias("bin")).agg(F.count("*").alias("n"), *sums)
-        return save(binned.groupBy("gid").applyInPandas(_estimate(share, final), "gid long, m array<double>, p array<double>, logdet double"), "estimates")
+        solved = binned.groupBy("gid").applyInPandas(_estimate(share, final), "gid long, m array<double>, p array<double>, logdet double")
+        return save(solved.repartition(1), "estimates")
 
     last = math.inf
     for _ in range(steps - 1):
