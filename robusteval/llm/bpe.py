@@ -38,7 +38,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\f\v\x85\xa0"
 LATIN_PIECES = f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Pieces whose ids a worker keeps.
-STORE = 500_000
+STORE = 200_000
 #: Begins a special token in a list of pieces; the rule above never joins a control and a letter.
 MARK = "\0s"
 _NONE = np.int64(1) << 62
@@ -277,7 +277,7 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def in_chunks(texts: pa.Array, most: int = 4_000_000) -> Iterator[list[str | None]]:
+def in_chunks(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
     """The texts in order, in lists of a few MB."""
     part: list[str | None] = []
     size = 0
@@ -312,10 +312,13 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"]
                 if keep_ids:
-                    columns.append(pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32).tolist() for x in ids], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                    flat = np.frombuffer(b"".join(ids), dtype="<i4")
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(texts)
+            pa.default_memory_pool().release_unused()
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * keep_ids
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

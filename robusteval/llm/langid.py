@@ -86,7 +86,7 @@ def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[list[np.ndarray], l
     return idx, of, letters
 
 
-def chunks(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str]]:
+def chunks(texts: list[str | None], most: int = 300_000) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
     for t in texts:
