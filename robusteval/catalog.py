@@ -554,7 +554,7 @@ def agg_majority(spark, sf):
 
 @query(O.with_(O.SCORED, O.MAIN_OPEN, O.forms("main")) + "SELECT dataset, mode, method, item_id, form_id, round(solve_rate, 6) AS solve_rate, round(run_variance, 6) AS run_variance, n, majority_answer, round(confidence, 6) AS confidence, majority_correct FROM f")
 def agg_item_form(spark, sf):
-    return r6(metrics.item_forms(main_rows(spark, sf, True)))
+    return r6(metrics.item_forms(main_rows(spark, sf, True)).drop("n_right", "n_decided"))
 
 
 @query(O.with_(O.SCORED, O.MAIN_OPEN, O.forms("main"), O.robust()) + "SELECT dataset, mode, method, item_id, robust, round(worst_form_solve_rate, 6) AS worst_form_solve_rate, answer_flip, correctness_flip, round(mean_correctness, 6) AS mean_correctness, round(form_variance, 6) AS form_variance FROM fi")

@@ -20,45 +20,57 @@ def number(flag: Column | str) -> Column:
     return (F.col(flag) if isinstance(flag, str) else flag).cast("int").cast("double")
 
 
-def majority(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, majority_answer, confidence, majority_correct) by vote.
+def votes(rows: DataFrame, by: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, majority_answer, confidence, majority_correct, n_right, n_decided,
+    entropy, sums): a group's vote, verdicts, entropy and totals, from one pass.
 
     Ties go to the larger sum of log probabilities, then to the first in text
     order. Rows without an answer don't vote but count in the confidence. One
     aggregation by answer, one by group: no window, no sort of a group.
     """
-    right = F.col("correctness")
-    votes = rows.groupBy(*by, "parsed_answer").agg(
+    counts = rows.groupBy(*by, "parsed_answer").agg(
         F.count("*").alias("c"),
         F.round(F.sum(F.coalesce("normalized_log_probability", F.lit(0.0))), 9).alias("lp"),
-        F.count_if(right).alias("yes"),
-        F.count(right).alias("decided"),
+        F.count_if("correctness").alias("yes"),
+        F.count("correctness").alias("decided"),
+        *[F.sum(c).alias(c) for c in sums],
     )
     known = F.col("parsed_answer").isNotNull()
-    rank = F.struct(F.col("c").alias("c"), F.col("lp").alias("lp"))
-    best = votes.groupBy(*by).agg(
+    best = counts.groupBy(*by).agg(
         F.sum("c").alias("n"),
-        F.max(F.when(known, rank)).alias("top"),
+        F.max(F.when(known, F.struct("c", "lp"))).alias("top"),
         F.collect_list(F.when(known, F.struct("parsed_answer", "c", "lp", "yes", "decided"))).alias("all"),
+        F.sum("yes").alias("n_right"),
+        F.sum("decided").alias("n_decided"),
+        F.sum(F.when(known, F.col("c"))).alias("given"),
+        F.sum(F.when(known, F.col("c") * F.log("c"))).alias("spread"),
+        *[F.sum(c).alias(c) for c in sums],
     )
     tied = F.filter("all", lambda v: (v["c"] == F.col("top")["c"]) & (v["lp"] == F.col("top")["lp"]))
-    win = F.array_min(tied)
-    out = best.select(*by, "n", win.alias("w"))
-    correct = F.when(F.col("w.decided") > 0, F.col("w.yes") * 2 >= F.col("w.decided"))
+    out = best.withColumn("w", F.array_min(tied))
     return out.select(
         *by,
         "n",
         F.col("w.parsed_answer").alias("majority_answer"),
         F.when(F.col("w").isNotNull(), F.col("w.c") / F.col("n")).otherwise(F.lit(0.0)).alias("confidence"),
-        correct.alias("majority_correct"),
+        F.when(F.col("w.decided") > 0, F.col("w.yes") * 2 >= F.col("w.decided")).alias("majority_correct"),
+        "n_right",
+        "n_decided",
+        (F.log("given") - F.col("spread") / F.col("given")).alias("entropy"),
+        *sums,
     )
 
 
+def majority(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, majority_answer, confidence, majority_correct) by vote."""
+    return votes(rows, by).select(*by, "n", "majority_answer", "confidence", "majority_correct")
+
+
 def item_forms(rows: DataFrame, by: list[str] = BY) -> DataFrame:
-    """Per item and form: solve rate, run variance and the vote."""
+    """Per item and form: the vote, solve rate and run variance (of zeros and ones)."""
+    p = F.try_divide("n_right", "n_decided")
     keys = [*by, "item_id", "form_id"]
-    rates = rows.groupBy(*keys).agg(F.avg(number("correctness")).alias("solve_rate"), F.var_pop(number("correctness")).alias("run_variance"))
-    return rates.join(majority(rows, keys), keys)
+    return votes(rows, keys).select(*keys, p.alias("solve_rate"), (p * (1 - p)).alias("run_variance"), "n", "majority_answer", "confidence", "majority_correct", "n_right", "n_decided")
 
 
 def item_robustness(forms: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -98,12 +110,15 @@ def variance(forms: DataFrame, by: list[str] = BY) -> DataFrame:
 
 def main_metrics(rows: DataFrame, by: list[str] = BY) -> DataFrame:
     """One row per group of main runs: accuracies, robustness, flips, variances."""
-    forms = item_forms(rows, by)
-    y, original = number("correctness"), F.col("form_id") == "original"
-    accuracy = rows.groupBy(*by).agg(
-        F.avg(y).alias("mean_accuracy"),
-        F.avg(F.when(original, y)).alias("original_accuracy"),
-        F.avg(F.when(~original, y)).alias("mean_paraphrase_accuracy"),
+    forms, original = item_forms(rows, by), F.col("form_id") == "original"
+
+    def share(where: Column) -> Column:
+        return F.try_divide(F.sum(F.when(where, F.col("n_right"))), F.sum(F.when(where, F.col("n_decided"))))
+
+    accuracy = forms.groupBy(*by).agg(
+        share(F.lit(True)).alias("mean_accuracy"),
+        share(original).alias("original_accuracy"),
+        share(~original).alias("mean_paraphrase_accuracy"),
     )
     items = item_robustness(forms, by).groupBy(*by).agg(
         F.avg(number("robust")).alias("robust_accuracy"),
@@ -131,17 +146,13 @@ def layer_metrics(rows: DataFrame, by: list[str] = BY) -> DataFrame:
 
 
 def entropy(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Entropy of the answers that were given, in nats."""
-    counts = rows.filter("parsed_answer is not null").groupBy(*by, "parsed_answer").agg(F.count("*").alias("c"))
-    total = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    return total.select(*by, (F.log("n") - F.col("s") / F.col("n")).alias("entropy"))
+    """Entropy of the answers that were given, in nats; groups without one are left out."""
+    return votes(rows, by).filter("entropy is not null").select(*by, "entropy")
 
 
 def item_votes(rows: DataFrame, by: list[str] = BY) -> DataFrame:
     """Per item: vote, entropy and the tokens and seconds spent."""
-    keys = [*by, "item_id"]
-    cost = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "gpu_seconds")])
-    return majority(rows, keys).join(cost, keys).join(entropy(rows, keys), keys, "left")
+    return votes(rows, [*by, "item_id"], ("input_tokens", "output_tokens", "gpu_seconds"))
 
 
 def calibration_rows(votes: DataFrame, by: list[str] = BY) -> DataFrame:
