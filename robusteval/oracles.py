@@ -13,10 +13,6 @@ def _seed(*parts: str) -> str:
     return f"(('0x' || substr(sha256(concat_ws(chr(31), {', '.join(parts)})), 1, 8))::BIGINT & 2147483647)"
 
 
-def _strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
-
-
 SCORED = f"""
 ev AS (SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
     row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn FROM events),
