@@ -30,11 +30,10 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -263,6 +262,25 @@ def library_codec(path: str) -> LibraryCodec:
     return _libraries[path]
 
 
+def bounds_below(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted bounds are below a value (0 for null): a binary search
+    over a literal array."""
+    if not bounds:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        above = F.get(table, mid) < value
+        low = F.when((a["low"] < a["high"]) & above, mid + 1).otherwise(a["low"])
+        high = F.when((a["low"] < a["high"]) & ~above, mid).otherwise(a["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, step, lambda a: a["low"])
+    return F.when(value.isNull(), F.lit(0)).otherwise(found)
+
+
 def write_files(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS, parts: int | None = None) -> DataFrame:
     """Writes all documents; returns a saved row (part, seq, tokens) per file."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -270,12 +288,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
     bounds = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
     bounds = sorted(set(bounds or []))
 
-    def part_of(ids: pd.Series) -> pd.Series:
-        missing = ids.isna().to_numpy()
-        found = np.searchsorted(np.array(bounds, dtype=np.int64), ids.fillna(0).to_numpy(dtype=np.int64), side="left")
-        return pd.Series(np.where(missing, 0, found).astype(np.int32))
-
-    dealt = rows.repartitionById(len(bounds) + 1, F.pandas_udf(part_of, "int")("id")).sortWithinPartitions("id", "text")
+    dealt = rows.repartitionById(len(bounds) + 1, bounds_below(bounds, F.col("id"))).sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task = library_codec(path), TaskContext.get()

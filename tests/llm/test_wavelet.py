@@ -67,3 +67,11 @@ def test_library_codec_equals_the_library():
     texts = ["".join(rng.choice(letters, rng.integers(0, 400))) for _ in range(400)]
     for t, raw in zip(texts, own.encode_batch(texts)):
         assert np.frombuffer(raw, dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_bounds_below(spark):
+    values = [None, -9, -5, -4, 0, 1, 7, 8, 2**62]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for bounds in ([], [0], [-5, 0, 7], list(range(-20, 20, 3))):
+        got = [r.n for r in df.select(wavelet.bounds_below(bounds, df.v).alias("n")).collect()]
+        assert got == [0 if v is None else sum(b < v for b in bounds) for v in values]
