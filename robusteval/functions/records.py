@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from robusteval import constants as C
 from robusteval.functions.keys import as_column
 
-#: White space as the text functions strip it.
-EDGES = r"(?U)^\s+|\s+$"
+#: White space as the text functions strip it (fixed values).
+EDGES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(x) -> Column:
-    return F.regexp_replace(as_column(x), EDGES, "")
+    return F.btrim(as_column(x), F.lit(EDGES))
 
 
 def gsm_gold(answer) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from robusteval import constants as C
 from robusteval.functions.keys import stable_seed
+from robusteval.session import spread
 
 #: method, mode, first event, forms, samples per form.
 BLOCKS = [
@@ -129,7 +130,8 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 6, F.concat(F.lit("\\boxed{\\text{"), q, F.lit("}%}")))
         .otherwise(F.lit("no number here"))
     )
-    return table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return rows.select(
         F.when(F.col("l_orderkey") % 2 == 0, "gsm_symbolic").otherwise("math_500").alias("dataset"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
