@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import documents
+from robusteval.llm.common import spread_documents
 
 #: Splitting rule of byte-level vocabularies of this kind (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -327,4 +327,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(documents(spark, sf_dir), default_path())
+    return round_trip(spread_documents(spark, sf_dir), default_path())

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from robusteval.session import spread
+
 #: Separators of words: space and the six ASCII controls from tab to return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,6 +85,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over the cores if their scan has only a task or two."""
+    return spread(documents(spark, sf_dir))
+
+
 def hash_order_sample(ids: DataFrame, rows: int, *columns: str) -> DataFrame:
     """The given number of rows whose hashed ids come first: the same on any run. A
     cutoff on the hash first leaves about twice as many, so no task gathers the

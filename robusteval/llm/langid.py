@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import documents, hash_order_sample, id_remainder, save, temp_name
+from robusteval.llm.common import hash_order_sample, id_remainder, save, spread_documents, temp_name
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -193,4 +193,4 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
 
 
 def op10_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(documents(spark, sf_dir))
+    return identify(spread_documents(spark, sf_dir))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import documents, save
+from robusteval.llm.common import save, spread_documents
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -243,4 +243,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
 
 def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir))
+    return quality(spread_documents(spark, sf_dir))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import components, documents, local_roots, save, temp_name
+from robusteval.llm.common import components, local_roots, save, spread_documents, temp_name
 
 SEGMENTS = 8
 MAX_BITS = 3
@@ -182,4 +182,4 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(spread_documents(spark, sf_dir))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import documents, hash_order_sample, id_remainder, save
+from robusteval.llm.common import hash_order_sample, id_remainder, save, spread_documents
 
 TRAIN_ROWS = 12_000
 MAX_TERMS = 5_000
@@ -284,4 +284,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def op2_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(spread_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
