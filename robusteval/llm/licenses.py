@@ -1,7 +1,6 @@
 """License scan: a trained classifier of paragraphs, confirmed by templates.
 
-A paragraph (a line of a text) that holds an anchor word is cut into words and
-hashed 1- to 3-grams; a sparse multinomial logistic regression gives each
+Each paragraph (a line of a text) is cut into words and hashed 1- to 3-grams; a sparse multinomial logistic regression gives each
 licence family and "unknown" a probability. A family is predicted only if its
 probability reaches a threshold calibrated on held-out paragraphs; otherwise the
 paragraph is unknown. A prediction is confirmed if enough of the paragraph's
@@ -13,6 +12,10 @@ granting one: a few hundred short paragraphs, on the driver, once a process.
 Scoring is one projection of DataFrame functions: no shuffle, no Python. The
 weights travel as one literal array.
 
+A line of more than 24 words is scored in windows of 24 words, one at every 8, and
+takes its best window's finding. Every paragraph is scored. The full score is skipped only where the positive parts
+of the weights prove that no family can reach the threshold, so nothing is lost.
+
 Defined results: a null or empty text has no paragraph and no licence; ties
 between families go to the first by name; a document's licence is its most
 probable confirmed paragraph's, else its most probable predicted one's; rows are
@@ -26,6 +29,7 @@ import json
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -36,8 +40,14 @@ from pyspark.sql import functions as F
 from robusteval.llm.common import documents
 
 UNKNOWN = "unknown"
-BUCKETS = 2048
-#: A paragraph is looked at only if it holds one of these (fixed values).
+BUCKETS = 2**18
+#: Long lines are scored in windows of so many words, one at every STRIDE words: any
+#: run of WINDOW - STRIDE + 1 words lies whole in one of them.
+WINDOW, STRIDE = 24, 8
+#: A bucket has a weight only if so many training paragraphs light it.
+SEEN = 3
+#: A paragraph that holds one of these counts as a candidate even if the model
+#: finds no licence in it (fixed values); they don't decide what is scored.
 ANCHORS = ("licen", "copyright", "spdx", "public domain", "permission is", "redistribut", "warrant", "creative commons", "copyleft", "all rights reserved")
 #: Words of a notice, by family (fixed values: the usual grants of each licence).
 TEMPLATES = {
@@ -47,6 +57,7 @@ TEMPLATES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "This software is released under the Apache License 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License, Version 2.0",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -54,6 +65,7 @@ TEMPLATES = {
         "Released under the BSD 3-Clause License.",
         "This code is distributed under the BSD license.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 3-Clause License",
     ],
     "cc-by": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -79,12 +91,14 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "Licensed under the GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License, version 3",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute it under the terms of the GNU Lesser General Public License.",
         "Licensed under the LGPL version 3.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "GNU Lesser General Public License, version 2.1",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -92,11 +106,14 @@ TEMPLATES = {
         "Licensed under the MIT license.",
         "This project is distributed under the terms of the MIT License.",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
+        "The MIT License (MIT)",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, Version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License, Version 2.0",
     ],
     "public-domain": [
         "This work is released into the public domain.",
@@ -144,12 +161,20 @@ def bucket(gram: str) -> int:
     return xxhash.xxh64_intdigest(gram, 42) % BUCKETS
 
 
+#: Words that begin a grant, exchanged for each other in training (fixed values).
+GRANTS = ("licensed", "released", "distributed", "available", "published", "provided", "shared", "offered")
+#: Licence names that no other text holds by chance (fixed values).
+NAMES = ("gpl", "lgpl", "mpl", "bsd", "cc0", "spdx", "mozilla", "sharealike", "noncommercial")
+
+
 def variants(paragraph: str, rng: random.Random, count: int, spoil: bool) -> list[list[str]]:
     """A paragraph's words, as they are and changed as copies in the wild are."""
     out = [words_of(paragraph)]
     for _ in range(count):
         words = [w if not w.isdigit() or rng.random() < 0.5 else str(rng.randrange(1, 5)) for w in out[0]]
         if spoil:
+            if rng.random() < 0.5:
+                words = [rng.choice(GRANTS) if w in GRANTS else w for w in words]
             if len(words) > 12 and rng.random() < 0.5:
                 start = rng.randrange(len(words) - 9)
                 words = words[start : start + rng.randrange(9, len(words))]
@@ -160,10 +185,16 @@ def variants(paragraph: str, rng: random.Random, count: int, spoil: bool) -> lis
     return out
 
 
-@lru_cache(maxsize=1)
 def model() -> tuple[tuple[str, ...], np.ndarray, np.ndarray, float]:
     """Classes (families, then unknown), weights (BUCKETS, classes), intercepts and
     the probability from which a family is believed."""
+    return fitted()[:4]
+
+
+@lru_cache(maxsize=1)
+def fitted() -> tuple[tuple[str, ...], np.ndarray, np.ndarray, float, dict[int, str]]:
+    """The model, and of each bucket the gram that lit it in training: another gram
+    that falls there by chance counts for nothing, however long a text is."""
     rng = random.Random(11)
     classes = (*sorted(TEMPLATES), UNKNOWN)
     rows: list[tuple[list[str], int]] = []
@@ -176,16 +207,38 @@ def model() -> tuple[tuple[str, ...], np.ndarray, np.ndarray, float]:
         words = [rng.choice(FILLERS) for _ in range(rng.randint(3, 25))]
         words.insert(rng.randrange(len(words)), rng.choice(("license", "licensed", "copyright", "warranty", "licence", "redistribute")))
         rows.append((words, len(classes) - 1))
+    common = sorted({w for texts in TEMPLATES.values() for t in texts for w in words_of(t)} - set(NAMES))
+    for _ in range(600):
+        words = [rng.choice(FILLERS) for _ in range(rng.randint(3, 25))]
+        for _ in range(rng.randint(1, 3)):
+            word = rng.choice(common)
+            for _ in range(rng.randint(1, 3)):
+                words.insert(rng.randrange(len(words)), word)
+        rows.append((words, len(classes) - 1))
+    for word in ("mit", "apache", "gnu", "cc", "nc"):
+        for _ in range(15):
+            words = [rng.choice(FILLERS) for _ in range(rng.randint(3, 25))]
+            words.insert(rng.randrange(len(words)), word)
+            rows.append((words, len(classes) - 1))
     rng.shuffle(rows)
-    x = np.zeros((len(rows), BUCKETS))
-    for r, (words, _) in enumerate(rows):
-        for b in {bucket(g) for g in grams_of(words)}:
-            x[r, b] = 1.0
+    met = Counter(g for words, _ in rows for g in set(grams_of(words)))
+    owners: dict[int, str] = {}
+    for gram, _ in sorted(met.items(), key=lambda kv: (-kv[1], kv[0])):
+        owners.setdefault(bucket(gram), gram)
+    lit = [{b for g in grams_of(words) if owners[b := bucket(g)] == g} for words, _ in rows]
+    counts = Counter(b for buckets in lit for b in buckets)
+    used = sorted(b for b, n in counts.items() if n >= SEEN)
+    column = {b: i for i, b in enumerate(used)}
+    x = np.zeros((len(rows), len(used)))
+    for r, buckets in enumerate(lit):
+        x[r, [column[b] for b in buckets if b in column]] = 1.0
     y = np.array([k for _, k in rows])
     held = np.arange(len(rows)) % 5 == 0
-    weights, intercept = train(x[~held], y[~held], len(classes))
-    p = softmax(x[held] @ weights + intercept)
-    return classes, weights, intercept, calibrate(p, y[held])
+    dense, intercept = train(x[~held], y[~held], len(classes))
+    weights = np.zeros((BUCKETS, len(classes)))
+    weights[used] = dense
+    p = softmax(x[held] @ dense + intercept)
+    return classes, weights, intercept, calibrate(p, y[held]), owners
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -231,82 +284,145 @@ def anchored(text: Column) -> Column:
     return out
 
 
-def paragraph_grams(words: Column, n: int) -> Column:
-    last = F.size(words) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
-
-
-def classified(paragraph: Column) -> Column:
-    """struct(family, probability, similarity, confirmed) of a lower-case paragraph."""
-    classes, weights, intercept, threshold = model()
-    table = literal([round(v, 3) for v in weights.ravel().tolist()], "array<double>")
-    c = len(classes)
-    words = F.regexp_extract_all(paragraph, F.lit(f"({_WORD})"), F.lit(1))
-
-    def adding(k: int):
-        return lambda total, b: total + F.get(table, b * c + k)
-
-    def scored(words: Column) -> Column:
-        grams = F.array_distinct(F.flatten(F.array(*[paragraph_grams(words, n) for n in (1, 2, 3)])))
-        buckets = F.array_distinct(F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
-        logits = F.array(*[F.aggregate(buckets, F.lit(float(intercept[k])), adding(k)) for k in range(c)])
-        return F.struct(words.alias("words"), logits.alias("z"))
-
-    def one(expr: Column, then) -> Column:
-        """then(value) with the value computed once."""
-        return F.get(F.transform(F.array(expr), then), F.lit(0))
-
-    def decided(s: Column) -> Column:
-        top = F.array_max(s["z"])
-        total = F.aggregate(s["z"], F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-        families = F.slice(s["z"], 1, c - 1)
-        best = F.array_max(families)
-        k = F.array_position(families, best).cast("int")
-        name = F.get(F.array(*[F.lit(x) for x in classes[:-1]]), k - 1)
-        p = F.exp(best - top) / total
-        return one(F.struct(name.alias("name"), p.alias("p"), s["words"].alias("words")), confirmed)
-
-    def confirmed(s: Column) -> Column:
-        believed = s["p"] >= threshold
-        pairs = F.array_distinct(paragraph_grams(s["words"], 2))
+def one(expr: Column, then) -> Column:
+    """then(value) with the value computed once."""
+    return F.get(F.transform(F.array(expr), then), F.lit(0))
+
+
+def split_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1))
+
+
+def gram(words: Column, i: Column, n: int) -> Column:
+    return F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)])
+
+
+def starts(words: Column, n: int) -> Column:
+    """Where the n-grams of words begin."""
+    last = F.size(words) - n
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def adding(table: Column, width: int, k: int):
+    return lambda total, row: total + F.get(table, row * width + k)
+
+
+def windows(words: Column) -> Column:
+    """Words as they are, or if they are many in windows of WINDOW words that overlap."""
+    last = F.size(words) - (WINDOW - STRIDE) - 1
+    return F.when(F.size(words) <= WINDOW, F.array(words)).otherwise(F.transform(F.sequence(F.lit(0), last, F.lit(STRIDE)), lambda i: F.slice(words, i + 1, WINDOW)))
+
+
+class Scorer:
+    """The model as columns: literal tables of the buckets that have a weight."""
+
+    def __init__(self):
+        classes, weights, intercept, self.threshold, owners = fitted()
+        self.families, self.intercept = classes[:-1], intercept
+        lit = np.flatnonzero((weights != 0).any(axis=1))
+        slot = np.full(BUCKETS, -1)
+        slot[lit] = np.arange(len(lit))
+        # what each bucket can at most add to a family's lead over unknown
+        lead = np.maximum(np.round(weights[lit, :-1] - weights[lit, -1:], 3), 0.0)
+        self.need = intercept[-1] - intercept[:-1] + math.log(self.threshold / (1 - self.threshold)) - 1e-6
+        if (self.need <= 0).any():
+            self.need[:] = -math.inf  # a paragraph without a weight might pass: nothing is skipped
+        self.tables = F.struct(
+            literal(slot.tolist(), "array<int>").alias("slot"),
+            literal([owners[b] for b in lit.tolist()], "array<string>").alias("owners"),
+            literal(lead.ravel().tolist(), "array<double>").alias("lead"),
+            literal(weights[lit].ravel().tolist(), "array<double>").alias("table"),
+        )
+
+    def bound(self, then) -> Column:
+        """then() with the tables at hand, which are in the plan once."""
+
+        def run(t: Column) -> Column:
+            self.slot, self.owners, self.lead, self.table = t["slot"], t["owners"], t["lead"], t["table"]
+            return then()
+
+        return one(self.tables, run)
+
+    def slots(self, words: Column) -> Column:
+        """The distinct buckets of the words' grams that have a weight."""
+
+        def of(n: int) -> Column:
+            at = lambda i: F.get(self.slot, F.pmod(F.xxhash64(gram(words, i, n)), F.lit(BUCKETS)).cast("int"))
+            lit = F.filter(starts(words, n), lambda i: at(i) >= 0)
+            own = F.filter(lit, lambda i: F.get(self.owners, at(i)) == gram(words, i, n))
+            return F.transform(own, at)
+
+        return F.array_distinct(F.flatten(F.array(*[of(n) for n in (1, 2, 3)])))
+
+    def possible(self, slots: Column) -> Column:
+        """False only if no family can reach the threshold: p >= t needs a lead over
+        unknown of log(t / (1 - t)), and positive parts bound the lead, also that of
+        any part of the words."""
+        c = len(self.families)
+        ok = F.lit(False)
+        for k in range(c):
+            most = F.aggregate(slots, F.lit(0.0), adding(self.lead, c, k))
+            ok = ok | (most >= float(self.need[k]))
+        return ok
+
+    def find(self, words: Column) -> Column:
+        """struct(confirmed, probability, similarity, family) of a paragraph's words;
+        null if it is unknown."""
+        return one(self.slots(words), lambda slots: F.when(self.possible(slots), one(self.logits(slots), lambda z: self.decided(z, words))))
+
+    def best(self, words: Column) -> Column:
+        """The best finding among the windows of words, null if there is none."""
+        return one(self.slots(words), lambda slots: F.when(self.possible(slots), F.array_max(F.transform(windows(words), self.find))))
+
+    def logits(self, slots: Column) -> Column:
+        c = len(self.intercept)
+        return F.array(*[F.aggregate(slots, F.lit(float(self.intercept[k])), adding(self.table, c, k)) for k in range(c)])
+
+    def decided(self, z: Column, words: Column) -> Column:
+        top = F.array_max(z)
+        total = F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+        best = F.array_max(F.slice(z, 1, len(self.families)))
+        name = F.get(F.array(*[F.lit(x) for x in self.families]), F.array_position(z, best).cast("int") - 1)
+        return one(F.struct(name.alias("name"), (F.exp(best - top) / total).alias("p")), lambda s: F.when(s["p"] >= self.threshold, self.confirmed(s, words)))
+
+    def confirmed(self, s: Column, words: Column) -> Column:
         own = F.lit(None).cast("array<string>")
-        for family in classes[:-1]:
+        for family in self.families:
             known = sorted({g for t in TEMPLATES[family] for g in grams_of(words_of(t), 2) if " " in g})
             own = F.when(s["name"] == family, literal(known, "array<string>")).otherwise(own)
-        similar = F.when(F.size(pairs) > 0, F.size(F.array_intersect(pairs, own)) / F.size(pairs)).otherwise(F.lit(0.0))
-        return F.struct(
-            F.when(believed, s["name"]).otherwise(UNKNOWN).alias("family"),
-            F.when(believed, s["p"]).otherwise(1 - s["p"]).alias("probability"),
-            similar.alias("similarity"),
-            (believed & (similar >= CONFIRM)).alias("confirmed"),
-        )
-
-    return one(one(words, scored), decided)
+        return one(one(own, lambda known: similarity(words, known)), lambda v: F.struct((v >= CONFIRM).alias("confirmed"), s["p"].alias("probability"), v.alias("similarity"), s["name"].alias("family")))
 
 
 #: Share of a paragraph's 2-grams that the family's templates must hold.
 CONFIRM = 0.5
 
 
+def similarity(words: Column, known: Column) -> Column:
+    share = lambda pairs: F.size(F.array_intersect(pairs, known)) / F.size(F.array_distinct(pairs))
+    pairs = F.transform(starts(words, 2), lambda i: gram(words, i, 2))
+    return F.when(F.size(words) > 1, one(pairs, share)).otherwise(F.lit(0.0))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_candidates, n_predicted, n_confirmed, license,
     probability, similarity, confirmed) for every row of docs."""
+    scorer = Scorer()
     text = F.coalesce(F.lower(F.col(text_col).cast("string")), F.lit(""))
-    lines = F.when(anchored(F.col("low")), F.filter(F.split("low", "\n"), anchored)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("low"))
-    rows = rows.select("doc_id", F.when(F.col("low") == "", 0).otherwise(F.regexp_count("low", F.lit(r"(?m)^.*\S.*$"))).cast("long").alias("n_paragraphs"), lines.alias("lines"))
-    rows = rows.select("doc_id", "n_paragraphs", F.transform("lines", classified).alias("found"))
-    predicted = F.filter("found", lambda p: p.family != UNKNOWN)
-    ranked = F.transform(predicted, lambda p: F.struct(p.confirmed.alias("confirmed"), p.probability.alias("probability"), p.similarity.alias("similarity"), p.family.alias("family")))
-    rows = rows.select("*", F.array_max(ranked).alias("best"), F.size(predicted).cast("long").alias("n_predicted"))
+    # every line is scored; a candidate is one with a finding or an anchor
+    finding = lambda line: F.struct(anchored(line).alias("anchor"), one(split_words(line), scorer.best).alias("best"))
+    lines = scorer.bound(lambda: F.filter(F.transform(F.split("low", "\n"), finding), lambda p: p["anchor"] | p["best"].isNotNull()))
+    rows = rows.select("doc_id", F.when(F.col("low") == "", 0).otherwise(F.regexp_count("low", F.lit(r"(?m)^.*\S.*$"))).cast("long").alias("n_paragraphs"), lines.alias("found"))
+    predicted = F.filter(F.transform("found", lambda p: p["best"]), lambda b: b.isNotNull())
+    rows = rows.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_candidates"), predicted.alias("predicted"))
+    rows = rows.select("*", F.array_max("predicted").alias("best"))
     return rows.select(
         "doc_id",
         "n_paragraphs",
-        F.size("found").cast("long").alias("n_candidates"),
-        "n_predicted",
-        F.size(F.filter("found", lambda p: p.confirmed)).cast("long").alias("n_confirmed"),
-        F.coalesce("best.family", F.when(F.size("found") > 0, F.lit(UNKNOWN))).alias("license"),
+        "n_candidates",
+        F.size("predicted").cast("long").alias("n_predicted"),
+        F.size(F.filter("predicted", lambda p: p["confirmed"])).cast("long").alias("n_confirmed"),
+        F.coalesce("best.family", F.when(F.col("n_candidates") > 0, F.lit(UNKNOWN))).alias("license"),
         F.round("best.probability", 6).alias("probability"),
         F.round("best.similarity", 6).alias("similarity"),
         F.coalesce("best.confirmed", F.lit(False)).alias("confirmed"),

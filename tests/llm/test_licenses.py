@@ -85,3 +85,49 @@ def test_edge_rows(spark):
 def test_no_python_and_no_shuffle(spark, sf_dir):
     plan = licenses.op5_license_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def lit_score(words):
+    """(probability, family) of words by the whole model, nothing skipped."""
+    classes, weights, intercept, threshold, owners = licenses.fitted()
+    lit = {licenses.bucket(g) for g in licenses.grams_of(words) if owners.get(licenses.bucket(g)) == g}
+    p = licenses.softmax((intercept + sum((weights[b] for b in lit), np.zeros(len(classes))))[None])[0]
+    return (float(p[:-1].max()), classes[int(p[:-1].argmax())]) if p[:-1].max() >= threshold else None
+
+
+def unfiltered(text):
+    """The finds of every window of every line, no anchor asked: one a line."""
+    out = []
+    for line in (text or "").lower().split("\n"):
+        words = licenses.words_of(line)
+        starts = range(0, max(1, len(words) - licenses.WINDOW + licenses.STRIDE), licenses.STRIDE)
+        found = [f for i in starts if (f := lit_score(words[i : i + licenses.WINDOW]))]
+        if found:
+            out.append(max(found))
+    return out
+
+
+BARE = [
+    ("Available under CC BY 4.0.", "cc-by"),
+    ("Distributed under the GPL v3.", "gpl"),
+    ("Released under the GNU GPL, version 2 or later.", "gpl"),
+    ("Released under CC BY-NC-SA 3.0 for non commercial use.", "cc-by-nc"),
+]
+
+
+def test_notices_without_an_anchor_are_found(spark):
+    df = spark.createDataFrame([(i, f"Some prose before it.\n{t}\nand after.") for i, (t, _) in enumerate(BARE)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, (text, family) in enumerate(BARE):
+        assert not any(a in text.lower() for a in licenses.ANCHORS)
+        assert (got[i].license, got[i].n_candidates, got[i].n_predicted) == (family, 1, 1)
+
+
+def test_the_scan_of_lines_skips_nothing(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    texts = {r.doc_id: (r.text or "") + ("\n" + BARE[i % 4][0] if i % 5 == 0 else "") for i, r in enumerate(rows)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        found = unfiltered(texts[r.doc_id])
+        assert r.n_predicted == len(found)
+        assert (r.license in {name for _, name in found}) if found else r.license in (None, "unknown")
