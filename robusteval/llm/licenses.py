@@ -13,7 +13,10 @@ Scoring is one projection of DataFrame functions: no shuffle, no Python. The
 weights travel as one literal array.
 
 A line of more than 24 words is scored in windows of 24 words, one at every 8, and
-takes its best window's finding. Every paragraph is scored. The full score is skipped only where the positive parts
+takes its best window's finding. Lines up to the next blank one may be a wrapped notice, so
+the 16 words on either side of each line break are scored too; a family found there
+counts besides the lines, once a block of lines, unless one of them is confirmed
+for it or confirmed with a higher probability. A prediction is confirmed by all words of its window or the best 8. Every paragraph is scored. The full score is skipped only where the positive parts
 of the weights prove that no family can reach the threshold, so nothing is lost.
 
 Defined results: a null or empty text has no paragraph and no licence; ties
@@ -44,6 +47,8 @@ BUCKETS = 2**18
 #: Long lines are scored in windows of so many words, one at every STRIDE words: any
 #: run of WINDOW - STRIDE + 1 words lies whole in one of them.
 WINDOW, STRIDE = 24, 8
+#: Words on either side of a line break that are scored together.
+REACH = 16
 #: A bucket has a weight only if so many training paragraphs light it.
 SEEN = 3
 #: A paragraph that holds one of these counts as a candidate even if the model
@@ -393,14 +398,38 @@ class Scorer:
         return one(one(own, lambda known: similarity(words, known)), lambda v: F.struct((v >= CONFIRM).alias("confirmed"), s["p"].alias("probability"), v.alias("similarity"), s["name"].alias("family")))
 
 
-#: Share of a paragraph's 2-grams that the family's templates must hold.
-CONFIRM = 0.5
+#: Share of 2-grams that the family's templates must hold, of all words of a window
+#: or of its best RUN words.
+CONFIRM, RUN = 0.5, 8
 
 
 def similarity(words: Column, known: Column) -> Column:
     share = lambda pairs: F.size(F.array_intersect(pairs, known)) / F.size(F.array_distinct(pairs))
-    pairs = F.transform(starts(words, 2), lambda i: gram(words, i, 2))
-    return F.when(F.size(words) > 1, one(pairs, share)).otherwise(F.lit(0.0))
+
+    def whole(words: Column) -> Column:
+        return one(F.transform(starts(words, 2), lambda i: gram(words, i, 2)), share)
+
+    runs = F.array_max(F.transform(starts(words, RUN), lambda i: one(F.slice(words, i + 1, RUN), whole)))
+    return F.when(F.size(words) > 1, F.greatest(whole(words), runs)).otherwise(F.lit(0.0))
+
+
+def over_breaks(paragraph: Column) -> Column:
+    """For each line break inside a paragraph, the REACH words on either side of it,
+    across further breaks too."""
+    tokens = F.regexp_extract_all(paragraph, F.lit(f"({_WORD}|\\n)"), F.lit(1))
+
+    def cut(tokens: Column) -> Column:
+        marks = F.filter(starts(tokens, 1), lambda i: F.get(tokens, i) == "\n")
+        # a break's place among the words: its place less the breaks before it
+        places = F.array_distinct(F.transform(marks, lambda i, j: i - j))
+
+        def around(words: Column) -> Column:
+            inner = F.filter(places, lambda i: (i > 0) & (i < F.size(words)))
+            return F.transform(inner, lambda i: F.slice(words, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH)) + REACH))
+
+        return one(F.filter(tokens, lambda t: t != "\n"), around)
+
+    return one(tokens, cut)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,10 +438,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     scorer = Scorer()
     text = F.coalesce(F.lower(F.col(text_col).cast("string")), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("low"))
+
     # every line is scored; a candidate is one with a finding or an anchor
-    finding = lambda line: F.struct(anchored(line).alias("anchor"), one(split_words(line), scorer.best).alias("best"))
-    lines = scorer.bound(lambda: F.filter(F.transform(F.split("low", "\n"), finding), lambda p: p["anchor"] | p["best"].isNotNull()))
-    rows = rows.select("doc_id", F.when(F.col("low") == "", 0).otherwise(F.regexp_count("low", F.lit(r"(?m)^.*\S.*$"))).cast("long").alias("n_paragraphs"), lines.alias("found"))
+    def lines(paragraph: Column, maybe: Column) -> Column:
+        finding = lambda line: F.struct(anchored(line).alias("anchor"), F.when(maybe, one(split_words(line), scorer.best)).alias("best"))
+        return F.filter(F.transform(F.split(paragraph, "\n"), finding), lambda p: p["anchor"] | p["best"].isNotNull())
+
+    def wrapped(paragraph: Column, found: Column) -> Column:
+        # a window may cut a line's notice (BY-NC to BY), so it has to beat the confirmed lines
+        sure = F.filter(F.transform(found, lambda p: p["best"]), lambda b: b["confirmed"])
+        beaten = lambda b: F.exists(sure, lambda c: (c["family"] == b["family"]) | (c["probability"] >= b["probability"]))
+        new = F.filter(F.transform(over_breaks(paragraph), scorer.find), lambda b: b.isNotNull() & ~beaten(b))
+        each = lambda new: F.transform(F.array_distinct(F.transform(new, lambda b: b["family"])), lambda f: F.array_max(F.filter(new, lambda b: b["family"] == f)))
+        return F.transform(one(new, each), lambda b: F.struct(F.lit(False).alias("anchor"), b.alias("best")))
+
+    def joined(paragraph: Column, maybe: Column) -> Column:
+        more = F.when(maybe & paragraph.contains("\n"), F.lit(True)).otherwise(False)
+        return one(lines(paragraph, maybe), lambda found: F.when(more, F.concat(found, wrapped(paragraph, found))).otherwise(found))
+
+    def read(paragraph: Column) -> Column:
+        return one(one(one(split_words(paragraph), scorer.slots), scorer.possible), lambda maybe: joined(paragraph, maybe))
+
+    found = scorer.bound(lambda: F.flatten(F.transform(F.split("low", r"\n\s*\n"), read)))
+    rows = rows.select("doc_id", F.when(F.col("low") == "", 0).otherwise(F.regexp_count("low", F.lit(r"(?m)^.*\S.*$"))).cast("long").alias("n_paragraphs"), found.alias("found"))
     predicted = F.filter(F.transform("found", lambda p: p["best"]), lambda b: b.isNotNull())
     rows = rows.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_candidates"), predicted.alias("predicted"))
     rows = rows.select("*", F.array_max("predicted").alias("best"))

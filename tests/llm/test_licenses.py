@@ -131,3 +131,23 @@ def test_the_scan_of_lines_skips_nothing(spark, sf_dir):
         found = unfiltered(texts[r.doc_id])
         assert r.n_predicted == len(found)
         assert (r.license in {name for _, name in found}) if found else r.license in (None, "unknown")
+
+
+PROSE = " ".join(f"w{i} the of and" for i in range(1000))
+
+
+def test_a_notice_inside_a_long_line_is_found_and_confirmed(spark):
+    texts = [(i, f"{PROSE} {t} {PROSE}", k) for i, (t, k) in enumerate([*NOTICES[:5], BARE[0]])]
+    df = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, _, family in texts:
+        assert (got[i].license, got[i].confirmed) == (family, True)
+
+
+def test_a_notice_wrapped_over_lines_is_found(spark):
+    text = "This work is\nreleased by us under\nthe GNU\nGeneral Public\nLicense, version 3\nor any later one."
+    other = "Some words stand before it and then it is available under the terms of CC\nBY-NC 4.0 for all who come to read it here."
+    df = spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert (got[1].license, got[1].confirmed) == ("gpl", True)
+    assert got[2].license == "cc-by-nc"
