@@ -482,6 +482,12 @@ def srt_plan(spark, sf):
     return rows.orderBy("dataset", "item_id", "form_order").limit(500)
 
 
+@query(O.with_(O.REWORDINGS) + "SELECT dataset, item_id, form_no::INTEGER AS form_order, forms.form_id FROM found JOIN forms USING (form_id) WHERE form_no < 5")
+def srt_plan_whole(spark, sf):
+    rows = keysets.select_surfaces(found(spark, sf), C.MAIN_FORMS).select("dataset", "item_id", "form_order", "form_id")
+    return rows.orderBy("dataset", "item_id", "form_order")
+
+
 _PLANNED = "p AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 1024 ELSE 2048 END AS max_tokens FROM orders)"
 
 

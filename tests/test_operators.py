@@ -279,3 +279,13 @@ def test_whole_analysis(spark, sf_dir):
     assert sum("tests.holm_adjusted_pvalue" in v for v in out.values()) == 14
     with pytest.raises(ValueError, match="undecided"):
         analysis.analyze(fixtures.scored(spark, sf_dir, undecided=True))
+
+
+def test_the_whole_plan_is_sorted(spark, sf_dir):
+    from robusteval import catalog
+
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # a plan of more than 500 rows
+    rows = [tuple(r) for r in catalog.QUERIES["srt_plan_whole"](spark, sf_dir).collect()]
+    kept = keysets.select_surfaces(catalog.found(spark, sf_dir), C.MAIN_FORMS).select("dataset", "item_id", "form_order", "form_id").collect()
+    assert rows == sorted(tuple(r) for r in kept)
+    assert len(rows) == len(kept) > 500
