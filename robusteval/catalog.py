@@ -774,6 +774,29 @@ def st_paired_diff(spark, sf):
     return r6(effect.join(stats.bootstrap_mean(pairs, ["dataset"], "item_id", "d", _DRAWS), "dataset"))
 
 
+# The same at the configured number of draws. SQL is too slow for these: they are
+# tested against plain draws in numpy.
+
+
+@query()
+def st_bootstrap_full(spark, sf):
+    items = metrics.item_robustness(metrics.item_forms(main_rows(spark, sf)))
+    return r6(stats.bootstrap_groups(items, BY, "item_id", ["mean_correctness"], stats.drawn_mean, ["mean"]))
+
+
+@query()
+def st_boot_variance_full(spark, sf):
+    items = stats.item_variances(metrics.item_forms(main_rows(spark, sf)), BY)
+    return r6(stats.bootstrap_groups(items, BY, "item_id", ["run", "form", "item_mean"], stats.drawn_variance, ["v_run", "v_form", "v_item", "pi_form"]))
+
+
+@query()
+def st_paired_diff_full(spark, sf):
+    pairs = jn_paired(spark, sf).select("dataset", "item_id", (metrics.number("left_value") - metrics.number("right_value")).alias("d"))
+    effect = pairs.groupBy("dataset").agg(F.avg("d").alias("effect"))
+    return r6(effect.join(stats.bootstrap_groups(pairs, ["dataset"], "item_id", ["d"], stats.drawn_mean, ["mean"]), "dataset"))
+
+
 # -- interventions ---------------------------------------------------------------
 
 _TRAJ = """

@@ -8,7 +8,7 @@ many draws: each task resamples whole draws in numpy against the item table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,6 +71,38 @@ def bootstrap_mean_wide(values: DataFrame, value: str, resamples: int = C.BOOTST
     return found.agg(F.lit(float(table.mean())).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
+def bootstrap_groups(items: DataFrame, by: list[str], item: str, columns: list[str], estimate: Callable[[np.ndarray], dict[str, float]], names: list[str], resamples: int = C.BOOTSTRAP_RESAMPLES, seed: int = C.BOOTSTRAP_SEED, slices: int = 32) -> DataFrame:
+    """(by, name_low, name_high of each name) for groups and many draws: each task has
+    one group's items and resamples its share of the draws. estimate takes the drawn
+    columns (slots, columns) and gives the estimates; nulls are NaN there."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(item)
+        own, n = pdf[columns].to_numpy(dtype=float), len(pdf)
+        found = [estimate(own[np.random.default_rng([seed, d]).integers(0, n, n)]) for d in range(int(pdf["slice"].iloc[0]), resamples, slices)]
+        out = pd.DataFrame(found, columns=names)
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out[[*by, *names]]
+
+    dealt = items.select(*by, item, *columns, F.explode(F.sequence(F.lit(0), F.lit(min(slices, resamples) - 1))).alias("slice"))
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*by).schema), *(f"`{c}` double" for c in names)])
+    drawn = dealt.groupBy(*by, "slice").applyInPandas(run, kinds)
+    drawn = drawn.select(*by, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
+    return interval(drawn, by, names)
+
+
+def drawn_mean(own: np.ndarray) -> dict[str, float]:
+    known = own[~np.isnan(own[:, 0]), 0]
+    return {"mean": known.mean() if len(known) else np.nan}
+
+
+def drawn_variance(own: np.ndarray) -> dict[str, float]:
+    run, form, item = own[:, 0].mean(), own[:, 1].mean(), own[:, 2].var()
+    total = run + form + item
+    return {"v_run": run, "v_form": form, "v_item": item, "pi_form": form / total if total > 0 else 0.0}
+
+
 def item_variances(forms: DataFrame, by: list[str]) -> DataFrame:
     """Per item: mean run variance, form variance, mean solve rate."""
     return forms.filter("solve_rate is not null").groupBy(*by, "item_id").agg(

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from math import comb
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,43 @@ def test_the_whole_plan_is_sorted(spark, sf_dir):
     kept = keysets.select_surfaces(catalog.found(spark, sf_dir), C.MAIN_FORMS).select("dataset", "item_id", "form_order", "form_id").collect()
     assert rows == sorted(tuple(r) for r in kept)
     assert len(rows) == len(kept) > 500
+
+
+def test_the_full_bootstraps_make_all_draws(spark, sf_dir):
+    from robusteval import catalog
+
+    def brute(rows, statistic):
+        n = len(rows)
+        out = []
+        for d in range(10_000):
+            at = np.random.default_rng([C.BOOTSTRAP_SEED, d]).integers(0, n, n)
+            out.append(statistic(rows[at]))
+        return np.quantile(out, [0.025, 0.975])
+
+    forms = metrics.item_forms(catalog.main_rows(spark, sf_dir)).cache()
+    items = metrics.item_robustness(forms).toPandas()
+    shares = stats.item_variances(forms, catalog.BY).toPandas()
+    pairs = catalog.jn_paired(spark, sf_dir).toPandas()
+    pairs["d"] = pairs["left_value"].astype(float) - pairs["right_value"].astype(float)
+
+    def group(table, r, keys, columns):
+        for k in keys:
+            table = table[table[k] == r[k]]
+        return table.sort_values("item_id")[columns].to_numpy(dtype=float)
+
+    for name, table, keys, columns, checks in (
+        ("st_bootstrap_full", items, catalog.BY, ["mean_correctness"], {"mean": lambda v: v[:, 0].mean()}),
+        ("st_boot_variance_full", shares, catalog.BY, ["run", "form", "item_mean"], {"v_item": lambda v: v[:, 2].var(), "pi_form": lambda v: v[:, 1].mean() / (v[:, 0].mean() + v[:, 1].mean() + v[:, 2].var())}),
+        ("st_paired_diff_full", pairs, ["dataset"], ["d"], {"mean": lambda v: v[:, 0].mean()}),
+    ):
+        rows = catalog.QUERIES[name](spark, sf_dir).collect()
+        assert len(rows) == len(table[keys].drop_duplicates())
+        for r in rows:
+            for c, statistic in checks.items():
+                assert [r[f"{c}_low"], r[f"{c}_high"]] == pytest.approx(brute(group(table, r, keys, columns), statistic), abs=2e-6)
+
+
+def test_a_group_of_nulls_has_no_interval(spark):
+    df = spark.createDataFrame([("a", "1", None), ("a", "2", None), ("b", "1", 1.0), ("b", "2", None)], "g string, item_id string, v double")
+    got = {r.g: (r.mean_low, r.mean_high) for r in stats.bootstrap_groups(df, ["g"], "item_id", ["v"], stats.drawn_mean, ["mean"], 50).collect()}
+    assert got == {"a": (None, None), "b": (1.0, 1.0)}
