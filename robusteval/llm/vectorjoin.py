@@ -93,7 +93,7 @@ def reachable(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray, limit: floa
     rows = np.arange(len(x))
     own = angle[rows, home][:, None]
     near = (angle <= own + 2 * limit + SLACK) & (angle <= radius[None, :] + limit + SLACK)
-    apart = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)[home]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))[home]
     dots = x @ pivots.T
     near &= dots[rows, home][:, None] - dots <= 2 * math.sin(limit / 2) * apart + SLACK
     near[rows, home] = False
@@ -144,6 +144,8 @@ def choose_pivots(x: np.ndarray, total: int, limit: float, block: int, counts: t
     for count in sorted({min(c, len(points)) for c in counts}):
         some = points[:count]
         radius, home, replicas = radii(x, some), np.zeros(count), np.zeros(count)
+        # Cells few sampled rows are at home in hold farther ones than those.
+        radius = np.maximum(radius, np.median(radius[np.isfinite(radius)]))
         for at in range(0, len(x), CHUNK):
             own, near = reachable(x[at : at + CHUNK], some, radius, limit)
             home += np.bincount(own, minlength=count)
