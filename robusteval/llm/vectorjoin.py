@@ -14,9 +14,9 @@ memory is dealt into slices whose pairs are units of their own. A unit is a few
 products of two matrices in double precision and returns link counts and a
 spanning forest, never its pairs.
 
-The number of pivots follows the structure of the vectors: of 16, 64, 256 and
-1024 that one is taken which a bounded sample says makes the fewest copies and
-comparisons. It decides only what is compared, never what is linked.
+The number of pivots follows the structure of the vectors: of 16, 64, 256, 1024
+and 2048 that one is taken which a bounded sample says makes the least work of
+copies and comparisons. It decides only what is compared, never what is linked.
 
 Equal vectors are collapsed first and weigh as many as they are. Vectors of each
 length are compared among themselves; the length is part of the cell.
@@ -43,15 +43,17 @@ from robusteval.llm.common import components, hash_order_sample, local_roots, sa
 
 #: Room for rounding in bounds that only decide what is compared.
 SLACK = 1e-7
-#: Numbers of pivots to choose from, and what a copy costs in comparisons.
-PIVOTS = (16, 64, 256, 1024)
-COPY = 400
+#: Numbers of pivots to choose from, and what a copy (made, shuffled, read) costs
+#: in comparisons.
+PIVOTS = (16, 64, 256, 1024, 2048)
+COPY = 2000
 #: Bytes of the sample from which pivots are picked, and of one side of a unit.
 SAMPLE_BYTES = 1 << 24
 SIDE_BYTES = 1 << 25
 MAX_SIDE = 16_384
-#: Rows whose bounds are worked out at a time.
-CHUNK = 2048
+#: Cells of a matrix held at a time, and rows whose bounds are worked out at once.
+CELLS = 1 << 22
+CHUNK = CELLS // max(PIVOTS)
 
 def unit_rows(vectors) -> np.ndarray:
     x = np.array(list(vectors), dtype=np.float64)
@@ -108,7 +110,7 @@ def compare_unit(keys: np.ndarray, weight: np.ndarray, x: np.ndarray, first: np.
     root = np.arange(len(keys))
     sides = ([(p, p, True)] if within else []) + ([(p, q, False)] if len(q) else [])
     for a, b, same in sides:
-        step, y = max(1, (1 << 22) // max(1, len(b))), x[b]
+        step, y = max(1, CELLS // max(1, len(b))), x[b]
         for at in range(0, len(a), step):
             part = a[at : at + step]
             left, right = np.nonzero(x[part] @ (y[: at + len(part)] if same else y).T >= cosine)
