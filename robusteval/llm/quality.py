@@ -1,25 +1,33 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Word, symbol, line and repetition counts of whole texts become a vector of four
-transformed statistics. For each language and source the half-sample (here
-three quarters) of least covariance determinant is sought by concentration
-steps, deterministically from coordinate-wise medians: every step orders the
-group's rows by Mahalanobis distance and re-estimates from the nearest ones. A
-row whose squared distance from the final estimate exceeds a cutoff is rejected.
+transformed statistics. For each language and source (and for each language, and
+for all rows) the three quarters of rows of least covariance determinant are
+sought by concentration steps from three deterministic starts: medians with
+quartile ranges, mean with covariance, and medians with the least spreads. Every
+step orders a group's rows by Mahalanobis distance and re-estimates from the
+nearest ones; the start that ends with the least determinant counts. A row whose
+squared distance from its group's final estimate exceeds a cutoff is rejected.
 
 A step is one aggregation. Distances fall into logarithmic bins, sums and cross
 sums are kept per group and bin (at most ``MAX_BIN - MIN_BIN`` of them, whatever
 the group's size), and the nearest share is read off the cumulated bins; so a hot
-source costs no more memory than any other. Groups below ``min_rows`` take
-their language's estimate, small languages that of all rows.
+source costs no more memory than any other.
 
-Every statistic has a floor to its spread (``FLOORS``): where most rows agree
-exactly (no symbols at all), the floor is the unit of distance.
+No group rests on a few rows of its own: its centre and covariance are averaged
+with its language's, which counts as ``PRIOR`` rows, and the language's likewise
+with those of all rows. The weights follow from row counts smoothly; no group
+size is treated apart.
+
+The estimates are regularised: every statistic has a least spread (``FLOORS``),
+and no eigenvalue of a covariance, measured in these units, is taken below one.
+Where most rows agree exactly (no symbols at all), the floor is the unit.
 
 Defined results: a null text is empty and fails the base rule; null languages
 and sources are groups like any other; a null doc_id is kept as it is; equal
-rows get equal results; ties in distance are taken together; extra columns are
-ignored; an empty table gives an empty result.
+rows get equal results; ties in distance are taken together; the distance is null
+where no row at all passes the base rule; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +40,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from robusteval.llm.common import save, spread_documents
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: Coordinates and the least spread each is measured in: logarithm of the mean
+#: Coordinates and the least spread each can have: logarithm of the mean
 #: word length, symbols a word, repeated lines a line, repeated words a word.
 COORDS = ("x0", "x1", "x2", "x3")
 FLOORS = (0.06, 0.07, 0.12, 0.1)
@@ -47,7 +56,8 @@ SHARE = 0.75
 #: chi-squared distribution of four degrees of freedom.
 CUTOFF = 18.467
 STEPS = 5
-MIN_ROWS = 60
+#: Rows that the estimate above a group counts for.
+PRIOR = 60
 MIN_BIN, MAX_BIN = -64, 192
 
 
@@ -83,18 +93,20 @@ def covered(windows: list[tuple], n: int) -> int:
     return int((np.cumsum(mark[:n]) > 0).sum())
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+
+
 def count_texts(docs: DataFrame, columns: list[Column]) -> DataFrame:
     """The given columns, then n_words .. n_lines, of the last column's texts."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
     picked = docs.select(*columns)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]] + [f"{n} long" for n in names])
+    schema = T.StructType([*picked.schema.fields, *[T.StructField(n, T.LongType()) for n in COUNTS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_counts(t.as_py()) for t in batch.column(batch.num_columns - 1).cast(pa.binary())]
-            table = np.array(rows, dtype=np.int64).reshape(-1, len(names))
-            own = batch.columns[:-1] + [pa.array(table[:, k]) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(own, [*batch.schema.names[:-1], *names])
+            table = np.array(rows, dtype=np.int64).reshape(-1, len(COUNTS))
+            own = batch.columns + [pa.array(table[:, k]) for k in range(len(COUNTS))]
+            yield pa.RecordBatch.from_arrays(own, [*batch.schema.names, *COUNTS])
 
     return picked.mapInArrow(run, schema)
 
@@ -114,16 +126,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def with_groups(rows: DataFrame, lang: str, source: str, min_rows: int) -> DataFrame:
-    """rows with ``gid``: that of their language and source, or the language, or all.
-    Tables of one row a group are written as one file."""
-    fit = F.count_if(~F.col("failed"))
-    pairs = save(rows.groupBy(lang, source).agg(fit.alias("n")).repartition(1), "groups")
-    langs = pairs.groupBy(F.col(lang).alias("l")).agg(F.sum("n").alias("m"))
-    named = pairs.join(langs, F.col(lang).eqNullSafe(F.col("l")))
-    gid = F.when(F.col("n") >= min_rows, F.xxhash64(F.lit(2), F.coalesce(lang, F.lit("\0")), F.coalesce(source, F.lit("\0")))).when(F.col("m") >= min_rows, F.xxhash64(F.lit(1), F.coalesce(lang, F.lit("\0")))).otherwise(F.lit(0).cast("long"))
-    named = named.select(F.col(lang).alias("l"), F.col(source).alias("s"), gid.alias("gid"))
-    return rows.join(named, F.col(lang).eqNullSafe(F.col("l")) & F.col(source).eqNullSafe(F.col("s"))).drop("l", "s")
+def group_id(*parts: Column | str) -> Column:
+    """A number for all rows (no part), a language, or a language and source. Null
+    is a value of its own."""
+    flat = [x for p in parts for x in (F.isnull(p), F.coalesce(p, F.lit("")))]
+    return F.xxhash64(F.lit(len(parts)), *flat)
 
 
 def _pairs() -> list[tuple[int, int]]:
@@ -137,7 +144,7 @@ def distance() -> Column:
     out = terms[0]
     for t in terms[1:]:
         out = out + t
-    return F.greatest(out, F.lit(0.0))
+    return F.when(out.isNotNull(), F.greatest(out, F.lit(0.0)))
 
 
 def bin_of(d2: Column) -> Column:
@@ -145,28 +152,61 @@ def bin_of(d2: Column) -> Column:
     return F.greatest(F.lit(MIN_BIN), F.least(F.lit(MAX_BIN), F.floor(F.log2(d2 + 1e-12) * 8))).cast("int")
 
 
+def floored(cov: np.ndarray) -> np.ndarray:
+    """cov with no eigenvalue below one in units of the least spreads."""
+    unit = np.outer(FLOORS, FLOORS)
+    w, v = np.linalg.eigh(cov / unit)
+    return (v * np.maximum(w, 1.0)) @ v.T * unit
+
+
 def inverse(cov: np.ndarray) -> list[float]:
     p = np.linalg.inv(cov)
     return [float(p[i, j]) for i, j in _pairs()]
 
 
+def moments(part: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, mean and covariance from sums and cross sums."""
+    n = float(part["n"].sum())
+    mean = np.array([part[f"s{k}"].sum() for k in range(len(COORDS))]) / n
+    cov = np.zeros((len(COORDS), len(COORDS)))
+    for k, (i, j) in enumerate(_pairs()):
+        cov[i, j] = cov[j, i] = part[f"q{k}"].sum() / n - mean[i] * mean[j]
+    return n, mean, cov
+
+
+ESTIMATE = "gid long, start int, rows double, m array<double>, p array<double>, cov array<double>, logdet double"
+
+
+def _row(gid: int, start: int, rows: float, mean: np.ndarray, cov: np.ndarray) -> dict:
+    cov = floored(cov)
+    return {"gid": gid, "start": start, "rows": rows, "m": mean.tolist(), "p": inverse(cov), "cov": cov.ravel().tolist(), "logdet": float(np.linalg.slogdet(cov)[1])}
+
+
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Quartiles and sums of groups to three first estimates each."""
+    for pdf in batches:
+        out = []
+        for k in range(len(pdf)):
+            part = pdf.iloc[k : k + 1]
+            n, mean, cov = moments(part)
+            quartiles = np.array([part[c].iat[0] for c in COORDS])
+            middle, spread = quartiles[:, 1], (quartiles[:, 2] - quartiles[:, 0]) / 1.349
+            for start, (m, c) in enumerate([(middle, np.diag(spread**2)), (mean, cov), (middle, np.zeros_like(cov))]):
+                out.append(_row(int(part["gid"].iat[0]), start, n, m, c))
+        if out:
+            yield pd.DataFrame(out)
+
+
 def _estimate(share: float, correct: bool):
-    """applyInPandas: one group's binned sums to its centre and inverse covariance."""
+    """applyInPandas: one group's binned sums to its next estimate."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
         upto = pdf["n"].cumsum().to_numpy()
         last = int(np.searchsorted(upto, math.ceil(share * upto[-1])))
-        part = pdf.iloc[: last + 1]
-        n = float(part["n"].sum())
-        mean = np.array([part[f"s{k}"].sum() for k in range(len(COORDS))]) / n
-        cov = np.zeros((len(COORDS), len(COORDS)))
-        for k, (i, j) in enumerate(_pairs()):
-            cov[i, j] = cov[j, i] = part[f"q{k}"].sum() / n - mean[i] * mean[j]
+        n, mean, cov = moments(pdf.iloc[: last + 1])
         factor = consistency(n / upto[-1]) if correct else 1.0
-        cov = np.maximum(factor, 1.0) * cov + np.diag(np.square(FLOORS))
-        logdet = float(np.linalg.slogdet(cov)[1])
-        return pd.DataFrame({"gid": [pdf["gid"].iat[0]], "m": [mean.tolist()], "p": [inverse(cov)], "logdet": [logdet]})
+        return pd.DataFrame([_row(int(pdf["gid"].iat[0]), int(pdf["start"].iat[0]), float(upto[-1]), mean, max(factor, 1.0) * cov)])
 
     return run
 
@@ -188,37 +228,76 @@ def consistency(share: float) -> float:
 
 
 def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """(gid, m, p) of every group of rows (gid, x0..x3)."""
-    spread = [F.percentile_approx(c, 0.5, 10_000).alias(c) for c in COORDS]
-    start = rows.groupBy("gid").agg(*spread)
-    diagonal = [F.lit(1 / FLOORS[i] ** 2 if i == j else 0.0) for i, j in _pairs()]
-    now = save(start.select("gid", F.array(*COORDS).alias("m"), F.array(*diagonal).alias("p")).repartition(1), "estimates")
-    sums = [F.sum(c).alias(f"s{k}") for k, c in enumerate(COORDS)]
+    """(gid, rows, m, cov) of every group of rows (gid, x0..x3)."""
+    sums = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{k}") for k, c in enumerate(COORDS)]]
     sums += [F.sum(F.col(COORDS[i]) * F.col(COORDS[j])).alias(f"q{k}") for k, (i, j) in enumerate(_pairs())]
+    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(c) for c in COORDS]
+    now = save(rows.groupBy("gid").agg(*quartiles, *sums).mapInPandas(_starts, ESTIMATE).coalesce(1), "estimates")
 
     def concentrate(now: DataFrame, final: bool) -> DataFrame:
-        binned = rows.join(now.select("gid", "m", "p"), "gid").groupBy("gid", bin_of(distance()).alias("bin")).agg(F.count("*").alias("n"), *sums)
-        solved = binned.groupBy("gid").applyInPandas(_estimate(share, final), "gid long, m array<double>, p array<double>, logdet double")
-        return save(solved.repartition(1), "estimates")
+        binned = rows.join(now.select("gid", "start", "m", "p"), "gid").groupBy("gid", "start", bin_of(distance()).alias("bin")).agg(*sums)
+        return save(binned.groupBy("gid", "start").applyInPandas(_estimate(share, final), ESTIMATE).coalesce(1), "estimates")
 
-    last = math.inf
+    last = None
     for _ in range(steps - 1):
         now = concentrate(now, False)
         total = now.agg(F.sum("logdet")).first()[0] or 0.0
-        if last - total < 1e-6 * max(1.0, abs(total)):
+        if last is not None and abs(last - total) < 1e-6 * max(1.0, abs(total)):
             break
         last = total
-    return concentrate(now, True).select("gid", "m", "p")
+    least = now.groupBy("gid").agg(F.min_by(F.struct("start", "m", "p"), F.struct("logdet", "start")).alias("b")).select("gid", "b.*")
+    return concentrate(least, True).select("gid", "rows", "m", "cov")
+
+
+def _shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Estimates of a group, its language and all rows to the one that judges it."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            mean = cov = None
+            for rows, m, c in ((r.rows0, r.m0, r.cov0), (r.rows1, r.m1, r.cov1), (r.rows2, r.m2, r.cov2)):
+                if m is None or c is None:
+                    continue
+                m, c = np.asarray(m), np.asarray(c).reshape(len(COORDS), -1)
+                w = 1.0 if mean is None else rows / (rows + PRIOR)
+                mean, cov = (m, c) if mean is None else (w * m + (1 - w) * mean, w * c + (1 - w) * cov)
+            if mean is not None:
+                out.append({"group": r.group, "m": mean.tolist(), "p": inverse(cov)})
+        if out:
+            yield pd.DataFrame(out)
+
+
+def judges(rows: DataFrame) -> DataFrame:
+    """(group, m, p) for every language and source of rows (level0..level2, failed,
+    x0..x3): one row a group."""
+    levels = [f"level{k}" for k in range(3)]
+    fit = rows.filter(~F.col("failed")).select(F.explode(F.array(*levels)).alias("gid"), *COORDS)
+    found = estimates(fit)
+    out = rows.select(*levels).distinct()
+    for k, level in enumerate(levels):
+        own = found.select(F.col("gid").alias(level), F.col("rows").alias(f"rows{k}"), F.col("m").alias(f"m{k}"), F.col("cov").alias(f"cov{k}"))
+        out = out.join(own, level, "left")
+    out = out.withColumnRenamed("level2", "group").drop("level0", "level1")
+    return save(out.mapInPandas(_shrink, "group long, m array<double>, p array<double>").coalesce(1), "judges")
+
+
+def measured(counted: DataFrame, lang: str, source: str) -> DataFrame:
+    """counted with failed, the group levels and the statistic vector."""
+    levels = [group_id().alias("level0"), group_id(lang).alias("level1"), group_id(lang, source).alias("level2")]
+    return counted.select("*", base_failed().alias("failed"), *levels, *coordinates())
+
+
+def verdicts(rows: DataFrame, found: DataFrame, cutoff: float) -> DataFrame:
+    """measured rows with base_failed, distance and kept, by their group's estimate."""
+    judged = rows.join(found, F.col("level2") == F.col("group"), "left").withColumn("distance", distance())
+    kept = ~F.col("failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    return judged.withColumn("kept", kept).withColumnRenamed("failed", "base_failed").drop("group", "level0", "level1", "level2", "m", "p", *COORDS)
 
 
-def judge(counted: DataFrame, lang: str, source: str, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(counted: DataFrame, lang: str, source: str, cutoff: float = CUTOFF) -> DataFrame:
     """counted with base_failed, distance and kept."""
-    rows = save(counted.withColumn("failed", base_failed()).select("*", *coordinates()), "counts")
-    rows = save(with_groups(rows, lang, source, min_rows), "statistics")
-    found = estimates(rows.filter(~F.col("failed")).select("gid", *COORDS))
-    judged = rows.join(found, "gid", "left").withColumn("distance", distance())
-    kept = ~F.col("failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return judged.withColumn("kept", kept).withColumnRenamed("failed", "base_failed").drop("gid", "m", "p", *COORDS)
+    rows = save(measured(counted, lang, source), "statistics")
+    return verdicts(rows, judges(rows), cutoff)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
@@ -228,18 +307,17 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
-    """docs without rejected rows. A verdict depends on language, source and text
-    alone, so rejected texts are found by their digest."""
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+    """docs without rejected rows, with their columns. Estimates come from a first pass
+    over the texts; a second one counts again and judges each row where it is, so
+    no text is shuffled or written aside."""
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     held = docs.toDF(*names.values())
-    lang, source = (F.col(names[c]).cast("string") for c in (lang_col, source_col))
-    digest = F.sha2(F.coalesce(F.col(names[text_col]).cast("string"), F.lit("")), 256)
-    columns = [digest.alias("digest"), lang.alias("lang"), source.alias("source"), F.col(names[text_col]).cast("string").alias("text")]
-    bad = judge(count_texts(held, columns), "lang", "source", **options).filter(~F.col("kept")).select("digest", "lang", "source").distinct()
-    bad = save(bad, "rejected")
-    same = (digest == bad["digest"]) & lang.eqNullSafe(bad["lang"]) & source.eqNullSafe(bad["source"])
-    return held.join(bad, same, "left_anti").toDF(*docs.columns)
+    of = [F.col(names[c]).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
+    first = save(measured(count_texts(held, of), "lang", "source").select("failed", "level0", "level1", "level2", *COORDS), "statistics")
+    found = judges(first)
+    again = measured(count_texts(held, [*names.values(), *of]), "lang", "source")
+    return verdicts(again, found, cutoff).filter("kept").select(*names.values()).toDF(*docs.columns)
 
 
 def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

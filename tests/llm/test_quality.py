@@ -47,6 +47,89 @@ def test_query_counts_and_verdicts(spark, sf_dir):
     assert np.mean([r.kept for r in bad]) < 0.2
 
 
+FLOOR = np.diag(quality.FLOORS)
+
+
+def brute_floor(cov):
+    half = np.linalg.inv(FLOOR)
+    w, v = np.linalg.eigh(half @ cov @ half)
+    return FLOOR @ v @ np.diag(np.maximum(w, 1)) @ v.T @ FLOOR
+
+
+def brute_estimate(x):
+    """Concentration steps over rows in memory: centre and covariance."""
+
+    def step(m, c):
+        d = x - m
+        d2 = np.maximum(np.einsum("ni,ij,nj->n", d, np.linalg.inv(c), d), 0)
+        bins = np.clip(np.floor(np.log2(d2 + 1e-12) * 8), quality.MIN_BIN, quality.MAX_BIN)
+        near = x[bins <= np.sort(bins)[int(np.ceil(quality.SHARE * len(x))) - 1]]
+        return near.mean(axis=0), np.cov(near.T, bias=True).reshape(4, 4), len(near) / len(x)
+
+    ordered = np.sort(x, axis=0)
+    low, middle, high = (ordered[max(0, int(np.ceil(q * len(x))) - 1)] for q in (0.25, 0.5, 0.75))
+    best = None
+    for m, c in [(middle, np.diag(((high - low) / 1.349) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True).reshape(4, 4)), (middle, np.zeros((4, 4)))]:
+        c = brute_floor(c)
+        for _ in range(quality.STEPS - 1):
+            m, c, _ = step(m, c)
+            c = brute_floor(c)
+        if best is None or np.linalg.slogdet(c)[1] < best[0] - 1e-9:
+            best = (np.linalg.slogdet(c)[1], m, c)
+    m, c, share = step(*best[1:])
+    return m, brute_floor(max(1.0, quality.consistency(share)) * c)
+
+
+def brute_distances(rows):
+    """rows: (lang, source, x) of rows that pass the base rule, to squared distances."""
+    x = np.array([r[2] for r in rows])
+    out = []
+    known = {}
+    for lang, source, at in rows:
+        if (lang, source) not in known:
+            mean = cov = None
+            for of in ([True] * len(rows), [r[0] == lang for r in rows], [r[:2] == (lang, source) for r in rows]):
+                part = x[np.array(of)]
+                m, c = brute_estimate(part)
+                w = 1 if mean is None else len(part) / (len(part) + quality.PRIOR)
+                mean, cov = (m, c) if mean is None else (w * m + (1 - w) * mean, w * c + (1 - w) * cov)
+            known[lang, source] = mean, np.linalg.inv(cov)
+        m, p = known[lang, source]
+        out.append((at - m) @ p @ (at - m))
+    return out
+
+
+def vector(n, chars, symbols, dup, rep, lines):
+    return [np.log((chars + 100) / (n + 20)), np.log1p(symbols / (n + 5)), dup / (lines + 4), rep / (n + 20)]
+
+
+def test_whole_verdict_equals_brute_force(spark, sf_dir):
+    """Counts, every estimate and the verdict, against rows in memory."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    counts = {k: brute(d.text) for k, d in docs.items()}
+    fit = [k for k, (n, _, _, _, rep, _) in counts.items() if n >= 10 and 100 * rep <= 20 * n]
+    want = dict(zip(fit, brute_distances([(docs[k].lang, docs[k].source, np.array(vector(*counts[k]))) for k in fit])))
+    got = {r.doc_id: r for r in quality.op1_mcd_quality(spark, sf_dir).collect()}
+    for k in fit:
+        assert got[k].distance == pytest.approx(want[k], rel=1e-6, abs=1e-9)
+        assert got[k].kept == (want[k] <= quality.CUTOFF)
+
+
+def test_few_rows_do_not_judge_themselves(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 8)))
+    clean = lambda: " ".join(word() for _ in range(60))
+    junk = [" ".join(word() + "###$$" for _ in range(60)) for _ in range(3)]
+    docs = [(k, clean(), "en", "big") for k in range(300)] + [(1000 + k, t, "en", "tiny") for k, t in enumerate(junk)] + [(2000 + k, t, "en", "big") for k, t in enumerate(junk)] + [(3000 + k, t, "new", "alone") for k, t in enumerate(junk)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k].kept for k in range(300))
+    for k in range(3):
+        for at in (1000, 2000, 3000):
+            assert not got[at + k].kept and got[at + k].distance > 50
+    none = quality.quality(spark.createDataFrame([(1, "a", "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    assert none.distance is None and not none.kept
+
+
 def test_binned_estimate_equals_the_plain_one():
     """The binned sums of a step give the mean and covariance of the nearest rows."""
     import pandas as pd
@@ -55,14 +138,15 @@ def test_binned_estimate_equals_the_plain_one():
     x = rng.normal(size=(400, 4)) * [0.1, 0.2, 0.1, 0.3]
     x[:60] += 5
     centre, p = np.median(x, axis=0), np.diag(1 / np.square(quality.FLOORS))
+    x[100:] *= [2, 1, 4, 1]
     d2 = np.einsum("ni,ij,nj->n", x - centre, p, x - centre)
     bins = np.clip(np.floor(np.log2(d2 + 1e-12) * 8), quality.MIN_BIN, quality.MAX_BIN).astype(int)
     pairs = [(i, j) for i in range(4) for j in range(i, 4)]
-    table = pd.DataFrame([{"gid": 1, "bin": b, "n": (bins == b).sum(), **{f"s{k}": x[bins == b, k].sum() for k in range(4)}, **{f"q{k}": (x[bins == b, i] * x[bins == b, j]).sum() for k, (i, j) in enumerate(pairs)}} for b in np.unique(bins)])
+    table = pd.DataFrame([{"gid": 1, "start": 0, "bin": b, "n": (bins == b).sum(), **{f"s{k}": x[bins == b, k].sum() for k in range(4)}, **{f"q{k}": (x[bins == b, i] * x[bins == b, j]).sum() for k, (i, j) in enumerate(pairs)}} for b in np.unique(bins)])
     out = quality._estimate(0.75, False)(table).iloc[0]
     cut = np.sort(bins)[int(np.ceil(0.75 * 400)) - 1]
     near = x[bins <= cut]
-    cov = np.cov(near.T, bias=True) + np.diag(np.square(quality.FLOORS))
+    cov = brute_floor(np.cov(near.T, bias=True))
     assert np.allclose(out.m, near.mean(axis=0))
     assert np.allclose(out.p, [np.linalg.inv(cov)[i, j] for i, j in pairs])
     assert not (bins[:60] <= cut).any()
