@@ -2,9 +2,13 @@
 
 Texts become code points, lower-cased, every run of non-letters one space; all
 their 1- to 3-grams are hashed into buckets by arithmetic on whole arrays. The
-log-probability matrix (buckets x languages, a few MB: its bound is set by
-``buckets`` and ``max_langs``) is broadcast, and a batch is scored by gathering
-its rows and summing them per document.
+log-probability matrix (buckets x languages) is broadcast, and a batch is scored
+by gathering its rows, summing them per document and adding the logarithm of the
+language's share of the documents learned from.
+
+No language is left out: a matrix holds at most ``at_once`` of them (17 MB with
+the defaults), and if there are more, each group of languages has a matrix of its
+own and the best of the groups' bests is taken.
 
 It is fitted on at most ``train_rows`` labelled documents, those whose hashed
 ids come first; every document is then scored, whole.
@@ -27,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import hash_order_sample, id_remainder, save, spread_documents, temp_name
+from robusteval.llm.common import hash_order_sample, id_remainder, save, spread_documents
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 TRAIN_ROWS = 20_000
-MAX_LANGS = 500
+#: Languages of one broadcast matrix.
+AT_ONCE = 64
 UNKNOWN = "und"
 #: Odd multipliers that spread n-grams over buckets.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -99,14 +104,19 @@ def chunks(texts: list[str | None], most: int = 300_000) -> Iterator[list[str]]:
         yield part
 
 
-def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
-    """Languages and the (buckets, languages) matrix of log probabilities."""
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS, at_once: int = AT_ONCE) -> list[Model]:
+    """Groups of languages, in order: their names, the (buckets, languages) matrix of
+    log probabilities and the log priors. One group is fetched at a time."""
     known = docs.filter(teach & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = save(hash_order_sample(known.select(F.col(id_col).alias("own_id")).distinct(), train_rows, "own_id"), "train_ids")
     sample = known.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sample = sample.join(F.broadcast(ids), F.col("id") == F.col("own_id"), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lang, bucket, n); bucket -1 counts documents."""
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), dtype=object)
@@ -118,60 +128,88 @@ def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str =
                 for lang in set(own):
                     mine = own == lang
                     if lang not in total:
-                        total[lang] = np.zeros(buckets, dtype=np.int64)
+                        if len(total) == AT_ONCE:
+                            yield from flush(total)
+                        total[lang] = np.zeros(buckets + 1, dtype=np.int64)
+                    total[lang][buckets] += mine.sum()
                     for i, d in zip(idx, of):
-                        total[lang] += np.bincount(i[mine[d]], minlength=buckets)
+                        total[lang] += np.bincount(i[mine[d]], minlength=buckets + 1)
+        yield from flush(total)
+
+    def flush(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, sums in total.items():
             hit = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array(hit.astype(np.int32)), pa.array(sums[hit])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array(np.where(hit == buckets, -1, hit).astype(np.int32)), pa.array(sums[hit])], ["lang", "bucket", "n"])
+        total.clear()
 
     counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = save(counts, "grams")
-    largest = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    table = counts.join(F.broadcast(largest), "lang").toPandas()
-    langs = sorted(table["lang"].unique())
-    sums = np.zeros((buckets, len(langs)))
-    sums[table["bucket"], pd.Categorical(table["lang"], langs).codes] = table["n"]
-    return langs, np.log((sums + 0.05) / (sums + 0.05).sum(axis=0, keepdims=True)) if langs else sums
-
-
-def score_texts(texts: list[str], langs: list[str], weights: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Predicted language and score of each text."""
+    # At most one language for each of the train_rows documents.
+    taught_docs = {r.lang: r.n for r in counts.filter("bucket = -1").select("lang", "n").collect()}
+    names = sorted(taught_docs)
+    out = []
+    for at in range(0, len(names), at_once):
+        langs = names[at : at + at_once]
+        table = counts.filter("bucket >= 0")
+        if len(names) > at_once:
+            table = table.filter(F.col("lang").between(langs[0], langs[-1]))
+        place = {lang: k for k, lang in enumerate(langs)}
+        sums = np.zeros((buckets, len(langs)))
+        table = table.toPandas()
+        sums[table["bucket"], table["lang"].map(place)] = table["n"]
+        prior = np.log(np.array([taught_docs[lang] for lang in langs]) / sum(taught_docs.values()))
+        out.append((langs, np.log((sums + 0.05) / (sums + 0.05).sum(axis=0, keepdims=True)), prior))
+    return out
+
+
+def score_texts(texts: list[str], langs: list[str], weights: np.ndarray, prior: np.ndarray) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """For each text the likeliest of some languages (none if it has no letter), its
+    log probability and the logarithm of all their probabilities' sum, both scaled
+    to at most SCORE_GRAMS n-grams' evidence."""
     idx, of, letters = grams(texts, len(weights))
-    total = np.zeros((len(texts), len(langs)))
+    total = np.repeat(prior[None, :], len(texts), axis=0)
     n = np.zeros(len(texts))
     for i, d in zip(idx, of):
         first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.empty(0, dtype=np.intp)
         if len(first):
             total[d[first]] += np.add.reduceat(weights[i], first, axis=0)
             n += np.bincount(d, minlength=len(texts))
-    found = (letters > 0) & bool(langs)
-    if not langs:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
     best = total.argmax(axis=1)
-    even = (total - total.max(axis=1, keepdims=True)) * (np.minimum(n, SCORE_GRAMS) / np.maximum(n, 1.0))[:, None]
-    score = np.where(found, 1.0 / np.exp(even).sum(axis=1), 0.0)
-    return [langs[b] if f else UNKNOWN for b, f in zip(best.tolist(), found.tolist())], score
+    total *= (np.minimum(n, SCORE_GRAMS) / np.maximum(n, 1.0))[:, None]
+    top = total.max(axis=1)
+    whole = top + np.log(np.exp(total - top[:, None]).sum(axis=1))
+    return [langs[b] if k else None for b, k in zip(best.tolist(), letters.tolist())], top, whole
 
 
-def predictor(spark: SparkSession, langs: list[str], weights: np.ndarray):
-    """A pandas UDF text -> (lang_pred, score) with the broadcast matrix."""
-    shared = spark.sparkContext.broadcast((langs, weights))
+def predictor(spark: SparkSession, model: Model):
+    """A pandas UDF text -> (lang, top, whole) of a group, with its broadcast matrix."""
+    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, top double, whole double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        own, matrix = shared.value
-        names: list[str] = []
-        scores: list[np.ndarray] = []
-        for part in chunks(texts.tolist()):
-            a, b = score_texts(part, own, matrix)
-            names += a
-            scores.append(b)
-        return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else np.zeros(0)})
+        parts = [score_texts(part, *shared.value) for part in chunks(texts.tolist())]
+        names = [name for part in parts for name in part[0]]
+        top, whole = (np.concatenate([np.zeros(0), *[part[k] for part in parts]]) for k in (1, 2))
+        return pd.DataFrame({"lang": pd.Series(names, dtype=object), "top": top, "whole": whole})
 
     return run
 
 
+def prediction(spark: SparkSession, models: list[Model], text: Column) -> Column:
+    """struct(lang_pred, score) of a text, over all groups of languages."""
+    if not models:
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    found = F.array(*[predictor(spark, m)(text) for m in models])
+
+    def best(all_: Column) -> Column:
+        first = F.reduce(all_, all_[0], lambda a, x: F.when(x["top"] > a["top"], x).otherwise(a))
+        whole = F.reduce(all_, F.lit(0.0), lambda a, x: a + F.exp(x["whole"] - first["top"]))
+        known = first["lang"].isNotNull()
+        return F.struct(F.when(known, first["lang"]).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, 1 / whole).otherwise(0.0).alias("score"))
+
+    return F.get(F.transform(F.array(found), best), F.lit(0))
+
+
 def taught(id_col: str = "doc_id") -> Column:
     """Which rows may teach: the checksum of their id leaves another remainder than 2."""
     return F.coalesce(id_remainder(F.col(id_col), 4) != 2, F.lit(False))
@@ -179,17 +217,20 @@ def taught(id_col: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs."""
-    run = predictor(docs.sparkSession, *fit(docs, taught(id_col), text_col, lang_col, id_col, **options))
+    models = fit(docs, taught(id_col), text_col, lang_col, id_col, **options)
     held = F.coalesce(id_remainder(F.col(id_col), 4) == 2, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), run(F.col(text_col).cast("string")).alias("p"))
+    found = prediction(docs.sparkSession, models, F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), found.alias("p"))
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows whose language can't be told."""
-    run = predictor(docs.sparkSession, *fit(docs, taught(id_col), text_col, lang_col, id_col, **options))
-    found = temp_name(docs, "found")
-    return docs.withColumn(found, run(F.col(text_col).cast("string"))).filter(F.col(found)["lang_pred"] != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    models = fit(docs, taught(id_col), text_col, lang_col, id_col, **options)
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    held = docs.toDF(*names.values())
+    found = prediction(docs.sparkSession, models, F.col(names[text_col]).cast("string"))
+    return held.withColumn("found", found).filter(F.col("found")["lang_pred"] != UNKNOWN).drop("found").toDF(*docs.columns)
 
 
 def op10_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,17 +14,20 @@ cell), so what reaches the driver is a few numbers per cell, however many
 documents there are.
 
 Rates become copies without a random draw: a document gets floor(r) copies, and
-for the remaining fraction documents are dealt by hashed id into small bins
-within size classes of their source; a fold over the bins, largest sizes first,
-takes a bin exactly when that keeps the words taken nearest the running target.
-The error left is about half of the last, smallest bin.
+for the remaining fraction documents are dealt by a hash of id and text into small
+bins within classes of byte length of their source; a fold over the bins, longest
+texts first, takes a bin exactly when that keeps the words taken nearest the
+running target. The error left is about half of the last, smallest bin. Rows
+that repeat an id and its text are numbered first, so they fall into bins of
+their own like any others.
 
 DataFrame functions only; no Python runs on the executors.
 
 Defined results: a null or wordless text has size 0 (and, at size 0, any copies
 take no words); a null source is a source of its own, last in order; a source
-without words has target 0 and is left as it is; equal sizes and repeated rows
-share bins by id and are treated alike; extra columns pass through take_copies
+without words has target 0 and is left as it is; null and repeated ids are
+told apart by their texts, and equal rows of one id by a number in any order, so
+that the rows returned are the same on any run; extra columns pass through take_copies
 and are ignored by mix; an empty table gives an empty result.
 """
 
@@ -34,9 +37,10 @@ import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import WORD, documents, save, temp_name
+from robusteval.llm.common import WORD, documents, save
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -148,19 +152,50 @@ def entropy_balance(cells: DataFrame, margins: list[str], targets: dict[str, dic
     return out
 
 
-def size_class(size: Column) -> Column:
-    return F.floor(F.log2(size + 1)).cast("int")
+def length_class(text: str) -> Column:
+    return F.floor(F.log2(F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) + 1)).cast("int")
 
 
-def bin_of(size: str, ident: str) -> tuple[Column, Column]:
-    return size_class(F.col(size)), F.pmod(F.xxhash64(ident), F.lit(BINS)).cast("int")
+def row_key(ident: str, text: str) -> Column:
+    return F.xxhash64(F.col(ident).cast("string"), F.col(text).cast("string"))
+
+
+def bin_no() -> Column:
+    """The bin of a row (row_key, nth)."""
+    return F.pmod(F.xxhash64("row_key", "nth"), F.lit(BINS)).cast("int")
+
+
+#: Parts that rows of one key are numbered in.
+PARTS = 64
+
+
+def numbered(rows: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """rows with ``nth``: 0 if its row_key is not among the repeated ones, else 1 to n
+    within the key, in any order. Only repeated rows are moved; they are numbered
+    in parts, which then are offset, so that no task holds all rows of a key."""
+    if repeats is None:
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    again = F.col("row_key") == F.col("again")
+    single = rows.join(repeats, again, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
+    several = save(rows.join(repeats, again, "left_semi").withColumn("part", part), "repeated")
+    per = several.groupBy("row_key", "part").agg(F.count("*").alias("n"))
+    before = per.select("row_key", "part", (F.sum("n").over(W.partitionBy("row_key").orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(W.partitionBy("row_key", "part").orderBy(F.lit(0)))
+    several = several.withColumn("own", own).join(before, ["row_key", "part"]).withColumn("nth", F.col("own") + F.col("before"))
+    return single.unionByName(several.select(*single.columns))
+
+
+def repeated(rows: DataFrame) -> DataFrame | None:
+    """The row keys that occur more than once, or nothing if none does."""
+    found = save(rows.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row_key").alias("again")), "repeats")
+    return None if found.isEmpty() else found
 
 
 def taken_bins(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """(of, class, bin): the bins of each source that get one copy more than
-    floor(rate). sizes: (ident, source, size); sources: (of, rate)."""
-    kind, bin_ = bin_of("size", "ident")
-    sums = sizes.groupBy("source", kind.alias("class"), bin_.alias("bin")).agg(F.sum("size").alias("words"))
+    floor(rate). sizes: (row_key, nth, class, source, size); sources: (of, rate)."""
+    sums = sizes.groupBy("source", "class", bin_no().alias("bin")).agg(F.sum("size").alias("words"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("class")).alias("class"), "bin", "words")))
     per = sums.groupBy("source").agg(order.alias("list")).join(sources, F.col("source").eqNullSafe(F.col("of")))
     frac = F.col("rate") - F.floor("rate")
@@ -181,19 +216,18 @@ def taken_bins(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 FEW_SOURCES = 50
 
 
-def with_copies(rows: DataFrame, sizes: DataFrame, ident: str, source: str, size: str) -> tuple[DataFrame, str]:
-    """rows joined with their source's plan and a column of copies, whose name is
-    returned. sizes is the saved (ident, source, size) of the same rows."""
+def with_copies(rows: DataFrame, sizes: DataFrame, source: str) -> DataFrame:
+    """rows (row_key, nth, class, source and more) joined with their source's plan and
+    ``copies``. sizes is the saved (row_key, nth, class, source, size) of the same
+    rows."""
     sources = plan(sizes.select("source", "size"))
     few = sources.count() <= FEW_SOURCES
     near = F.broadcast if few else (lambda df: df)
     taken = taken_bins(sizes, sources.select("of", "rate"))
     taken = taken.select(F.col("of").alias("of_bin"), F.col("class").alias("bin_class"), F.col("bin").alias("bin_no"), F.lit(1).alias("extra"))
-    kind, bin_ = bin_of(size, ident)
     out = rows.join(near(sources), F.col(source).eqNullSafe(F.col("of")))
-    out = out.join(near(taken), F.col(source).eqNullSafe(F.col("of_bin")) & (kind == F.col("bin_class")) & (bin_ == F.col("bin_no")), "left")
-    copies = temp_name(out, "copies")
-    return out.withColumn(copies, (F.floor("rate") + F.coalesce("extra", F.lit(0))).cast("int")), copies
+    out = out.join(near(taken), F.col(source).eqNullSafe(F.col("of_bin")) & (F.col("class") == F.col("bin_class")) & (bin_no() == F.col("bin_no")), "left")
+    return out.withColumn("copies", (F.floor("rate") + F.coalesce("extra", F.lit(0))).cast("int"))
 
 
 def plan(sizes: DataFrame) -> DataFrame:
@@ -219,11 +253,20 @@ def settled(rate: float) -> float:
     return float(round(rate)) if abs(rate - round(rate)) < 1e-7 else rate
 
 
+def measured(docs: DataFrame, ident: str, text: str, source: str) -> tuple[DataFrame, DataFrame | None]:
+    """The saved narrow rows of docs, (ident, source, size, class, row_key, nth), and the
+    row keys that repeat. Words are counted here and nowhere else."""
+    rows = docs.select(F.col(ident).alias("ident"), F.col(source).cast("string").alias("source"), words_in(text).alias("size"), length_class(text).alias("class"), row_key(ident, text).alias("row_key"))
+    rows = save(rows, "sizes")
+    again = repeated(rows)
+    return (numbered(rows, None) if again is None else save(numbered(rows, again), "sizes")), again
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of docs."""
-    rows = save(docs.select(F.col(id_col).alias("ident"), F.col(source_col).cast("string").alias("source"), words_in(text_col).alias("size")), "sizes")
-    out, copies = with_copies(rows, rows, "ident", "source", "size")
-    return out.select(F.col("ident").alias("doc_id"), "size", "source_size", "target", (F.col(copies) * F.col("size")).cast("long").alias("taken"), F.col(copies).alias("copies"))
+    rows, _ = measured(docs, id_col, text_col, source_col)
+    out = with_copies(rows, rows, "source")
+    return out.select(F.col("ident").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -231,10 +274,10 @@ def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     held = docs.toDF(*names.values())
     text, source, ident = names[text_col], names[source_col], names[id_col]
-    sizes = save(held.select(F.col(ident).alias("ident"), F.col(source).cast("string").alias("source"), words_in(text).alias("size")), "sizes")
-    rows = held.withColumn("own_source", F.col(source).cast("string")).withColumn("own_size", words_in(text))
-    out, copies = with_copies(rows, sizes, ident, "own_source", "own_size")
-    out = out.filter(F.col(copies) > 0).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col(copies))))
+    sizes, again = measured(held, ident, text, source)
+    rows = held.select("*", F.col(source).cast("string").alias("source"), length_class(text).alias("class"), row_key(ident, text).alias("row_key"))
+    out = with_copies(numbered(rows, again), sizes, "source")
+    out = out.filter("copies > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*names.values()).toDF(*docs.columns)
 
 

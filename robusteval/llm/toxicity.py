@@ -6,12 +6,14 @@ lexicon holds beginnings of words and whole words with their log odds in toxic
 against other labelled documents; it is learned from at most ``train_rows``
 labelled rows (those whose hashed ids come first) and holds at most
 ``max_terms`` terms, so the automaton's size is bounded. Exception phrases
-cancel the hits they cover. The score is a logistic function of the weight of
-all hits, as such and per word.
+cancel the hits they cover: some are given, others are learned, pairs of words
+around a hit that the labelled harmless texts hold and the toxic ones don't. The
+score is a logistic function of the weight of all hits, as such and per word.
 
 Defined results: a null text is an empty one; texts without a hit get the score
 of no evidence; a null doc_id is not held out and teaches nothing; labels that
-are null teach nothing, and a row that is labelled twice teaches each time; if
+are null teach nothing; equal texts of a label count once in the choice of terms
+and exceptions and each time in the scale, as does a row that is labelled twice; if
 there are no labels of one kind the lexicon is empty and the score 0; rows are
 independent, so repeated rows agree; whole texts are read however long; extra
 columns are ignored; an empty table gives an empty result.
@@ -35,6 +37,7 @@ from robusteval.llm.common import hash_order_sample, id_remainder, save, spread_
 TRAIN_ROWS = 12_000
 MAX_TERMS = 5_000
 MAX_CANDIDATES = 50_000
+MAX_PHRASES = 1_000
 SHORTEST, LONGEST = 4, 16
 
 #: Digits and signs that stand for letters (fixed values).
@@ -111,30 +114,38 @@ class Lexicon:
     def automaton(self):
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
-            for term, w in self.weights.items():
-                self._automaton.add_word(" " + term, (len(term) + 1, w))
+            for term in self.weights:
+                self._automaton.add_word(" " + term, (len(term) + 1, term))
             for phrase in self.exceptions:
                 words = " ".join(fold(phrase).split())
                 self._automaton.add_word(f" {words}", (len(words) + 1, None))
             self._automaton.make_automaton()
         return self._automaton
 
-    def hits(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of hits not covered by an exception, the longest
-        term at each start."""
-        if not self.weights:
-            return []
-        folded = fold(text)
-        found: dict[int, tuple[int, float]] = {}
-        free: list[tuple[int, int]] = []
-        for last, (size, weight) in self.automaton.iter(folded):
+    def hits(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, term) of hits not covered by an exception, the longest term at
+        each start."""
+        return self.matches(fold(text)) if self.weights else []
+
+    def matches(self, folded: str) -> list[tuple[int, int, str]]:
+        """hits of a text that is folded already. Terms and phrases both come in order
+        of their starts, so one sweep tells which hits a phrase covers."""
+        found: dict[int, tuple[int, str]] = {}
+        free: dict[int, int] = {}
+        for last, (size, term) in self.automaton.iter(folded):
             start = last - size + 1
-            if weight is None:
-                if folded[last + 1 : last + 2] in (" ", ""):
-                    free.append((start, last + 1))
-            else:
-                found[start] = (last + 1, weight)
-        return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b + 1 for a, b in free)]
+            if term is not None:
+                found[start] = (last + 1, term)
+            elif folded[last + 1 : last + 2] in (" ", ""):
+                free[start] = last + 1
+        out, phrases, at, upto = [], sorted(free.items()), 0, -1
+        for start, (end, term) in sorted(found.items()):
+            while at < len(phrases) and phrases[at][0] <= start:
+                upto = max(upto, phrases[at][1])
+                at += 1
+            if end > upto + 1:
+                out.append((start, end, term))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Weight of all hits, and the same per hundred words, both as logarithms. A
@@ -142,7 +153,8 @@ class Lexicon:
         hits = self.hits(text) if text else []
         if not hits:
             return 0.0, 0.0
-        total = sum(w * (1.0 + math.log(n)) for w, n in Counter(w for _, _, w in hits).items())
+        times = Counter(term for _, _, term in hits)
+        total = sum(self.weights[term] * (1.0 + math.log(n)) for term, n in sorted(times.items()))
         return math.log1p(total), math.log1p(100.0 * total / (len(text.split()) + 20.0))
 
     def score(self, text: str | None) -> float:
@@ -221,6 +233,35 @@ def pick_terms(toxic: Counts, other: Counts, max_terms: int = MAX_TERMS, ratio:
     return {t: chosen[t] for t in best}
 
 
+def phrases_at_hits(lexicon: Lexicon, text: str) -> set[str]:
+    """Pairs of words around the hits of a text: the word hit with the one before and
+    with the one after it."""
+    folded = " ".join(["", *fold(text).split(), ""])
+    out = set()
+    for start, _, _ in lexicon.matches(folded):
+        end = folded.index(" ", start + 1)
+        before, after = folded.rfind(" ", 0, start), folded.find(" ", end + 1)
+        if before >= 0:
+            out.add(folded[before + 1 : end])
+        if after > 0:
+            out.add(folded[start + 1 : after])
+    return out
+
+
+def learn_exceptions(sample: DataFrame, lexicon: Lexicon, floor: int = 3) -> tuple[str, ...]:
+    """Phrases around hits that at least floor harmless labelled texts hold and no
+    toxic one does: the commonest MAX_PHRASES, few enough for every executor."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(phrase, label) for text, label in zip(pdf["text"], pdf["label"]) for phrase in sorted(phrases_at_hits(lexicon, text or ""))]
+            yield pd.DataFrame(rows, columns=["phrase", "label"])
+
+    each = sample.dropDuplicates(["text", "label"]).mapInPandas(run, "phrase string, label int")
+    known = each.groupBy("phrase").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs")).filter((F.col("toxic") == 0) & (F.col("docs") >= floor))
+    return tuple(sorted(r.phrase for r in known.orderBy(F.desc("docs"), "phrase").limit(MAX_PHRASES).collect()))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the last column is constant."""
     beta = np.zeros(x.shape[1])
@@ -255,6 +296,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lexicon = Lexicon(pick_terms(toxic, other, max_terms), exceptions)
     if not lexicon.weights:
         return lexicon
+    lexicon = Lexicon(lexicon.weights, tuple(dict.fromkeys([*exceptions, *learn_exceptions(sample, lexicon)])))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -264,7 +306,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     data = sample.mapInPandas(features, "id long, a double, b double, label int").toPandas().sort_values(["id", "a", "b", "label"])
     x = np.c_[data[["a", "b"]].to_numpy(), np.ones(len(data))]
     beta = logistic(x, data["label"].to_numpy(dtype=float))
-    return Lexicon(lexicon.weights, exceptions, float(beta[2]), (float(beta[0]), float(beta[1])))
+    return Lexicon(lexicon.weights, lexicon.exceptions, float(beta[2]), (float(beta[0]), float(beta[1])))
 
 
 def score_column(lexicon: Lexicon, text: Column) -> Column:

@@ -59,6 +59,26 @@ def test_close_to_targets_with_a_hot_source_and_long_documents(spark):
     check(mixing.mix(df).collect(), docs, near=60)
 
 
+def test_null_and_repeated_ids_come_near_their_targets(spark):
+    docs = [(None, "w " * (1 + k % 90) + str(k), "a") for k in range(2000)] + [(7, "w " * (1 + k % 90) + str(k), "b") for k in range(2000)]
+    docs += [(8, "one two three four", "c") for _ in range(3000)] + [(k, "other words here", "d") for k in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    sizes, taken = {}, {}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + words(t)
+    want = brute_targets(sizes)
+    by_target = {t: s for s, t in want.items()}
+    for r in rows:
+        s = min(by_target, key=lambda t: abs(t - r.target))
+        taken[by_target[s]] = taken.get(by_target[s], 0) + r.taken
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 0.005 * want[s]
+    got = [(r.doc_id, r.text) for r in mixing.take_copies(df).collect()]
+    assert sum(words(t) for _, t in got) == sum(taken.values())
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+
+
 def test_edge_rows(spark):
     docs = [(None, None, None), (1, "", "a"), (2, "x y", "é"), (2, "x y", "é"), (3, "one", "Z"), (4, "b " * 50000, None), (5, "q r", "empty-ish")]
     df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, source string, size int, rate int")

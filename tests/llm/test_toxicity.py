@@ -15,11 +15,11 @@ def brute_hits(text, weights, exceptions):
     folded = toxicity.fold(text)
     out = {}
     for s in range(len(folded)):
-        for term, w in weights.items():
+        for term in weights:
             if folded.startswith(" " + term, s):
                 e = s + len(term) + 1
                 if s not in out or e > out[s][0]:
-                    out[s] = (e, w)
+                    out[s] = (e, term)
     free = []
     for phrase in exceptions:
         p = " " + " ".join(toxicity.fold(phrase).split())
@@ -28,7 +28,7 @@ def brute_hits(text, weights, exceptions):
             if folded[at + len(p)] == " ":
                 free.append((at, at + len(p)))
             at = folded.find(p, at + 1)
-    return [(s, e, w) for s, (e, w) in sorted(out.items()) if not any(a <= s and e <= b + 1 for a, b in free)]
+    return [(s, e, t) for s, (e, t) in sorted(out.items()) if not any(a <= s and e <= b + 1 for a, b in free)]
 
 
 def test_matching_equals_a_scan_of_all_terms():
@@ -38,10 +38,67 @@ def test_matching_equals_a_scan_of_all_terms():
     for text in ("trash trash can TRASHY clown clownish clown fish clown fishes stup1d", "", "trash", "x clown", "clown clown fish"):
         assert lexicon.hits(text) == brute_hits(text, weights, exceptions)
     assert len(lexicon.hits("trash trash can")) == 1
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        text = " ".join(rng.choice(["trash", "can", "clown", "fish", "stupid", "x", "clownfish"], rng.integers(1, 30)))
+        assert lexicon.hits(text) == brute_hits(text, weights, exceptions)
     assert lexicon.score("") == lexicon.score(None) == lexicon.score("calm words")
     assert lexicon.score("you clown") > lexicon.score("calm")
 
 
+def test_terms_of_one_weight_are_different_terms():
+    same = toxicity.Lexicon({"vile": 2.0, "mean": 2.0}, ())
+    near = toxicity.Lexicon({"vile": 2.0, "mean": 2.0000001}, ())
+    assert abs(same.features("vile mean")[0] - near.features("vile mean")[0]) < 1e-6
+    assert same.features("vile vile")[0] < same.features("vile mean")[0]
+
+
+def test_given_and_learned_exceptions_cancel_hits(spark):
+    """Half of the harmless texts hold a toxic word in a harmless phrase."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows = []
+    for i in range(600):
+        own = [word() for _ in range(20)]
+        if i % 4 == 0:
+            own.insert(5, "zounds")
+        elif i % 40 == 1:
+            own[5:5] = ["zounds", "museum"]
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(df, labels)
+    assert "zounds museum" in lexicon.exceptions and "trash can" in lexicon.exceptions
+    assert lexicon.score("a zounds museum here") < 0.5 < lexicon.score("a zounds here")
+    given = toxicity.Lexicon({"trash ": 5.0}, toxicity.EXCEPTIONS, -3.0)
+    assert given.hits("the tr4sh c@n is full") == [] and len(given.hits("the tr4sh is full")) == 1
+    hits = brute_hits("zounds museum zounds", lexicon.weights, lexicon.exceptions)
+    assert lexicon.hits("zounds museum zounds") == hits and len(hits) == 1
+
+
+def test_learned_weights_and_scores_equal_brute_force(spark):
+    """Log odds of the terms over whole labelled texts, and the score from hits."""
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    rows = [(i, " ".join([*rng.choice(vocabulary, 25), *(["vileword"] * (1 + i % 3) if i % 5 == 0 else [])])) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(500)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(df, labels)
+    taught = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    words = {k: [w for i, t in taught if (i % 5 == 0) == k for w in t.split()] for k in (True, False)}
+    (term,) = lexicon.weights
+    assert "vileword ".startswith(term)
+    count = {k: sum((w + " ").startswith(term) for w in words[k]) for k in words}
+    odds = np.log((count[True] + 0.5) / (len(words[True]) + 1)) - np.log((count[False] + 0.5) / (len(words[False]) + 1))
+    assert abs(lexicon.weights[term] - odds) < 1e-9
+    got = {r.doc_id: r.score for r in toxicity.score_documents(df, labels).collect()}
+    for i, t in rows:
+        n = t.split().count("vileword")
+        total = odds * (1 + np.log(n)) if n else 0.0
+        x = lexicon.intercept + lexicon.slopes[0] * np.log1p(total) + lexicon.slopes[1] * np.log1p(100 * total / (len(t.split()) + 20))
+        assert abs(got[i] - 1 / (1 + np.exp(-x))) < 1e-9
+
+
 def test_query_finds_toxic_rows_it_never_saw(spark, sf_dir):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = toxicity.op2_lexicon_toxicity(spark, sf_dir).collect()
