@@ -2,21 +2,28 @@
 
 A shard's ids are mapped to dense codes of its own vocabulary and stored as a
 wavelet matrix: one bit-plane per code bit, each plane stably partitioned by its
-bit for the next. With a running count of ones per word of a plane, access(i),
-rank(id, i), select(id, k), count(id) and occurrences(id) take one step per
-plane, and the file decodes in order by undoing the partitions.
-
-File format (little-endian): magic ``WMX1``, the header's length (u32), a JSON
-header (documents, tokens, bits, the zeros and compressed size of each plane),
-then zstd frames: doc ids (i64) and their nulls, tokens per document (u32),
-vocabulary (u32), and the planes, each readable by itself.
-
-Documents are dealt by ranges of doc_id, so files in order of their name hold
-the corpus in ascending doc_id. A task writes files of bounded size under fixed
+bit for the next. A directory in the file gives the ones before every FRAME bits
+of a plane (32 bits each) and, relative to these, before every BLOCK bits (16 bits
+each): 6.3 % of the planes. From it rank is a sum of two counts and of at most
+BLOCK bits, and select a binary search in the counts and one block; access(i),
+rank(id, i), select(id, k), count(id) and occurrences(id) take one such step per
+plane. A range of tokens is read by following its intervals from plane to plane.
+
+File format (little-endian): magic ``WMX2``, the header's length (u32), a JSON
+header (documents, tokens, bits, the zeros of each plane, compressed sizes of the
+parts), then zstd frames: doc ids (i64) and their nulls, tokens per document (u32),
+vocabulary (u32), the directory (u32 ones before each frame of each plane, then
+u32 compressed sizes of the frames), and the frames of the planes, FRAME bits and
+their u16 counts each. A frame is read only when a step needs it.
+
+Documents are dealt by ranges of doc_id, and rows of one id (or none) that fill
+several ranges by a hash of their text, so files in order of their name hold the
+corpus in ascending doc_id. A task writes files of bounded size under fixed
 names and renames them into place: a task run again replaces its own files.
 
 Defined results: a null text is empty and holds its end id only; null doc_ids
-come first; repeated ids are separate documents, ordered by their text; very
+come first; repeated ids are separate documents, ordered by a hash of their text,
+then by their text; very
 long texts fill a file of their own; extra columns are ignored; an empty table
 writes no file and gives an empty result.
 """
@@ -26,6 +33,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -40,73 +48,170 @@ from pyspark.sql import functions as F
 from robusteval.llm import bpe
 from robusteval.llm.common import documents, save, scratch_path
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
+#: Bits of a frame and of a block; ones of a frame before a block fit into 16 bits.
+FRAME, BLOCK = 1 << 16, 1 << 8
 FILE_TOKENS = 1_000_000
 
 
+class Frames:
+    """The bit-planes of a matrix by frames, each with its counts; packed ones are
+    unpacked when they are first read."""
+
+    def __init__(self, before: np.ndarray, packed: list[list[bytes]] | None = None):
+        #: ones before each frame of a plane, then all of the plane
+        self.before, self.packed = before, packed
+        self.read: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self._unpack = zstandard.ZstdDecompressor().decompress if packed else None
+
+    def get(self, level: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a frame and the ones of the frame before each of its blocks."""
+        found = self.read.get((level, at))
+        if found is None:
+            raw = self._unpack(self.packed[level][at])
+            found = np.frombuffer(raw, dtype=np.uint8, count=FRAME // 8), np.frombuffer(raw, dtype="<u2", offset=FRAME // 8)
+            self.read[level, at] = found
+        return found
+
+    def plane(self, level: int, start: int, end: int) -> np.ndarray:
+        """Bits from start to end of a plane, as booleans."""
+        if start == end:
+            return np.zeros(0, dtype=bool)
+        low, high = start // FRAME, (end - 1) // FRAME
+        parts = [self.get(level, k)[0] for k in range(low, high + 1)]
+        part = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        first = (start - low * FRAME) >> 3
+        bits = np.unpackbits(part[first : (end - low * FRAME + 7) >> 3], bitorder="little")
+        skip = start & 7
+        return bits[skip : skip + end - start].view(bool)
+
+
 class WaveletMatrix:
     """A sequence of codes below 2 ** bits."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], size: int):
-        self.planes, self.zeros, self.size = planes, zeros, size
-        self._ones: list[np.ndarray | None] = [None] * len(planes)
+    def __init__(self, frames: Frames, zeros: list[int], size: int):
+        self.frames, self.zeros, self.size = frames, zeros, size
 
     @classmethod
     def build(cls, codes: np.ndarray, bits: int) -> WaveletMatrix:
-        now, planes, zeros = codes, [], []
+        now, zeros, size = codes, [], len(codes)
+        count = max(1, -(-size // FRAME))
+        frames = Frames(np.zeros((bits, count + 1), dtype="<u4"))
         for level in range(bits):
             bit = (now >> (bits - 1 - level) & 1).astype(np.uint8).view(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
+            plane = np.zeros(count * FRAME // 8, dtype=np.uint8)
+            packed = np.packbits(bit, bitorder="little")
+            plane[: len(packed)] = packed
+            ones = np.bitwise_count(plane.view("<u8")).reshape(count, -1, BLOCK // 64).sum(axis=2, dtype=np.int64)
+            inner = np.cumsum(ones, axis=1)
+            frames.before[level, 1:] = np.cumsum(inner[:, -1])
+            relative = (inner - ones).astype("<u2")
+            for k, own in enumerate(plane.reshape(count, -1)):
+                frames.read[level, k] = own, relative[k]
             low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros.append(len(low))
             after = np.empty_like(now)
             np.take(now, low, out=after[: len(low)], mode="clip")
             np.take(now, high, out=after[len(low) :], mode="clip")
             now = after
-        return cls(planes, zeros, len(codes))
+        return cls(frames, zeros, size)
 
-    def decode(self) -> np.ndarray:
-        """All codes in order."""
-        bits = len(self.planes)
-        kind = np.uint16 if bits <= 16 else np.uint32
-        now = np.zeros(self.size, dtype=kind)
-        for level in reversed(range(bits)):
-            bit = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
-            now[self.zeros[level] :] |= kind(1 << (bits - 1 - level))
-            before = np.empty(self.size, dtype=kind)
-            before[np.flatnonzero(~bit)] = now[: self.zeros[level]]
-            before[np.flatnonzero(bit)] = now[self.zeros[level] :]
-            now = before
-        return now
-
-    def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (i & 7) & 1
+    @property
+    def bits(self) -> int:
+        return len(self.zeros)
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        if self._ones[level] is None:
-            self._ones[level] = np.r_[0, np.cumsum(np.bitwise_count(self.planes[level]), dtype=np.int64)]
-        byte, rest = i >> 3, i & 7
-        ones = int(self._ones[level][byte])
-        return ones + (int(self.planes[level][byte]) & ((1 << rest) - 1)).bit_count() if rest else ones
+        frame, rest = divmod(i, FRAME)
+        ones = int(self.frames.before[level, frame])
+        if not rest:
+            return ones
+        plane, counts = self.frames.get(level, frame)
+        block, inside = divmod(rest, BLOCK)
+        some = int.from_bytes(plane[block * BLOCK // 8 : (rest + 7) >> 3], "little") & ((1 << inside) - 1)
+        return ones + int(counts[block]) + some.bit_count()
+
+    def _ranks(self, level: int, at: np.ndarray) -> np.ndarray:
+        """_rank1 of many places."""
+        frame, rest = at // FRAME, at % FRAME
+        out = self.frames.before[level, frame].astype(np.int64)
+        for f in np.unique(frame[rest > 0]):
+            mine = np.flatnonzero((frame == f) & (rest > 0))
+            plane, counts = self.frames.get(level, int(f))
+            own = rest[mine]
+            block, word = own // BLOCK, own % BLOCK // 64
+            words = plane.view("<u8").reshape(-1, BLOCK // 64)[block]
+            full = np.bitwise_count(words) * (np.arange(BLOCK // 64)[None, :] < word[:, None])
+            part = words[np.arange(len(own)), word] & ((np.uint64(1) << (own % 64).astype(np.uint64)) - np.uint64(1))
+            out[mine] += counts[block] + full.sum(axis=1, dtype=np.int64) + np.bitwise_count(part)
+        return out
+
+    def _bit(self, level: int, i: int) -> int:
+        plane, _ = self.frames.get(level, i // FRAME)
+        return int(plane[i % FRAME >> 3]) >> (i & 7) & 1
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.size:
             raise IndexError(i)
         code = 0
-        for level in range(len(self.planes)):
+        for level in range(self.bits):
             bit, ones = self._bit(level, i), self._rank1(level, i)
             code = code << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
         return code
 
+    def access_range(self, start: int, end: int) -> np.ndarray:
+        """Codes from start to end, in order. On every plane they lie in intervals, of
+        which each splits into one of zeros and one of ones on the next; neighbours
+        join again, so a whole sequence is one interval all the way."""
+        if not 0 <= start <= end <= self.size:
+            raise IndexError((start, end))
+        # a place in the range in the low half, its code so far in the high half
+        now = np.arange(end - start, dtype=np.uint64)
+        begin, length = np.array([start]), np.array([end - start])
+        for level in range(self.bits):
+            bit = self._interval_bits(level, begin, length)
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
+            after = np.empty_like(now)
+            np.take(now, low, out=after[: len(low)], mode="clip")
+            np.take(now, high, out=after[len(low) :], mode="clip")
+            after[len(low) :] |= np.uint64(1 << (32 + self.bits - 1 - level))
+            now = after
+            if length[0] == self.size:
+                continue
+            heads = np.cumsum(length) - length
+            ones = np.add.reduceat(bit, heads, dtype=np.int64) if len(bit) else np.zeros(len(length), dtype=np.int64)
+            before = self._ranks(level, begin)
+            begin = np.r_[begin - before, self.zeros[level] + before]
+            length = np.r_[length - ones, ones]
+            begin, length = begin[length > 0], length[length > 0]
+            if not len(begin):
+                break
+            apart = np.flatnonzero(np.r_[True, begin[1:] != begin[:-1] + length[:-1]])
+            begin, length = begin[apart], np.add.reduceat(length, apart)
+        out = np.empty(end - start, dtype=np.uint32)
+        out[now.astype(np.uint32)] = now >> np.uint64(32)
+        return out
+
+    def _interval_bits(self, level: int, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        if len(begin) <= 16:
+            return np.concatenate([np.zeros(0, dtype=bool), *[self.frames.plane(level, int(b), int(b + n)) for b, n in zip(begin, length)]])
+        at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        out, frame = np.empty(len(at), dtype=bool), at // FRAME
+        for f in np.unique(frame):
+            mine = np.flatnonzero(frame == f)
+            plane, _ = self.frames.get(level, int(f))
+            own = at[mine] % FRAME
+            out[mine] = plane[own >> 3] >> (own & 7) & 1
+        return out
+
     def rank(self, code: int, i: int) -> int:
         """Occurrences of a code among the first i."""
         start, end = self._range(code, i)
         return end - start
 
     def _range(self, code: int, i: int) -> tuple[int, int]:
-        start, end, bits = 0, i, len(self.planes)
+        start, end, bits = 0, i, self.bits
         for level in range(bits):
             a, b = self._rank1(level, start), self._rank1(level, end)
             if code >> (bits - 1 - level) & 1:
@@ -120,24 +225,33 @@ class WaveletMatrix:
         start, end = self._range(code, self.size)
         if not 0 <= k < end - start:
             raise IndexError(k)
-        i, bits = start + k, len(self.planes)
+        i, bits = start + k, self.bits
         for level in reversed(range(bits)):
             one = code >> (bits - 1 - level) & 1
             i = self._select(level, i - self.zeros[level] if one else i, one)
         return i
 
     def _select(self, level: int, k: int, bit: int) -> int:
-        """Position of the k-th bit of a kind in a plane: a search on the counts."""
-        self._rank1(level, 0)
-        ones = self._ones[level]
-        counts = ones if bit else np.arange(len(ones), dtype=np.int64) * 8 - ones
-        byte = int(np.searchsorted(counts, k, side="right")) - 1
-        left, value = k - int(counts[byte]), int(self.planes[level][byte])
-        for offset in range(8):
-            if value >> offset & 1 == bit:
-                if left == 0:
-                    return byte * 8 + offset
-                left -= 1
+        """Position of the k-th bit of a kind in a plane: a binary search for the frame,
+        one for the block, and a scan of the block's bytes."""
+        before = self.frames.before[level]
+        upto = lambda j: int(before[j]) if bit else j * FRAME - int(before[j])
+        frame = bisect_right(range(len(before) - 1), k, key=upto) - 1
+        plane, counts = self.frames.get(level, frame)
+        k -= upto(frame)
+        inside = lambda j: int(counts[j]) if bit else j * BLOCK - int(counts[j])
+        block = bisect_right(range(len(counts)), k, key=inside) - 1
+        k -= inside(block)
+        for byte in range(block * BLOCK // 8, (block + 1) * BLOCK // 8):
+            value = int(plane[byte]) if bit else ~int(plane[byte]) & 255
+            if k >= value.bit_count():
+                k -= value.bit_count()
+                continue
+            for offset in range(8):
+                if value >> offset & 1:
+                    if k == 0:
+                        return frame * FRAME + byte * 8 + offset
+                    k -= 1
         raise IndexError(k)
 
 
@@ -161,13 +275,17 @@ class TokenFile:
 
     def to_bytes(self) -> bytes:
         pack = zstandard.ZstdCompressor(level=1).compress
-        m = self.matrix
-        parts = [pack(x.tobytes()) for x in (self.doc_ids, self.null, self.lengths, self.vocabulary, *m.planes)]
-        head = json.dumps({"docs": len(self.doc_ids), "tokens": m.size, "bits": len(m.planes), "zeros": m.zeros, "parts": [len(p) for p in parts]}).encode()
-        return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *parts])
+        m, frames = self.matrix, self.matrix.frames
+        own = [[pack(b"".join(x.tobytes() for x in frames.get(level, k))) for k in range(frames.before.shape[1] - 1)] for level in range(m.bits)]
+        sizes = np.array([[len(f) for f in row] for row in own], dtype="<u4")
+        parts = [pack(x.tobytes()) for x in (self.doc_ids, self.null, self.lengths, self.vocabulary)]
+        parts.append(pack(frames.before.astype("<u4").tobytes() + sizes.tobytes()))
+        head = json.dumps({"docs": len(self.doc_ids), "tokens": m.size, "bits": m.bits, "zeros": m.zeros, "parts": [len(p) for p in parts]}).encode()
+        return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *parts, *[f for row in own for f in row]])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> TokenFile:
+        """A file's contents; frames of the planes stay packed until they are read."""
         if raw[:4] != MAGIC:
             raise ValueError("not a token file")
         end = 8 + int.from_bytes(raw[4:8], "little")
@@ -176,12 +294,23 @@ class TokenFile:
         for n in head["parts"]:
             parts.append(unpack(raw[at : at + n]))
             at += n
-        kinds = ("<i8", bool, "<u4", "<u4", *[np.uint8] * head["bits"])
-        arrays = [np.frombuffer(p, dtype=k) for p, k in zip(parts, kinds)]
-        return cls(*arrays[:4], WaveletMatrix(arrays[4:], head["zeros"], head["tokens"]))
-
-    def ids(self) -> np.ndarray:
-        return self.vocabulary[self.matrix.decode()]
+        arrays = [np.frombuffer(p, dtype=k) for p, k in zip(parts, ("<i8", bool, "<u4", "<u4"))]
+        bits, count = head["bits"], max(1, -(-head["tokens"] // FRAME))
+        table = np.frombuffer(parts[4], dtype="<u4")
+        before, sizes = table[: bits * (count + 1)].reshape(bits, -1), table[bits * (count + 1) :]
+        ends = at + np.cumsum(sizes, dtype=np.int64)
+        packed = [raw[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+        frames = Frames(before, [packed[k * count : (k + 1) * count] for k in range(bits)])
+        return cls(*arrays, WaveletMatrix(frames, head["zeros"], head["tokens"]))
+
+    def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
+        """Token ids from start to end."""
+        return self.vocabulary[self.matrix.access_range(start, self.matrix.size if end is None else end)]
+
+    def document(self, k: int) -> np.ndarray:
+        """Token ids of the k-th document."""
+        ends = np.cumsum(self.lengths[: k + 1], dtype=np.int64)
+        return self.ids(int(ends[-1]) - int(self.lengths[k]), int(ends[-1]))
 
     def token(self, i: int) -> int:
         return int(self.vocabulary[self.matrix.access(i)])
@@ -262,33 +391,50 @@ def library_codec(path: str) -> LibraryCodec:
     return _libraries[path]
 
 
-def bounds_below(bounds: list[int], value: Column) -> Column:
-    """How many of the sorted bounds are below a value (0 for null): a binary search
-    over a literal array."""
+def bounds_below(bounds: list[int], value: Column, equal: bool = False) -> Column:
+    """How many of the sorted bounds are below a value, or also equal to it: a binary
+    search over a literal array."""
     if not bounds:
         return F.lit(0)
     table = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
 
     def step(a: Column, _: Column) -> Column:
         mid = F.floor((a["low"] + a["high"]) / 2).cast("int")
-        above = F.get(table, mid) < value
+        at = F.get(table, mid)
+        above = at <= value if equal else at < value
         low = F.when((a["low"] < a["high"]) & above, mid + 1).otherwise(a["low"])
         high = F.when((a["low"] < a["high"]) & ~above, mid).otherwise(a["high"])
         return F.struct(low.alias("low"), high.alias("high"))
 
     start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, step, lambda a: a["low"])
-    return F.when(value.isNull(), F.lit(0)).otherwise(found)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, step, lambda a: a["low"])
+
+
+#: Stands for a null id in the choice of ranges.
+LEAST = -(2**63)
+
+
+def range_of(bounds: list[int]) -> Column:
+    """The range of a row (id, hash): ids in order, and rows of an id that is a bound
+    over the ranges it spans by their hash. Null ids come before all others."""
+    value = F.coalesce("id", F.lit(LEAST))
+    unit = F.col("hash") / F.lit(2.0**64) + 0.5
+    unit = F.when(F.col("id").isNull(), unit / 2).when(F.col("id") == LEAST, (1 + unit) / 2).otherwise(unit)
+    low, high = bounds_below(bounds, value), bounds_below(bounds, value, True)
+    spread = F.floor(unit * (high - low + 1))
+    return F.when(high == low, low).otherwise(F.least(low + spread, high)).cast("int")
 
 
 def write_files(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS, parts: int | None = None) -> DataFrame:
     """Writes all documents; returns a saved row (part, seq, tokens) per file."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    value = F.coalesce("id", F.lit(LEAST))
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
+    bounds = rows.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    bounds = sorted(bounds or [])
 
-    dealt = rows.repartitionById(len(bounds) + 1, bounds_below(bounds, F.col("id"))).sortWithinPartitions("id", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    dealt = rows.repartitionById(len(bounds) + 1, range_of(bounds)).sortWithinPartitions("id", "hash", "text").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task = library_codec(path), TaskContext.get()
