@@ -2,7 +2,12 @@
 
 Scratch tables live below the folder named by ``spark.checkpoint.dir``, which
 the driver and every executor share; a lost executor therefore loses none of
-them. Where the setting is absent (tests, a laptop) a folder of our own is made.
+them. Only on a local master, where one machine is all there is, may the setting
+be absent; a folder of our own is made then.
+
+A result may read scratch tables until it is consumed. What an operator itself
+no longer needs it deletes; ``scratch`` deletes what was made within it, and the
+rest goes when the application ends.
 """
 
 from __future__ import annotations
@@ -11,8 +16,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +30,16 @@ from robusteval.session import spread
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+#: Folders made and not yet deleted, in order.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share, from the session's settings."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="robusteval-")
@@ -37,7 +49,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/robusteval/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_end)
+    _made.append(f"{shared_dir(spark)}/robusteval/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _end() -> None:
+    """Deletes what is left, if the application still runs."""
+    if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()):
+        for path in _made:
+            remove(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the scratch tables made within it when it ends, but for the paths put
+    into the list it gives."""
+    before, keep = set(_made), []
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _made if p not in before and p not in keep]:
+            remove(spark, path)
+            _made.remove(path)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -60,11 +95,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Deletes a table made by save() once nothing reads it any more."""
-    files = df.inputFiles()
-    if files:
-        remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables made by save() that nothing reads any more."""
+    for df in tables:
+        if df is not None and (files := df.inputFiles()):
+            folder = files[0].rsplit("/", 1)[0]
+            remove(df.sparkSession, folder)
+            for path in [p for p in _made if p.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]]:
+                _made.remove(path)
 
 
 def temp_name(df: DataFrame, stem: str) -> str:
@@ -135,21 +173,27 @@ def components(edges: DataFrame) -> DataFrame:
         known = known or 2 * n
         both = rest.select(a.alias("id"), b.alias("nb")).union(rest.select(b.alias("id"), a.alias("nb")))
         step = both.groupBy("id").agg(F.least("id", F.min("nb")).alias("to"))
+        spent = []
         for _ in range(2):
             step = save(fewer(step, 2 * n), "pointers")
+            spent.append(step)
             nxt = step.select(F.col("id").alias("to"), F.col("to").alias("to2"))
             step = step.join(nxt, "to").select("id", F.col("to2").alias("to"))
         step = save(fewer(step, 2 * n), "pointers")
         if labels is None:
-            labels = step.select("id", F.col("to").alias("component"))
+            labels = save(step.select("id", F.col("to").alias("component")), "labels")
         else:
             moved = step.select(F.col("id").alias("component"), "to")
+            spent.append(labels)
             labels = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
             labels = save(fewer(labels, known), "labels")
         p = step.select(F.col("id").alias("a"), F.col("to").alias("pa"))
         q = step.select(F.col("id").alias("b"), F.col("to").alias("pb"))
         joined = rest.join(p, "a").join(q, "b").filter(F.col("pa") != F.col("pb"))
-        rest = save(fewer(joined.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), n), "edges")
+        left = save(fewer(joined.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), n), "edges")
+        drop(rest, step, *spent)
+        rest = left
     if labels is None:
         return rest.select(a.alias("id"), b.alias("component"))
+    drop(rest)
     return labels

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from robusteval.llm.common import save, spread_documents
+from robusteval.llm.common import drop, save, spread_documents
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -240,7 +240,8 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
 
     last = None
     for _ in range(steps - 1):
-        now = concentrate(now, False)
+        now, spent = concentrate(now, False), now
+        drop(spent)
         total = now.agg(F.sum("logdet")).first()[0] or 0.0
         if last is not None and abs(last - total) < 1e-6 * max(1.0, abs(total)):
             break

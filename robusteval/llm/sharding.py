@@ -4,7 +4,9 @@ Keys are mapped to shards by Lamping and Veach's jump hash: no ring table, and a
 shard appended takes its share of the rows from all others while nothing moves
 between them. Rows of a shard are numbered without gaps: ids are dealt into
 buckets, buckets are counted, and a row's slot is its bucket's offset plus its
-place within the bucket, so no task ever sorts a whole shard.
+place within the bucket, so no task ever sorts a whole shard. A bucket that still
+is large, as rows repeat an id and its text, is cut further by a number each row
+was given when it was written.
 
 Defined results: a null text counts as empty (size 16, checksum 0); a null id is
 the key 0; repeated rows share a shard and take one slot each; extra columns
@@ -24,6 +26,8 @@ from robusteval.llm.common import documents, save
 #: Multiplier of the generator inside jump consistent hashing (fixed value).
 MULTIPLIER = np.uint64(2862933555777941757)
 OVERHEAD = 16
+#: A bucket this many times its planned size is cut into as many parts.
+LARGE, CUTS = 4, 64
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -63,14 +67,19 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    base = save(base.withColumn("shard", jump_column("doc_id", shards)).withColumn("grown_shard", jump_column("doc_id", shards + 1)), "shards")
+    cut = F.pmod(F.monotonically_increasing_id(), F.lit(CUTS)).cast("int")
+    base = save(base.withColumn("shard", jump_column("doc_id", shards)).withColumn("grown_shard", jump_column("doc_id", shards + 1)).withColumn("cut", cut), "shards")
     buckets = max(8, base.count() // (shards * bucket_rows))
     dealt = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
-    counts = dealt.groupBy("shard", "bucket").count()
-    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = dealt.withColumn("place", F.row_number().over(within)).join(starts, ["shard", "bucket"])
+    counts = save(dealt.groupBy("shard", "bucket", "cut").agg(F.count("*").alias("n")), "buckets")
+    large = counts.groupBy("shard", "bucket").agg(F.sum("n").alias("all")).filter(F.col("all") > LARGE * bucket_rows).select("shard", "bucket", F.lit(1).alias("large"))
+    part = F.when(F.col("large").isNotNull(), F.col("cut")).otherwise(0)
+    parts = counts.join(large, ["shard", "bucket"], "left").groupBy("shard", "bucket", part.alias("part")).agg(F.sum("n").alias("n"))
+    before = W.partitionBy("shard").orderBy("bucket", "part").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("shard", "bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = W.partitionBy("shard", "bucket", "part").orderBy("doc_id", "text_crc32", "size")
+    rows = dealt.join(large, ["shard", "bucket"], "left").withColumn("part", part)
+    numbered = rows.withColumn("place", F.row_number().over(within)).join(starts, ["shard", "bucket", "part"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard")
 
 

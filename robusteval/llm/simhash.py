@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import components, local_roots, save, spread_documents, temp_name
+from robusteval.llm.common import components, local_roots, save, spread_documents
 
 SEGMENTS = 8
 MAX_BITS = 3
@@ -56,15 +56,16 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): one row per document, fp the fingerprint as a signed long."""
+    """(id, text_hash, fp): one row per document, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fps = [fingerprint(t.as_py(), shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def ring_keys(fp: str) -> list:
@@ -160,25 +161,48 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = 512) -> Da
     return units.mapInPandas(_forest(max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, block: int = 512) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int, block: int) -> DataFrame:
+    """(id, text_hash, fp, component_id) for every row of docs."""
     marks = save(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = save(marks.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
     found = components(near_links(distinct.filter("id is not null"), max_bits, block))
     names = distinct.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    rows = marks.join(names, "fp", "left")
+    return marks.join(names, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, block: int = 512) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs."""
+    rows = grouped(docs, id_col, text_col, max_bits, block)
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest id.
-    Repeated rows of that id leave one. Rows without an id all stay: nothing
-    names them as copies."""
-    found = near_duplicates(docs, id_col, text_col, max_bits)
-    best, flag = temp_name(docs, "best"), F.col("doc_id") == F.col("component_id")
-    keep = save(found.filter(flag).select(F.col("doc_id").alias(best)).distinct(), "kept")
-    named = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(best), "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+#: Up to so many rows to keep are broadcast (32 MB); more are joined by a shuffle.
+FEW = 2_000_000
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, block: int = 512) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the smallest id. Of rows
+    that repeat this id one with a text of the group stays. Rows without an id all
+    stay: nothing names them as copies.
+
+    Which rows stay is decided on ids and hashes of texts; documents are joined
+    with the few columns of that, and only rows that repeat id and text are moved."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    held, ident, text = docs.toDF(*names.values()), names[id_col], names[text_col]
+    found = grouped(held, ident, text, max_bits, block).filter("id = component_id")
+    each = found.groupBy("id", "text_hash").agg(F.count("*").alias("times"))
+    keep = save(each.groupBy("id").agg(F.min(F.struct("text_hash", "times")).alias("own")).select("id", "own.*"), "kept")
+    own_id, own_hash = F.col(ident).cast("long"), F.xxhash64(F.col(text).cast("string"))
+
+    def stay(rows: DataFrame, few: int | None) -> DataFrame:
+        near = F.broadcast if few is not None and few <= FEW else (lambda df: df)
+        return held.join(near(rows), (own_id == rows["id"]) & (own_hash == rows["text_hash"]), "left_semi")
+
+    once, again = keep.filter("times = 1"), keep.filter("times > 1")
+    out = stay(once, keep.count()).unionByName(held.filter(own_id.isNull()))
+    if not again.isEmpty():
+        out = out.unionByName(stay(again, again.count()).dropDuplicates([ident]))
+    return out.toDF(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

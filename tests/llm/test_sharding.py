@@ -50,3 +50,12 @@ def test_edge_rows(spark):
     check(sharding.shard_rows(df, 40).collect(), rows)
     check(sharding.shard_rows(df, 40, bucket_rows=1).collect(), rows)
     assert sharding.shard_rows(df.limit(0), 40).count() == 0
+
+
+def test_slots_have_no_gap_if_one_row_is_repeated_over_and_over(spark):
+    docs = spark.createDataFrame([(None, None)] * 900 + [(7, "x")] * 900 + [(k, f"t{k}") for k in range(200)], "doc_id long, text string").repartition(6)
+    rows = sharding.shard_rows(docs, 3, bucket_rows=20).collect()
+    assert len(rows) == 2000
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
