@@ -95,6 +95,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def last_saved() -> str:
+    """The folder of the table saved last."""
+    return _made[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table by its folder."""
+    remove(spark, path)
+    if path in _made:
+        _made.remove(path)
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Deletes tables made by save() that nothing reads any more."""
     for df in tables:
