@@ -98,7 +98,7 @@ class WaveletMatrix:
         count = max(1, -(-size // FRAME))
         frames = Frames(np.zeros((bits, count + 1), dtype="<u4"))
         for level in range(bits):
-            bit = (now >> (bits - 1 - level) & 1).astype(np.uint8).view(bool)
+            bit = (now & now.dtype.type(1 << (bits - 1 - level))) != 0
             plane = np.zeros(count * FRAME // 8, dtype=np.uint8)
             packed = np.packbits(bit, bitorder="little")
             plane[: len(packed)] = packed
@@ -108,11 +108,16 @@ class WaveletMatrix:
             relative = (inner - ones).astype("<u2")
             for k, own in enumerate(plane.reshape(count, -1)):
                 frames.read[level, k] = own, relative[k]
-            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
-            zeros.append(len(low))
+            low, high = 0, size - int(np.count_nonzero(bit))
+            zeros.append(high)
             after = np.empty_like(now)
-            np.take(now, low, out=after[: len(low)], mode="clip")
-            np.take(now, high, out=after[len(low) :], mode="clip")
+            # part by part, so that what is moved stays in the processor's cache
+            for at in range(0, size, FRAME):
+                some = now[at : at + FRAME]
+                zero, one = np.flatnonzero(~bit[at : at + FRAME]), np.flatnonzero(bit[at : at + FRAME])
+                np.take(some, zero, out=after[low : low + len(zero)], mode="clip")
+                np.take(some, one, out=after[high : high + len(one)], mode="clip")
+                low, high = low + len(zero), high + len(one)
             now = after
         return cls(frames, zeros, size)
 
@@ -162,10 +167,13 @@ class WaveletMatrix:
 
     def access_range(self, start: int, end: int) -> np.ndarray:
         """Codes from start to end, in order. On every plane they lie in intervals, of
-        which each splits into one of zeros and one of ones on the next; neighbours
-        join again, so a whole sequence is one interval all the way."""
+        which each splits into one of zeros and one of ones on the next, by the ranks
+        of its ends; neighbours join again. A whole sequence is one interval on every
+        plane, so its places are known and it is followed back from the last one."""
         if not 0 <= start <= end <= self.size:
             raise IndexError((start, end))
+        if end - start == self.size:
+            return self._whole()
         # a place in the range in the low half, its code so far in the high half
         now = np.arange(end - start, dtype=np.uint64)
         begin, length = np.array([start]), np.array([end - start])
@@ -177,8 +185,6 @@ class WaveletMatrix:
             np.take(now, high, out=after[len(low) :], mode="clip")
             after[len(low) :] |= np.uint64(1 << (32 + self.bits - 1 - level))
             now = after
-            if length[0] == self.size:
-                continue
             heads = np.cumsum(length) - length
             ones = np.add.reduceat(bit, heads, dtype=np.int64) if len(bit) else np.zeros(len(length), dtype=np.int64)
             before = self._ranks(level, begin)
@@ -193,6 +199,23 @@ class WaveletMatrix:
         out[now.astype(np.uint32)] = now >> np.uint64(32)
         return out
 
+    def _whole(self) -> np.ndarray:
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.size, dtype=kind)
+        for level in reversed(range(self.bits)):
+            low, high = 0, self.zeros[level]
+            now[high:] |= kind(1 << (self.bits - 1 - level))
+            before = np.empty_like(now)
+            for at in range(0, self.size, FRAME):
+                bit = self.frames.plane(level, at, min(self.size, at + FRAME))
+                zero, one = np.flatnonzero(~bit), np.flatnonzero(bit)
+                some = before[at : at + FRAME]
+                some[zero] = now[low : low + len(zero)]
+                some[one] = now[high : high + len(one)]
+                low, high = low + len(zero), high + len(one)
+            now = before
+        return now
+
     def _interval_bits(self, level: int, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         if len(begin) <= 16:
             return np.concatenate([np.zeros(0, dtype=bool), *[self.frames.plane(level, int(b), int(b + n)) for b, n in zip(begin, length)]])
