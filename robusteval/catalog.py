@@ -26,11 +26,11 @@ BY = metrics.BY
 SAMPLE_KEY = ["dataset", "item_id", "form_id", "mode", "method", "sample_index"]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return add
@@ -49,7 +49,7 @@ def fixed_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf: str, complete: bool = True) -> DataFrame:
-    return keysets.surfaces(fixtures.manifest(spark, sf), fixtures.paraphrases(spark, sf, complete), "pilot")
+    return keysets.surfaces(fixtures.manifest(spark, sf), fixtures.rewordings(spark, sf, complete), "pilot")
 
 
 # -- keys, digests, records ------------------------------------------------------
@@ -92,13 +92,14 @@ def fn_record_key(spark, sf):
     return rows.select(F.concat_ws("|", *[F.col(f"k.{c}") for c in C.KEY]).alias("record_key")).groupBy("record_key").agg(F.count("*").alias("n"))
 
 
-_DIRTY = "CASE p_partkey % 6 WHEN 0 THEN ' Paraphrase: ' || p_name WHEN 1 THEN 'PARAPHRASED PROBLEM:' || p_name || ' ' WHEN 2 THEN '\"' || p_name || '\"' WHEN 3 THEN 'Rewritten problem: ''' || p_name || '''' WHEN 4 THEN '\"' ELSE p_name || '\"' END"
+_PREFIX = C.CLEANED_PREFIXES
+_DIRTY = f"CASE p_partkey % 6 WHEN 0 THEN ' {_PREFIX[0]} ' || p_name WHEN 1 THEN '{_PREFIX[1].upper()}' || p_name || ' ' WHEN 2 THEN '\"' || p_name || '\"' WHEN 3 THEN 'Rewritten problem: ''' || p_name || '''' WHEN 4 THEN '\"' ELSE p_name || '\"' END"
 
 
 @query(
     f"""WITH d AS (SELECT p_partkey, trim({_DIRTY}) AS t FROM part),
-a AS (SELECT p_partkey, CASE WHEN starts_with(lower(t), 'paraphrase:') THEN trim(t[12:]) ELSE t END AS t FROM d),
-b AS (SELECT p_partkey, CASE WHEN starts_with(lower(t), 'paraphrased problem:') THEN trim(t[21:]) ELSE t END AS t FROM a),
+a AS (SELECT p_partkey, CASE WHEN starts_with(lower(t), '{_PREFIX[0].lower()}') THEN trim(t[{len(_PREFIX[0]) + 1}:]) ELSE t END AS t FROM d),
+b AS (SELECT p_partkey, CASE WHEN starts_with(lower(t), '{_PREFIX[1].lower()}') THEN trim(t[{len(_PREFIX[1]) + 1}:]) ELSE t END AS t FROM a),
 c AS (SELECT p_partkey, CASE WHEN starts_with(lower(t), 'rewritten problem:') THEN trim(t[19:]) ELSE t END AS t FROM b)
 SELECT p_partkey, CASE WHEN length(t) >= 2 AND t[1] = t[-1] AND t[1] IN ('"', '''') THEN trim(t[2:-2]) ELSE t END AS cleaned FROM c"""
 )
@@ -106,7 +107,7 @@ def fn_clean_candidate(spark, sf):
     return fixtures.table(spark, sf, "part").select("p_partkey", records.clean_candidate(F.expr(_DIRTY_SPARK)).alias("cleaned"))
 
 
-_DIRTY_SPARK = "CASE p_partkey % 6 WHEN 0 THEN concat(' Paraphrase: ', p_name) WHEN 1 THEN concat('PARAPHRASED PROBLEM:', p_name, ' ') WHEN 2 THEN concat('\"', p_name, '\"') WHEN 3 THEN concat('Rewritten problem: ', chr(39), p_name, chr(39)) WHEN 4 THEN '\"' ELSE concat(p_name, '\"') END"
+_DIRTY_SPARK = f"CASE p_partkey % 6 WHEN 0 THEN concat(' {_PREFIX[0]} ', p_name) WHEN 1 THEN concat('{_PREFIX[1].upper()}', p_name, ' ') WHEN 2 THEN concat('\"', p_name, '\"') WHEN 3 THEN concat('Rewritten problem: ', chr(39), p_name, chr(39)) WHEN 4 THEN '\"' ELSE concat(p_name, '\"') END"
 
 
 def _sql_template(template: str, **values: str) -> str:
@@ -121,14 +122,14 @@ _INSTRUCTION_SQL = "CASE transformation_type " + " ".join(f"WHEN '{k}' THEN '{v}
 
 @query(O.with_(O.REWORDINGS) + f"SELECT item_id, form_id, sha256({_sql_template(C.GENERATION_PROMPT, type='transformation_type', instruction=_INSTRUCTION_SQL, original='original_text')}) AS prompt_hash FROM rewordings_all")
 def fn_prompt_gen(spark, sf):
-    rows = fixtures.paraphrases(spark, sf, complete=True)
+    rows = fixtures.rewordings(spark, sf, complete=True)
     return rows.select("item_id", "form_id", keys.sha256_text(records.generation_prompt("original_text", "transformation_type")).alias("prompt_hash"))
 
 
-@query(O.with_(O.REWORDINGS) + f"SELECT item_id, form_id, {_sql_template(C.JUDGE_PROMPT, original='original_text', candidate='paraphrase_text')} AS prompt FROM rewordings_all")
+@query(O.with_(O.REWORDINGS) + f"SELECT item_id, form_id, {_sql_template(C.JUDGE_PROMPT, original='original_text', candidate='rewording_text')} AS prompt FROM rewordings_all")
 def fn_prompt_judge(spark, sf):
-    rows = fixtures.paraphrases(spark, sf, complete=True)
-    return rows.select("item_id", "form_id", records.judge_prompt("original_text", "paraphrase_text").alias("prompt"))
+    rows = fixtures.rewordings(spark, sf, complete=True)
+    return rows.select("item_id", "form_id", records.judge_prompt("original_text", "rewording_text").alias("prompt"))
 
 
 @query(O.with_(O.COMPLETIONS) + f"SELECT order_id, line_no, {_sql_template(C.BLINDED_PROMPT, gold='canonical_answer', response='raw_output')} AS prompt FROM completions")
@@ -183,9 +184,9 @@ def gate_accept(spark, sf):
 _WORDS = lambda x: f"len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
 
 
-@query(O.with_(O.REWORDINGS) + f"SELECT item_id, form_id, round({_WORDS('paraphrase_text')} / greatest(1, {_WORDS('original_text')}), 6) AS word_ratio FROM rewordings_all")
+@query(O.with_(O.REWORDINGS) + f"SELECT item_id, form_id, round({_WORDS('rewording_text')} / greatest(1, {_WORDS('original_text')}), 6) AS word_ratio FROM rewordings_all")
 def fn_word_ratio(spark, sf):
-    return r6(fixtures.paraphrases(spark, sf, complete=True).select("item_id", "form_id", records.word_ratio("paraphrase_text", "original_text").alias("word_ratio")))
+    return r6(fixtures.rewordings(spark, sf, complete=True).select("item_id", "form_id", records.word_ratio("rewording_text", "original_text").alias("word_ratio")))
 
 
 @query(f"SELECT c_custkey, regexp_full_match(CASE WHEN c_custkey % 3 = 0 THEN sha256(c_name)[1:40] WHEN c_custkey % 3 = 1 THEN 'main' ELSE upper(sha256(c_name)[1:40]) END, '{C.REVISION[1:-1]}') AS pinned FROM customer")
@@ -241,40 +242,35 @@ _UNIT = lambda x: f"list_sort(list_filter(list_transform(regexp_extract_all({x},
 def gate_numbers(spark, sf):
     """Rows only: RE2 has no look-behind, and a stand-in that consumes a character
     misses numbers that touch. Tested against the standard library instead."""
-    return fixtures.gate_pairs(spark, sf).select("pair_id", (gates.numbers("original") == gates.numbers(gates.cleaned("paraphrase"))).alias("passed"))
+    return fixtures.gate_pairs(spark, sf).select("pair_id", (gates.numbers("original") == gates.numbers(gates.cleaned("rewording"))).alias("passed"))
 
 
 @query("WITH " + _PAIRS + f" SELECT pair_id, {_SYM('original')} = {_SYM('clean')} AS passed FROM pairs")
 def gate_symbols(spark, sf):
-    return fixtures.gate_pairs(spark, sf).select("pair_id", (gates.symbols("original") == gates.symbols(gates.cleaned("paraphrase"))).alias("passed"))
+    return fixtures.gate_pairs(spark, sf).select("pair_id", (gates.symbols("original") == gates.symbols(gates.cleaned("rewording"))).alias("passed"))
 
 
 @query("WITH " + _PAIRS + f" SELECT pair_id, {_UNIT('original')} = {_UNIT('clean')} AS passed FROM pairs")
 def gate_units(spark, sf):
-    return fixtures.gate_pairs(spark, sf).select("pair_id", (gates.units("original") == gates.units(gates.cleaned("paraphrase"))).alias("passed"))
-
-
-def _short_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Originals against rewordings of the manifest: texts of a sentence, as the
-    distance is meant for."""
-    return fixtures.paraphrases(spark, sf, complete=True).select("item_id", "form_id", F.col("original_text").alias("original"), F.col("paraphrase_text").alias("paraphrase"))
+    return fixtures.gate_pairs(spark, sf).select("pair_id", (gates.units("original") == gates.units(gates.cleaned("rewording"))).alias("passed"))
 
 
 @query()
 def gate_edit(spark, sf):
-    distance = gates.edit_distance("original", gates.cleaned("paraphrase"))
-    return r6(_short_pairs(spark, sf).select("item_id", "form_id", distance.alias("normalized_edit_distance")))
+    """Whole texts of neighbouring documents; matching blocks have no SQL form."""
+    pairs = fixtures.gate_pairs(spark, sf)
+    return r6(pairs.select("pair_id", gates.edit_distance("original", gates.cleaned("rewording")).alias("normalized_edit_distance")))
 
 
 @query()
 def gate_all(spark, sf):
-    rows = _short_pairs(spark, sf).withColumn("clean", gates.cleaned("paraphrase"))
-    flags = gates.cheap_gates("original", "paraphrase")
-    rows = rows.select("item_id", "form_id", *[x.alias(n) for n, x in flags.items()], gates.edit_distance("original", F.col("clean")).alias("d"))
+    rows = fixtures.gate_pairs(spark, sf).withColumn("clean", gates.cleaned("rewording"))
+    flags = gates.cheap_gates("original", "rewording")
+    rows = rows.select("pair_id", *[x.alias(n) for n, x in flags.items()], gates.edit_distance("original", F.col("clean")).alias("d"))
     passed = F.col("d") >= C.MIN_EDIT_DISTANCE
     for name in flags:
         passed = passed & F.col(name)
-    return rows.select("item_id", "form_id", *flags, F.round("d", 6).alias("normalized_edit_distance"), passed.alias("passed"))
+    return rows.select("pair_id", *flags, F.round("d", 6).alias("normalized_edit_distance"), passed.alias("passed"))
 
 
 # -- filters and guards ----------------------------------------------------------
@@ -303,9 +299,12 @@ def flt_decided_layer(spark, sf):
     return rows.groupBy("dataset", "mode", "layer").agg(F.count("*").alias("n"), F.count_if("correctness").alias("n_right"))
 
 
-@query(O.with_(O.MANIFEST) + "SELECT dataset, item_id, count(*) AS n FROM manifest GROUP BY ALL HAVING count(*) > 1")
+@query(O.with_(O.MANIFEST) + "SELECT dataset, item_id, count(*) AS n FROM (SELECT dataset, item_id FROM manifest UNION ALL SELECT dataset, item_id FROM manifest WHERE source_index % 97 = 5) GROUP BY ALL HAVING count(*) > 1")
 def chk_unique_ids(spark, sf):
-    return fixtures.manifest(spark, sf).groupBy("dataset", "item_id").agg(F.count("*").alias("n")).filter("n > 1")
+    """One item in 97 is planted twice."""
+    rows = fixtures.manifest(spark, sf)
+    both = rows.unionByName(rows.filter("source_index % 97 = 5"))
+    return both.groupBy("dataset", "item_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 # -- joins and key sets ----------------------------------------------------------
@@ -393,13 +392,13 @@ def jn_budget_ref(spark, sf):
 
 @query(O.with_(O.REWORDINGS) + "SELECT dataset, item_id, form_id FROM rewordings_all WHERE split = 'pilot' EXCEPT SELECT dataset, item_id, form_id FROM rewordings WHERE split = 'pilot'")
 def set_missing(spark, sf):
-    rows = fixtures.paraphrases(spark, sf).filter("split = 'pilot'")
+    rows = fixtures.rewordings(spark, sf).filter("split = 'pilot'")
     return keysets.missing(keysets.expected_pairs(fixtures.manifest(spark, sf), C.FORM_IDS[1:], "pilot"), rows, _KEY3)
 
 
 @query(O.with_(O.REWORDINGS) + f"SELECT dataset, item_id, form_id FROM rewordings WHERE split = 'pilot' EXCEPT SELECT dataset, item_id, form_id FROM rewordings_all WHERE split = 'pilot' AND form_id IN {tuple(C.FORM_IDS[1:5])}")
 def set_unexpected(spark, sf):
-    rows = fixtures.paraphrases(spark, sf).filter("split = 'pilot'")
+    rows = fixtures.rewordings(spark, sf).filter("split = 'pilot'")
     return keysets.unexpected(keysets.expected_pairs(fixtures.manifest(spark, sf), C.FORM_IDS[1:5], "pilot"), rows, _KEY3)
 
 
@@ -468,7 +467,7 @@ def smp_ppcv(spark, sf):
 SELECT dataset, item_id, form_id, transformation_type, 'audit-' || lpad(r::VARCHAR, 4, '0') AS audit_id FROM p WHERE r <= greatest(80, ceil(n * 10 / 100))"""
 )
 def smp_audit(spark, sf):
-    return requests.audit_sample(fixtures.paraphrases(spark, sf).filter("split = 'confirmatory'"))
+    return requests.audit_sample(fixtures.rewordings(spark, sf).filter("split = 'confirmatory'"))
 
 
 @query(O.with_(O.REWORDINGS) + "SELECT dataset, item_id, form_id FROM (SELECT dataset, item_id, form_id FROM rewordings_all WHERE split = 'pilot' EXCEPT SELECT dataset, item_id, form_id FROM rewordings WHERE split = 'pilot') ORDER BY ALL LIMIT 25")
@@ -644,9 +643,9 @@ def fn_rate_cost(spark, sf):
     return r6(metrics.efficiency(accuracy.select(*BY, "accuracy", "robust_accuracy"), metrics.costs(rows)))
 
 
-@query(O.with_(O.REWORDINGS) + f"SELECT transformation_type, round(avg({_WORDS('paraphrase_text')} / greatest(1, {_WORDS('original_text')})), 6) AS mean_ratio, avg({_WORDS('paraphrase_text')} / greatest(1, {_WORDS('original_text')})) < 0.85 AS below FROM rewordings GROUP BY ALL")
+@query(O.with_(O.REWORDINGS) + f"SELECT transformation_type, round(avg({_WORDS('rewording_text')} / greatest(1, {_WORDS('original_text')})), 6) AS mean_ratio, avg({_WORDS('rewording_text')} / greatest(1, {_WORDS('original_text')})) < 0.85 AS below FROM rewordings GROUP BY ALL")
 def agg_word_ratio(spark, sf):
-    return r6(adjudicate.word_ratios(fixtures.paraphrases(spark, sf), records.word_ratio("paraphrase_text", "original_text")))
+    return r6(adjudicate.word_ratios(fixtures.rewordings(spark, sf), records.word_ratio("rewording_text", "original_text")))
 
 
 _AUDIT = "a AS (SELECT doc_id AS audit_id, CASE WHEN quality = 0 AND toxic = 1 THEN 'uncertain' WHEN quality = 0 THEN 'not_equivalent' ELSE 'equivalent' END AS e FROM labels), n AS (SELECT count(*) AS t, count(*) FILTER (WHERE e <> 'uncertain') AS d, count(*) FILTER (WHERE e = 'equivalent') AS s, count(*) FILTER (WHERE e = 'uncertain') AS u FROM a)"
@@ -971,16 +970,17 @@ def gt_results(spark, sf):
     O.with_(O.REWORDINGS)
     + """, e AS (SELECT dataset, item_id, form_id FROM rewordings_all WHERE split = 'pilot'), r AS (SELECT * FROM rewordings WHERE split = 'pilot'),
 q AS (SELECT transformation_type, avg("""
-    + f"{_WORDS('paraphrase_text')} / greatest(1, {_WORDS('original_text')})"
+    + f"{_WORDS('rewording_text')} / greatest(1, {_WORDS('original_text')})"
     + """) < 0.85 AS below FROM r GROUP BY ALL)
-SELECT (SELECT count(*) FROM e) AS expected_pairs, (SELECT count(*) FROM r) AS accepted_pairs, (SELECT count(*) FROM r WHERE paraphrase_text = 'voice') AS failed_gate_count,
-(SELECT count(*) FROM (FROM e EXCEPT SELECT dataset, item_id, form_id FROM r)) AS missing_count, 0::BIGINT AS unexpected_count, 0::BIGINT AS duplicate_count, (SELECT count(*) FROM q WHERE below) AS shortened_count, false AS passed"""
+SELECT (SELECT count(*) FROM e) AS expected_pairs, (SELECT count(*) FROM r) AS accepted_pairs, (SELECT count(*) FROM r WHERE rewording_text = 'voice') AS failed_gate_count,
+(SELECT count(*) FROM (FROM e EXCEPT SELECT dataset, item_id, form_id FROM r)) AS missing_count, 0::BIGINT AS unexpected_count, 0::BIGINT AS duplicate_count, (SELECT count(*) FROM q WHERE below) AS shortened_count, false AS passed""",
+    C.REWORDING_GATE,
 )
-def gt_paraphrase(spark, sf):
-    rows = fixtures.paraphrases(spark, sf).filter("split = 'pilot'")
+def rewording_gate(spark, sf):
+    rows = fixtures.rewordings(spark, sf).filter("split = 'pilot'")
     expected = keysets.expected_pairs(fixtures.manifest(spark, sf), C.FORM_IDS[1:], "pilot")
-    ratios = adjudicate.word_ratios(rows, records.word_ratio("paraphrase_text", "original_text"))
-    return adjudicate.rewording_report(expected, rows, ratios, F.col("paraphrase_text") == "voice")
+    ratios = adjudicate.word_ratios(rows, records.word_ratio("rewording_text", "original_text"))
+    return adjudicate.rewording_report(expected, rows, ratios, F.col("rewording_text") == "voice")
 
 
 @query(
@@ -991,7 +991,7 @@ SELECT dataset, item_id, form_id, (coalesce(attempt, 0) + 1)::BIGINT AS attempt
 )
 def st_retry(spark, sf):
     expected = keysets.expected_pairs(fixtures.manifest(spark, sf), C.FORM_IDS[1:], "smoke")
-    tried = fixtures.paraphrases(spark, sf).filter("split = 'smoke'").select(*_KEY3, (1 + keys.stable_seed("item_id", "form_id") % 4).alias("attempt"), (keys.stable_seed("form_id", "item_id") % 3 == 0).alias("accepted"))
+    tried = fixtures.rewordings(spark, sf).filter("split = 'smoke'").select(*_KEY3, (1 + keys.stable_seed("item_id", "form_id") % 4).alias("attempt"), (keys.stable_seed("form_id", "item_id") % 3 == 0).alias("accepted"))
     return resume.retry_pending(expected, tried, _KEY3, C.MAX_ATTEMPTS)
 
 

@@ -1,22 +1,31 @@
-"""Command line: plan, score, judge queue, adjudicate, analyze, gates, budget.
+"""Command line of the whole life cycle: prepare, generate, validate, preflight,
+plan, score, judge, analyze, gates, audits, interventions, artifacts, capacity.
 
 ``python -m robusteval.cli COMMAND --help`` lists a command's options. Tables are
 read by extension: .jsonl and .json as JSON lines, .csv as CSV, else Parquet.
+Commands that need a model take ``--generator module:function``, a function without
+arguments that returns one from a list of prompts to a list of texts.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from robusteval import constants as C
-from robusteval.functions import answers, records
-from robusteval.operators import adjudicate, keysets, metrics
+from robusteval.functions import answers, gates, records
+from robusteval.operators import adjudicate, interventions, keysets, lifecycle, metrics
 from robusteval.plans import analysis, requests
 from robusteval.session import session, ship_package
 from robusteval.sources import files
+from robusteval.streaming import resume
+
+SPLITS = list(lifecycle.STAGES)
+PAIR = ["dataset", "item_id", "form_id"]
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -25,6 +34,20 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return files.read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
 
 
+def load_rewordings(spark: SparkSession, path: str) -> DataFrame:
+    return load(spark, path).withColumnRenamed(C.REWORDING_TEXT, "rewording_text")
+
+
+def generator(name: str):
+    """The named function, looked up where it is called: on a worker."""
+    module, _, function = name.partition(":")
+    return lambda: getattr(importlib.import_module(module), function)()
+
+
+def read_json(spark: SparkSession, path: str):
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def store(df: DataFrame, path: str) -> None:
     if path.endswith((".jsonl", ".json")):
         df.write.mode("overwrite").json(path)
@@ -33,7 +56,7 @@ def store(df: DataFrame, path: str) -> None:
 
 
 def plan(spark: SparkSession, a: argparse.Namespace) -> None:
-    found = keysets.surfaces(load(spark, a.manifest), load(spark, a.paraphrases), a.split)
+    found = keysets.surfaces(load(spark, a.manifest), load_rewordings(spark, a.rewordings), a.split)
     rows, fingerprint = requests.make_plan(a.experiment, found, a.mode, a.protocol, a.items)
     if a.done:
         rows = keysets.pending(rows, load(spark, a.done), C.KEY)
@@ -56,18 +79,109 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
         files.write_queue(adjudicate.queue(load(spark, a.output)), a.queue)
 
 
+def generate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """One round of rewordings that are still wanted, each with its gates."""
+    manifest = load(spark, a.manifest).filter(F.col("split") == a.split)
+    kinds = F.array(*[F.struct(F.lit(f).alias("form_id"), F.lit(t).alias("transformation_type")) for f, t in C.FORMS[1:]])
+    wanted = manifest.select("dataset", "item_id", "split", "original_text", "canonical_answer", F.inline(kinds))
+    wanted = wanted.join(load(spark, a.done).select(*PAIR), PAIR, "left_anti") if a.done else wanted
+    lifecycle.check_arguments("practical", a.split, a.attempt)
+    asked = wanted.withColumn("prompt_text", records.generation_prompt("original_text", "transformation_type")).withColumn("attempt", F.lit(a.attempt))
+    made = resume.generate(asked, generator(a.generator), batch=a.batch).withColumn("rewording_text", records.clean_candidate("raw_output"))
+    flags = gates.cheap_gates("original_text", "rewording_text")
+    made = made.withColumn("normalized_edit_distance", gates.edit_distance("original_text", gates.cleaned("rewording_text")))
+    passed = F.col("normalized_edit_distance") >= C.MIN_EDIT_DISTANCE
+    for flag in flags.values():
+        passed = passed & flag
+    store(made.withColumn("gates_passed", F.coalesce(passed, F.lit(False))).drop("prompt_text", "raw_output").withColumnRenamed("rewording_text", C.REWORDING_TEXT), a.output)
+
+
+def validate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Whether the rewordings of a split are complete and sound."""
+    rows = load_rewordings(spark, a.rewordings).filter(F.col("split") == a.split)
+    expected = keysets.expected_pairs(load(spark, a.manifest), C.FORM_IDS[1:], a.split)
+    failed = ~F.coalesce("gates_passed", F.lit(False)) if "gates_passed" in rows.columns else F.lit(False)
+    ratios = adjudicate.word_ratios(rows, records.word_ratio("rewording_text", "original_text"))
+    report = adjudicate.rewording_report(expected, rows, ratios, failed).first().asDict()
+    examples = keysets.examples(keysets.missing(expected, rows, PAIR), PAIR)
+    report |= {"split": a.split, "created_at": files.utc_now(), "missing_examples": [list(r) for r in examples.collect()]}
+    files.write_json(spark, a.report, report)
+    raise SystemExit(0 if report["passed"] else 2)
+
+
+def preflight(spark: SparkSession, a: argparse.Namespace) -> None:
+    """What stops a stage, printed; none lets it start."""
+    reports = [read_json(spark, path) for path in a.validation]
+    audited = None if a.audit is None else adjudicate.audit_report(load(spark, a.audit)).first().passed
+    revisions = dict(r.partition("=")[::2] for r in a.revision)
+    errors = lifecycle.stage_errors(a.stage, {r["split"]: r["passed"] for r in reports}, revisions, a.locked, audited)
+    for e in errors:
+        print(e)
+    raise SystemExit(2 if errors else 0)
+
+
+def judge(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Replies of a judge, that sees answer and response only, to what is undecided."""
+    done = load(spark, a.done) if a.done else None
+    waiting = adjudicate.queue(load(spark, a.scores), done, C.KEY)
+    asked = waiting.select(*C.KEY, records.blinded_prompt("canonical_answer", "raw_output").alias("prompt_text"))
+    replies = resume.generate(asked, generator(a.generator), batch=a.batch).withColumnRenamed("raw_output", "reply").drop("prompt_text")
+    store(replies.withColumn("position", F.lit(a.position)).withColumn("judge_model", F.lit(a.model)).withColumn("created_at", F.lit(files.utc_now())), a.output)
+
+
 def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = load(spark, a.scores[0])
     for path in a.scores[1:]:
         rows = rows.unionByName(load(spark, path), allowMissingColumns=True)
-    result = analysis.report(analysis.analyze(rows, a.resamples))
-    files.write_json(a.json, result)
+    tables = analysis.analyze(rows, a.resamples)
+    files.write_json(spark, a.json, analysis.report(tables))
+    if a.markdown:
+        files.write_text(spark, a.markdown, files.markdown("Results", tables))
+    if a.figure:
+        points = tables["fixed"].withColumn("run", F.concat_ws("/", *metrics.BY))
+        files.write_text(spark, a.figure, files.scatter(points, "mean_output_tokens_per_item", "final_accuracy", "run"))
+
+
+def intervention_report(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Summaries of intervention runs: the random sample first, then the conditional
+    subsets."""
+    tables = {name: interventions.summarize(load(spark, path)) for name, path in (("fidelity", a.fidelity), ("lite", a.lite)) if path}
+    files.write_json(spark, a.json, {name: df.first().asDict() for name, df in tables.items()})
     if a.markdown:
-        with open(a.markdown, "w", encoding="utf-8") as out:
-            out.write(files.markdown("Results", result))
+        note = "Accuracy on the random sample comes first; figures on baseline errors and on disagreements are conditional, and count what probing cost."
+        files.write_text(spark, a.markdown, files.markdown("Interventions", tables, note))
+
+
+def intervene(spark: SparkSession, a: argparse.Namespace) -> None:
+    """From logits of trajectories: every position's discrepancy, and each item's
+    critical position."""
+    scores = interventions.position_scores(load(spark, a.trajectories))
+    store(scores, a.positions)
+    store(interventions.critical(load(spark, a.positions)), a.output)
+
+
+def stage_assets(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The artifacts of a group with the revisions they are pinned to."""
+    config = {use: [tuple(x) for x in listed] for use, listed in files.read_yaml(a.config)["artifacts"].items()}
+    resolved = read_json(spark, a.resolved) if a.resolved else {}
+    found = [{"kind": kind, "id": name, "revision": lifecycle.pinned(revision, resolved, name)} for kind, name, revision in lifecycle.artifacts(a.group, config)]
+    files.write_json(spark, a.output, found)
+
+
+def environment(spark: SparkSession, a: argparse.Namespace) -> None:
+    files.write_json(spark, a.output, files.environment(spark, a.label))
+
+
+def audit_sheet(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A blinded sheet of sampled pairs for an auditor; an old one is kept unless forced."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(a.output)
+    there = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    lifecycle.refuse_existing(there, a.force, a.output)
+    pairs = load_rewordings(spark, a.rewordings).filter("split = 'confirmatory'")
+    requests.audit_sheet(pairs).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(a.output)
 
 
-def gates(spark: SparkSession, a: argparse.Namespace) -> None:
+def result_gates(spark: SparkSession, a: argparse.Namespace) -> None:
     bad = adjudicate.result_gates(load(spark, a.input), C.KEY, ["mode", "method"]).filter("failed").collect()
     for r in bad:
         print(f"{r.mode}/{r.method}: {r.gate} {r.value:.4g} exceeds {r.allowed:.4g}")
@@ -95,12 +209,25 @@ def parser() -> argparse.ArgumentParser:
         p.set_defaults(run=run)
 
     need = {"required": True}
-    add(prepare, ("--input", need), ("--output", need), ("--smoke", {"type": int, "default": 5}), ("--pilot", {"type": int, "default": 40}), ("--confirmatory", {"type": int, "default": 200}))
-    add(plan, ("--experiment", {"choices": ["main", "scop", "external"], "required": True}), ("--manifest", need), ("--paraphrases", need), ("--split", {"default": "confirmatory"}), ("--mode", {"default": "non_thinking"}), ("--protocol", {"default": "practical"}), ("--items", {"type": int, "default": 200}), ("--done", {}), ("--output", need))
+    number = lambda n: {"type": int, "default": n}
+    many = {"action": "append", "default": []}
+    split = ("--split", {"choices": SPLITS, "default": "confirmatory"})
+    rewordings, manifest = ("--rewordings", need), ("--manifest", need)
+    add(prepare, ("--input", need), ("--output", need), ("--smoke", number(5)), ("--pilot", number(40)), ("--confirmatory", number(200)))
+    add(generate, manifest, split, ("--generator", need), ("--attempt", number(1)), ("--done", {}), ("--batch", number(C.BATCH_SIZE)), ("--output", need))
+    add(validate, manifest, rewordings, split, ("--report", need))
+    add(preflight, ("--stage", {"choices": SPLITS, "required": True}), ("--validation", many), ("--revision", many), ("--audit", {}), ("--locked", {"action": "store_true"}))
+    add(plan, ("--experiment", {"choices": ["main", "scop", "external"], "required": True}), manifest, rewordings, split, ("--mode", {"default": "non_thinking"}), ("--protocol", {"default": "practical"}), ("--items", number(200)), ("--done", {}), ("--output", need))
     add(score, ("--input", need), ("--output", need), ("--judgments", {}), ("--queue", {}))
-    add(analyze, ("--scores", {"action": "append", "required": True}), ("--json", {"default": "results.json"}), ("--markdown", {}), ("--resamples", {"type": int, "default": 1000}))
-    add(gates, ("--input", need))
+    add(judge, ("--scores", need), ("--generator", need), ("--model", {"default": ""}), ("--done", {}), ("--position", number(0)), ("--batch", number(C.BATCH_SIZE)), ("--output", need))
+    add(analyze, ("--scores", {"action": "append", "required": True}), ("--json", {"default": "results.json"}), ("--markdown", {}), ("--figure", {}), ("--resamples", number(C.BOOTSTRAP_RESAMPLES)))
+    add(result_gates, ("--input", need), name="gates")
+    add(audit_sheet, rewordings, ("--output", need), ("--force", {"action": "store_true"}), name="audit-sheet")
     add(audit, ("--input", need))
+    add(intervene, ("--trajectories", need), ("--positions", need), ("--output", need))
+    add(intervention_report, ("--fidelity", {}), ("--lite", {}), ("--json", need), ("--markdown", {}), name="intervention-report")
+    add(stage_assets, ("--group", need), ("--config", need), ("--resolved", {}), ("--output", need), name="stage")
+    add(environment, ("--label", {"default": ""}), ("--output", need))
     add(capacity, ("--input", need), ("--responses", {"type": int, "required": True}), ("--tokens-per-second", {"type": float}))
     return out
 

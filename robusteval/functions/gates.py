@@ -32,9 +32,9 @@ def units(text) -> Column:
     return F.array_sort(F.filter(found, lambda w: F.array_contains(known, w)))
 
 
-def cleaned(paraphrase) -> Column:
+def cleaned(rewording) -> Column:
     """Trimmed of white space, then of quotation marks, then again."""
-    return strip(F.regexp_replace(strip(paraphrase), '^"+|"+$', ""))
+    return strip(F.regexp_replace(strip(rewording), '^"+|"+$', ""))
 
 
 def edit_ratio_distance(left: str, right: str) -> float:
@@ -43,7 +43,7 @@ def edit_ratio_distance(left: str, right: str) -> float:
     return 1.0 - SequenceMatcher(None, a, b).ratio()
 
 
-def edit_distance(original, paraphrase) -> Column:
+def edit_distance(original, rewording) -> Column:
     """The distance as an Arrow function: matching blocks have no SQL form. Both
     texts are read whole."""
 
@@ -51,12 +51,12 @@ def edit_distance(original, paraphrase) -> Column:
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None else edit_ratio_distance(a, b) for a, b in zip(left, right)], dtype="float64")
 
-    return run(as_column(original), as_column(paraphrase))
+    return run(as_column(original), as_column(rewording))
 
 
-def cheap_gates(original, paraphrase) -> dict[str, Column]:
+def cheap_gates(original, rewording) -> dict[str, Column]:
     """The gates that need no distance."""
-    clean = cleaned(paraphrase)
+    clean = cleaned(rewording)
     return {
         "nonempty": clean != "",
         "number_multiset_match": numbers(original) == numbers(clean),
@@ -65,8 +65,8 @@ def cheap_gates(original, paraphrase) -> dict[str, Column]:
     }
 
 
-def passes_cheap(original, paraphrase) -> Column:
+def passes_cheap(original, rewording) -> Column:
     out = F.lit(True)
-    for gate in cheap_gates(original, paraphrase).values():
+    for gate in cheap_gates(original, rewording).values():
         out = out & gate
     return out

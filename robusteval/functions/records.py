@@ -152,5 +152,5 @@ def words(text) -> Column:
     return F.filter(F.split(as_column(text), r"(?U)\s+"), lambda w: w != "")
 
 
-def word_ratio(paraphrase, original) -> Column:
-    return F.size(words(paraphrase)) / F.greatest(F.lit(1), F.size(words(original)))
+def word_ratio(rewording, original) -> Column:
+    return F.size(words(rewording)) / F.greatest(F.lit(1), F.size(words(original)))

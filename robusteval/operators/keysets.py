@@ -64,11 +64,11 @@ def batched(rows: DataFrame, size: int, order: list[str], by: list[str]) -> Data
     return rows.withColumn("batch", F.floor(place / size).cast("long"))
 
 
-def surfaces(manifest: DataFrame, paraphrases: DataFrame, split: str) -> DataFrame:
+def surfaces(manifest: DataFrame, rewordings: DataFrame, split: str) -> DataFrame:
     """Originals and rewordings of a split as prompt texts; a key twice stops it."""
     keys = ["dataset", "item_id", "form_id"]
     own = manifest.filter(F.col("split") == split).select("dataset", "item_id", F.lit("original").alias("form_id"), F.lit("original").alias("transformation_type"), F.col("original_text").alias("prompt_text"), "canonical_answer")
-    more = paraphrases.filter(F.col("split") == split).select(*keys, "transformation_type", F.col("paraphrase_text").alias("prompt_text"), "canonical_answer")
+    more = rewordings.filter(F.col("split") == split).select(*keys, "transformation_type", F.col("rewording_text").alias("prompt_text"), "canonical_answer")
     return unique_or_fail(own.unionByName(more), keys, "surface")
 
 

@@ -51,9 +51,8 @@ def check_arguments(protocol: str, split: str, attempt: int = 1, most: int = C.M
 
 
 def artifacts(group: str, config: Mapping[str, list[tuple[str, str, str | None]]]) -> list[tuple[str, str, str | None]]:
-    """(kind, id, revision) of a group: config names primary, paraphrase, external and
-    embedding artifacts; ppcv is primary and embedding, all is everything."""
-    parts = {"primary": ("primary",), "paraphrase": ("paraphrase",), "external": ("external",), "ppcv": ("primary", "embedding"), "all": ("primary", "paraphrase", "external", "embedding")}
-    if group not in parts:
+    """(kind, id, revision) of the artifacts that a group stages, from those the config
+    has by kind of use."""
+    if group not in C.ARTIFACT_GROUPS:
         raise ValueError(f"no group named {group!r}")
-    return [a for name in parts[group] for a in config.get(name, [])]
+    return [a for name in C.ARTIFACT_GROUPS[group] for a in config.get(name, [])]

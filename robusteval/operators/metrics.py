@@ -118,7 +118,7 @@ def main_metrics(rows: DataFrame, by: list[str] = BY) -> DataFrame:
     accuracy = forms.groupBy(*by).agg(
         share(F.lit(True)).alias("mean_accuracy"),
         share(original).alias("original_accuracy"),
-        share(~original).alias("mean_paraphrase_accuracy"),
+        share(~original).alias(C.REWORDED_ACCURACY),
     )
     items = item_robustness(forms, by).groupBy(*by).agg(
         F.avg(number("robust")).alias("robust_accuracy"),

@@ -49,24 +49,24 @@ REWORDINGS = (
     + f""",
 forms(form_id, transformation_type, form_no) AS (VALUES {FORMS_SQL}),
 rewordings_all AS (SELECT dataset, item_id, split, source_index, original_text, canonical_answer, form_id, transformation_type,
-    CASE WHEN form_id = 'voice' THEN form_id ELSE form_id || ' ' || original_text END AS paraphrase_text FROM manifest CROSS JOIN forms WHERE form_no > 0),
+    CASE WHEN form_id = 'voice' THEN form_id ELSE form_id || ' ' || original_text END AS rewording_text FROM manifest CROSS JOIN forms WHERE form_no > 0),
 rewordings AS (SELECT * FROM rewordings_all WHERE {_seed('item_id', 'form_id')} % 11 <> 0),
 found AS (SELECT dataset, item_id, 'original' AS form_id, 'original' AS transformation_type, original_text AS prompt_text, canonical_answer FROM manifest WHERE split = 'pilot'
-    UNION ALL SELECT dataset, item_id, form_id, transformation_type, paraphrase_text, canonical_answer FROM rewordings_all WHERE split = 'pilot'),
+    UNION ALL SELECT dataset, item_id, form_id, transformation_type, rewording_text, canonical_answer FROM rewordings_all WHERE split = 'pilot'),
 found_gaps AS (SELECT dataset, item_id, 'original' AS form_id, 'original' AS transformation_type, original_text AS prompt_text, canonical_answer FROM manifest WHERE split = 'pilot'
-    UNION ALL SELECT dataset, item_id, form_id, transformation_type, paraphrase_text, canonical_answer FROM rewordings WHERE split = 'pilot')"""
+    UNION ALL SELECT dataset, item_id, form_id, transformation_type, rewording_text, canonical_answer FROM rewordings WHERE split = 'pilot')"""
 )
 
 COMPLETIONS = r"""
 completions AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'gsm_symbolic' ELSE 'math_500' END AS dataset, l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS part_id,
     CAST(l_quantity AS INTEGER)::VARCHAR AS canonical_answer,
     CASE l_linenumber
-    WHEN 1 THEN 'The total is \boxed{ ' || CAST(l_quantity AS INTEGER) || ' } as shown'
+    WHEN 1 THEN 'The total is \boxed{ ' || CAST(l_quantity AS INTEGER) || (['', 'e0', '.5e1', '_0', 'E+2'])[1 + l_suppkey % 5] || ' } as shown'
     WHEN 2 THEN 'First \boxed{1} then \Boxed {\frac{' || CAST(l_quantity AS INTEGER) || '}{2}} end'
     WHEN 3 THEN 'step' || chr(10) || 'So the Final answer is ' || CASE WHEN l_suppkey % 3 = 0 THEN '$' || CAST(l_quantity AS INTEGER) || ',000.50$' ELSE CAST(l_quantity AS INTEGER)::VARCHAR END || '. ' || chr(10) || 'bye'
     WHEN 4 THEN 'We use 12 and get ' || CAST(l_quantity AS INTEGER) || '/' || l_linenumber
     WHEN 5 THEN 'bad \boxed{' || CAST(l_quantity AS INTEGER) || chr(10) || 'the answer: ' || CAST(l_quantity AS INTEGER)
-    WHEN 6 THEN '\boxed{\text{' || CAST(l_quantity AS INTEGER) || '}%}'
+    WHEN 6 THEN '\boxed{\text{' || CAST(l_quantity AS INTEGER) || (['', '.5', '.0'])[1 + l_suppkey % 3] || '}%}'
     ELSE 'no number here' END AS raw_output FROM lineitem),
 tails AS (SELECT *, CASE WHEN regexp_matches(raw_output, '(?i)\\boxed\s*\{') THEN regexp_extract(raw_output, '(?is)^.*\\boxed\s*\{(.*)$', 1) END AS tail FROM completions),
 closed AS (SELECT *, list_min(list_filter(range(1, length(tail) + 1), lambda i: tail[i:i] = '}' AND 1 + (i - length(replace(tail[1:i], '{', ''))) - (i - length(replace(tail[1:i], '}', ''))) = 0)) AS stop FROM tails),
@@ -79,7 +79,9 @@ extracted AS (SELECT dataset, order_id, line_no, part_id, canonical_answer, raw_
 cleaned AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(raw_extracted_answer, '^\$|\$$', '', 'g'), '\,', ''), ',', ''), '\left', ''), '\right', ''),
     '\\(?:text|mathrm)\{([^{}]*)\}', '\1', 'g'), '\s+', '', 'g'), '[. ]+$', '') AS v FROM extracted),
 scored_text AS (SELECT * EXCLUDE (v), CASE
-    WHEN regexp_full_match(v, '\d+%') THEN rtrim(rtrim(CAST(CAST(v[1:-2] AS DECIMAL(18, 2)) / 100 AS DECIMAL(18, 4))::VARCHAR, '0'), '.')
+    WHEN regexp_full_match(v, '\d+(?:\.\d+)?%') THEN rtrim(rtrim(CAST(CAST(v[1:-2] AS DECIMAL(18, 2)) / 100 AS DECIMAL(18, 4))::VARCHAR, '0'), '.')
+    WHEN regexp_full_match(v, '\d+(?:\.\d+)?[eE]\+?\d+') THEN (CAST(regexp_extract(v, '^[0-9.]+') AS DECIMAL(18, 2)) * CAST(10 ** CAST(regexp_extract(v, '\d+$') AS INTEGER) AS DECIMAL(18, 0)))::BIGINT::VARCHAR
+    WHEN regexp_full_match(v, '\d+_\d+') THEN replace(v, '_', '')::BIGINT::VARCHAR
     WHEN regexp_full_match(v, '\d+/\d+') THEN (split_part(v, '/', 1)::BIGINT // gcd(split_part(v, '/', 1)::BIGINT, split_part(v, '/', 2)::BIGINT)) || '/' || (split_part(v, '/', 2)::BIGINT // gcd(split_part(v, '/', 1)::BIGINT, split_part(v, '/', 2)::BIGINT))
     WHEN regexp_full_match(v, '\d+') THEN v::BIGINT::VARCHAR
     WHEN regexp_full_match(v, '\d+\.\d+') THEN rtrim(rtrim(v::DECIMAL(18, 6)::VARCHAR, '0'), '.')
@@ -151,14 +153,14 @@ def main_metrics(src: str, p: str = "f", by: str = GROUP) -> str:
         + variance(p, by)
         + f""",
 {p}a AS (SELECT {by}, avg(correctness::INT) AS mean_accuracy, avg(correctness::INT) FILTER (WHERE form_id = 'original') AS original_accuracy,
-    avg(correctness::INT) FILTER (WHERE form_id <> 'original') AS mean_paraphrase_accuracy FROM {src} GROUP BY ALL),
+    avg(correctness::INT) FILTER (WHERE form_id <> 'original') AS {C.REWORDED_ACCURACY} FROM {src} GROUP BY ALL),
 {p}b AS (SELECT {by}, avg(robust::INT) AS robust_accuracy, avg(worst_form_solve_rate) AS worst_form_accuracy, avg(answer_flip::INT) AS answer_flip_rate,
     avg(correctness_flip::INT) AS correctness_flip_rate FROM {p}i GROUP BY ALL),
 {p}x AS (SELECT * FROM {p}a JOIN {p}b USING ({by}) JOIN {p}v USING ({by}))"""
     )
 
 
-MAIN_COLUMNS = ["mean_accuracy", "original_accuracy", "mean_paraphrase_accuracy", "robust_accuracy", "worst_form_accuracy", "answer_flip_rate", "correctness_flip_rate", "v_run", "v_form", "v_item", "pi_form"]
+MAIN_COLUMNS = ["mean_accuracy", "original_accuracy", C.REWORDED_ACCURACY, "robust_accuracy", "worst_form_accuracy", "answer_flip_rate", "correctness_flip_rate", "v_run", "v_form", "v_item", "pi_form"]
 
 
 def rounded(columns: list[str]) -> str:

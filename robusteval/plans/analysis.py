@@ -10,7 +10,7 @@ from robusteval.operators import budget, metrics, stats
 from robusteval.operators.adjudicate import guard_decided
 
 
-def analyze(scored: DataFrame, resamples: int = 1000, seed: int = C.BOOTSTRAP_SEED) -> dict[str, DataFrame]:
+def analyze(scored: DataFrame, resamples: int = C.BOOTSTRAP_RESAMPLES, seed: int = C.BOOTSTRAP_SEED) -> dict[str, DataFrame]:
     """Reports by name: main, layers, main_intervals, variance_intervals, fixed,
     token_matched, costs, latency, tests. Scored rows must all be decided."""
     guard = guard_decided(scored).first()
@@ -25,8 +25,8 @@ def analyze(scored: DataFrame, resamples: int = 1000, seed: int = C.BOOTSTRAP_SE
     return {
         "main": metrics.main_metrics(main),
         "layers": metrics.layer_metrics(main),
-        "main_intervals": stats.bootstrap_mean(items, metrics.BY, "item_id", "mean_correctness", resamples, seed),
-        "variance_intervals": stats.bootstrap_variance(forms, metrics.BY, resamples, seed),
+        "main_intervals": stats.bootstrap_groups(items, metrics.BY, "item_id", ["mean_correctness"], stats.drawn_mean, ["mean"], resamples, seed),
+        "variance_intervals": stats.bootstrap_groups(stats.item_variances(forms, metrics.BY), metrics.BY, "item_id", ["run", "form", "item_mean"], stats.drawn_variance, ["v_run", "v_form", "v_item", "pi_form"], resamples, seed),
         "fixed": metrics.fixed_budget(fixed),
         "token_matched": metrics.fixed_budget(budget.token_match(scored)),
         "costs": metrics.costs(scored),

@@ -68,14 +68,29 @@ def item_forms(found: DataFrame, items: DataFrame, forms: list[str]) -> DataFram
     return chosen.groupBy("dataset", "item_id").agg(listed.alias("forms"))
 
 
-def audit_sample(pairs: DataFrame, seed: int = C.BOOTSTRAP_SEED) -> DataFrame:
-    """A tenth of the pairs, eighty at least, numbered in hash order. Ranks are of a
-    top-k, whose size the count sets."""
-    n = pairs.count()
-    count = max(C.AUDIT_MIN_PAIRS, -(-n * 10 // 100))
-    order = [hash_order(seed, "dataset", "item_id", "form_id"), F.col("dataset"), F.col("item_id"), F.col("form_id")]
-    top = pairs.select("dataset", "item_id", "form_id", "transformation_type").orderBy(*order).limit(count)
-    return top.withColumn("audit_id", F.format_string("audit-%04d", F.row_number().over(W.orderBy(*order))))
+def audit_sample(pairs: DataFrame, seed: int = C.BOOTSTRAP_SEED, buckets: int = 4096) -> DataFrame:
+    """A tenth of the pairs, eighty at least, numbered in hash order: pairs fall into
+    buckets by the beginning of their hash, whose counts give each bucket's first
+    number, so no task orders all pairs."""
+    count = F.greatest(F.lit(C.AUDIT_MIN_PAIRS), F.ceil(F.col("all") * 10 / 100))
+    order = hash_order(seed, "dataset", "item_id", "form_id")
+    part = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int")
+    rows = pairs.select("dataset", "item_id", "form_id", "transformation_type", order.alias("order")).withColumn("part", part)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part", before.alias("before"), F.sum("n").over(W.partitionBy()).alias("all")).filter(F.col("before") < count)
+    place = F.row_number().over(W.partitionBy("part").orderBy("order", "dataset", "item_id", "form_id"))
+    numbered = rows.join(sizes, "part").withColumn("place", place + F.col("before")).filter(F.col("place") <= count)
+    return numbered.select("dataset", "item_id", "form_id", "transformation_type", F.format_string("audit-%04d", "place").alias("audit_id"))
+
+
+def audit_sheet(pairs: DataFrame) -> DataFrame:
+    """The sample's texts with empty columns for the auditor, in order of number."""
+    keys = ["dataset", "item_id", "form_id", "transformation_type"]
+    texts = pairs.withColumnRenamed("rewording_text", C.REWORDING_TEXT)
+    rows = audit_sample(pairs).join(texts.select(*keys, "original_text", C.REWORDING_TEXT), keys)
+    blank = ["equivalence", "transformation_label_correct", "notes"]
+    return rows.select(*[F.lit("").alias(c) if c in blank else F.col(c) for c in C.AUDIT_SHEET]).orderBy("audit_id")
 
 
 def with_run(rows: DataFrame, mode: str, protocol: str) -> DataFrame:

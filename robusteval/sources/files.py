@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import platform
+import subprocess
 import tempfile
 import uuid
 from datetime import UTC, datetime
+from html import escape
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -14,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from robusteval import constants as C
+from robusteval.operators.lifecycle import pinned
+
 _own: dict[str, str] = {}
 
 
@@ -21,6 +28,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the one all machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="robusteval-"))
     return f"{base.rstrip('/')}/robusteval-files/{name}-{uuid.uuid4().hex}"
@@ -59,12 +68,9 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-QUEUE = ["dataset", "item_id", "form_id", "mode", "seed", "method", "canonical_answer", "raw_extracted_answer", "judge_status"]
-
-
 def write_queue(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """The queue's columns as CSV with a header; absent ones are empty."""
-    names = columns or QUEUE
+    names = columns or C.QUEUE
     df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in names]).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -74,17 +80,30 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
-def write_json(path: str, value) -> None:
-    """A small report, put in place whole."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, temp = tempfile.mkstemp(dir=target.parent)
-    with os.fdopen(handle, "w", encoding="utf-8") as file:
-        json.dump(value, file, sort_keys=True, indent=2, ensure_ascii=False)
-        file.write("\n")
-        file.flush()
-        os.fsync(file.fileno())
-    os.replace(temp, target)
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any file system that Spark reaches: written beside its place,
+    then renamed into it, so a reader finds the old one or the new one whole."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = store.create(beside, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    except BaseException:
+        stream.close()
+        store.delete(beside, False)
+        raise
+    stream.close()
+    if not store.rename(beside, place):
+        store.delete(place, False)
+        if not store.rename(beside, place):
+            raise OSError(f"{path} could not be replaced")
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small report in sorted order."""
+    write_text(spark, path, json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
 
 
 def read_yaml(path: str) -> dict:
@@ -100,25 +119,60 @@ def utc_now() -> str:
     return datetime.now(UTC).isoformat()
 
 
-def markdown(title: str, groups: dict[str, dict]) -> str:
-    """A report: one table of metrics per group."""
-    lines = [f"# {title}", ""]
-    for name, metrics in groups.items():
-        lines += [f"## {name}", "", "| Metric | Value |", "|---|---:|"]
-        for metric, value in metrics.items():
-            shown = f"{value:.6g}" if isinstance(value, float) else f"`{json.dumps(value, sort_keys=True)}`" if isinstance(value, (dict, list)) else str(value)
-            lines.append(f"| {metric} | {shown} |")
-        lines.append("")
-    return "\n".join(lines)
+def cell(value) -> str:
+    if isinstance(value, float):
+        return f"{value:.6g}"
+    return "" if value is None else str(value).replace("|", "\\|").replace("\n", " ")
 
 
-def environment(spark: SparkSession) -> dict[str, str]:
-    """What a run was made with."""
-    names = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone")
-    return {"spark": spark.version, "recorded_at": utc_now()} | {n: str(spark.conf.get(n, None)) for n in names}
+def markdown(title: str, tables: dict[str, DataFrame], note: str = "") -> str:
+    """A report of small tables, each under its name, one line a row."""
+    out = f"# {title}\n" + (f"\n{note}\n" if note else "")
+    for name, df in tables.items():
+        right = {c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint")}
+        head = " | ".join(df.columns), " | ".join("---:" if c in right else "---" for c in df.columns)
+        body = sorted(" | ".join(map(cell, row)) for row in df.collect())
+        out += f"\n## {name}\n\n" + "".join(f"| {line} |\n" for line in (*head, *body))
+    return out
+
+
+def scatter(points: DataFrame, x: str, y: str, label: str, size: tuple[int, int] = (720, 480)) -> str:
+    """Points with their labels as an SVG figure; rows without a place are left out."""
+    rows = [(r[x], r[y], str(r[label])) for r in points.select(x, y, label).filter(F.col(x).isNotNull() & F.col(y).isNotNull()).collect()]
+    width, height, edge = *size, 60
+
+    def scale(values: list[float], low: int, high: int):
+        least, most = min(values, default=0.0), max(values, default=1.0)
+        return lambda v: low + (v - least) / ((most - least) or 1.0) * (high - low)
 
+    across, up = scale([r[0] for r in rows], edge, width - 2 * edge), scale([r[1] for r in rows], height - edge, edge)
+    marks = "".join(f'<circle cx="{across(a):.1f}" cy="{up(b):.1f}" r="4"/><text x="{across(a) + 6:.1f}" y="{up(b) - 6:.1f}" font-size="10">{escape(name)}</text>' for a, b, name in sorted(rows))
+    axes = f'<path d="M{edge} {edge}V{height - edge}H{width - edge}" fill="none" stroke="black"/><text x="{width // 2}" y="{height - 20}">{escape(x)}</text><text x="10" y="{edge - 20}">{escape(y)}</text>'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{axes}{marks}</svg>\n'
 
-def read_hub(spark: SparkSession, path: str, fmt: str, question: str, answer: str, ids: list[str]) -> DataFrame:
-    """A data set in any format Spark reads, with its columns mapped."""
-    df = spark.read.format(fmt).load(path)
+
+def environment(spark: SparkSession, label: str = "") -> dict:
+    """What a run was made with: versions, settings, packages, devices, scheduler."""
+    names = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone")
+    try:
+        devices = subprocess.run(["nvidia-smi", "-L"], capture_output=True, text=True, check=False).stdout.split("\n")
+    except OSError:
+        devices = []
+    return {
+        "label": label,
+        "recorded_at": utc_now(),
+        "spark": spark.version,
+        "python": platform.python_version(),
+        "platform": platform.platform(),
+        "settings": {n: str(spark.conf.get(n, None)) for n in names},
+        "packages": sorted({f"{d.name}=={d.version}" for d in metadata.distributions()}),
+        "devices": [d for d in devices if d],
+        "scheduler": {k: v for k, v in sorted(os.environ.items()) if k.startswith("SLURM_")},
+    }
+
+
+def read_hub(spark: SparkSession, path: str, fmt: str, question: str, answer: str, ids: list[str], revision: str | None = None) -> DataFrame:
+    """A data set in any format Spark reads, with its columns mapped. With a revision,
+    which must be a pinned one, the copy below the folder of that name is read."""
+    df = spark.read.format(fmt).load(path if revision is None else f"{path.rstrip('/')}/{pinned(revision, artifact=path)}")
     return df.select(F.col(question).cast("string").alias("question"), F.col(answer).cast("string").alias("answer"), *[F.col(c).cast("string").alias(c) for c in ids if c in df.columns])

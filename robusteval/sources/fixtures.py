@@ -105,7 +105,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("split", F.when(part == 0, "smoke").when(part <= 2, "pilot").otherwise("confirmatory"))
 
 
-def paraphrases(spark: SparkSession, sf_dir: str, complete: bool = False) -> DataFrame:
+def rewordings(spark: SparkSession, sf_dir: str, complete: bool = False) -> DataFrame:
     """Accepted rewordings of items: seven forms; unless complete one in eleven
     (item, form) is absent."""
     forms = F.array(*[F.struct(F.lit(f).alias("form_id"), F.lit(t).alias("transformation_type")) for f, t in C.FORMS[1:]])
@@ -113,7 +113,7 @@ def paraphrases(spark: SparkSession, sf_dir: str, complete: bool = False) -> Dat
     if not complete:
         rows = rows.filter(stable_seed("item_id", "form_id") % 11 != 0)
     text = F.concat_ws(" ", F.col("form_id"), F.when(F.col("form_id") != "voice", F.col("original_text")))
-    return rows.select("*", text.alias("paraphrase_text"))
+    return rows.select("*", text.alias("rewording_text"))
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +122,12 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = F.concat(q, F.lit(",000.50"))
     shape = F.col("l_linenumber")
     text = (
-        F.when(shape == 1, F.concat(F.lit("The total is \\boxed{ "), q, F.lit(" } as shown")))
+        F.when(shape == 1, F.concat(F.lit("The total is \\boxed{ "), q, F.get(literal_array(["", "e0", ".5e1", "_0", "E+2"]), (F.col("l_suppkey") % 5).cast("int")), F.lit(" } as shown")))
         .when(shape == 2, F.concat(F.lit("First \\boxed{1} then \\Boxed {\\frac{"), q, F.lit("}{2}} end")))
         .when(shape == 3, F.concat(F.lit("step\nSo the Final answer is "), F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("$"), money, F.lit("$"))).otherwise(q), F.lit(". \nbye")))
         .when(shape == 4, F.concat(F.lit("We use 12 and get "), q, F.lit("/"), F.col("l_linenumber").cast("string")))
         .when(shape == 5, F.concat(F.lit("bad \\boxed{"), q, F.lit("\nthe answer: "), q))
-        .when(shape == 6, F.concat(F.lit("\\boxed{\\text{"), q, F.lit("}%}")))
+        .when(shape == 6, F.concat(F.lit("\\boxed{\\text{"), q, F.get(literal_array(["", ".5", ".0"]), (F.col("l_suppkey") % 3).cast("int")), F.lit("}%}")))
         .otherwise(F.lit("no number here"))
     )
     rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
@@ -158,10 +158,10 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring documents as original and rewording: (pair_id, original, paraphrase)."""
+    """Neighbouring documents as original and rewording: (pair_id, original, rewording)."""
     docs = table(spark, sf_dir, "documents")
     left = docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("original"))
-    right = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("paraphrase"))
+    right = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("rewording"))
     return left.join(right, "pair_id")
 
 

@@ -25,7 +25,7 @@ def append_new(source: DataFrame, keys: list[str], out: str, checkpoint: str, pr
     Every micro-batch drops its own repeats and those the log has (an anti-join on
     keys), then appends. The log, not state, is the memory, so a lost checkpoint
     costs a rescan and no duplicate; a batch that is replayed finds its keys there.
-    Returns the number of batches; should_stop is asked after each.
+    Returns the number of batches; should_stop is asked each second while they run.
     """
     schema, seen = source.schema, {"batches": 0}
 

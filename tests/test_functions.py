@@ -68,9 +68,33 @@ def test_normal_forms(spark):
     assert values(spark, answers.normalize_answer, [None]) == [None]
 
 
-def test_exotic_numerals_are_exact(spark):
+def by_decimals(text):
+    """What decimal arithmetic makes of a cleaned answer."""
+    try:
+        if text.endswith("%"):
+            return str(Decimal(text[:-1]) / 100)
+        if re.fullmatch(r"[-+]?\d+/\d+", text):
+            f = Fraction(text)
+            return f"{f.numerator}/{f.denominator}"
+        shown = f"{Decimal(text).normalize():f}"
+    except (ArithmeticError, ValueError):
+        return text
+    return shown.rstrip("0").rstrip(".") if "." in shown else shown
+
+
+def test_unusual_numerals_are_exact(spark):
     both = NORMAL | EXOTIC
-    assert dict(zip(both, values(spark, answers.normalize_exactly, list(both)))) == both
+    assert dict(zip(both, values(spark, answers.normalize_answer, list(both)))) == both
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(rng.randint(0, n)))
+    texts = ["12.5%", "0.5%", "100.0%", "100%", "0.0%", "-0.00%", "0.00000000%", "1e5%", "125e3%", "9" * 29, "9" * 28 + "5", "8" * 27 + "50", "1" * 28 + "5", "-Inf", "+infinity%", "nan007", "sNaN", "e5", ".e5", "5e", "1__0", "_", "1/2/3", "3/0", "١٢/٦", "٥٠%", "1e-9", "0e7", "-0e-3", "1/" + "7" * 30, "x5", "5x", "--5", "1e0005", "%"]
+    for _ in range(600):
+        text = rng.choice(["", "-", "+"]) + digits(rng.choice([3, 12, 32])) + rng.choice(["", "", ".", "." + digits(rng.choice([3, 12, 32]))])
+        text += rng.choice(["", "", f"e{rng.randint(-12, 12)}", f"E+{rng.randint(0, 5)}"]) + rng.choice(["", "", "%"])
+        texts.append(text.rstrip(". "))
+    for _ in range(100):
+        texts.append(f"{rng.choice(['', '-', '+'])}{digits(25)}/{digits(25)}")
+    assert dict(zip(texts, values(spark, answers.normalize_answer, texts))) == {t: by_decimals(t) for t in texts}
 
 
 def test_plain_numerals_agree_with_decimals(spark):
@@ -96,10 +120,36 @@ def test_scores(spark):
         (True, True, True, False, True), (True, True, True, False, False), (False, False, None, True, False), (False, False, False, False, True), (False, True, True, True, True),
     ]
     assert got[2].judge_status == "pending" and got[2].correctness is None
-    other = answers.score(df, equivalence=lambda gold, text, raw: F.lit(False), status="own").first()
+    fixed = lambda gold, text, raw: F.struct(F.lit(False).alias("match"), F.lit("own").alias("status"))
+    other = answers.score(df, equivalence=fixed).first()
     assert other.parser_status == "own" and other.judge_required
 
 
+def test_decimal_percents_are_equal_to_their_decimals(spark):
+    rows = [("m", "0.125", r"\boxed{12.5\%}"), ("m", "0.125", r"\boxed{12.5%}"), ("m", "100000", r"\boxed{1e5}"), ("m", "1000", "the answer is 1_000.")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, dataset string, canonical_answer string, raw_output string")
+    got = answers.score(df).orderBy("i").collect()
+    assert [(r.canonical_match, r.judge_required) for r in got] == [(False, False), (True, True), (True, True), (True, True)]
+
+
+def test_symbolic_equivalence_tries_the_output_then_the_answer(spark):
+    def verify(gold, candidate):
+        error = F.when(candidate.contains("?"), F.lit("ParseError"))
+        return F.struct(candidate.endswith(gold).alias("match"), error.alias("error"))
+
+    rows = [("m", "5", "we get 5"), ("m", "5", r"\boxed{5} is it"), ("m", "5", "nothing"), ("m", "5", "what? 5"), ("m", "5", r"\boxed{6} is it")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, dataset string, canonical_answer string, raw_output string")
+    got = answers.score(df, equivalence=answers.symbolic(verify, "rules")).orderBy("i").collect()
+    assert [(r.canonical_match, r.parser_status) for r in got] == [(True, "rules_full"), (True, "rules_extracted"), (False, "rules_full"), (None, "rules_error:ParseError"), (False, "rules_extracted")]
+    assert got[3].judge_required
+
+
+def test_nested_and_flat_boxes(spark):
+    texts = [r"a}b", "a{b}c}d", "{}}", "a{b", "", "}", " x }", "a{b}}c{d}", "\n q\t}"]
+    want = ["a", "a{b}c", "{}", None, None, "", "x", "a{b}", "q"]
+    assert values(spark, answers.braced, texts) == want
+
+
 def numbers_of(text):
     found = re.findall(r"(?<![\w.])[-+]?\d[\d,]*(?:\.\d+)?(?:/\d+)?%?", text)
     return Counter(x.replace(",", "").removeprefix("+") for x in found)
@@ -127,7 +177,7 @@ def test_rewording_gates(spark):
 
 
 def test_clean_candidate(spark):
-    got = values(spark, records.clean_candidate, ['Paraphrase: "hi"', "x", '"', "'a' ", "PARAPHRASE:  Rewritten problem: q", None])
+    got = values(spark, records.clean_candidate, [f'{C.CLEANED_PREFIXES[0]} "hi"', "x", '"', "'a' ", f"{C.CLEANED_PREFIXES[0].upper()}  {C.CLEANED_PREFIXES[2]} q", None])
     assert got == ["hi", "x", '"', "a", "q", None]
 
 

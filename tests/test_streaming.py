@@ -3,6 +3,7 @@ import json
 import pytest
 
 from robusteval import cli
+from robusteval import constants as C
 from robusteval.functions import keys
 from robusteval.sources import files
 from robusteval.streaming import resume
@@ -69,7 +70,7 @@ def test_json_lines(spark, tmp_path):
 
 
 def test_small_files(spark, tmp_path):
-    files.write_json(str(tmp_path / "r.json"), {"b": 1, "a": "é"})
+    files.write_json(spark, str(tmp_path / "r.json"), {"b": 1, "a": "é"})
     assert (tmp_path / "r.json").read_text() == '{\n  "a": "é",\n  "b": 1\n}\n'
     (tmp_path / "c.yaml").write_text("a: 1\n")
     assert files.read_yaml(str(tmp_path / "c.yaml")) == {"a": 1}
@@ -78,8 +79,14 @@ def test_small_files(spark, tmp_path):
         files.read_yaml(str(tmp_path / "d.yaml"))
     (tmp_path / "s.csv").write_text("﻿audit_id,notes\na1,\"x, y\"\n", encoding="utf-8")
     assert files.read_csv(spark, str(tmp_path / "s.csv")).first().asDict() == {"audit_id": "a1", "notes": "x, y"}
-    assert "| x | 0.5 |" in files.markdown("T", {"g": {"x": 0.5, "y": [1]}})
-    assert files.environment(spark)["spark"] == spark.version
+    files.write_json(spark, str(tmp_path / "r.json"), [1])
+    assert (tmp_path / "r.json").read_text() == "[\n  1\n]\n" and not list(tmp_path.glob("*.part"))
+    table = spark.createDataFrame([("b", 0.5), ("a|c", None)], "name string, x double")
+    assert files.markdown("T", {"g": table}, "n") == "# T\n\nn\n\n## g\n\n| name | x |\n| --- | ---: |\n| a\\|c |  |\n| b | 0.5 |\n"
+    figure = files.scatter(spark.createDataFrame([(1.0, 0.5, "a<b"), (2.0, 0.7, "c"), (None, 1.0, "d")], "t double, y double, n string"), "t", "y", "n")
+    assert figure.count("<circle") == 2 and "a&lt;b" in figure
+    record = files.environment(spark, "x")
+    assert record["spark"] == spark.version and any(p.startswith("numpy==") for p in record["packages"])
 
 
 def test_command_line_scores_and_gates(spark, sf_dir, tmp_path, monkeypatch):
@@ -97,9 +104,88 @@ def test_command_line_scores_and_gates(spark, sf_dir, tmp_path, monkeypatch):
     with pytest.raises(SystemExit) as end:
         cli.main(["gates", "--input", rows])
     assert end.value.code in (0, 2)
+    cli.main(["analyze", "--scores", rows, "--json", str(tmp_path / "r.json"), "--figure", str(tmp_path / "f.svg"), "--resamples", "5"])
+    assert "<circle" in (tmp_path / "f.svg").read_text()
     cli.main(["capacity", "--input", rows, "--responses", "15"])
 
 
+def echo():
+    """A stand-in for a model: rewords by adding words, and judges all equal."""
+    def reply(text):
+        if "REFERENCE ANSWER" in text:
+            return '{"equivalent": true, "uncertain": false, "reason": "r"}'
+        return "Put in quite other words than it was put before: " + text.rstrip().rsplit("\n", 1)[1]
+
+    return lambda prompts: [reply(p) for p in prompts]
+
+
+def ends(command):
+    with pytest.raises(SystemExit) as end:
+        cli.main(command)
+    return end.value.code
+
+
+def test_command_line_from_manifest_to_preflight(spark, sf_dir, tmp_path, monkeypatch):
+    from robusteval.sources import fixtures
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    at = lambda name: str(tmp_path / name)
+    own = f"{__name__}:echo"
+    fixtures.manifest(spark, sf_dir).filter("split = 'smoke'").limit(6).write.parquet(at("manifest"))
+    cli.main(["generate", "--manifest", at("manifest"), "--split", "smoke", "--generator", own, "--output", at("made")])
+    made = spark.read.parquet(at("made"))
+    assert made.count() == 42 and C.REWORDING_TEXT in made.columns and made.filter("gates_passed").count() > 0
+    cli.main(["generate", "--manifest", at("manifest"), "--split", "smoke", "--generator", own, "--done", at("made"), "--output", at("more")])
+    assert spark.read.parquet(at("more")).count() == 0
+    made.withColumn("gates_passed", made.gates_passed | True).write.parquet(at("whole"))
+    assert ends(["validate", "--manifest", at("manifest"), "--rewordings", at("whole"), "--split", "smoke", "--report", at("v.json")]) == 0
+    made.limit(40).write.parquet(at("part"))
+    assert ends(["validate", "--manifest", at("manifest"), "--rewordings", at("part"), "--split", "smoke", "--report", at("w.json")]) == 2
+    report = json.loads((tmp_path / "w.json").read_text())
+    assert report["missing_count"] == 2 and len(report["missing_examples"]) == 2
+    assert ends(["preflight", "--stage", "smoke", "--validation", at("v.json"), "--locked", "--revision", "model=" + "a" * 40]) == 0
+    assert ends(["preflight", "--stage", "smoke", "--validation", at("w.json"), "--locked", "--revision", "model=main"]) == 2
+    assert ends(["preflight", "--stage", "confirmatory", "--locked"]) == 2
+
+
+def test_command_line_judges_audits_and_reports(spark, sf_dir, tmp_path, monkeypatch):
+    from robusteval.sources import fixtures
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    at = lambda name: str(tmp_path / name)
+    raw = fixtures.completions(spark, sf_dir).limit(40)
+    keyed = raw.selectExpr("dataset", "concat(order_id, '-', line_no, '-', part_id) item_id", "'original' form_id", "'thinking' mode", "1 seed", "'main' method", "canonical_answer", "raw_output")
+    keyed.write.parquet(at("raw"))
+    cli.main(["score", "--input", at("raw"), "--output", at("scores"), "--queue", at("queue")])
+    waiting = files.read_csv(spark, at("queue"))
+    assert waiting.columns == C.QUEUE
+    cli.main(["judge", "--scores", at("scores"), "--generator", f"{__name__}:echo", "--model", "m", "--output", at("replies")])
+    assert spark.read.parquet(at("replies")).count() == waiting.count() > 0
+    cli.main(["judge", "--scores", at("scores"), "--generator", f"{__name__}:echo", "--done", at("replies"), "--output", at("none")])
+    assert spark.read.parquet(at("none")).count() == 0
+    cli.main(["score", "--input", at("raw"), "--judgments", at("replies"), "--output", at("decided")])
+    assert spark.read.parquet(at("decided")).filter("correctness is null").count() == 0
+    fixtures.rewordings(spark, sf_dir).filter("split = 'confirmatory'").limit(300).write.parquet(at("pairs"))
+    cli.main(["audit-sheet", "--rewordings", at("pairs"), "--output", at("sheet")])
+    sheet = files.read_csv(spark, at("sheet"))
+    assert sheet.columns == C.AUDIT_SHEET and [r.audit_id for r in sheet.orderBy("audit_id").collect()] == [f"audit-{k:04d}" for k in range(1, 81)]
+    with pytest.raises(FileExistsError):
+        cli.main(["audit-sheet", "--rewordings", at("pairs"), "--output", at("sheet")])
+    (tmp_path / "c.yaml").write_text("artifacts:\n  primary: [[model, big, " + "b" * 40 + "]]\n  embedding: [[model, small, null]]\n")
+    (tmp_path / "pins.json").write_text(json.dumps({"small": "c" * 40}))
+    cli.main(["stage", "--group", "all", "--config", at("c.yaml"), "--resolved", at("pins.json"), "--output", at("staged.json")])
+    assert [x["revision"][0] for x in json.loads((tmp_path / "staged.json").read_text())] == ["b", "c"]
+    cli.main(["environment", "--label", "l", "--output", at("env.json")])
+    assert json.loads((tmp_path / "env.json").read_text())["label"] == "l"
+    fixtures.trajectories(spark, sf_dir).write.parquet(at("tr"))
+    cli.main(["intervene", "--trajectories", at("tr"), "--positions", at("positions"), "--output", at("critical")])
+    assert spark.read.parquet(at("critical")).count() > 0
+    runs = spark.createDataFrame([("a", True, False, False, True, 5, 6, 0.1, 0.2), ("b", False, True, True, False, 7, 8, 0.3, 0.4)], "item_id string, correctness boolean, initial_correctness boolean, sc_correctness boolean, sc_disagrees boolean, ppcv_output_tokens int, sc_output_tokens int, probe_seconds double, ppcv_seconds double")
+    runs.write.parquet(at("runs"))
+    cli.main(["intervention-report", "--lite", at("runs"), "--json", at("i.json"), "--markdown", at("i.md")])
+    assert json.loads((tmp_path / "i.json").read_text())["lite"]["baseline_error_n"] == 1 and "## lite" in (tmp_path / "i.md").read_text()
+
+
 def test_entry_point(spark):
     import __spark_entry__
 
