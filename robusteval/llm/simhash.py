@@ -176,11 +176,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Up to so many rows to keep are broadcast (32 MB); more are joined by a shuffle.
-FEW = 2_000_000
+#: Up to so many rows to drop are broadcast (a hash table of some 27 MB); with more,
+#: documents and the rows to keep are joined by a shuffle.
+FEW = 250_000
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, block: int = 512) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, block: int = 512, few: int = FEW) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest id. Of rows
     that repeat this id one with a text of the group stays. Rows without an id all
     stay: nothing names them as copies.
@@ -189,19 +190,23 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with the few columns of that, and only rows that repeat id and text are moved."""
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     held, ident, text = docs.toDF(*names.values()), names[id_col], names[text_col]
-    found = grouped(held, ident, text, max_bits, block).filter("id = component_id")
-    each = found.groupBy("id", "text_hash").agg(F.count("*").alias("times"))
-    keep = save(each.groupBy("id").agg(F.min(F.struct("text_hash", "times")).alias("own")).select("id", "own.*"), "kept")
-    own_id, own_hash = F.col(ident).cast("long"), F.xxhash64(F.col(text).cast("string"))
-
-    def stay(rows: DataFrame, few: int | None) -> DataFrame:
-        near = F.broadcast if few is not None and few <= FEW else (lambda df: df)
-        return held.join(near(rows), (own_id == rows["id"]) & (own_hash == rows["text_hash"]), "left_semi")
-
-    once, again = keep.filter("times = 1"), keep.filter("times > 1")
-    out = stay(once, keep.count()).unionByName(held.filter(own_id.isNull()))
+    found = grouped(held, ident, text, max_bits, block).filter("id is not null")
+    stands = F.max(F.col("id") == F.col("component_id")).alias("stands")
+    each = save(found.groupBy("id", "text_hash").agg(F.count("*").alias("times"), stands), "decided")
+    keep = save(each.filter("stands").groupBy("id").agg(F.min(F.struct("text_hash", "times")).alias("own")).select("id", "own.*"), "kept")
+    gone = save(each.select("id", "text_hash").join(keep, ["id", "text_hash"], "left_anti"), "gone")
+    again = keep.filter("times > 1")
+
+    def among(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        same = (F.col(ident).cast("long") == other["id"]) & (F.xxhash64(F.col(text).cast("string")) == other["text_hash"])
+        return rows.join(other, same, how)
+
+    if gone.count() <= few:
+        out = among(held, F.broadcast(gone), "left_anti")
+    else:
+        out = among(held, keep, "left_semi").unionByName(held.filter(F.col(ident).isNull()))
     if not again.isEmpty():
-        out = out.unionByName(stay(again, again.count()).dropDuplicates([ident]))
+        out = among(out, again, "left_anti").unionByName(among(held, again, "left_semi").dropDuplicates([ident]))
     return out.toDF(*docs.columns)
 
 

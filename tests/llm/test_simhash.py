@@ -89,6 +89,7 @@ def test_edge_rows(spark):
     got = sorted(((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([("3", 1), ("3", 1), ("1", 1), ("None", 1), ("7", 5), ("5", 5), ("None", None), ("9", 9)], key=str)
     kept = simhash.keep_representatives(docs)
+    assert sorted(str(r.doc_id) for r in simhash.keep_representatives(docs, few=0).collect()) == ["1", "5", "9", "None", "None"]
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "5", "9", "None", "None"]
     assert simhash.near_duplicates(docs.filter(F.lit(False))).count() == 0
@@ -97,6 +98,7 @@ def test_edge_rows(spark):
 def test_one_row_of_a_repeated_id_stays_and_no_group_is_lost(spark):
     rows = [(1, "a b c d e"), (3, "a b c d e"), (3, "quite another text stands here"), (3, "quite another text stands here"), (3, "quite another text stands here"), (4, "a third one of no group at all")]
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `a.b` int")
-    kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [rows[0], rows[2], rows[5]]
+    for few in (0, 100):
+        kept = simhash.keep_representatives(docs, few=few)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [rows[0], rows[2], rows[5]]
