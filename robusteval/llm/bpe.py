@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import spread_documents
+from robusteval.llm.common import give_back, spread_documents
 
 #: Splitting rule of byte-level vocabularies of this kind (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -318,7 +318,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(texts)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * keep_ids
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

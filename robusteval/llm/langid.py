@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import hash_order_sample, id_remainder, save, spread_documents
+from robusteval.llm.common import give_back, hash_order_sample, id_remainder, save, spread_documents
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str =
                     for i, d in zip(idx, of):
                         total[lang] += np.bincount(i[mine[d]], minlength=buckets + 1)
         yield from flush(total)
+        give_back()
 
     def flush(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, sums in total.items():

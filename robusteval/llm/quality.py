@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from robusteval.llm.common import drop, save, spread_documents
+from robusteval.llm.common import drop, give_back, save, spread_documents
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -103,14 +103,31 @@ def count_texts(docs: DataFrame, columns: list[Column]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_counts(t.as_py()) for t in batch.column(batch.num_columns - 1).cast(pa.binary())]
-            table = np.array(rows, dtype=np.int64).reshape(-1, len(COUNTS))
-            own = batch.columns + [pa.array(table[:, k]) for k in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays(own, [*batch.schema.names, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *count_columns(batch.column(batch.num_columns - 1))], [*batch.schema.names, *COUNTS])
+        give_back()
 
     return picked.mapInArrow(run, schema)
 
 
+def count_columns(texts: pa.Array) -> list[pa.Array]:
+    rows = [text_counts(t.as_py()) for t in texts.cast(pa.binary())]
+    table = np.array(rows, dtype=np.int64).reshape(-1, len(COUNTS))
+    return [pa.array(table[:, k]) for k in range(len(COUNTS))]
+
+
+def counts_of(text: Column) -> Column:
+    """struct(n_words .. n_lines) of a text. Only texts go to the Python workers, and
+    none come back."""
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in COUNTS) + ">")
+    def run(texts: pa.Array) -> pa.Array:
+        out = pa.StructArray.from_arrays(count_columns(texts), list(COUNTS))
+        give_back()
+        return out
+
+    return run(text)
+
+
 def coordinates() -> list[Column]:
     """The statistic vector. Pseudo-counts temper the ratios of short texts."""
     w = F.col("n_words")
@@ -317,7 +334,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     of = [F.col(names[c]).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
     first = save(measured(count_texts(held, of), "lang", "source").select("failed", "level0", "level1", "level2", *COORDS), "statistics")
     found = judges(first)
-    again = measured(count_texts(held, [*names.values(), *of]), "lang", "source")
+    again = held.select("*", *of[:2], counts_of(F.col(names[text_col]).cast("string")).alias("counts"))
+    again = measured(again.select(*names.values(), "lang", "source", "counts.*"), "lang", "source")
     return verdicts(again, found, cutoff).filter("kept").select(*names.values()).toDF(*docs.columns)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import components, local_roots, save, spread_documents
+from robusteval.llm.common import components, give_back, local_roots, save, spread_documents
 
 SEGMENTS = 8
 MAX_BITS = 3
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(2).cast(pa.binary())
             fps = [fingerprint(t.as_py(), shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["id", "text_hash", "fp"])
+        give_back()
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "id long, text_hash long, fp long")
