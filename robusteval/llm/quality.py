@@ -117,7 +117,7 @@ def count_columns(texts: pa.Array) -> list[pa.Array]:
 
 def counts_of(text: Column) -> Column:
     """struct(n_words .. n_lines) of a text. Only texts go to the Python workers, and
-    none come back."""
+    none come back; called nondeterministic so that the plan holds the call once."""
 
     @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in COUNTS) + ">")
     def run(texts: pa.Array) -> pa.Array:
@@ -125,7 +125,7 @@ def counts_of(text: Column) -> Column:
         give_back()
         return out
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def coordinates() -> list[Column]:
