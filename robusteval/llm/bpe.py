@@ -246,21 +246,10 @@ class Codec:
         store = self.store
         if len(store) > self.most:
             store.clear()
-        known: list[list[bytes | None]] = []
-        gaps: list[tuple[int, int, str]] = []
-        for k, t in enumerate(texts):
-            pieces = self._split(t) if t else []
-            ids = list(map(store.get, pieces))
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                gaps.append((k, at, pieces[at]))
-            known.append(ids)
-        new = list({p for _, _, p in gaps})
+        pieces = [self._split(t) if t else [] for t in texts]
+        new = list(set().union(*pieces).difference(store))
         store.update(zip(new, self.merge_new(new)))
-        for k, at, p in gaps:
-            known[k][at] = store[p]
-        return [b"".join(ids) for ids in known]
+        return [b"".join(map(store.__getitem__, p)) for p in pieces]
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of

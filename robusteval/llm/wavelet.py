@@ -385,20 +385,22 @@ class LibraryCodec(bpe.Codec):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.begins = np.array([b[:1] == b" " for b in self.bytes_of])
 
     def merge_new(self, pieces: list[str]) -> list[bytes]:
         """Most new pieces are a space and a word: many of them side by side make
-        a text that the library splits into just these, so they share a call."""
+        a text that the library splits into just these, so they share a call; a token
+        with a space in front begins the next of them."""
         found: dict[str, bytes] = {}
         words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         runs = [words[k : k + 256] for k in range(0, len(words), 256)]
-        for run, e in zip(runs, self.library.encode_batch(list(map("".join, runs)), add_special_tokens=False)):
-            word_of = np.array(e.word_ids, dtype=np.int64)
-            if word_of[-1] != len(run) - 1:
+        for run, e in zip(runs, self.library.encode_batch_fast(list(map("".join, runs)), add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            starts = (np.flatnonzero(self.begins[ids]) * 4).tolist()
+            if len(starts) != len(run):
                 continue
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            ends = (np.cumsum(np.bincount(word_of)) * 4).tolist()
-            found.update(zip(run, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+            raw = ids.tobytes()
+            found.update(zip(run, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]))
         rest = [p for p in pieces if p not in found]
         encoded = self.library.encode_batch_fast([p.removeprefix(bpe.MARK) for p in rest], add_special_tokens=False)
         found.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(rest, encoded))
