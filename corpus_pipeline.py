@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from robusteval.llm import bpe, langid, mixing, quality, simhash
 from robusteval.llm.common import discard, documents, last_saved, save, scratch
-from robusteval.session import ship_package
+from robusteval.session import ship_package, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     go by their text; null languages teach nothing.
     """
     ship_package(spark)
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
@@ -40,6 +41,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     sources are groups like any other; equal distances are judged alike.
     """
     ship_package(spark)
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
@@ -50,6 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with a null id all stay, as nothing names them.
     """
     ship_package(spark)
+    small_batches(spark)
     return simhash.keep_representatives(docs)
 
 
@@ -69,6 +72,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null; each copy of a row is a row.
     """
     ship_package(spark)
+    small_batches(spark)
     return bpe.round_trip(docs, bpe.default_path(), keep_ids=True)
 
 
