@@ -192,3 +192,20 @@ def test_entry_point(spark):
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert keys.object_fingerprint({})
+
+
+def test_small_batches_leave_a_session_its_own_choice(spark):
+    from robusteval.session import small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "500")
+        small_batches(spark)
+        assert spark.conf.get(name) == "500"
+        spark.conf.unset(name)
+        if spark.conf.get(name) == "10000":
+            small_batches(spark, 1234)
+            assert spark.conf.get(name) == "1234"
+    finally:
+        spark.conf.set(name, before)
