@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from robusteval.llm import infilling
 from robusteval.llm.bpe import op4_bpe
+from robusteval.llm.infilling import op11_lookaround_infilling
 from robusteval.llm.langid import op10_naive_bayes_langid
 from robusteval.llm.licenses import op5_license_scan
 from robusteval.llm.mixing import op9_entropy_mix
@@ -24,7 +26,8 @@ QUERIES = {
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_entropy_mix": op9_entropy_mix,
     "op10_naive_bayes_langid": op10_naive_bayes_langid,
+    "op11_lookaround_infilling": op11_lookaround_infilling,
 }
 
-#: None of these can be expressed in SQL: see tests/llm.
-ORACLES: dict[str, str] = {}
+#: The others can't be expressed in SQL: see tests/llm.
+ORACLES: dict[str, str] = {"op11_lookaround_infilling": infilling.ORACLE_SQL}
