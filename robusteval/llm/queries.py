@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from robusteval.llm import infilling
 from robusteval.llm.bpe import op4_bpe
+from robusteval.llm.duckbpe import op13_duckdb_bpe
 from robusteval.llm.infilling import op11_lookaround_infilling
 from robusteval.llm.langid import op10_naive_bayes_langid
 from robusteval.llm.licenses import op5_license_scan
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_entropy_mix": op9_entropy_mix,
     "op10_naive_bayes_langid": op10_naive_bayes_langid,
     "op11_lookaround_infilling": op11_lookaround_infilling,
+    "op13_duckdb_bpe": op13_duckdb_bpe,
 }
 
 #: The others can't be expressed in SQL: see tests/llm.
