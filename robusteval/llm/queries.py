@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from robusteval.llm import infilling
+from robusteval.llm import infilling, ranking
 from robusteval.llm.bpe import op4_bpe
 from robusteval.llm.duckbpe import op13_duckdb_bpe
 from robusteval.llm.infilling import op11_lookaround_infilling
@@ -10,6 +10,7 @@ from robusteval.llm.langid import op10_naive_bayes_langid
 from robusteval.llm.licenses import op5_license_scan
 from robusteval.llm.mixing import op9_entropy_mix
 from robusteval.llm.quality import op1_mcd_quality
+from robusteval.llm.ranking import op12_tiered_search
 from robusteval.llm.sharding import op7_jump_sharding
 from robusteval.llm.simhash import op3_simhash
 from robusteval.llm.toxicity import op2_lexicon_toxicity
@@ -28,8 +29,9 @@ QUERIES = {
     "op9_entropy_mix": op9_entropy_mix,
     "op10_naive_bayes_langid": op10_naive_bayes_langid,
     "op11_lookaround_infilling": op11_lookaround_infilling,
+    "op12_tiered_search": op12_tiered_search,
     "op13_duckdb_bpe": op13_duckdb_bpe,
 }
 
 #: The others can't be expressed in SQL: see tests/llm.
-ORACLES: dict[str, str] = {"op11_lookaround_infilling": infilling.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op11_lookaround_infilling": infilling.ORACLE_SQL, "op12_tiered_search": ranking.ORACLE_SQL}
