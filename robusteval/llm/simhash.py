@@ -163,12 +163,15 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = 512) -> Da
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int, block: int) -> DataFrame:
-    """(id, text_hash, fp, component_id) for every row of docs."""
+    """(id, text_hash, fp, component_id) for every row of docs. Fingerprints link, not
+    ids: rows without an id connect like any others, and a component is named by the
+    smallest id in it."""
     marks = save(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = save(marks.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    found = components(near_links(distinct.filter("id is not null"), max_bits, block))
-    names = distinct.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return marks.join(names, "fp", "left")
+    distinct = save(marks.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
+    found = components(near_links(distinct.select("fp", F.col("fp").alias("id")), max_bits, block))
+    of = save(distinct.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component")), "members")
+    names = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return marks.join(of.join(names, "component").select("fp", "component_id"), "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, block: int = 512) -> DataFrame:

@@ -102,3 +102,18 @@ def test_one_row_of_a_repeated_id_stays_and_no_group_is_lost(spark):
         kept = simhash.keep_representatives(docs, few=few)
         assert kept.columns == docs.columns
         assert sorted((r.doc_id, r.text) for r in kept.collect()) == [rows[0], rows[2], rows[5]]
+
+
+def test_rows_without_an_id_connect_others(spark):
+    """Fingerprints a, c and b lie in a row, c only on a row without an id."""
+    fps = {1: 0, None: 0b111, 2: 0b111111, 3: 0xFFFF << 40}
+    rows = spark.createDataFrame(list(fps.items()), "id long, fp long")
+    marks = rows.select("id", "fp", F.lit(0).cast("long").alias("text_hash"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "fingerprints", lambda *_: marks)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, "id", "fp").collect()}
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}
+    lone = spark.createDataFrame([(None, 5), (None, 5)], "id long, fp long").select("id", "fp", F.lit(0).cast("long").alias("text_hash"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "fingerprints", lambda *_: lone)
+        assert [r.component_id for r in simhash.near_duplicates(lone, "id", "fp").collect()] == [None, None]
