@@ -14,12 +14,13 @@ cell), so what reaches the driver is a few numbers per cell, however many
 documents there are.
 
 Rates become copies without a random draw: a document gets floor(r) copies, and
-for the remaining fraction documents are dealt by a hash of id and text into small
+for the remaining fraction documents are dealt by a hash of id, text and source into small
 bins within classes of byte length of their source; a fold over the bins, longest
 texts first, takes a bin exactly when that keeps the words taken nearest the
 running target. The error left is about half of the last, smallest bin. Rows
-that repeat an id and its text are numbered first, so they fall into bins of
-their own like any others.
+that repeat an id, its text and its source are numbered first, so they fall into
+bins of their own like any others; as rows of a key are alike, it doesn't matter
+which of them has which number, on this run or another.
 
 DataFrame functions only; no Python runs on the executors.
 
@@ -156,8 +157,10 @@ def length_class(text: str) -> Column:
     return F.floor(F.log2(F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) + 1)).cast("int")
 
 
-def row_key(ident: str, text: str) -> Column:
-    return F.xxhash64(F.col(ident).cast("string"), F.col(text).cast("string"))
+def row_key(ident: str, text: str, source: str) -> Column:
+    """A hash of what tells rows apart; a null is a value of its own."""
+    values = [F.col(c).cast("string") for c in (ident, text, source)]
+    return F.xxhash64(*[x for v in values for x in (F.isnull(v), F.coalesce(v, F.lit("")))])
 
 
 def bin_no() -> Column:
@@ -256,7 +259,7 @@ def settled(rate: float) -> float:
 def measured(docs: DataFrame, ident: str, text: str, source: str) -> tuple[DataFrame, DataFrame | None]:
     """The saved narrow rows of docs, (ident, source, size, class, row_key, nth), and the
     row keys that repeat. Words are counted here and nowhere else."""
-    rows = docs.select(F.col(ident).alias("ident"), F.col(source).cast("string").alias("source"), words_in(text).alias("size"), length_class(text).alias("class"), row_key(ident, text).alias("row_key"))
+    rows = docs.select(F.col(ident).alias("ident"), F.col(source).cast("string").alias("source"), words_in(text).alias("size"), length_class(text).alias("class"), row_key(ident, text, source).alias("row_key"))
     rows = save(rows, "sizes")
     again = repeated(rows)
     return (numbered(rows, None) if again is None else save(numbered(rows, again), "sizes")), again
@@ -275,7 +278,7 @@ def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = docs.toDF(*names.values())
     text, source, ident = names[text_col], names[source_col], names[id_col]
     sizes, again = measured(held, ident, text, source)
-    rows = held.select("*", F.col(source).cast("string").alias("source"), length_class(text).alias("class"), row_key(ident, text).alias("row_key"))
+    rows = held.select("*", F.col(source).cast("string").alias("source"), length_class(text).alias("class"), row_key(ident, text, source).alias("row_key"))
     out = with_copies(numbered(rows, again), sizes, "source")
     out = out.filter("copies > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*names.values()).toDF(*docs.columns)

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 
@@ -107,3 +108,15 @@ def test_two_margins_reach_both(spark):
 def test_no_python_on_executors(spark, sf_dir):
     plan = mixing.op9_entropy_mix(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_one_text_in_two_sources_gets_the_same_copies_on_any_partitioning(spark):
+    rows = [(k, f"text {k} " * (k % 9 + 1), s) for k in range(600) for s in ("a", "b")] + [(5000 + k, f"other {k} " * (k % 7 + 1), "ab"[k % 2]) for k in range(900)] + [(k, f"text {k} " * (k % 9 + 1), "a") for k in range(0, 600, 50)]
+    results, taken = [], []
+    for parts, order in ((1, rows), (7, rows[::-1]), (5, rows[::3] + rows[1::3] + rows[2::3])):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(parts)
+        by_source = mixing.mix(docs).collect()
+        results.append(Counter((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in by_source))
+        taken.append(Counter(map(tuple, mixing.take_copies(docs).collect())))
+    assert results[0] == results[1] == results[2]
+    assert taken[0] == taken[1] == taken[2]
