@@ -14,10 +14,14 @@ sums are kept per group and bin (at most ``MAX_BIN - MIN_BIN`` of them, whatever
 the group's size), and the nearest share is read off the cumulated bins; so a hot
 source costs no more memory than any other.
 
-No group rests on a few rows of its own: its centre and covariance are averaged
-with its language's, which counts as ``PRIOR`` rows, and the language's likewise
-with those of all rows. The weights follow from row counts smoothly; no group
-size is treated apart.
+No group rests on a few rows of its own: its estimate is pooled with its language's,
+and the language's likewise with that of all rows. Pooled like two samples, the
+spread includes the distance of the two centres, so a clean source that differs from
+its language is not judged by its own narrow spread around a centre that is not its
+own. The centre's weight is n**3 / (n**3 + CENTRE**3) for n rows: far rows of a group
+of three or four are rejected, those of a group of ten are its ordinary rows. The
+language's covariance counts as ``PRIOR`` rows. The weights follow from row counts
+smoothly; no group size is treated apart.
 
 The estimates are regularised: every statistic has a least spread (``FLOORS``),
 and no eigenvalue of a covariance, measured in these units, is taken below one.
@@ -56,8 +60,9 @@ SHARE = 0.75
 #: chi-squared distribution of four degrees of freedom.
 CUTOFF = 18.467
 STEPS = 5
-#: Rows that the estimate above a group counts for.
-PRIOR = 60
+#: Rows that the covariance above a group counts for, and rows at which a group's own
+#: centre counts as much as the one above it.
+PRIOR, CENTRE = 60, 18
 MIN_BIN, MAX_BIN = -64, 192
 
 
@@ -267,6 +272,12 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
     return concentrate(least, True).select("gid", "rows", "m", "cov")
 
 
+def pooled(rows: float, m: np.ndarray, c: np.ndarray, above_m: np.ndarray, above_c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A group's centre and covariance pooled with those above it."""
+    own, w = rows / (rows + PRIOR), rows**3 / (rows**3 + CENTRE**3)
+    return w * m + (1 - w) * above_m, own * c + (1 - own) * above_c + w * (1 - w) * np.outer(m - above_m, m - above_m)
+
+
 def _shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Estimates of a group, its language and all rows to the one that judges it."""
     for pdf in batches:
@@ -277,8 +288,7 @@ def _shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if m is None or c is None:
                     continue
                 m, c = np.asarray(m), np.asarray(c).reshape(len(COORDS), -1)
-                w = 1.0 if mean is None else rows / (rows + PRIOR)
-                mean, cov = (m, c) if mean is None else (w * m + (1 - w) * mean, w * c + (1 - w) * cov)
+                mean, cov = (m, c) if mean is None else pooled(rows, m, c, mean, cov)
             if mean is not None:
                 out.append({"group": r.group, "m": mean.tolist(), "p": inverse(cov)})
         if out:

@@ -91,8 +91,12 @@ def brute_distances(rows):
             for of in ([True] * len(rows), [r[0] == lang for r in rows], [r[:2] == (lang, source) for r in rows]):
                 part = x[np.array(of)]
                 m, c = brute_estimate(part)
-                w = 1 if mean is None else len(part) / (len(part) + quality.PRIOR)
-                mean, cov = (m, c) if mean is None else (w * m + (1 - w) * mean, w * c + (1 - w) * cov)
+                if mean is None:
+                    mean, cov = m, c
+                    continue
+                own, w, apart = len(part) / (len(part) + 60), 1 / (1 + (18 / len(part)) ** 3), m - mean
+                cov = own * c + (1 - own) * cov + w * (1 - w) * apart[:, None] * apart[None, :]
+                mean = mean + w * apart
             known[lang, source] = mean, np.linalg.inv(cov)
         m, p = known[lang, source]
         out.append((at - m) @ p @ (at - m))
@@ -169,3 +173,18 @@ def test_edge_rows(spark):
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and kept.count() == 154
     assert quality.quality(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 30, 100, 300])
+def test_clean_sources_with_a_centre_of_their_own_are_kept(spark, n):
+    """Longer words with signs in one source of a language: its ordinary rows; and junk
+    among the language's rows goes all the same."""
+    rng = np.random.default_rng(n)
+    word = lambda a, b: "".join(rng.choice(list("abcdefghij"), rng.integers(a, b)))
+    clean = [(k, " ".join(word(3, 8) for _ in range(60)), "en", "prose") for k in range(1500)]
+    other = [(5000 + k, " ".join(word(9, 16) + (" & " if rng.random() < 0.2 else "") for _ in range(60)), "en", "own") for k in range(n)]
+    junk = [(9000 + k, " ".join(word(3, 8) + "###$$" for _ in range(60)), "en", "prose") for k in range(20)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(clean + other + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[k] for k, *_ in clean) >= 1495
+    assert sum(got[k] for k, *_ in other) >= n - max(1, n // 100)
+    assert not any(got[k] for k, *_ in junk)
