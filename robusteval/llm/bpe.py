@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from robusteval.llm.common import give_back, spread_documents
+from robusteval.llm.pieces import splitter
 
-#: Splitting rule of byte-level vocabularies of this kind (fixed value).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Of Latin-1, letters, numbers and white space: the same rule with explicit
-#: classes, for the standard library's faster engine (fixed values).
-_LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\f\v\x85\xa0"
-LATIN_PIECES = f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Pieces whose ids a worker keeps.
 STORE = 200_000
 #: Begins a special token in a list of pieces; the rule above never joins a control and a letter.
@@ -68,7 +62,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         by_length = sorted(self.special, key=len, reverse=True)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
-        self.any_pieces, self.latin_pieces = regex.compile(PIECES), re.compile(LATIN_PIECES)
+        self.pieces = splitter("tokenizers")
         self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in vocab.items():
             if token not in self.special:
@@ -218,14 +212,6 @@ class Codec:
 
     # -- texts ------------------------------------------------------------------
 
-    def pieces(self, text: str) -> list[str]:
-        """The pre-tokens of a text without special tokens."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.any_pieces.findall(text)
-        return self.latin_pieces.findall(text)
-
     def _split(self, text: str) -> list[str]:
         """Pieces of a text; special tokens are pieces of their own."""
         if self.split_special is None or not any(s in text for s in self.special):
@@ -313,7 +299,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-
-
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spread_documents(spark, sf_dir), default_path())

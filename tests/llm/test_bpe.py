@@ -92,8 +92,16 @@ def test_edge_rows(spark):
     assert one.ids == Tokenizer.from_file(bpe.default_path()).encode("one two").ids
 
 
-def test_both_splitting_rules_agree_on_latin(own):
+def test_all_code_points_are_split_as_the_library_does(own, library):
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for at in range(0, len(points), 30_000):
+        text = "".join(f"x{chr(p)}x 1{chr(p)}1 !{chr(p)} " for p in points[at : at + 30_000])
+        assert ids(own.encode_batch([text])[0]) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_the_three_splitting_rules_agree_on_latin(own):
     rng = random.Random(8)
+    rules = own.pieces
     for _ in range(4000):
         t = "".join(chr(rng.choice([32, 39, rng.randrange(256), rng.randrange(256)])) for _ in range(rng.randint(0, 30)))
-        assert own.latin_pieces.findall(t) == own.any_pieces.findall(t)
+        assert rules.latin.findall(t) == rules.basic.findall(t) == rules.any.findall(t)
