@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from robusteval import constants as C
 from robusteval import oracles as O
 from robusteval.functions import answers, gates, keys, records
-from robusteval.operators import adjudicate, budget, interventions, keysets, metrics, stats
+from robusteval.operators import adjudicate, budget, interventions, keysets, metrics, resample, stats
 from robusteval.plans import requests
 from robusteval.sources import files, fixtures
 from robusteval.streaming import resume
@@ -733,67 +733,60 @@ def st_mcnemar(spark, sf):
     return r6(rows.select("*", stats.binomial_p(F.col("b"), F.col("c")).alias("pvalue")))
 
 
-_DRAWS = 50
-_INDEX = lambda n: f"(('0x' || substr(md5(concat_ws(':', '{C.BOOTSTRAP_SEED}', draw::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT % {n})"
+_MIX = lambda x: f"xor(({x}) >> 16, ({x}))"
+
+
+def _hashed(src: str, x: str, out: str) -> str:
+    """src with out, the 32-bit hash of x."""
+    for k in (1, 2):
+        src = f"(SELECT * EXCLUDE ({'__y' if k == 1 else '__z'}), ({_MIX('__y' if k == 1 else '__z')} * {resample.MULTIPLIER}) & 4294967295 AS {'__z' if k == 1 else '__w'} FROM " + (f"(SELECT *, ({x}) & 4294967295 AS __y FROM {src})" if k == 1 else src) + ")"
+    return f"(SELECT * EXCLUDE (__w), {_MIX('__w')} AS {out} FROM {src})"
 
 
 def _drawn(src: str, by: str, item: str) -> str:
+    """Items drawn with replacement, one row each: groups of one block, which is where
+    picks begin; larger groups are tested against the same weights in numpy."""
+    group = f"(SELECT {by}, count(*) AS n FROM {src} GROUP BY ALL)"
+    draws = f"(SELECT *, unnest(range({C.BOOTSTRAP_RESAMPLES})) AS draw FROM " + _hashed(group, str(C.BOOTSTRAP_SEED), "h0") + ")"
+    slots = f"(SELECT * EXCLUDE (h0, h1), unnest(range(n)) AS slot FROM " + _hashed(_hashed(draws, "h0 + draw", "h1"), "h1 + 0", "h2") + ")"
     return f"""
-num AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {item}) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS n FROM {src}),
-slots AS (SELECT {by}, n, draw, unnest(range(n)) AS slot FROM (SELECT {by}, max(n) AS n, unnest(range({_DRAWS})) AS draw FROM num GROUP BY {by})),
-drawn AS (SELECT num.*, draw FROM (SELECT {by}, draw, {_INDEX('n')} AS pos FROM slots) JOIN num USING ({by}, pos))"""
+num AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {item}) - 1 AS pos FROM {src}),
+drawn AS (SELECT num.*, draw FROM (SELECT {by}, draw, h3 % n AS pos FROM {_hashed(slots, 'h2 + slot', 'h3')}) JOIN num USING ({by}, pos))"""
 
 
 _Q = lambda c: f"round(quantile_cont({c}, 0.025), 6) AS {c}_low, round(quantile_cont({c}, 0.975), 6) AS {c}_high"
-
-
-@query(O.with_(*_MAINF, _drawn("fi", O.GROUP, "item_id")) + f", e AS (SELECT {O.GROUP}, draw, avg(mean_correctness) AS mean FROM drawn GROUP BY ALL) SELECT {O.GROUP}, {_Q('mean')} FROM e GROUP BY ALL")
-def st_bootstrap(spark, sf):
-    items = metrics.item_robustness(metrics.item_forms(main_rows(spark, sf)))
-    return r6(stats.bootstrap_mean(items, BY, "item_id", "mean_correctness", _DRAWS))
-
-
-@query(
+_BOOT_MEAN = O.with_(*_MAINF, _drawn("fi", O.GROUP, "item_id")) + f", e AS (SELECT {O.GROUP}, draw, avg(mean_correctness) AS mean FROM drawn GROUP BY ALL) SELECT {O.GROUP}, {_Q('mean')} FROM e GROUP BY ALL"
+_BOOT_VARIANCE = (
     O.with_(*_MAINF, f"iv AS (SELECT {O.GROUP}, item_id, avg(run_variance) AS run, var_pop(solve_rate) AS form, avg(solve_rate) AS item_mean FROM f GROUP BY ALL)", _drawn("iv", O.GROUP, "item_id"))
     + f""", e AS (SELECT {O.GROUP}, draw, avg(run) AS v_run, avg(form) AS v_form, var_pop(item_mean) AS v_item FROM drawn GROUP BY ALL),
 g AS (SELECT *, CASE WHEN v_run + v_form + v_item > 0 THEN v_form / (v_run + v_form + v_item) ELSE 0 END AS pi_form FROM e)
 SELECT {O.GROUP}, {_Q('v_run')}, {_Q('v_form')}, {_Q('v_item')}, {_Q('pi_form')} FROM g GROUP BY ALL"""
 )
-def st_boot_variance(spark, sf):
-    return r6(stats.bootstrap_variance(metrics.item_forms(main_rows(spark, sf)), BY, _DRAWS))
-
-
-@query(
+_BOOT_PAIRED = (
     O.with_(*_MAINF, "df AS (SELECT a.dataset, a.item_id, (a.robust::INT - b.robust::INT)::DOUBLE AS d FROM fi a JOIN fi b USING (dataset, item_id) WHERE a.mode = 'thinking' AND b.mode = 'non_thinking')", _drawn("df", "dataset", "item_id"))
     + f", e AS (SELECT dataset, draw, avg(d) AS mean FROM drawn GROUP BY ALL) SELECT dataset, round(any_value(effect), 6) AS effect, {_Q('mean')} FROM e JOIN (SELECT dataset, avg(d) AS effect FROM df GROUP BY ALL) USING (dataset) GROUP BY dataset"
 )
-def st_paired_diff(spark, sf):
-    pairs = jn_paired(spark, sf).select("dataset", "item_id", (metrics.number("left_value") - metrics.number("right_value")).alias("d"))
-    effect = pairs.groupBy("dataset").agg(F.avg("d").alias("effect"))
-    return r6(effect.join(stats.bootstrap_mean(pairs, ["dataset"], "item_id", "d", _DRAWS), "dataset"))
-
-
-# The same at the configured number of draws. SQL is too slow for these: they are
-# tested against plain draws in numpy.
 
 
-@query()
-def st_bootstrap_full(spark, sf):
+@query(_BOOT_MEAN, "st_bootstrap_full")
+@query(_BOOT_MEAN)
+def st_bootstrap(spark, sf):
     items = metrics.item_robustness(metrics.item_forms(main_rows(spark, sf)))
-    return r6(stats.bootstrap_groups(items, BY, "item_id", ["mean_correctness"], stats.drawn_mean, ["mean"]))
+    return r6(resample.mean(items, BY, "item_id", "mean_correctness"))
 
 
-@query()
-def st_boot_variance_full(spark, sf):
-    items = stats.item_variances(metrics.item_forms(main_rows(spark, sf)), BY)
-    return r6(stats.bootstrap_groups(items, BY, "item_id", ["run", "form", "item_mean"], stats.drawn_variance, ["v_run", "v_form", "v_item", "pi_form"]))
+@query(_BOOT_VARIANCE, "st_boot_variance_full")
+@query(_BOOT_VARIANCE)
+def st_boot_variance(spark, sf):
+    return r6(resample.variance(stats.item_variances(metrics.item_forms(main_rows(spark, sf)), BY), BY))
 
 
-@query()
-def st_paired_diff_full(spark, sf):
+@query(_BOOT_PAIRED, "st_paired_diff_full")
+@query(_BOOT_PAIRED)
+def st_paired_diff(spark, sf):
     pairs = jn_paired(spark, sf).select("dataset", "item_id", (metrics.number("left_value") - metrics.number("right_value")).alias("d"))
     effect = pairs.groupBy("dataset").agg(F.avg("d").alias("effect"))
-    return r6(effect.join(stats.bootstrap_groups(pairs, ["dataset"], "item_id", ["d"], stats.drawn_mean, ["mean"]), "dataset"))
+    return r6(effect.join(resample.mean(pairs, ["dataset"], "item_id", "d"), "dataset"))
 
 
 # -- interventions ---------------------------------------------------------------

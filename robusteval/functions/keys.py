@@ -35,12 +35,6 @@ def stable_seed_value(*parts) -> int:
     return int.from_bytes(hashlib.sha256("\x1f".join(map(str, parts)).encode()).digest()[:4], "big") & 0x7FFFFFFF
 
 
-def draw_index(n: Column, *parts) -> Column:
-    """An index below n that every engine computes alike."""
-    joined = F.concat_ws(":", *[text_of(p) for p in parts])
-    return F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("long") % n
-
-
 def hash_order(seed, *parts) -> Column:
     """A sort key: the digest of seed and parts."""
     return F.sha2(F.concat_ws(":", text_of(seed), *[text_of(p) for p in parts]), 256)

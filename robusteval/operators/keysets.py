@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from robusteval.operators.order import ranked
+
 
 def missing(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that are expected but not there."""
@@ -57,11 +59,11 @@ def examples(keys: DataFrame, order: list[str], most: int = 25) -> DataFrame:
 
 
 def batched(rows: DataFrame, size: int, order: list[str], by: list[str]) -> DataFrame:
-    """rows with their batch number within a bucket: consecutive batches of a size."""
+    """rows with their batch number within a bucket: consecutive batches of a size,
+    from the rows' places in order, however large a bucket is."""
     if size <= 0:
         raise ValueError("batch size must be above zero")
-    place = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("long"))
+    return ranked(rows, by, order).withColumn("batch", F.floor(F.col("pos") / size).cast("long")).drop("pos", "n")
 
 
 def surfaces(manifest: DataFrame, rewordings: DataFrame, split: str) -> DataFrame:

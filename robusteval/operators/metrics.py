@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from robusteval import constants as C
+from robusteval.operators.order import quantiles, ranked
 
 BY = ["dataset", "mode", "method"]
 
@@ -168,14 +169,14 @@ def ece_fixed(rows: DataFrame, by: list[str] = BY, bins: int = C.ECE_BINS) -> Da
 
 
 def ece_adaptive(rows: DataFrame, by: list[str] = BY, bins: int = C.ECE_BINS) -> DataFrame:
-    """The same over bins of equal count in order of confidence (ties by item)."""
-    w = W.partitionBy(*by)
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy("c", "item_id")) - 1).withColumn("n", F.count("*").over(w))
+    """The same over bins of equal count in order of confidence (ties by item). Places
+    come from counts by range, so no task orders a whole group."""
+    placed = ranked(rows.select(*by, "c", "y", "item_id"), by, ["c", "item_id"])
     k = F.least(F.lit(bins), F.col("n"))
     size, more = F.floor(F.col("n") / k), F.col("n") % k
     cut = more * (size + 1)
-    place = F.when(F.col("r") < cut, F.floor(F.col("r") / (size + 1))).otherwise(more + F.floor((F.col("r") - cut) / size))
-    return _ece(ranked.withColumn("bin", place), by, "ece_adaptive")
+    place = F.when(F.col("pos") < cut, F.floor(F.col("pos") / (size + 1))).otherwise(more + F.floor((F.col("pos") - cut) / size))
+    return _ece(placed.withColumn("bin", place), by, "ece_adaptive")
 
 
 def _ece(binned: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -238,9 +239,11 @@ def costs(rows: DataFrame, by: list[str] = BY) -> DataFrame:
 
 
 def latency(rows: DataFrame, by: list[str] = BY) -> DataFrame:
-    """Mean and exact 95th percentile of the latency summed per item."""
+    """Mean and exact 95th percentile of the latency summed per item; the percentile
+    is read off the items' places, without a buffer of a group's values."""
     per = rows.groupBy(*by, "item_id").agg(F.sum(F.coalesce("latency_seconds", F.lit(0.0))).alias("s"))
-    return per.groupBy(*by).agg(F.avg("s").alias("mean_latency_seconds_per_item"), F.percentile("s", 0.95).alias("p95_latency_seconds_per_item"))
+    means = per.groupBy(*by).agg(F.avg("s").alias("mean_latency_seconds_per_item"))
+    return means.join(quantiles(per, by, "s", {"p95_latency_seconds_per_item": 0.95}), by)
 
 
 def efficiency(accuracies: DataFrame, spent: DataFrame, by: list[str] = BY) -> DataFrame:

@@ -1,106 +1,13 @@
-"""Resampling, paired tests and intervals.
-
-Resampling indexes come from digests, so draws are the same on every engine and
-partitioning. Draw tables hold one row per draw and slot of a *group table* (a
-few numbers per item), not of the data; ``bootstrap_mean_wide`` is the form for
-many draws: each task resamples whole draws in numpy against the item table.
-"""
+"""Paired tests, step-down correction, intervals; resampling is in resample.py."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from robusteval import constants as C
-from robusteval.functions.keys import draw_index
-
-
-def numbered(values: DataFrame, by: list[str], order: str) -> DataFrame:
-    """values with their position in the group (from 0) and the group's size."""
-    w = W.partitionBy(*by)
-    return values.withColumn("pos", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
-
-
-def draws(items: DataFrame, by: list[str], resamples: int, seed: int) -> DataFrame:
-    """items (by, pos, n, ...) resampled: (by, draw, ...) with n rows per draw."""
-    sizes = items.groupBy(*by).agg(F.max("n").alias("n"))
-    slots = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("draw"))
-    slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    picked = slots.select(*by, "draw", draw_index(F.col("n"), F.lit(seed), "draw", "slot").cast("int").alias("pos"))
-    return picked.join(items.drop("n"), [*by, "pos"])
-
-
-def interval(estimates: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Percentile interval of 95 % of each column."""
-    aggs = [F.percentile(c, q).alias(f"{c}_{name}") for c in columns for q, name in ((0.025, "low"), (0.975, "high"))]
-    return estimates.groupBy(*by).agg(*aggs)
-
-
-def bootstrap_mean(values: DataFrame, by: list[str], item: str, value: str, resamples: int, seed: int = C.BOOTSTRAP_SEED) -> DataFrame:
-    """(by, mean_low, mean_high) of the mean of value over items."""
-    items = numbered(values.select(*by, item, F.col(value).alias("v")), by, item)
-    means = draws(items, by, resamples, seed).groupBy(*by, "draw").agg(F.avg("v").alias("mean"))
-    return interval(means, by, ["mean"])
-
-
-def bootstrap_mean_wide(values: DataFrame, value: str, resamples: int = C.BOOTSTRAP_RESAMPLES, seed: int = C.BOOTSTRAP_SEED, at_once: int = 64, most: int = 1_000_000) -> DataFrame:
-    """(mean, low, high) for one group and many draws. The item table, checked to be
-    at most ``most`` numbers, travels to the tasks; each resamples its draws."""
-    spark = values.sparkSession
-    table = values.select(F.col(value).cast("double").alias("v")).filter("v is not null").limit(most + 1).toPandas()["v"].to_numpy()
-    if len(table) > most:
-        raise ValueError(f"resampling takes at most {most} items at once; aggregate to items first")
-    if not len(table):
-        return spark.sql("select cast(null as double) mean, cast(null as double) low, cast(null as double) high")
-    table = np.sort(table)
-    shared = spark.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for pdf in batches:
-            means = [own[np.random.default_rng([seed, int(d)]).integers(0, len(own), len(own))].mean() for d in pdf["id"]]
-            yield pd.DataFrame({"m": means})
-
-    parts = max(1, -(-resamples // at_once))
-    found = spark.range(0, resamples, 1, parts).mapInPandas(run, "m double")
-    return found.agg(F.lit(float(table.mean())).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-
-
-def bootstrap_groups(items: DataFrame, by: list[str], item: str, columns: list[str], estimate: Callable[[np.ndarray], dict[str, float]], names: list[str], resamples: int = C.BOOTSTRAP_RESAMPLES, seed: int = C.BOOTSTRAP_SEED, slices: int = 32) -> DataFrame:
-    """(by, name_low, name_high of each name) for groups and many draws: each task has
-    one group's items and resamples its share of the draws. estimate takes the drawn
-    columns (slots, columns) and gives the estimates; nulls are NaN there."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
-        own, n = pdf[columns].to_numpy(dtype=float), len(pdf)
-        found = [estimate(own[np.random.default_rng([seed, d]).integers(0, n, n)]) for d in range(int(pdf["slice"].iloc[0]), resamples, slices)]
-        out = pd.DataFrame(found, columns=names)
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        return out[[*by, *names]]
-
-    dealt = items.select(*by, item, *columns, F.explode(F.sequence(F.lit(0), F.lit(min(slices, resamples) - 1))).alias("slice"))
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*by).schema), *(f"`{c}` double" for c in names)])
-    drawn = dealt.groupBy(*by, "slice").applyInPandas(run, kinds)
-    drawn = drawn.select(*by, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
-    return interval(drawn, by, names)
-
-
-def drawn_mean(own: np.ndarray) -> dict[str, float]:
-    known = own[~np.isnan(own[:, 0]), 0]
-    return {"mean": known.mean() if len(known) else np.nan}
-
-
-def drawn_variance(own: np.ndarray) -> dict[str, float]:
-    run, form, item = own[:, 0].mean(), own[:, 1].mean(), own[:, 2].var()
-    total = run + form + item
-    return {"v_run": run, "v_form": form, "v_item": item, "pi_form": form / total if total > 0 else 0.0}
 
 
 def item_variances(forms: DataFrame, by: list[str]) -> DataFrame:
@@ -110,15 +17,6 @@ def item_variances(forms: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def bootstrap_variance(forms: DataFrame, by: list[str], resamples: int, seed: int = C.BOOTSTRAP_SEED) -> DataFrame:
-    """(by, v_run_low, ... pi_form_high): items are resampled, components recomputed."""
-    items = numbered(item_variances(forms, by), by, "item_id")
-    drawn = draws(items, by, resamples, seed).groupBy(*by, "draw").agg(F.avg("run").alias("v_run"), F.avg("form").alias("v_form"), F.var_pop("item_mean").alias("v_item"))
-    total = F.col("v_run") + F.col("v_form") + F.col("v_item")
-    drawn = drawn.withColumn("pi_form", F.when(total > 0, F.col("v_form") / total).otherwise(F.lit(0.0)))
-    return interval(drawn, by, ["v_run", "v_form", "v_item", "pi_form"])
-
-
 def paired(left: DataFrame, right: DataFrame, on: list[str], value: str) -> DataFrame:
     """(on, left_value, right_value) of the keys both have."""
     a = left.select(*on, F.col(value).alias("left_value"))

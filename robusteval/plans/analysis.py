@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from robusteval import constants as C
-from robusteval.operators import budget, metrics, stats
+from robusteval.operators import budget, metrics, resample, stats
 from robusteval.operators.adjudicate import guard_decided
 
 
@@ -25,8 +25,8 @@ def analyze(scored: DataFrame, resamples: int = C.BOOTSTRAP_RESAMPLES, seed: int
     return {
         "main": metrics.main_metrics(main),
         "layers": metrics.layer_metrics(main),
-        "main_intervals": stats.bootstrap_groups(items, metrics.BY, "item_id", ["mean_correctness"], stats.drawn_mean, ["mean"], resamples, seed),
-        "variance_intervals": stats.bootstrap_groups(stats.item_variances(forms, metrics.BY), metrics.BY, "item_id", ["run", "form", "item_mean"], stats.drawn_variance, ["v_run", "v_form", "v_item", "pi_form"], resamples, seed),
+        "main_intervals": resample.mean(items, metrics.BY, "item_id", "mean_correctness", resamples, seed),
+        "variance_intervals": resample.variance(stats.item_variances(forms, metrics.BY), metrics.BY, resamples, seed),
         "fixed": metrics.fixed_budget(fixed),
         "token_matched": metrics.fixed_budget(budget.token_match(scored)),
         "costs": metrics.costs(scored),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from robusteval import constants as C
-from robusteval.operators import adjudicate, budget, interventions, keysets, lifecycle, metrics, stats
+from robusteval.operators import adjudicate, budget, interventions, keysets, lifecycle, metrics, order, resample, stats
 from robusteval.plans import analysis, requests
 
 ROWS = "dataset string, mode string, method string, item_id string, form_id string, seed int, sample_index int, parsed_answer string, correctness boolean, normalized_log_probability double, input_tokens long, output_tokens long, gpu_seconds double, latency_seconds double, raw_exact_match boolean, normalized_match boolean, canonical_match boolean, judge_required boolean, answer_format_ok boolean, truncated boolean, finish_reason string, raw_output string"
@@ -171,14 +171,57 @@ def test_resampling_is_near_theory(spark):
     xs = [float(rng.random() < 0.3) for _ in range(400)]
     df = spark.createDataFrame([("d", f"i{k}", x) for k, x in enumerate(xs)], "dataset string, item_id string, v double")
     mean, sd = sum(xs) / 400, (sum(xs) / 400 * (1 - sum(xs) / 400) / 400) ** 0.5
-    small = stats.bootstrap_mean(df, ["dataset"], "item_id", "v", 200).first()
-    wide = stats.bootstrap_mean_wide(df, "v", 2000).first()
-    for low, high in ((small.mean_low, small.mean_high), (wide.low, wide.high)):
-        assert low == pytest.approx(mean - 1.96 * sd, abs=0.012) and high == pytest.approx(mean + 1.96 * sd, abs=0.012)
-    assert wide.mean == pytest.approx(mean)
-    again = stats.bootstrap_mean_wide(df.repartition(7), "v", 2000).first()
-    assert (again.low, again.high) == (wide.low, wide.high)
-    assert stats.bootstrap_mean_wide(df.limit(0), "v", 10).first().low is None
+    found = resample.mean(df, ["dataset"], "item_id", "v", 2000).first()
+    blocks = resample.mean(df.repartition(7), ["dataset"], "item_id", "v", 2000, size=32, unit=2).first()
+    for r in (found, blocks):
+        assert r.mean_low == pytest.approx(mean - 1.96 * sd, abs=0.012) and r.mean_high == pytest.approx(mean + 1.96 * sd, abs=0.012)
+    again = resample.mean(df.repartition(3), ["dataset"], "item_id", "v", 2000, size=32, unit=5, at_once=123)
+    assert resample.mean(df.repartition(7), ["dataset"], "item_id", "v", 2000).first() == found
+    assert resample.mean(df.limit(0), ["dataset"], "item_id", "v", 10).count() == 0
+    assert again.count() == 1
+
+
+def test_weights_of_blocks_are_multinomial():
+    """Blocks of a draw add up to its size, and counts have the multinomial's moments."""
+    n, size, draws = 1000, 64, 3000
+    blocks = [resample.weights(n, b, min(size, n - b * size), 7, 0, draws, size) for b in range(16)]
+    whole = np.concatenate(blocks, axis=1)
+    assert whole.shape == (draws, n) and (whole.sum(axis=1) == n).all()
+    assert abs(whole.mean() - 1) < 1e-12 and abs(whole.var() - (1 - 1 / n)) < 0.01
+    inside, apart = np.corrcoef(whole[:, 3], whole[:, 5])[0, 1], np.corrcoef(blocks[0].sum(1), blocks[9].sum(1))[0, 1]
+    p = size / n
+    assert abs(inside) < 0.06 and abs(apart + p / (1 - p)) < 0.06
+    assert abs(blocks[4].sum(1).var() - n * p * (1 - p)) < 0.1 * n * p
+    by_place = whole.sum(axis=0)
+    assert ((by_place - draws) ** 2 / draws).sum() == pytest.approx(n, abs=5 * (2 * n) ** 0.5)
+
+
+def test_many_blocks_and_units_add_up_to_plain_weights(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=700), "b": rng.normal(size=5), "c": rng.normal(size=129)}
+    rows = [(g, f"i{k:04d}", float(x)) for g, xs in groups.items() for k, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "g string, item_id string, v double").repartition(6)
+    got = resample.sums(df, ["g"], "item_id", {"v": F.col("v"), "one": F.lit(1.0)}, 90, 11, size=32, unit=3, at_once=40).collect()
+    assert len(got) == 3 * 90
+    for r in got:
+        xs, first = groups[r.g], r.draw // 40 * 40
+        w = np.concatenate([resample.weights(len(xs), b, min(32, len(xs) - 32 * b), 11, first, min(40, 90 - first), 32)[r.draw - first] for b in range(-(-len(xs) // 32))])
+        assert r.one == len(xs) and r.v == pytest.approx(float(w @ xs))
+
+
+def test_places_and_quantiles_need_no_window_over_a_group(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.5, 2.5, rng.random(), -rng.random()]), k) for k in range(3000)] + [("lone", 1.0, -1), ("lone", None, -2)]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(9)
+    got = {r.id: (r.pos, r.n) for r in order.ranked(df, ["g"], ["v", "id"]).collect()}
+    for g in ("a", "b", None, "lone"):
+        mine = sorted(((v is not None, v), i) for x, v, i in rows if x == g)
+        assert [got[i] for _, i in mine] == [(k, len(mine)) for k in range(len(mine))]
+    found = order.quantiles(df, ["g"], "v", {"low": 0.025, "mid": 0.5, "top": 1.0})
+    for r in found.collect():
+        own = [v for x, v, _ in rows if x == r.g and v is not None]
+        assert [r.low, r.mid, r.top] == pytest.approx(np.quantile(own, [0.025, 0.5, 1.0]).tolist())
+    assert order.ranked(df.limit(0), ["g"], ["id"]).count() == 0
 
 
 def test_key_sets(spark):
@@ -292,41 +335,7 @@ def test_the_whole_plan_is_sorted(spark, sf_dir):
     assert len(rows) == len(kept) > 500
 
 
-def test_the_full_bootstraps_make_all_draws(spark, sf_dir):
-    from robusteval import catalog
-
-    def brute(rows, statistic):
-        n = len(rows)
-        out = []
-        for d in range(10_000):
-            at = np.random.default_rng([C.BOOTSTRAP_SEED, d]).integers(0, n, n)
-            out.append(statistic(rows[at]))
-        return np.quantile(out, [0.025, 0.975])
-
-    forms = metrics.item_forms(catalog.main_rows(spark, sf_dir)).cache()
-    items = metrics.item_robustness(forms).toPandas()
-    shares = stats.item_variances(forms, catalog.BY).toPandas()
-    pairs = catalog.jn_paired(spark, sf_dir).toPandas()
-    pairs["d"] = pairs["left_value"].astype(float) - pairs["right_value"].astype(float)
-
-    def group(table, r, keys, columns):
-        for k in keys:
-            table = table[table[k] == r[k]]
-        return table.sort_values("item_id")[columns].to_numpy(dtype=float)
-
-    for name, table, keys, columns, checks in (
-        ("st_bootstrap_full", items, catalog.BY, ["mean_correctness"], {"mean": lambda v: v[:, 0].mean()}),
-        ("st_boot_variance_full", shares, catalog.BY, ["run", "form", "item_mean"], {"v_item": lambda v: v[:, 2].var(), "pi_form": lambda v: v[:, 1].mean() / (v[:, 0].mean() + v[:, 1].mean() + v[:, 2].var())}),
-        ("st_paired_diff_full", pairs, ["dataset"], ["d"], {"mean": lambda v: v[:, 0].mean()}),
-    ):
-        rows = catalog.QUERIES[name](spark, sf_dir).collect()
-        assert len(rows) == len(table[keys].drop_duplicates())
-        for r in rows:
-            for c, statistic in checks.items():
-                assert [r[f"{c}_low"], r[f"{c}_high"]] == pytest.approx(brute(group(table, r, keys, columns), statistic), abs=2e-6)
-
-
 def test_a_group_of_nulls_has_no_interval(spark):
     df = spark.createDataFrame([("a", "1", None), ("a", "2", None), ("b", "1", 1.0), ("b", "2", None)], "g string, item_id string, v double")
-    got = {r.g: (r.mean_low, r.mean_high) for r in stats.bootstrap_groups(df, ["g"], "item_id", ["v"], stats.drawn_mean, ["mean"], 50).collect()}
+    got = {r.g: (r.mean_low, r.mean_high) for r in resample.mean(df.withColumn("w", F.lit(1)), ["g"], "item_id", "v", 50).collect()}
     assert got == {"a": (None, None), "b": (1.0, 1.0)}
