@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from robusteval import constants as C
 from robusteval import oracles as O
-from robusteval.functions import answers, gates, keys, records
+from robusteval.functions import algebra, answers, gates, keys, records
 from robusteval.operators import adjudicate, budget, interventions, keysets, metrics, resample, stats
 from robusteval.plans import requests
 from robusteval.sources import files, fixtures
@@ -223,6 +223,20 @@ def fn_equiv(spark, sf):
     return rows.select("order_id", "line_no", "part_id", answers.equivalent_by_form(F.col("canonical_answer"), F.col("raw_extracted_answer")).alias("canonical_match"))
 
 
+# The fixture's answers are numerals and fractions of them, so SQL can compare values.
+_VALUE = """CASE WHEN contains(v, '/') THEN split_part(v, '/', 1)::DOUBLE / split_part(v, '/', 2)::DOUBLE WHEN contains(v, '%') THEN rtrim(v, '%')::DOUBLE / 100 ELSE replace(v, '_', '')::DOUBLE END = canonical_answer::DOUBLE"""
+
+
+@query(
+    O.with_(O.COMPLETIONS)
+    + rf""", plainly AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw_extracted_answer, '\\(?:frac|text)', '', 'g'), '[}}]\s*[{{]', '/', 'g'), '[${{}},]', '', 'g') AS v FROM extracted),
+valued AS (SELECT *, coalesce({_VALUE}, false) AS hit FROM plainly)
+SELECT order_id, line_no, part_id, hit AS canonical_match, CASE WHEN hit OR raw_extracted_answer IS NULL THEN 'symbolic_full' ELSE 'symbolic_extracted' END AS parser_status FROM valued"""
+)
+def fn_equiv_symbolic(spark, sf):
+    return algebra.score(fixtures.completions(spark, sf)).select("order_id", "line_no", "part_id", "canonical_match", "parser_status")
+
+
 _SCORE = ["raw_extracted_answer", "parsed_answer", "raw_exact_match", "normalized_match", "canonical_match", "correctness", "answer_format_ok", "judge_required"]
 
 
