@@ -1073,4 +1073,4 @@ def st_append_resume(spark, sf):
     for run in ("a", "b"):
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
         resume.append_new(stream, ["event_id"], f"{base}/log", f"{base}/checkpoint-{run}")
-    return spark.read.parquet(f"{base}/log")
+    return resume.read_log(spark, f"{base}/log", schema)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from robusteval import constants as C
 from robusteval.functions.keys import as_column
+from robusteval.functions.matching import ratio
 from robusteval.functions.records import strip
 
 #: A number does not start inside a word or another number.
@@ -40,7 +39,7 @@ def cleaned(rewording) -> Column:
 def edit_ratio_distance(left: str, right: str) -> float:
     """One minus the matching-blocks ratio of lower-cased, space-normalized texts."""
     a, b = (" ".join(x.lower().split()) for x in (left, right))
-    return 1.0 - SequenceMatcher(None, a, b).ratio()
+    return 1.0 - ratio(a, b)
 
 
 def edit_distance(original, rewording) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,34 +20,72 @@ def existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         raise
 
 
+class Stopped(Exception):
+    """Ends a run before its next batch writes anything."""
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a log, whichever runs and batches wrote them."""
+    return existing(spark, path, schema).select(*schema.names)
+
+
 def append_new(source: DataFrame, keys: list[str], out: str, checkpoint: str, progress: Callable[[dict], None] | None = None, should_stop: Callable[[], bool] | None = None) -> int:
     """Drains a streaming source into a Parquet log, each key once over all runs.
 
-    Every micro-batch drops its own repeats and those the log has (an anti-join on
-    keys), then appends. The log, not state, is the memory, so a lost checkpoint
-    costs a rescan and no duplicate; a batch that is replayed finds its keys there.
-    Returns the number of batches; should_stop is asked each second while they run.
+    The keys that were seen are streaming state, kept on disk and checkpointed by its
+    changes, so a batch costs what it brings, however long the log is. A checkpoint
+    that begins beside a log takes the log's keys in once, as rows of its first batch
+    that are never written: they fill the state, and the first batch leaves out what
+    the log has. So a lost checkpoint costs one scan of the log's keys and no
+    duplicate. Each batch writes a folder of its own, named by checkpoint and batch; a
+    batch that is replayed replaces it.
+
+    Returns the number of batches. should_stop is asked before each batch: it ends the
+    run between batches, and the batch that was due is the next run's first.
     """
-    schema, seen = source.schema, {"batches": 0}
+    spark, schema, seen = source.sparkSession, source.schema, {"batches": 0}
+    run, known = hashlib.sha256(checkpoint.encode()).hexdigest()[:12], f"{checkpoint}-known"
+    kinds = T.StructType([schema[k] for k in keys])
+    if not folder_exists(spark, f"{known}/_SUCCESS"):
+        existing(spark, out, schema).select(*keys).distinct().write.mode("overwrite").parquet(known)
+    logged = spark.readStream.schema(kinds).parquet(known).withColumn("__logged", F.lit(True))
+    both = source.withColumn("__logged", F.lit(False)).unionByName(logged, allowMissingColumns=True)
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        done = existing(batch.sparkSession, out, schema).select(*keys)
-        fresh = batch.dropDuplicates(keys).join(done, keys, "left_anti")
-        fresh.select(*schema.names).write.mode("append").parquet(out)
+        if should_stop and should_stop():
+            raise Stopped
+        fresh = batch.filter("not __logged").drop("__logged")
+        if batch_id == 0:
+            fresh = fresh.join(batch.sparkSession.read.schema(kinds).parquet(known), keys, "left_anti")
+        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{out}/log_run={run}/log_batch={batch_id}")
         seen["batches"] += 1
         if progress:
             progress({"batch": batch_id, "batches": seen["batches"]})
 
-    query = source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    while query.isActive:
-        query.awaitTermination(1)
-        if should_stop and should_stop():
-            query.stop()
-    if query.exception():
-        raise query.exception()
+    provider, before = "spark.sql.streaming.stateStore.providerClass", {}
+    for name, value in ((provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"), ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")):
+        before[name] = spark.conf.get(name, None)
+        spark.conf.set(name, value)
+    query = both.dropDuplicates(keys).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not (should_stop and should_stop()):
+            raise
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return seen["batches"]
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def progress_report(plan: DataFrame, done: DataFrame, keys: list[str], fingerprint: str) -> DataFrame:
     """One row: completed and expected keys, and whether the run is whole."""
     both = plan.select(*keys).distinct().join(done.select(*keys).distinct().withColumn("done", F.lit(1)), keys, "left")

@@ -27,6 +27,34 @@ def test_runs_append_each_key_once(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(log).collect()) == ["a", "b", "c"]
 
 
+def test_a_batch_reads_its_own_rows_only_and_may_be_replayed(spark, tmp_path):
+    """After the first batch nothing of the log is read: it may even be gone. A run that
+    stops leaves its due batch to the next one."""
+    source, log, check = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "c")
+    add = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(str(source))
+    own = lambda: sorted((r.k, r.v) for r in resume.read_log(spark, log, schema).collect())
+    schema = spark.createDataFrame([], SCHEMA).schema
+    add([("a", 1), ("b", 1)])
+    resume.append_new(stream(spark, source), ["k"], log, check)
+    add([("a", 2), ("c", 2)])
+    assert resume.append_new(stream(spark, source), ["k"], log, check, should_stop=lambda: True) == 0
+    assert own() == [("a", 1), ("b", 1)]
+    (tmp_path / "log").rename(tmp_path / "away")
+    assert resume.append_new(stream(spark, source), ["k"], log, check) == 1
+    assert own() == [("c", 2)]
+    (tmp_path / "log").rename(tmp_path / "later")
+    (tmp_path / "away").rename(tmp_path / "log")
+    # a replayed first batch of a new checkpoint finds its own folder and replaces it
+    resume.append_new(stream(spark, source), ["k"], log, str(tmp_path / "d"))
+    once = own()
+    import shutil
+
+    shutil.rmtree(tmp_path / "d" / "commits")
+    shutil.rmtree(tmp_path / "d" / "state")
+    resume.append_new(stream(spark, source), ["k"], log, str(tmp_path / "d"))
+    assert own() == once == [("a", 1), ("b", 1), ("c", 2)]
+
+
 def test_fingerprints_and_stop():
     resume.check_fingerprint(None, "a")
     resume.check_fingerprint("a", "a")
