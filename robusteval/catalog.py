@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from robusteval import constants as C
 from robusteval import oracles as O
 from robusteval.functions import algebra, answers, gates, keys, records
-from robusteval.operators import adjudicate, budget, interventions, keysets, metrics, resample, stats
+from robusteval.operators import adjudicate, budget, interventions, keysets, metrics, order, resample, stats
 from robusteval.plans import requests
 from robusteval.sources import files, fixtures
 from robusteval.streaming import resume
@@ -548,10 +548,30 @@ def pl_external(spark, sf):
     return requests.external_plan(found(spark, sf), 15, "reasoning", "practical").select(*_PLAN)
 
 
-@query(O.with_(O.MANIFEST) + "SELECT dataset, split, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM manifest WHERE split <> 'confirmatory' GROUP BY ALL")
+_LOCKED = "lk AS (SELECT dataset, split, item_id, row_number() OVER (PARTITION BY dataset, split ORDER BY item_id) - 1 AS pos, count(*) OVER (PARTITION BY dataset, split) AS n FROM manifest)"
+_LEAF, _FAN = 8, 16
+
+
+def _lock_level(k: int) -> str:
+    return f"t{k} AS (SELECT dataset, split, part // {_FAN} AS part, sum(n)::BIGINT AS n, sha256(string_agg(digest, chr(10) ORDER BY part)) AS digest FROM t{k - 1} GROUP BY dataset, split, part // {_FAN})"
+
+
+@query(O.with_(O.MANIFEST, _LOCKED) + "SELECT dataset, split, item_id, pos, n FROM lk")
+def agg_lock_ids(spark, sf):
+    """The frozen ids in order, a row each."""
+    return order.ranked(fixtures.manifest(spark, sf).select("dataset", "split", "item_id"), ["dataset", "split"], ["item_id"])
+
+
+@query(
+    O.with_(O.MANIFEST, _LOCKED)
+    + f""", t0 AS (SELECT dataset, split, pos // {_LEAF} AS part, count(*) AS n, sha256(string_agg(item_id, chr(10) ORDER BY item_id)) AS digest FROM lk GROUP BY dataset, split, pos // {_LEAF}),
+{", ".join(_lock_level(k) for k in (1, 2, 3, 4))},
+w AS (SELECT max(part) + 1 AS w FROM t0), h AS (SELECT CASE WHEN w <= 1 THEN 0 WHEN w <= {_FAN} THEN 1 WHEN w <= {_FAN**2} THEN 2 WHEN w <= {_FAN**3} THEN 3 ELSE 4 END AS h FROM w)
+{" UNION ALL ".join(f"SELECT dataset, split, n, digest AS root FROM t{k} WHERE (SELECT h FROM h) = {k}" for k in range(5))}"""
+)
 def agg_lock(spark, sf):
-    out = requests.lock(spark, fixtures.manifest(spark, sf).filter("split <> 'confirmatory'"))
-    return out.select("dataset", "split", F.array_join("ids", ",").alias("ids"))
+    """Each frozen split's size and digest, from ranges of few ids so that there is a tree."""
+    return requests.lock(fixtures.manifest(spark, sf), _LEAF, _FAN)
 
 
 # -- votes, robustness, calibration, costs ---------------------------------------
@@ -1035,6 +1055,26 @@ def src_jsonl(spark, sf):
     return files.read_jsonl(spark, path, "event_id long, user_id long, event_type string")
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS number FROM events")
+def src_jsonl_lines(spark, sf):
+    """One file of JSON lines in order of id, read in ranges of bytes: each row's line."""
+    path = files.shared_folder(spark, "lines")
+    files.append_jsonl(fixtures.table(spark, sf, "events").select("event_id", "user_id").repartitionByRange(1, "event_id").sortWithinPartitions("event_id"), path)
+    return files.read_numbered_jsonl(spark, path, "event_id long, user_id long").select("event_id", "number")
+
+
+@query("SELECT count(*) AS written, count(*) AS again, 2 * count(*) AS stored FROM events", "snk_jsonl_once")
+def snk_jsonl_once(spark, sf):
+    """Two appends, one of them repeated under its token: its rows are there once."""
+    rows = fixtures.table(spark, sf, "events").select("event_id")
+    path = files.shared_folder(spark, "append")
+    first = files.append_jsonl(rows, path, "a")
+    files.append_jsonl(rows, path, "b")
+    again = files.append_jsonl(rows, path, "a")
+    stored = files.read_jsonl(spark, path, "event_id long").agg(F.count("*").alias("stored"))
+    return stored.select(F.lit(first).cast("long").alias("written"), F.lit(again).cast("long").alias("again"), "stored")
+
+
 @query("SELECT (SELECT count(*) FROM events) AS written, 2 * (SELECT count(*) FROM events) AS stored")
 def snk_jsonl(spark, sf):
     rows = fixtures.table(spark, sf, "events").select("event_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from robusteval import constants as C
 from robusteval.functions.keys import hash_order, object_fingerprint, stable_seed
 from robusteval.operators.keysets import select_surfaces
+from robusteval.operators.order import ranked
 
 
 def split_by_hash(rows: DataFrame, counts: dict[str, int], seed: int = C.SPLIT_SEED) -> DataFrame:
@@ -142,7 +143,45 @@ def make_plan(experiment: str, found: DataFrame, mode: str, protocol: str, total
     return builders[experiment](), object_fingerprint(settings)
 
 
-def lock(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(dataset, split, ids): the frozen item ids in order. One row holds a split's
-    ids, whose number the split plan fixes."""
-    return rows.groupBy("dataset", "split").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+#: Ranges that the ids of a split are cut into, of about so many ids each.
+LOCK_RANGE = 1000
+
+
+def lock_ranges(rows: DataFrame, size: int = LOCK_RANGE) -> DataFrame:
+    """(dataset, split, part, first_id, last_id, n, digest): the leaves of the lock, one
+    for each range of ids in order, with the digest of its ids joined by newlines."""
+    placed = ranked(rows.select("dataset", "split", "item_id"), ["dataset", "split"], ["item_id"])
+    leaf = placed.groupBy("dataset", "split", F.floor(F.col("pos") / size).alias("part"))
+    ids = F.array_sort(F.collect_list("item_id"))
+    made = leaf.agg(ids.alias("ids"))
+    return made.select("dataset", "split", "part", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"), F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", "\n"), 256).alias("digest"))
+
+
+def lock_tree(leaves: DataFrame, fan: int = 16) -> DataFrame:
+    """(dataset, split, level, part, n, digest) of all nodes: a node's digest is that of
+    its children's, in order. Levels are added until every split has one root."""
+    level = leaves.select("dataset", "split", F.lit(0).alias("level"), "part", "n", "digest")
+    tree, height, widest = level, 0, leaves.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1
+    while widest > 1:
+        height, widest = height + 1, -(-widest // fan)
+        children = F.array_sort(F.collect_list(F.struct("part", "digest")))
+        above = level.groupBy("dataset", "split", F.floor(F.col("part") / fan).alias("part")).agg(F.sum("n").alias("n"), children.alias("c"))
+        level = above.select("dataset", "split", F.lit(height).alias("level"), "part", "n", F.sha2(F.array_join(F.transform("c", lambda x: x["digest"]), "\n"), 256).alias("digest"))
+        tree = tree.unionByName(level)
+    return tree
+
+
+def lock(rows: DataFrame, size: int = LOCK_RANGE, fan: int = 16) -> DataFrame:
+    """(dataset, split, n, root): a frozen split's size and the digest over all its ids,
+    from a tree of digests, so that no row or task holds all ids."""
+    tree = lock_tree(lock_ranges(rows, size), fan)
+    return tree.groupBy("dataset", "split").agg(F.max_by("n", "level").alias("n"), F.max_by("digest", "level").alias("root"))
+
+
+def lock_changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(dataset, split, part, first_id, last_id): ranges of the present ids that differ
+    from the locked ones, from two tables of leaves; ids are named by range only."""
+    on = ["dataset", "split", "part"]
+    old = before.select(*on, F.col("digest").alias("locked"), F.col("first_id").alias("old_first"), F.col("last_id").alias("old_last"))
+    both = now.select(*on, "digest", "first_id", "last_id").join(old, on, "full").filter(~F.col("digest").eqNullSafe(F.col("locked")))
+    return both.select(*on, F.coalesce("first_id", "old_first").alias("first_id"), F.coalesce("last_id", "old_last").alias("last_id"))

@@ -14,7 +14,8 @@ from importlib import metadata
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,22 +47,71 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
         raise
 
 
-def first_bad_line(spark: SparkSession, path: str) -> str | None:
-    """file:line of a line that is no JSON object, for messages. Files are numbered
-    whole, so this is for logs of moderate size."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    bad = text.filter((F.trim("line") != "") & ~F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False)))
-    row = bad.orderBy("file", "n").first()
-    return None if row is None else f"{row.file}:{row.n + 1}"
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, line) of text files, numbers from 1 within a file. Files are read
+    in ranges of bytes like any others: each range counts its lines, and the counts
+    before it, a few rows, say where its numbers begin."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line"),
+    )
+    counts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")
+    starts = counts.select(F.col("file").alias("of"), F.col("block").alias("from"), (before - F.col("first") + 1).alias("shift"))
+    found = lines.join(starts, (F.col("file") == F.col("of")) & (F.col("block") == F.col("from")))
+    return found.select("file", (F.col("at") + F.col("shift")).alias("number"), "line")
+
+
+def is_object(line: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT"), F.lit(False))
 
 
-def append_jsonl(df: DataFrame, path: str) -> int:
-    """Appends rows as JSON lines; returns how many were written."""
-    from pyspark.sql import Observation
+def read_numbered_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """JSON lines with their file and line number; a line that is no object stops the
+    query with ``file:number``. Blank lines are skipped, but counted."""
+    rows = numbered_lines(spark, path).filter(F.trim("line") != "")
+    told = F.raise_error(F.concat("file", F.lit(":"), F.col("number").cast("string"), F.lit(" is no JSON object")))
+    checked = rows.withColumn("line", F.when(is_object("line"), F.col("line")).otherwise(told.cast("string")))
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    return checked.select("file", "number", F.from_json("line", kind).alias("row")).select("file", "number", "row.*")
 
-    seen = Observation()
-    df.observe(seen, F.count("*").alias("n")).write.mode("append").json(path)
-    return seen.get["n"]
+
+def first_bad_line(spark: SparkSession, path: str) -> str | None:
+    """file:line of the first line that is no JSON object, for messages."""
+    bad = numbered_lines(spark, path).filter((F.trim("line") != "") & ~is_object("line"))
+    row = bad.orderBy("file", "number").first()
+    return None if row is None else f"{row.file}:{row.number}"
+
+
+def append_jsonl(df: DataFrame, path: str, token: str | None = None) -> int:
+    """Appends rows as JSON lines; returns how many. Rows are written beside the table by
+    a committed job, counted in what was committed, and put in place under names made
+    of the token; a manifest ends the append. An append of a token whose manifest is
+    there adds nothing and returns its count, and one that broke off is finished or
+    begun again without a row twice, so an append may be repeated until it is done."""
+    spark, token = df.sparkSession, token or uuid.uuid4().hex
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path
+    store = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    manifest, beside = f"{path}/_appended/{token}.json", f"{path}/_pending/{token}"
+    if store.exists(place(manifest)):
+        return json.loads(spark.read.text(manifest, wholetext=True).first()[0])["rows"]
+    count = f"{beside}.count.json"
+    if not store.exists(place(count)):
+        df.write.mode("overwrite").json(beside)
+        rows = spark.read.text(beside).count()
+        write_json(spark, count, {"rows": rows})
+    rows = json.loads(spark.read.text(count, wholetext=True).first()[0])["rows"]
+    moved = [f.getPath() for f in store.listStatus(place(beside)) if f.getPath().getName().startswith("part-")] if store.exists(place(beside)) else []
+    for part in moved:
+        if not store.rename(part, place(f"{path}/{token}-{part.getName()}")):
+            raise OSError(f"{part} could not be moved into {path}")
+    write_json(spark, manifest, {"rows": rows, "token": token})
+    for left in (beside, count):
+        store.delete(place(left), True)
+    return rows
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

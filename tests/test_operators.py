@@ -339,3 +339,16 @@ def test_a_group_of_nulls_has_no_interval(spark):
     df = spark.createDataFrame([("a", "1", None), ("a", "2", None), ("b", "1", 1.0), ("b", "2", None)], "g string, item_id string, v double")
     got = {r.g: (r.mean_low, r.mean_high) for r in resample.mean(df.withColumn("w", F.lit(1)), ["g"], "item_id", "v", 50).collect()}
     assert got == {"a": (None, None), "b": (1.0, 1.0)}
+
+
+def test_a_lock_tells_which_range_changed(spark):
+    rows = [("d", "pilot", f"i{k:03d}") for k in range(100)] + [("e", "smoke", "x")]
+    frame = lambda r: spark.createDataFrame(r, "dataset string, split string, item_id string").repartition(4)
+    one, again = (sorted(map(tuple, requests.lock(frame(r), 10, 3).collect())) for r in (rows, rows[::-1]))
+    assert one == again and [r[:3] for r in one] == [("d", "pilot", 100), ("e", "smoke", 1)]
+    changed = [r if r[2] != "i042" else ("d", "pilot", "i042b") for r in rows]
+    other = sorted(map(tuple, requests.lock(frame(changed), 10, 3).collect()))
+    assert other[0][3] != one[0][3] and other[1] == one[1]
+    found = requests.lock_changes(requests.lock_ranges(frame(rows), 10), requests.lock_ranges(frame(changed), 10)).collect()
+    assert [(r.part, r.first_id, r.last_id) for r in found] == [(4, "i040", "i049")]
+    assert requests.lock(frame(rows).limit(0)).count() == 0

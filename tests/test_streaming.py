@@ -97,6 +97,46 @@ def test_json_lines(spark, tmp_path):
     assert files.first_bad_line(spark, str(tmp_path / "bad")).endswith("bad.jsonl:2")
 
 
+def test_lines_are_numbered_without_reading_a_file_whole(spark, tmp_path):
+    lines = ['{"k": "a%d", "v": %d}' % (n, n) for n in range(5000)]
+    lines[7], lines[4000] = "", "  "
+    (tmp_path / "one.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "two.jsonl").write_text('{"k": "z", "v": -1}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_numbered_jsonl(spark, str(tmp_path), SCHEMA)
+        assert rows.rdd.getNumPartitions() > 10
+        got = {r.v: (r.file.rsplit("/", 1)[1], r.number) for r in rows.collect()}
+        assert got == {n: ("one.jsonl", n + 1) for n in range(5000) if n not in (7, 4000)} | {-1: ("two.jsonl", 1)}
+        lines[3000] = "[1]"
+        (tmp_path / "one.jsonl").write_text("\n".join(lines) + "\n")
+        with pytest.raises(Exception, match="one.jsonl:3001 is no JSON object"):
+            files.read_numbered_jsonl(spark, str(tmp_path), SCHEMA).collect()
+        assert files.first_bad_line(spark, str(tmp_path)).endswith("one.jsonl:3001")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_an_append_that_broke_off_is_finished_once(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "t"), spark.range(100).repartition(5)
+    moved, real = [], files.write_json
+
+    def breaks(spark, place, value):
+        if "_appended" in place and not moved:
+            moved.append(place)
+            raise OSError("lost")
+        real(spark, place, value)
+
+    monkeypatch.setattr(files, "write_json", breaks)
+    with pytest.raises(OSError):
+        files.append_jsonl(rows, path, "t1")
+    assert files.append_jsonl(rows, path, "t1") == 100 == files.append_jsonl(rows, path, "t1")
+    assert sorted(r.id for r in files.read_jsonl(spark, path, "id long").collect()) == list(range(100))
+    assert files.append_jsonl(rows.limit(0), path, "none") == 0
+    assert not list((tmp_path / "t" / "_pending").iterdir())
+
+
 def test_small_files(spark, tmp_path):
     files.write_json(spark, str(tmp_path / "r.json"), {"b": 1, "a": "é"})
     assert (tmp_path / "r.json").read_text() == '{\n  "a": "é",\n  "b": 1\n}\n'
