@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import documents
+from robusteval.llm.common import spread_documents
 
 #: The marks before prefix, suffix and middle (fixed values).
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -104,7 +104,7 @@ def digests(filled: DataFrame) -> DataFrame:
 
 
 def op11_lookaround_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(fill_in_middle(documents(spark, sf_dir)))
+    return digests(fill_in_middle(spread_documents(spark, sf_dir)))
 
 
 #: The same by matching units instead of splitting between them.

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import documents
+from robusteval.llm.common import spread_documents
 
 UNKNOWN = "unknown"
 BUCKETS = 2**18
@@ -610,4 +610,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return scan(spread_documents(spark, sf_dir))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from robusteval.llm.common import WORD, documents, save
+from robusteval.llm.common import WORD, save, spread_documents
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -285,4 +285,4 @@ def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))
+    return mix(spread_documents(spark, sf_dir))
