@@ -440,14 +440,14 @@ def un_scores(spark, sf):
 
 # -- samples and plans -----------------------------------------------------------
 
-_SPLITS = {"smoke": 5, "pilot": 40, "confirmatory": 50}
+_SPLITS = {"smoke": 5, "pilot": 40, "confirmatory": 200}
 _HASH = lambda seed, *p: f"sha256(concat_ws(':', '{seed}', {', '.join(p)}))"
 
 
 @query(
     O.with_(O.MANIFEST)
     + f""", o AS (SELECT dataset, item_id, row_number() OVER (PARTITION BY dataset ORDER BY {_HASH(C.SPLIT_SEED, 'dataset', 'item_id')}, item_id) AS r FROM manifest)
-SELECT dataset, item_id, CASE WHEN r <= 5 THEN 'smoke' WHEN r <= 45 THEN 'pilot' ELSE 'confirmatory' END AS split FROM o WHERE r <= 95"""
+SELECT dataset, item_id, CASE WHEN r <= 5 THEN 'smoke' WHEN r <= 45 THEN 'pilot' ELSE 'confirmatory' END AS split FROM o WHERE r <= 245"""
 )
 def smp_splits(spark, sf):
     return requests.split_by_hash(records.normalize_source(fixtures.manifest_source(spark, sf)), _SPLITS).select("dataset", "item_id", "split")
@@ -457,20 +457,20 @@ def smp_splits(spark, sf):
     O.with_(O.MANIFEST)
     + f""", k AS (SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT dataset FROM manifest)),
 o AS (SELECT dataset, item_id, row_number() OVER (PARTITION BY dataset ORDER BY {_HASH(C.EXTERNAL_SEED, 'dataset', 'item_id')}, item_id) AS r FROM manifest)
-SELECT dataset, item_id FROM o JOIN k USING (dataset) WHERE r <= 41 // k + (i < 41 % k)::INT"""
+SELECT dataset, item_id FROM o JOIN k USING (dataset) WHERE r <= 200 // k + (i < 200 % k)::INT"""
 )
 def smp_stratified(spark, sf):
-    return requests.stratified(fixtures.manifest(spark, sf), 41)
+    return requests.stratified(fixtures.manifest(spark, sf), 200)
 
 
 @query(
     O.with_(O.REWORDINGS)
-    + f""", chosen AS (SELECT dataset, item_id FROM found WHERE form_id = 'original' AND dataset = 'gsm_symbolic' ORDER BY {_HASH(C.RUN_SEED, 'item_id')}, item_id LIMIT 20)
+    + f""", chosen AS (SELECT dataset, item_id FROM found WHERE form_id = 'original' AND dataset = 'gsm_symbolic' ORDER BY {_HASH(C.RUN_SEED, 'item_id')}, item_id LIMIT 50)
 SELECT dataset, item_id, string_agg(f.form_id || '=' || f.prompt_text, '|' ORDER BY form_no) AS texts FROM chosen JOIN found f USING (dataset, item_id) JOIN forms o ON o.form_id = f.form_id WHERE form_no < 3 GROUP BY ALL"""
 )
 def smp_ppcv(spark, sf):
     texts = found(spark, sf)
-    items = requests.first_items(texts.filter("form_id = 'original' and dataset = 'gsm_symbolic'"), 20, C.RUN_SEED)
+    items = requests.first_items(texts.filter("form_id = 'original' and dataset = 'gsm_symbolic'"), 50, C.RUN_SEED)
     out = requests.item_forms(texts, items, C.FORM_IDS[:3])
     return out.select("dataset", "item_id", F.array_join(F.transform("forms", lambda f: F.concat(f["form_id"], F.lit("="), f["prompt_text"])), "|").alias("texts"))
 
@@ -489,14 +489,12 @@ def lim_examples(spark, sf):
     return keysets.examples(set_missing(spark, sf), _KEY3)
 
 
-@query(O.with_(O.REWORDINGS) + "SELECT dataset, item_id, form_no::INTEGER AS form_order, forms.form_id FROM found JOIN forms USING (form_id) WHERE form_no < 5 ORDER BY dataset, item_id, form_no LIMIT 500")
-def srt_plan(spark, sf):
-    rows = keysets.select_surfaces(found(spark, sf), C.MAIN_FORMS).select("dataset", "item_id", "form_order", "form_id")
-    return rows.orderBy("dataset", "item_id", "form_order").limit(500)
+_SORTED = O.with_(O.REWORDINGS) + "SELECT dataset, item_id, form_no::INTEGER AS form_order, forms.form_id FROM found JOIN forms USING (form_id) WHERE form_no < 5"
 
 
-@query(O.with_(O.REWORDINGS) + "SELECT dataset, item_id, form_no::INTEGER AS form_order, forms.form_id FROM found JOIN forms USING (form_id) WHERE form_no < 5")
-def srt_plan_whole(spark, sf):
+@query(_SORTED, "srt_plan_whole")
+@query(_SORTED)
+def srt_plan(spark, sf):
     rows = keysets.select_surfaces(found(spark, sf), C.MAIN_FORMS).select("dataset", "item_id", "form_order", "form_id")
     return rows.orderBy("dataset", "item_id", "form_order")
 
@@ -541,11 +539,11 @@ def pl_scop(spark, sf):
     O.with_(O.REWORDINGS)
     + f""", k AS (SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT dataset FROM found)),
 o AS (SELECT dataset, item_id, row_number() OVER (PARTITION BY dataset ORDER BY {_HASH(C.EXTERNAL_SEED, 'dataset', 'item_id')}, item_id) AS r FROM found WHERE form_id = 'original'),
-c AS (SELECT dataset, item_id FROM o JOIN k USING (dataset) WHERE r <= 15 // k + (i < 15 % k)::INT)
+c AS (SELECT dataset, item_id FROM o JOIN k USING (dataset) WHERE r <= 200 // k + (i < 200 % k)::INT)
 SELECT dataset, item_id, form_id, prompt_text, 'reasoning' AS mode, 'practical' AS protocol, unnest([1103, 2207, 3301])::BIGINT AS seed, 'external_main' AS method FROM found JOIN forms USING (form_id) SEMI JOIN c USING (dataset, item_id) WHERE form_no < 5"""
 )
 def pl_external(spark, sf):
-    return requests.external_plan(found(spark, sf), 15, "reasoning", "practical").select(*_PLAN)
+    return requests.external_plan(found(spark, sf), 200, "reasoning", "practical").select(*_PLAN)
 
 
 _LOCKED = "lk AS (SELECT dataset, split, item_id, row_number() OVER (PARTITION BY dataset, split ORDER BY item_id) - 1 AS pos, count(*) OVER (PARTITION BY dataset, split) AS n FROM manifest)"
@@ -788,7 +786,9 @@ num AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {item}) - 1 AS p
 drawn AS (SELECT num.*, draw FROM (SELECT {by}, draw, h3 % n AS pos FROM {_hashed(slots, 'h2 + slot', 'h3')}) JOIN num USING ({by}, pos))"""
 
 
-_Q = lambda c: f"round(quantile_cont({c}, 0.025), 6) AS {c}_low, round(quantile_cont({c}, 0.975), 6) AS {c}_high"
+#: Shares of few items end in a 5 at the seventh place, where rounding would turn on the last bit.
+_PLACES = 10
+_Q = lambda c: f"round(quantile_cont({c}, 0.025), {_PLACES}) AS {c}_low, round(quantile_cont({c}, 0.975), {_PLACES}) AS {c}_high"
 _BOOT_MEAN = O.with_(*_MAINF, _drawn("fi", O.GROUP, "item_id")) + f", e AS (SELECT {O.GROUP}, draw, avg(mean_correctness) AS mean FROM drawn GROUP BY ALL) SELECT {O.GROUP}, {_Q('mean')} FROM e GROUP BY ALL"
 _BOOT_VARIANCE = (
     O.with_(*_MAINF, f"iv AS (SELECT {O.GROUP}, item_id, avg(run_variance) AS run, var_pop(solve_rate) AS form, avg(solve_rate) AS item_mean FROM f GROUP BY ALL)", _drawn("iv", O.GROUP, "item_id"))
@@ -798,7 +798,7 @@ SELECT {O.GROUP}, {_Q('v_run')}, {_Q('v_form')}, {_Q('v_item')}, {_Q('pi_form')}
 )
 _BOOT_PAIRED = (
     O.with_(*_MAINF, "df AS (SELECT a.dataset, a.item_id, (a.robust::INT - b.robust::INT)::DOUBLE AS d FROM fi a JOIN fi b USING (dataset, item_id) WHERE a.mode = 'thinking' AND b.mode = 'non_thinking')", _drawn("df", "dataset", "item_id"))
-    + f", e AS (SELECT dataset, draw, avg(d) AS mean FROM drawn GROUP BY ALL) SELECT dataset, round(any_value(effect), 6) AS effect, {_Q('mean')} FROM e JOIN (SELECT dataset, avg(d) AS effect FROM df GROUP BY ALL) USING (dataset) GROUP BY dataset"
+    + f", e AS (SELECT dataset, draw, avg(d) AS mean FROM drawn GROUP BY ALL) SELECT dataset, round(any_value(effect), {_PLACES}) AS effect, {_Q('mean')} FROM e JOIN (SELECT dataset, avg(d) AS effect FROM df GROUP BY ALL) USING (dataset) GROUP BY dataset"
 )
 
 
@@ -806,13 +806,13 @@ _BOOT_PAIRED = (
 @query(_BOOT_MEAN)
 def st_bootstrap(spark, sf):
     items = metrics.item_robustness(metrics.item_forms(main_rows(spark, sf)))
-    return r6(resample.mean(items, BY, "item_id", "mean_correctness"))
+    return r6(resample.mean(items, BY, "item_id", "mean_correctness"), _PLACES)
 
 
 @query(_BOOT_VARIANCE, "st_boot_variance_full")
 @query(_BOOT_VARIANCE)
 def st_boot_variance(spark, sf):
-    return r6(resample.variance(stats.item_variances(metrics.item_forms(main_rows(spark, sf)), BY), BY))
+    return r6(resample.variance(stats.item_variances(metrics.item_forms(main_rows(spark, sf)), BY), BY), _PLACES)
 
 
 @query(_BOOT_PAIRED, "st_paired_diff_full")
@@ -820,7 +820,7 @@ def st_boot_variance(spark, sf):
 def st_paired_diff(spark, sf):
     pairs = jn_paired(spark, sf).select("dataset", "item_id", (metrics.number("left_value") - metrics.number("right_value")).alias("d"))
     effect = pairs.groupBy("dataset").agg(F.avg("d").alias("effect"))
-    return r6(effect.join(resample.mean(pairs, ["dataset"], "item_id", "d"), "dataset"))
+    return r6(effect.join(resample.mean(pairs, ["dataset"], "item_id", "d"), "dataset"), _PLACES)
 
 
 # -- interventions ---------------------------------------------------------------
@@ -830,9 +830,9 @@ t0 AS (SELECT 't' || label || '-' || (vec_id // 100) AS item, row_number() OVER
 tr AS (SELECT item, position, actual, k AS form_no, list_concat(v[1 + k * 7:64], v[1:k * 7]) AS logits FROM t0, (VALUES (0), (1), (2)) s(k)),
 ds AS (SELECT *, (1 - exp(logits[actual + 1] - list_max(logits))) / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))) AS d FROM tr),
 ps AS (SELECT item, position, max(round(d, 9)) AS score FROM ds GROUP BY ALL),
-top AS (SELECT item, position, actual, (list_sort(list_transform(range(1, 65), lambda i: {'x': -logits[i], 'i': i - 1})))[1:5] AS s FROM tr WHERE form_no = 0),
+top AS (SELECT item, position, actual, (list_sort(list_transform(range(1, 65), lambda i: {'x': -logits[i], 'i': i - 1})))[1:20] AS s FROM tr WHERE form_no = 0),
 cr AS (SELECT item, position AS critical_position, score AS critical_score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, position) AS r FROM ps) WHERE r = 1),
-cd AS (SELECT item, position, actual, list_concat([actual::BIGINT], list_filter(list_transform(s, lambda p: p.i), lambda i: i <> actual))[1:4] AS candidates FROM top)"""
+cd AS (SELECT item, position, actual, list_concat([actual::BIGINT], list_filter(list_transform(s, lambda p: p.i), lambda i: i <> actual))[1:11] AS candidates FROM top)"""
 
 
 @query("WITH " + _TRAJ.strip() + " SELECT item, position, form_no, round(d, 6) AS discrepancy FROM ds")
@@ -854,7 +854,7 @@ def win_first_max(spark, sf):
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows = fixtures.trajectories(spark, sf).filter("form_no = 0")
-    return rows.select("item", "position", "actual", interventions.candidates("actual", interventions.top_tokens("logits", 5), 4).alias("candidates"))
+    return rows.select("item", "position", "actual", interventions.candidates("actual", interventions.top_tokens("logits", 20), 11).alias("candidates"))
 
 
 @query("WITH " + _TRAJ.strip() + " SELECT item, position, actual, array_to_string(candidates, ',') AS candidates FROM cd")
@@ -1091,10 +1091,14 @@ def snk_parquet(spark, sf):
     return spark.read.parquet(path)
 
 
-@query(O.with_(O.COMPLETIONS) + "SELECT order_id::VARCHAR AS order_id, line_no::VARCHAR AS line_no, raw_extracted_answer FROM judgeable WHERE judge_required")
+@query(
+    O.with_(O.COMPLETIONS)
+    + "SELECT dataset, NULL::VARCHAR AS item_id, NULL::VARCHAR AS form_id, NULL::VARCHAR AS mode, NULL::VARCHAR AS seed, NULL::VARCHAR AS method, raw_extracted_answer, canonical_answer, 'fallback_normalized' AS parser_status FROM judgeable WHERE judge_required"
+)
 def snk_csv_queue(spark, sf):
+    """The queue's nine columns; what completions don't have is empty."""
     path = files.shared_folder(spark, "queue")
-    files.write_queue(adjudicate.queue(answers.score(fixtures.completions(spark, sf))), path, ["order_id", "line_no", "raw_extracted_answer"])
+    files.write_queue(adjudicate.queue(answers.score(fixtures.completions(spark, sf))), path)
     return files.read_csv(spark, path)
 
 

@@ -14,11 +14,11 @@ def _seed(*parts: str) -> str:
 
 
 SCORED = f"""
-ev AS (SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-    row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn FROM events),
+ev AS (SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, place % 47 AS rn, place // 47 AS part
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events)),
 blocks(method, mode, base, nf, ns) AS (VALUES ('main', 'thinking', 0, 5, 3), ('main', 'non_thinking', 0, 5, 3),
     ('sc_8', 'non_thinking', 15, 1, 8), ('scop_2x4', 'non_thinking', 23, 2, 4), ('scop_4x2', 'non_thinking', 31, 4, 2), ('scop_8x1', 'non_thinking', 39, 8, 1)),
-placed AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'gsm_symbolic' ELSE 'math_500' END AS dataset, 'u' || user_id AS item_id, mode, method,
+placed AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'gsm_symbolic' ELSE 'math_500' END AS dataset, 'u' || user_id || CASE WHEN part > 0 THEN '-' || part ELSE '' END AS item_id, mode, method,
     ({_list(C.FORM_IDS)})[1 + (rn - base) // ns] AS form_id, CAST((rn - base) % ns AS INTEGER) AS sample_index, value, k,
     CASE WHEN mode = 'thinking' THEN 60.0::DOUBLE ELSE 45.0::DOUBLE END AS width
     FROM ev JOIN blocks ON rn >= base AND rn < base + nf * ns),

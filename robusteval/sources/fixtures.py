@@ -25,6 +25,10 @@ BLOCKS = [
 ]
 
 
+#: Events of an item.
+EACH = 47
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,17 +38,19 @@ def literal_array(values: list) -> Column:
 
 
 def scored(spark: SparkSession, sf_dir: str, undecided: bool = False) -> DataFrame:
-    """Scored generations from events; with undecided, some correctness is null."""
+    """Scored generations from events; with undecided, some correctness is null. Every
+    EACH events of a user are an item, and what is left over begins another."""
     k = F.get_json_object("props", "$.k").cast("long")
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "value", k.alias("k"))
-    events = events.withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).filter("rn < 47")
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    events = events.withColumn("place", place).select("*", (F.col("place") % EACH).alias("rn"), F.floor(F.col("place") / EACH).alias("part"))
     block = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(o).alias("mode"), F.lit(b).alias("base"), F.lit(f).alias("nf"), F.lit(s).alias("ns")) for m, o, b, f, s in BLOCKS])
     mine = F.filter(block, lambda x: (F.col("rn") >= x.base) & (F.col("rn") < x.base + x.nf * x.ns))
     rows = events.select("*", F.inline(mine))
     at = F.col("rn") - F.col("base")
     rows = rows.select(
         F.when(F.col("user_id") % 2 == 0, "gsm_symbolic").otherwise("math_500").alias("dataset"),
-        F.concat(F.lit("u"), F.col("user_id")).alias("item_id"),
+        F.concat(F.lit("u"), F.col("user_id"), F.when(F.col("part") > 0, F.concat(F.lit("-"), "part")).otherwise("")).alias("item_id"),
         "mode",
         "method",
         F.get(literal_array(C.FORM_IDS), F.floor(at / F.col("ns")).cast("int")).alias("form_id"),
