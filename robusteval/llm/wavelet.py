@@ -233,6 +233,15 @@ class WaveletMatrix:
         start, end = self._range(code, i)
         return end - start
 
+    def ranks(self, code: int, at: np.ndarray) -> np.ndarray:
+        """Occurrences of a code among the first i, for many i."""
+        start, ends = 0, at
+        for level in range(self.bits):
+            a, b = self._rank1(level, start), self._ranks(level, ends)
+            one = code >> (self.bits - 1 - level) & 1
+            start, ends = (self.zeros[level] + a, self.zeros[level] + b) if one else (start - a, ends - b)
+        return ends - start
+
     def _range(self, code: int, i: int) -> tuple[int, int]:
         start, end, bits = 0, i, self.bits
         for level in range(bits):
@@ -335,6 +344,15 @@ class TokenFile:
         ends = np.cumsum(self.lengths[: k + 1], dtype=np.int64)
         return self.ids(int(ends[-1]) - int(self.lengths[k]), int(ends[-1]))
 
+    def bounds(self, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the documents, of which each ends in end_id: by rank there is
+        one more of it before each end than before the place ahead."""
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        code = self._code(end_id)
+        if len(ends) and (code is None or ends[-1] != self.matrix.size or (self.matrix.ranks(code, ends) - self.matrix.ranks(code, ends - 1) != 1).any()):
+            raise ValueError("a document of the file does not end in the end id")
+        return ends - self.lengths, ends
+
     def token(self, i: int) -> int:
         return int(self.vocabulary[self.matrix.access(i)])
 
@@ -351,6 +369,13 @@ class TokenFile:
         return [] if code is None else [self.matrix.select(code, k) for k in range(self.count(token))]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the file system that Spark reads it from: tasks write to the same
+    one, and not to disks of their own, if the name has no scheme."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def put_file(uri: str, data: bytes, attempt: str) -> None:
     """Writes a whole file under its name, by way of a name of this attempt."""
     where = urlparse(uri)
@@ -497,8 +522,9 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
     return save(dealt.mapInArrow(write, "part int, seq int, tokens long"), "files")
 
 
-def read_files(files: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+def read_files(files: DataFrame, folder: str, end_id: int) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files. Where
+    documents end is proved by rank of the end id; ids are read as one range."""
     spark = files.sparkSession
     per_part = files.groupBy("part").agg(F.sum("tokens").alias("all"))
     before = per_part.select(F.col("part"), F.coalesce(F.sum("all").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -511,8 +537,7 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
                 part, seq = map(int, name.as_py().rsplit("/", 1)[1].removesuffix(".wm").split("-"))
                 file = TokenFile.from_bytes(raw.as_py())
                 data = memoryview(file.ids().astype("<u4").tobytes())
-                ends = np.cumsum(file.lengths, dtype=np.int64)
-                starts = ends - file.lengths
+                starts, ends = file.bounds(end_id)
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
@@ -528,11 +553,11 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
 def store_tokens(docs: DataFrame, path: str, end_id: int, **options) -> DataFrame:
     """Writes the documents' ids to files below the shared folder and reads them back."""
     spark = docs.sparkSession
-    folder = scratch_path(spark, "tokens")
+    folder = qualified(spark, scratch_path(spark, "tokens"))
     files = write_files(docs, path, folder, end_id, **options)
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_files(files, folder)
+    return read_files(files, folder, end_id)
 
 
 def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

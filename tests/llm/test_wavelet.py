@@ -115,3 +115,27 @@ def test_rows_without_an_id_and_of_one_id_are_spread(spark):
     own = df.selectExpr("doc_id as id", "xxhash64(text) as hash").withColumn("part", wavelet.range_of(bounds))
     sizes = {r.part: r["count"] for r in own.groupBy("part").count().collect()}
     assert set(sizes) == set(range(8)) and max(sizes.values()) < 250
+
+
+def test_bounds_are_proved_by_rank():
+    rng = np.random.default_rng(4)
+    lengths = [int(n) for n in rng.integers(1, 90, 3000)]
+    ids = rng.integers(0, 700, sum(lengths)).astype("<u4")
+    ends = np.cumsum(lengths)
+    ids[ends - 1] = 2
+    file = wavelet.TokenFile.from_bytes(wavelet.TokenFile.of(list(range(3000)), lengths, ids).to_bytes())
+    places = np.r_[0, rng.integers(0, len(ids) + 1, 50), len(ids)]
+    code = file._code(2)
+    assert file.matrix.ranks(code, places).tolist() == [file.matrix.rank(code, int(i)) for i in places] == [int((ids[:i] == 2).sum()) for i in places]
+    starts, found = file.bounds(2)
+    assert found.tolist() == ends.tolist() and starts.tolist() == (ends - lengths).tolist()
+    moved = file.lengths.copy()
+    at = next(k for k in range(2999) if ids[ends[k]] != 2 and lengths[k + 1] > 1)
+    moved[at], moved[at + 1] = moved[at] + 1, moved[at + 1] - 1
+    for broken, end_id in ((wavelet.TokenFile(file.doc_ids, file.null, moved, file.vocabulary, file.matrix), 2), (file, 3), (file, 10**6)):
+        with pytest.raises(ValueError):
+            broken.bounds(end_id)
+
+
+def test_a_folder_without_a_scheme_is_named_by_its_file_system(spark):
+    assert wavelet.qualified(spark, "/x/y").startswith("file:") and wavelet.qualified(spark, "file:///x").startswith("file:")
