@@ -7,9 +7,9 @@ paragraph is unknown. A prediction is confirmed if enough of the paragraph's
 2-grams occur in the family's templates.
 
 The model is trained here, on the fixed notices below with words dropped,
-exchanged and added, against three kinds of paragraphs of the unknown class:
+exchanged and added, against kinds of paragraphs of the unknown class:
 notices of other licences, notices whose licence's name is exchanged for an
-invented one, and sentences that speak of licences without granting one: some
+invented one, and sentences that deny a licence or speak of it without granting it: some
 thousand short paragraphs, on the driver, once a process. The threshold is
 calibrated on whole notices held out: in each of FOLDS parts the model is trained
 without the part's notices and all their variants, and the threshold is the least
@@ -122,6 +122,7 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
         "MIT License",
         "The MIT License (MIT)",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -196,7 +197,7 @@ NEAR = (
 OWN_NAMES = ("apache", "bsd", "gnu", "gpl", "lgpl", "mit", "mozilla", "mpl")
 #: What each family is called where it is only named (fixed values).
 CALLED = {
-    "apache": ("Apache License", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache License, Version 2.0", "Apache 2 licence", "ASL 2.0 of the Apache Software Foundation"),
+    "apache": ("Apache License", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache License, Version 2.0", "Apache 2 licence", "ASL 2.0 of the Apache Software Foundation", "Apache Software License"),
     "bsd": ("BSD license", "BSD 3-Clause License", "2-clause BSD license", "BSD-2-Clause", "BSD-style license", "New BSD License", "Simplified BSD licence"),
     "cc-by": ("CC BY 4.0", "CC-BY-4.0", "CC BY 2.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "Creative Commons Attribution 3.0 licence"),
     "cc-by-nc": ("CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC-SA 3.0", "Creative Commons Attribution-NonCommercial License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 licence", "Creative Commons Attribution-NonCommercial 3.0 licence"),
@@ -205,7 +206,7 @@ CALLED = {
     "lgpl": ("GNU Lesser General Public License", "GNU LGPL", "LGPL v3", "LGPLv3", "LGPL-2.1", "GNU Lesser General Public Licence, version 2.1", "GNU Library General Public License"),
     "mit": ("MIT License", "MIT license", "MIT licence", "Expat MIT License", "MIT", "MIT/X11 License"),
     "mpl": ("Mozilla Public License", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0", "MPL, v. 2.0", "Mozilla Public Licence, version 1.1"),
-    "public-domain": ("public domain", "CC0", "CC0 1.0 Universal", "CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
+    "public-domain": ("public domain", "CC0", "CC0 1.0 Universal", "CC0-1.0", "CC0 1.0 Universal Public Domain Dedication", "Creative Commons Zero v1.0 Universal", "Creative Commons Zero"),
 }
 #: What licences are called that are none of the families (fixed values).
 NEAR_CALLED = (
@@ -220,8 +221,17 @@ NEAR_CALLED = (
 FRAMES = (
     "{}", "{}.", "Licensed under the {}.", "Licensed under {}", "Released under the {}.", "Released under {}", "Distributed under the {}.", "distributed under the terms of the {}",
     "This project is licensed under the {}.", "This work is available under the {}.", "Available under {}.", "Shared under a {}", "Subject to the terms of the {}.", "{} - see the LICENSE file for details",
-    "License: {}", "SPDX-License-Identifier: {}", "The code is published under the {}", "Use of this source code is governed by the {} that can be found in the LICENSE file.", "under {}", "Text is offered under the {}; additional terms may apply.",
+    "License: {}", "SPDX-License-Identifier: {}", "License :: OSI Approved :: {}", "Dual-licensed under {}", "Dual-licensed under the {} and a commercial licence.", "The code is published under the {}", "Use of this source code is governed by the {} that can be found in the LICENSE file.", "under {}", "Text is offered under the {}; additional terms may apply.",
 )
+#: Sentences that deny a licence, and sentences that speak of one and grant none (fixed values).
+DENIALS = (
+    "Not licensed under the {}.", "This program is not released under the {}.", "It is not available under the {}", "no longer distributed under the {}", "The code was never published under {}",
+    "This work is not in the {}", "this file isn't licensed under {}", "cannot be distributed under the terms of the {}", "Nothing here is released under the {}.", "The book is not under the {}", "we do not use the {}", "the {} does not apply to this work", "neither licensed under the {} nor free", "It may not be redistributed under the {}.", "not subject to the {}",
+)
+MENTIONS = (
+    "The {} plate was stolen from the car.", "He wrote a book about the {}.", "She later joined the {} and moved away.", "A talk on the {} and its history", "students discussed the {} in class", "many projects use the {} today", "The {} was written in the eighties.",
+    "how the {} differs from other licences", "the {} is a popular choice", "lawyers argued about the {} for years", "what does the {} say about patents", "he asked whether the {} would do", "the authors of the {} met in spring", "In the meantime the {} had become common.",
+)
 #: Words that paragraphs are padded with in training (fixed values).
 FILLERS = "the of and in to a is it that for was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
 _WORD = r"[a-z0-9]+"
@@ -302,7 +312,8 @@ def training(rng: random.Random) -> list[tuple[list[str], int, int]]:
                 names = [invented(rng) for _ in own]
                 add([[name if w in OWN_NAMES else w for w in words] for words, name in list(zip(own, names))[::4]], unknown)
         for name in CALLED[family]:
-            add(named(name, 12), k)
+            add(named(name, 16), k)
+            add([variants(frame.format(name), rng, 1, False)[-1] for frame in (*rng.sample(DENIALS, 3), *rng.sample(MENTIONS, 2))], unknown)
     for text in OTHERS:
         add(variants(text, rng, 9, False), unknown)
     for text in NEAR:

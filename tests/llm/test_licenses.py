@@ -152,7 +152,8 @@ def test_edge_rows(spark):
 
 
 def test_no_python_and_no_shuffle(spark, sf_dir):
-    plan = licenses.op5_license_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    """Of the scan; the query deals a table of one row group over the cores first."""
+    plan = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
 
 
@@ -220,3 +221,17 @@ def test_a_notice_wrapped_over_lines_is_found(spark):
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
     assert (got[1].license, got[1].confirmed) == ("gpl", True)
     assert got[2].license == "cc-by-nc"
+
+
+#: Sentences that deny a licence or speak of one, and what the earlier model missed.
+DENIED = [
+    "Not licensed under the GPL.", "This program is not released under the MIT License.", "The MIT license plate was stolen from the car.", "He later joined the Apache Software Foundation.",
+    "this book is not in the public domain", "Nobody may use it under the Apache License, as it is not licensed under the Apache License.", "She gave a talk about the GNU General Public License and its history",
+]
+
+
+def test_denials_and_mentions_are_no_licences(spark):
+    rows = list(enumerate([*DENIED, "Creative Commons Zero v1.0 Universal", "License :: OSI Approved :: Apache Software License", "Released under the MIT License."]))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[k].n_predicted for k in range(len(DENIED)))
+    assert [got[k].license for k in range(len(DENIED), len(rows))] == ["public-domain", "apache", "mit"]
