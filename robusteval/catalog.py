@@ -15,7 +15,7 @@ from robusteval import constants as C
 from robusteval import oracles as O
 from robusteval.functions import algebra, answers, gates, keys, records
 from robusteval.operators import adjudicate, budget, interventions, keysets, metrics, order, resample, stats
-from robusteval.plans import requests
+from robusteval.plans import intervening, requests
 from robusteval.sources import files, fixtures
 from robusteval.streaming import resume
 
@@ -970,12 +970,48 @@ def flt_conditional(spark, sf):
 
 
 @query(O.with_(O.SCORED) + "SELECT dataset, item_id, count(*) AS n_rollouts, (sum(output_tokens) FILTER (WHERE form_id = 'original'))::BIGINT AS initial_tokens, sum(output_tokens)::BIGINT AS total_output_tokens FROM scored WHERE method IN ('sc_8', 'scop_8x1') GROUP BY ALL")
-def pp_run_item(spark, sf):
+def pp_costs(spark, sf):
     rows = fixtures.scored(spark, sf).filter("method in ('sc_8', 'scop_8x1')")
     first = F.sum(F.when(F.col("form_id") == "original", F.col("output_tokens")))
     return rows.groupBy("dataset", "item_id").agg(F.count("*").alias("n_rollouts"), first.alias("initial_tokens"), F.sum("output_tokens").alias("total_output_tokens"))
 
 
+def _stub():
+    """A stand-in for a model: what it answers follows from the token it begins with, or
+    from the number of the sample."""
+    import json
+
+    def reply(text: str) -> str:
+        asked = json.loads(text)
+        n = asked["prefix"][-1] % 5 if asked["prefix"] else int(asked["prompt"].rsplit("#", 1)[1]) % 3
+        return f"so the answer is {n}"
+
+    return lambda prompts: [reply(p) for p in prompts]
+
+
+#: Forms of an item are rotations of its vector at the first position; the first is the original.
+@query(
+    "WITH "
+    + _TRAJ.strip()
+    + """, sf AS (SELECT item, form_no, logits AS v FROM tr WHERE position = 0),
+w AS (SELECT a.item, a.form_no, CASE WHEN a.form_no = 0 THEN 1.0 ELSE greatest(0, list_cosine_similarity(a.v, b.v)) END AS weight FROM sf a JOIN sf b ON a.item = b.item AND b.form_no = 0),
+ro AS (SELECT g.item, k * 3 + w.form_no AS i, g.candidates[k + 1] AS token, w.form_no, (g.candidates[k + 1] % 5)::VARCHAR AS answer, weight
+    FROM (SELECT cd.item, candidates, unnest(range(len(candidates))) AS k FROM cd JOIN cr ON cr.item = cd.item AND cr.critical_position = cd.position) g JOIN w ON w.item = g.item),
+sc AS (SELECT item, answer, round(sum(weight), 9) AS s, min(i) AS i FROM ro GROUP BY item, answer),
+best AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY s DESC, answer, i) AS r FROM sc),
+n AS (SELECT item, count(*) AS initial_tokens FROM tr WHERE form_no = 0 GROUP BY item), m AS (SELECT item, count(*) AS n_rollouts FROM ro GROUP BY item)
+SELECT b.item, critical_position, round(critical_score, 6) AS critical_score, b.i AS selected_index, b.answer AS selected_answer, round(b.s, 6) AS consistency, ro.token::INTEGER AS selected_token,
+    b.answer = '2' AS correctness, n_rollouts, initial_tokens, initial_tokens + 5 * n_rollouts AS ppcv_output_tokens, '0' AS sc_majority, false AS sc_correctness, true AS sc_disagrees, 40::BIGINT AS sc_output_tokens
+FROM best b JOIN ro ON ro.item = b.item AND ro.i = b.i JOIN cr ON cr.item = b.item JOIN n ON n.item = b.item JOIN m ON m.item = b.item WHERE r = 1"""
+)
+def pp_run_item(spark, sf):
+    """The whole run over stored logits, with a stand-in for the model."""
+    rows = fixtures.trajectories(spark, sf)
+    named = F.get(fixtures.literal_array(C.FORM_IDS), F.col("form_no"))
+    surfaces = rows.filter("position = 0").select("item", "form_no", named.alias("form_id"), F.concat("item", F.lit(" "), named).alias("prompt"), F.lit("gsm_symbolic").alias("dataset"), F.lit("2").alias("canonical_answer"), F.col("logits").alias("v"))
+    return r6(intervening.run_items(rows, surfaces, _stub, 11, 8)).drop("selected_form")
+
+
 # -- reports, gates, lifecycle ---------------------------------------------------
 
 

@@ -1,5 +1,5 @@
-"""Command line of the whole life cycle: prepare, generate, validate, preflight,
-plan, score, judge, analyze, gates, audits, interventions, artifacts, capacity.
+"""Command line of the whole life cycle: prepare, generate, accept, validate, preflight,
+plan, infer, score, judge, analyze, gates, audits, interventions, artifacts, capacity.
 
 ``python -m robusteval.cli COMMAND --help`` lists a command's options. Tables are
 read by extension: .jsonl and .json as JSON lines, .csv as CSV, else Parquet.
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from robusteval import constants as C
-from robusteval.functions import answers, gates, records
+from robusteval.functions import algebra, answers, gates, keys, records
 from robusteval.operators import adjudicate, interventions, keysets, lifecycle, metrics
-from robusteval.plans import analysis, requests
+from robusteval.plans import analysis, intervening, requests
 from robusteval.session import session, ship_package
 from robusteval.sources import files
 from robusteval.streaming import resume
@@ -70,11 +70,17 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def score(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = answers.score(load(spark, a.input))
+    """Scored answers. Rows whose key the output has are left as they are and the others
+    added, unless all are to be scored anew."""
+    rows, before = load(spark, a.input), None
+    if not a.force and resume.folder_exists(spark, a.output):
+        before = intervening.kept(load(spark, a.output), "scored")
+        rows = keysets.pending(rows, before, C.KEY)
+    rows = algebra.score(rows) if a.symbolic else answers.score(rows)
     if a.judgments:
         judged = load(spark, a.judgments).select(*C.KEY, "position", records.parse_reply("reply", ["equivalent", "uncertain"]).alias("p")).select(*C.KEY, "position", "p.*")
         rows = adjudicate.apply_judgments(rows, judged, C.KEY)
-    store(rows, a.output)
+    store(rows if before is None else before.unionByName(rows, allowMissingColumns=True), a.output)
     if a.queue:
         files.write_queue(adjudicate.queue(load(spark, a.output)), a.queue)
 
@@ -115,6 +121,8 @@ def preflight(spark: SparkSession, a: argparse.Namespace) -> None:
     audited = None if a.audit is None else adjudicate.audit_report(load(spark, a.audit)).first().passed
     revisions = dict(r.partition("=")[::2] for r in a.revision)
     errors = lifecycle.stage_errors(a.stage, {r["split"]: r["passed"] for r in reports}, revisions, a.locked, audited)
+    for path in a.input:
+        errors += [f"{path}: {e}" for e in exceeded(load(spark, path))]
     for e in errors:
         print(e)
     raise SystemExit(2 if errors else 0)
@@ -138,8 +146,10 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.markdown:
         files.write_text(spark, a.markdown, files.markdown("Results", tables))
     if a.figure:
-        points = tables["fixed"].withColumn("run", F.concat_ws("/", *metrics.BY))
-        files.write_text(spark, a.figure, files.scatter(points, "mean_output_tokens_per_item", "final_accuracy", "run"))
+        named = F.concat_ws("/", *metrics.BY).alias("run")
+        fixed = tables["fixed"].select(named, "mean_output_tokens_per_item", F.col("final_accuracy").alias("accuracy"))
+        main = tables["main"].join(tables["costs"], metrics.BY).select(named, "mean_output_tokens_per_item", F.col("mean_accuracy").alias("accuracy"))
+        files.write_text(spark, a.figure, files.scatter(fixed.unionByName(main), "mean_output_tokens_per_item", "accuracy", "run"))
 
 
 def intervention_report(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -160,6 +170,80 @@ def intervene(spark: SparkSession, a: argparse.Namespace) -> None:
     store(interventions.critical(load(spark, a.positions)), a.output)
 
 
+def infer(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Answers to a plan's requests that the log doesn't have, in rounds: each round is
+    appended whole, with its progress beside the log. A run may only go on under the
+    plan it began with, and ends between rounds when it is told to stop; a plan that is
+    done loads no model."""
+    rows = keysets.unique_or_fail(load(spark, a.plan), C.KEY + (["sample_index"] if a.samples else []), "request")
+    key = C.KEY + (["sample_index"] if a.samples else [])
+    prints = [r.config_fingerprint for r in rows.select("config_fingerprint").distinct().limit(2).collect()]
+    if len(prints) != 1:
+        raise SystemExit("a plan has one fingerprint")
+    beside, stop = f"{a.output}.progress.json", resume.StopFlag().install()
+    stored = read_json(spark, beside) if resume.folder_exists(spark, beside) else {}
+    resume.check_fingerprint(stored.get("config_fingerprint"), prints[0])
+    limits = rows.withColumn("max_tokens", records.max_tokens("mode", "dataset"))
+    done = load(spark, a.output).select(*key) if resume.folder_exists(spark, a.output) else spark.createDataFrame([], rows.select(*key).schema)
+    rounds = keysets.batched(keysets.pending(limits, done, key), a.round, key, ["max_tokens"])
+
+    def tell() -> dict:
+        now = load(spark, a.output) if resume.folder_exists(spark, a.output) else done
+        report = resume.progress_report(rows, now, key, prints[0]).first().asDict() | {"stopped": stop(), "updated_at": files.utc_now()}
+        files.write_json(spark, beside, report)
+        return report
+
+    for r in rounds.select("max_tokens", "batch").distinct().orderBy("max_tokens", "batch").collect():
+        if stop():
+            break
+        part = rounds.filter((F.col("max_tokens") == r.max_tokens) & (F.col("batch") == r.batch)).drop("batch")
+        made = resume.generate(part, generator(a.generator), batch=a.batch).withColumn("created_at", F.lit(files.utc_now()))
+        # named by what it answers: a round that broke off and is run again replaces itself
+        token = keys.object_fingerprint([prints[0], r.max_tokens, r.batch, [list(x) for x in sorted(part.agg(F.count("*"), *[F.min(F.col(k).cast("string")) for k in key]).collect())]])[:24]
+        files.append_jsonl(made, a.output, token) if a.output.endswith((".jsonl", ".json")) else made.write.mode("append").parquet(a.output)
+        tell()
+    raise SystemExit(0 if tell()["complete"] else 3)
+
+
+def accept(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Judgments of rewordings that have none yet: what failed its gates is rejected
+    without a judge, the rest is asked, and accepted ones are appended."""
+    attempt = [*PAIR, "attempt"]
+    made = load_rewordings(spark, a.rewordings).filter(F.col("split") == a.split)
+    for path, on in ((a.accepted, PAIR), (a.judgments, attempt)):
+        if resume.folder_exists(spark, path):
+            made = made.join(load(spark, path).select(*on), on, "left_anti")
+    kept = ["split", *attempt]
+    failed = made.filter(~F.coalesce("gates_passed", F.lit(False))).select(*kept, F.lit(False).alias("accepted"), F.lit("automatic_gate_failed").alias("judge_status"), F.lit(None).cast("string").alias("reply"))
+    asked = made.filter(F.coalesce("gates_passed", F.lit(False))).withColumn("prompt_text", records.judge_prompt("original_text", "rewording_text"))
+    four = ["equivalent", "uncertain", "target_preserved", "no_added_hint"]
+    replied = resume.generate(asked, generator(a.generator), batch=a.batch).withColumnRenamed("raw_output", "reply").drop("prompt_text")
+    replied = replied.withColumn("accepted", records.accepted(records.parse_reply("reply", four))).withColumn("judge_model", F.lit(a.model))
+    replied = intervening.kept(replied, "replies")  # asked once, used twice
+    status = F.when(F.col("accepted"), "accepted").otherwise("rejected_or_uncertain")
+    judged = replied.select(*kept, "accepted", status.alias("judge_status"), "reply")
+    append(failed.unionByName(judged).withColumn("judge_model", F.lit(a.model)).withColumn("created_at", F.lit(files.utc_now())), a.judgments)
+    good = replied.filter("accepted").drop("accepted", "reply").withColumn("judge_status", F.lit("accepted")).withColumn("accepted_at", F.lit(files.utc_now()))
+    append(good.withColumnRenamed("rewording_text", C.REWORDING_TEXT), a.accepted)
+
+
+def append(df: DataFrame, path: str) -> None:
+    if path.endswith((".jsonl", ".json")):
+        files.append_jsonl(df, path)
+    else:
+        df.write.mode("append").parquet(path)
+
+
+def run_interventions(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The whole intervention run of items that the output doesn't have yet."""
+    paths, surfaces = load(spark, a.trajectories), load(spark, a.surfaces)
+    if resume.folder_exists(spark, a.output):
+        done = load(spark, a.output).select("item")
+        paths, surfaces = (x.join(done, "item", "left_anti") for x in (paths, surfaces))
+    if not paths.isEmpty():
+        append(intervening.run_items(paths, surfaces, generator(a.generator), a.candidates, a.samples), a.output)
+
+
 def stage_assets(spark: SparkSession, a: argparse.Namespace) -> None:
     """The artifacts of a group with the revisions they are pinned to."""
     config = {use: [tuple(x) for x in listed] for use, listed in files.read_yaml(a.config)["artifacts"].items()}
@@ -181,10 +265,15 @@ def audit_sheet(spark: SparkSession, a: argparse.Namespace) -> None:
     requests.audit_sheet(pairs).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(a.output)
 
 
+def exceeded(rows: DataFrame) -> list[str]:
+    """Gates that results fail."""
+    bad = adjudicate.result_gates(rows, C.KEY, ["mode", "method"]).filter("failed").collect()
+    return [f"{r.mode}/{r.method}: {r.gate} {r.value:.4g} exceeds {r.allowed:.4g}" for r in bad]
+
+
 def result_gates(spark: SparkSession, a: argparse.Namespace) -> None:
-    bad = adjudicate.result_gates(load(spark, a.input), C.KEY, ["mode", "method"]).filter("failed").collect()
-    for r in bad:
-        print(f"{r.mode}/{r.method}: {r.gate} {r.value:.4g} exceeds {r.allowed:.4g}")
+    bad = exceeded(load(spark, a.input))
+    print("\n".join(bad))
     raise SystemExit(2 if bad else 0)
 
 
@@ -216,14 +305,17 @@ def parser() -> argparse.ArgumentParser:
     add(prepare, ("--input", need), ("--output", need), ("--smoke", number(5)), ("--pilot", number(40)), ("--confirmatory", number(200)))
     add(generate, manifest, split, ("--generator", need), ("--attempt", number(1)), ("--done", {}), ("--batch", number(C.BATCH_SIZE)), ("--output", need))
     add(validate, manifest, rewordings, split, ("--report", need))
-    add(preflight, ("--stage", {"choices": SPLITS, "required": True}), ("--validation", many), ("--revision", many), ("--audit", {}), ("--locked", {"action": "store_true"}))
+    add(preflight, ("--stage", {"choices": SPLITS, "required": True}), ("--validation", many), ("--revision", many), ("--audit", {}), ("--locked", {"action": "store_true"}), ("--input", many))
     add(plan, ("--experiment", {"choices": ["main", "scop", "external"], "required": True}), manifest, rewordings, split, ("--mode", {"default": "non_thinking"}), ("--protocol", {"default": "practical"}), ("--items", number(200)), ("--done", {}), ("--output", need))
-    add(score, ("--input", need), ("--output", need), ("--judgments", {}), ("--queue", {}))
+    add(score, ("--input", need), ("--output", need), ("--judgments", {}), ("--queue", {}), ("--symbolic", {"action": "store_true"}), ("--force", {"action": "store_true"}))
     add(judge, ("--scores", need), ("--generator", need), ("--model", {"default": ""}), ("--done", {}), ("--position", number(0)), ("--batch", number(C.BATCH_SIZE)), ("--output", need))
     add(analyze, ("--scores", {"action": "append", "required": True}), ("--json", {"default": "results.json"}), ("--markdown", {}), ("--figure", {}), ("--resamples", number(C.BOOTSTRAP_RESAMPLES)))
     add(result_gates, ("--input", need), name="gates")
     add(audit_sheet, rewordings, ("--output", need), ("--force", {"action": "store_true"}), name="audit-sheet")
     add(audit, ("--input", need))
+    add(infer, ("--plan", need), ("--generator", need), ("--samples", {"action": "store_true"}), ("--batch", number(C.BATCH_SIZE)), ("--round", number(100_000)), ("--output", need))
+    add(accept, rewordings, split, ("--generator", need), ("--model", {"default": ""}), ("--batch", number(C.BATCH_SIZE)), ("--judgments", need), ("--accepted", need))
+    add(run_interventions, ("--trajectories", need), ("--surfaces", need), ("--generator", need), ("--candidates", number(11)), ("--samples", number(0)), ("--output", need), name="run-interventions")
     add(intervene, ("--trajectories", need), ("--positions", need), ("--output", need))
     add(intervention_report, ("--fidelity", {}), ("--lite", {}), ("--json", need), ("--markdown", {}), name="intervention-report")
     add(stage_assets, ("--group", need), ("--config", need), ("--resolved", {}), ("--output", need), name="stage")

@@ -254,6 +254,84 @@ def test_command_line_judges_audits_and_reports(spark, sf_dir, tmp_path, monkeyp
     assert json.loads((tmp_path / "i.json").read_text())["lite"]["baseline_error_n"] == 1 and "## lite" in (tmp_path / "i.md").read_text()
 
 
+def model():
+    """A stand-in that answers requests, rollouts and samples."""
+    return lambda prompts: [f"the answer is {len(p) % 3}" for p in prompts]
+
+
+def test_command_line_infers_in_rounds_and_resumes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    at = lambda name: str(tmp_path / name)
+    rows = [("math_500", f"i{k}", "original", ("thinking", "non_thinking")[k % 2], 1, "main", "p" * k, "f") for k in range(30)]
+    kinds = "dataset string, item_id string, form_id string, mode string, seed long, method string, prompt_text string, config_fingerprint string"
+    spark.createDataFrame(rows, kinds).write.parquet(at("plan"))
+
+    def run(output, *more):
+        with pytest.raises(SystemExit) as end:
+            cli.main(["infer", "--plan", at("plan"), "--generator", "tests.test_streaming:model", "--output", output, *more])
+        return end.value.code
+
+    for output in (at("log.jsonl"), at("log")):
+        asked = []
+        monkeypatch.setattr(resume.StopFlag, "__call__", lambda self: len(asked) > 2 or asked.append(1))  # noqa: B023
+        assert run(output, "--round", "4") == 3
+        monkeypatch.undo()
+        monkeypatch.setattr(cli, "session", lambda: spark)
+        some = cli.load(spark, output).count()
+        assert 0 < some < 30
+        assert run(output, "--round", "7") == 0 and run(output) == 0
+        got = cli.load(spark, output).collect()
+        assert len(got) == 30 and {r.item_id for r in got} == {f"i{k}" for k in range(30)}
+        report = json.loads((tmp_path / (output.rsplit("/", 1)[1] + ".progress.json")).read_text())
+        assert report["complete"] and report["config_fingerprint"] == "f" and report["completed_records"] == 30
+    spark.createDataFrame([(*r[:-1], "g") for r in rows], kinds).write.mode("overwrite").parquet(at("plan"))
+    with pytest.raises(RuntimeError):
+        cli.main(["infer", "--plan", at("plan"), "--generator", "tests.test_streaming:model", "--output", at("log")])
+
+
+def judge_stub():
+    def reply(text):
+        good = "fine" in text
+        return json.dumps({"equivalent": good, "uncertain": False, "target_preserved": True, "no_added_hint": True})
+
+    return lambda prompts: [reply(p) for p in prompts]
+
+
+def test_command_line_accepts_rewordings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    at = lambda name: str(tmp_path / name)
+    rows = [("d", "a", "voice", "pilot", 1, "o", "fine words", True), ("d", "b", "voice", "pilot", 1, "o", "bad words", True), ("d", "c", "voice", "pilot", 1, "o", "fine but gated", False), ("d", "e", "voice", "smoke", 1, "o", "fine", True)]
+    kinds = f"dataset string, item_id string, form_id string, split string, attempt int, original_text string, {C.REWORDING_TEXT} string, gates_passed boolean"
+    spark.createDataFrame(rows, kinds).write.parquet(at("made"))
+    run = ["accept", "--rewordings", at("made"), "--split", "pilot", "--generator", "tests.test_streaming:judge_stub", "--judgments", at("judged.jsonl"), "--accepted", at("accepted")]
+    cli.main(run)
+    cli.main(run)
+    judged = {r.item_id: r.judge_status for r in cli.load(spark, at("judged.jsonl")).collect()}
+    assert judged == {"a": "accepted", "b": "rejected_or_uncertain", "c": "automatic_gate_failed"}
+    assert cli.load(spark, at("judged.jsonl")).count() == 3
+    assert [(r.item_id, r[C.REWORDING_TEXT]) for r in cli.load(spark, at("accepted")).collect()] == [("a", "fine words")]
+
+
+def test_command_line_runs_interventions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    at = lambda name: str(tmp_path / name)
+    logits = lambda k, f: [float((3 * k + 5 * f + 7 * j) % 11) for j in range(12)]
+    spark.createDataFrame([(i, p, f, (p + f) % 12 if f == 0 else p % 12, logits(p, f)) for i in ("x", "y") for p in range(4) for f in range(2)], "item string, position long, form_no int, actual int, logits array<double>").write.parquet(at("paths"))
+    spark.createDataFrame([(i, f, ("original", "voice")[f], f"{i} {f}", "gsm_symbolic", "1", [1.0, float(f)]) for i in ("x", "y") for f in range(2)], "item string, form_no int, form_id string, prompt string, dataset string, canonical_answer string, v array<double>").write.parquet(at("forms"))
+    run = ["run-interventions", "--trajectories", at("paths"), "--surfaces", at("forms"), "--generator", "tests.test_streaming:model", "--candidates", "3", "--samples", "4", "--output", at("out")]
+    cli.main(run)
+    cli.main(run)
+    got = spark.read.parquet(at("out")).collect()
+    assert sorted(r.item for r in got) == ["x", "y"]
+    assert all(r.n_rollouts == 6 and r.initial_tokens == 4 and r.ppcv_output_tokens == 4 + 6 * 4 and r.sc_output_tokens == 16 for r in got)
+    assert all(r.selected_answer in "012" and r.consistency > 0 for r in got)
+    short = spark.read.parquet(at("paths")).filter("position = 0")
+    from robusteval.plans import intervening
+
+    with pytest.raises(Exception, match="too short a trajectory"):
+        intervening.run_items(short, spark.read.parquet(at("forms")), model).collect()
+
+
 def test_entry_point(spark):
     import __spark_entry__
 
