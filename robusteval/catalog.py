@@ -65,10 +65,14 @@ def fn_stable_seed(spark, sf):
     return fixtures.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", keys.stable_seed(F.lit(C.RUN_SEED), "l_orderkey", "l_linenumber", "l_returnflag").alias("seed"))
 
 
-@query()
+@query(
+    """SELECT event_id, sha256('{"event":{"id":' || event_id || ',"type":' || to_json(event_type)::VARCHAR || '},"of":{"' || event_type || '":' || coalesce(to_json(value)::VARCHAR, 'null') || '},"user_id":' || user_id || ',"values":[' || coalesce(to_json(value)::VARCHAR, 'null') || ',null]}') AS fingerprint FROM events"""
+)
 def fn_canonical_json(spark, sf):
-    rows = fixtures.table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return rows.select("event_id", F.sha2(keys.canonical_struct_json(["event_id", "user_id", "event_type"]), 256).alias("fingerprint"))
+    """Nested rows: a struct, a map, an array with a number that is none."""
+    rows = fixtures.table(spark, sf, "events")
+    rows = rows.select("event_id", "user_id", F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id")).alias("event"), F.array(F.col("value").cast("double"), F.lit(float("nan"))).alias("values"), F.create_map("event_type", F.col("value").cast("double")).alias("of"))
+    return rows.select("event_id", F.sha2(keys.canonical_row_json(rows, ["values", "user_id", "of", "event"]), 256).alias("fingerprint"))
 
 
 @query(O.with_(O.MANIFEST) + "SELECT id, CASE WHEN dataset = 'gsm_symbolic' THEN canonical_answer ELSE replace(trim(answer), ',', '') END AS gold FROM src JOIN manifest m USING (dataset) WHERE m.source_index = src.id")
@@ -1068,7 +1072,7 @@ def st_progress(spark, sf):
 def hp_clean(spark, sf):
     v = F.expr("CASE event_id % 4 WHEN 0 THEN double('NaN') WHEN 1 THEN double('Infinity') WHEN 2 THEN double('-Infinity') ELSE value END")
     rows = fixtures.table(spark, sf, "events").select("event_id", v.alias("v"))
-    return r6(rows.select("event_id", F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v")).alias("cleaned")))
+    return r6(rows.select("event_id", keys.cleaned(F.col("v"), rows.schema["v"].dataType).alias("cleaned")))
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY ALL")

@@ -197,3 +197,25 @@ def test_replies(spark):
 def test_canonical_json():
     assert keys.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
     assert len(keys.object_fingerprint([1])) == 64
+
+
+def test_canonical_json_of_any_value_is_that_of_the_library(spark):
+    import json
+    import random
+    import struct
+
+    rng = random.Random(6)
+    doubles = [0.0, -0.0, 1.0, 1e10, 1e15, 1e16, 123456789012345680.0, 1e22, 1e-4, 0.0001234, 1e-5, 5e-324, 1.7976931348623157e308, -2.5, 100.0, 1 / 3, 9007199254740993.0, 2.0**-44]
+    doubles += [x for x in (struct.unpack("<d", rng.randbytes(8))[0] for _ in range(400)) if x == x and abs(x) != float("inf")]
+    texts = ["", 'a"b\\c/', "é中\U0001f600", "".join(map(chr, range(40))), "\x7f "]
+    rows = [(k, d, texts[k % 5], [d, None, float("nan")], {texts[k % 5] + "k": float("inf"), "a": d}, ("x" if k % 2 else None, [k, None], k % 3 == 0)) for k, d in enumerate(doubles)]
+    kinds = "id long, d double, Text string, list array<double>, map map<string,double>, s struct<z string, a array<long>, b boolean>"
+    df = spark.createDataFrame(rows, kinds)
+    got = df.select("id", keys.canonical_row_json(df, df.columns).alias("j"), *[keys.cleaned(df[c], df.schema[c].dataType).alias(c) for c in ("list", "map")]).collect()
+    clean = lambda v: None if isinstance(v, float) and (v != v or abs(v) == float("inf")) else v
+    for r in got:
+        i, d, t, listed, mapped, (z, a, b) = rows[r.id]
+        listed, mapped = [clean(v) for v in listed], {k: clean(v) for k, v in mapped.items()}
+        value = {"id": i, "d": d, "Text": t, "list": listed, "map": mapped, "s": {"z": z, "a": a, "b": b}}
+        assert r.j == keys.canonical_json(value) == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert r.list == listed and r.map == mapped
