@@ -30,6 +30,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from robusteval.llm.common import give_back, spread_documents
 from robusteval.llm.pieces import splitter
 
 #: Pieces whose ids a worker keeps, characters it takes at once, memory of its engine.
-STORE, CHUNK, MEMORY = 400_000, 2_000_000, "500MB"
+STORE, CHUNK, MEMORY = 800_000, 2_000_000, "500MB"
 #: Pieces of more bytes take the query that contracts many places in a round.
 LONG = 64
 
@@ -169,13 +170,13 @@ class Engine:
         code, new = self.code, []
         rows: list[list[int]] = []
         for text in texts:
-            row = []
-            for piece in self.split(text or ""):
-                c = code.get(piece)
-                if c is None:
-                    c = code[piece] = len(code)
+            pieces = self.split(text or "")
+            row = list(map(code.get, pieces))
+            if None in row:
+                for piece in dict.fromkeys(p for p, c in zip(pieces, row) if c is None):
+                    code[piece] = len(code)
                     new.append(piece)
-                row.append(c)
+                row = list(map(code.get, pieces))
             rows.append(row)
         if new:
             self.learn(new)
@@ -183,7 +184,7 @@ class Engine:
         self._give("uses", {
             "doc": np.repeat(np.arange(len(rows), dtype=np.int32), size),
             "place": (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1).astype(np.int32),
-            "code": np.fromiter((c for r in rows for c in r), dtype=np.int32, count=int(size.sum())),
+            "code": np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(size.sum())),
         })
         found = self.aggregated(ENCODE, size)
         lists = found["ids"].combine_chunks()
