@@ -4,9 +4,9 @@ Folding lowers letters, strips accents, maps homoglyphs of other scripts and
 digits or signs used as letters, and turns everything else into spaces. The
 lexicon holds beginnings of words and whole words with their log odds in toxic
 against other labelled documents; it is learned from at most ``train_rows``
-labelled rows (those whose hashed ids come first) and holds at most
-``max_terms`` terms, so the automaton's size is bounded. Exception phrases
-cancel the hits they cover: some are given, others are learned, pairs of words
+labelled rows (those whose hashed ids come first). Every term with enough evidence is
+taken, none is cut off: what chance would not give is kept, and the size of the
+lexicon, which the sample bounds, is checked. Exception phrases cancel the hits they cover: some are given, others are learned, pairs of words
 around a hit that the labelled harmless texts hold and the toxic ones don't. The
 score is a logistic function of the weight of all hits, as such and per word.
 
@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 from robusteval.llm.common import hash_order_sample, id_remainder, save, spread_documents
 
 TRAIN_ROWS = 12_000
-MAX_TERMS = 5_000
-MAX_CANDIDATES = 50_000
-MAX_PHRASES = 1_000
+#: More terms or phrases with evidence than this stop the learning: the sample is too large.
+MOST = 500_000
+#: Beginnings that a task holds before it hands their counts on.
+HELD = 300_000
+#: How much more frequent a term is in toxic texts, and its least evidence in nats.
+RATIO, EVIDENCE = 10.0, 18.0
 SHORTEST, LONGEST = 4, 16
 
 #: Digits and signs that stand for letters (fixed values).
@@ -175,31 +178,33 @@ def beginnings(text: str) -> Counter:
     return out
 
 
-def _count_terms(among: frozenset[str] | None):
-    """(term, docs, tokens) of a partition; the empty term counts all words."""
+def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(term, docs, tokens) of a partition, in parts; the empty term counts all words."""
+    docs: Counter = Counter()
+    tokens: Counter = Counter()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs: Counter = Counter()
-        tokens: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                found = beginnings(text or "")
-                if among is not None:
-                    found = {t: n for t, n in found.items() if t in among}
-                docs.update(found.keys())
-                tokens.update(found)
-                docs[""] += 1
-                tokens[""] += len((text or "").split())
+    def rows() -> pd.DataFrame:
         terms = list(docs)
-        yield pd.DataFrame({"term": pd.Series(terms, dtype=object), "docs": pd.Series([docs[t] for t in terms], dtype="int64"), "tokens": pd.Series([tokens[t] for t in terms], dtype="int64")})
-
-    return run
+        return pd.DataFrame({"term": pd.Series(terms, dtype=object), "docs": pd.Series([docs[t] for t in terms], dtype="int64"), "tokens": pd.Series([tokens[t] for t in terms], dtype="int64")})
+
+    for pdf in batches:
+        for text in pdf["text"]:
+            found = beginnings(text or "")
+            docs.update(found.keys())
+            tokens.update(found)
+            docs[""] += 1
+            tokens[""] += len((text or "").split())
+            if len(docs) > HELD:
+                yield rows()
+                docs.clear()
+                tokens.clear()
+    yield rows()
 
 
 Counts = dict[str, tuple[int, int]]
 
 
-def pick_terms(toxic: Counts, other: Counts, max_terms: int = MAX_TERMS, ratio: float = 10.0, evidence: float = 18.0) -> dict[str, float]:
+def pick_terms(toxic: Counts, other: Counts, ratio: float = RATIO, evidence: float = EVIDENCE) -> dict[str, float]:
     """Terms and weights, from (documents, words) by term in either kind of text.
 
     A term must be far more frequent among the words of toxic texts, and its
@@ -229,8 +234,29 @@ def pick_terms(toxic: Counts, other: Counts, max_terms: int = MAX_TERMS, ratio:
         if any(t[:k] in chosen for k in range(SHORTEST, len(t))):
             continue
         chosen[t] = rate(t)
-    best = sorted(chosen, key=lambda t: (-toxic[t][0], t))[:max_terms]
-    return {t: chosen[t] for t in best}
+    return {t: chosen[t] for t in sorted(chosen, key=lambda t: (-toxic[t][0], t))}
+
+
+def evident(toxic: DataFrame, other: DataFrame, ratio: float = RATIO, evidence: float = EVIDENCE, floor: int = 5) -> tuple[Counts, Counts]:
+    """The counts of the terms that have the evidence pick_terms asks for, and of all
+    words: terms are weighed where they are, and only these come to the driver."""
+    both = toxic.join(other.select("term", F.col("docs").alias("o_docs"), F.col("tokens").alias("o_tokens")), "term", "left").fillna(0, ["o_docs", "o_tokens"])
+    all_ = {name: t.filter("term = ''").first() for name, t in (("toxic", toxic), ("other", other))}
+    t, o = (max(1, r.tokens) if r else 1 for r in (all_["toxic"], all_["other"]))
+    share, p = t / (t + o), F.col("docs") / (F.col("docs") + F.col("o_docs"))
+    rate = F.log((F.col("tokens") + 0.5) / (t + 1)) - F.log((F.col("o_tokens") + 0.5) / (o + 1))
+    divided = p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    uneven = F.when(p > share, (F.col("docs") + F.col("o_docs")) * divided).otherwise(0.0)
+    near = 1e-6  # the last bits are decided where the terms are picked
+    good = both.filter((F.col("term") != "") & (F.col("docs") >= floor) & (rate >= math.log(ratio) - near) & (uneven >= evidence - near))
+    found = good.limit(MOST + 1).toPandas()
+    if len(found) > MOST:
+        raise ValueError(f"more than {MOST} terms have evidence: teach with fewer rows")
+    counts = ({r.term: (int(r.docs), int(r.tokens)) for r in found.itertuples()}, {r.term: (int(r.o_docs), int(r.o_tokens)) for r in found.itertuples() if r.o_docs})
+    for table, name in zip(counts, ("toxic", "other")):
+        if all_[name]:
+            table[""] = (all_[name].docs, all_[name].tokens)
+    return counts
 
 
 def phrases_at_hits(lexicon: Lexicon, text: str) -> set[str]:
@@ -250,7 +276,7 @@ def phrases_at_hits(lexicon: Lexicon, text: str) -> set[str]:
 
 def learn_exceptions(sample: DataFrame, lexicon: Lexicon, floor: int = 3) -> tuple[str, ...]:
     """Phrases around hits that at least floor harmless labelled texts hold and no
-    toxic one does: the commonest MAX_PHRASES, few enough for every executor."""
+    toxic one does."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -259,23 +285,28 @@ def learn_exceptions(sample: DataFrame, lexicon: Lexicon, floor: int = 3) -> tup
 
     each = sample.dropDuplicates(["text", "label"]).mapInPandas(run, "phrase string, label int")
     known = each.groupBy("phrase").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs")).filter((F.col("toxic") == 0) & (F.col("docs") >= floor))
-    return tuple(sorted(r.phrase for r in known.orderBy(F.desc("docs"), "phrase").limit(MAX_PHRASES).collect()))
+    found = [r.phrase for r in known.select("phrase").limit(MOST + 1).collect()]
+    if len(found) > MOST:
+        raise ValueError(f"more than {MOST} phrases are exceptions: teach with fewer rows")
+    return tuple(sorted(found))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last column is constant."""
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """Ridge logistic regression by Newton's method, of rows that count so many times;
+    the last column is constant."""
     beta = np.zeros(x.shape[1])
+    n = np.ones(len(x)) if times is None else times
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (y - p) - ridge * beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), slope)
+        slope = x.T @ (n * (y - p)) - ridge * beta
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), slope)
         beta = beta + step / max(1.0, float(np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
     return beta
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, max_terms: int = MAX_TERMS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon and scale from the labelled rows that may teach."""
     may = F.coalesce(id_remainder(F.col(id_col), 5) != 0, F.lit(False)) & F.col(label_col).isNotNull()
     known = labels.filter(may).select(F.col(id_col).alias("own_id"), (F.col(label_col) > 0).cast("int").alias("label"))
@@ -285,15 +316,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(sample.select("label").distinct().collect()) < 2:
         return Lexicon({}, exceptions)
 
-    def counts(label: int, among: frozenset[str] | None, floor: int) -> Counts:
-        rows = sample.filter(F.col("label") == label).dropDuplicates(["text"]).mapInPandas(_count_terms(among), "term string, docs long, tokens long")
-        best = rows.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        best = best.filter((F.col("docs") >= floor) | (F.col("term") == "")).orderBy(F.desc("docs"), "term").limit(MAX_CANDIDATES + 1)
-        return {r.term: (r.docs, r.tokens) for r in best.toPandas().itertuples()}
+    def counts(label: int) -> DataFrame:
+        rows = sample.filter(F.col("label") == label).dropDuplicates(["text"]).mapInPandas(_count_terms, "term string, docs long, tokens long")
+        return save(rows.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "counts")
 
-    toxic = counts(1, None, 5)
-    other = counts(0, frozenset(toxic), 1)
-    lexicon = Lexicon(pick_terms(toxic, other, max_terms), exceptions)
+    lexicon = Lexicon(pick_terms(*evident(counts(1), counts(0))), exceptions)
     if not lexicon.weights:
         return lexicon
     lexicon = Lexicon(lexicon.weights, tuple(dict.fromkeys([*exceptions, *learn_exceptions(sample, lexicon)])))
@@ -301,11 +328,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = [lexicon.features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "a": [x for x, _ in both], "b": [x for _, x in both], "label": pdf["label"]})
+            yield pd.DataFrame({"a": [x for x, _ in both], "b": [x for _, x in both], "label": pdf["label"]})
 
-    data = sample.mapInPandas(features, "id long, a double, b double, label int").toPandas().sort_values(["id", "a", "b", "label"])
+    # equal rows come as one, with how many they are: an id that repeats brings no more of them
+    each = sample.mapInPandas(features, "a double, b double, label int").groupBy("a", "b", "label").agg(F.count("*").alias("times"))
+    data = each.toPandas().sort_values(["a", "b", "label"])
     x = np.c_[data[["a", "b"]].to_numpy(), np.ones(len(data))]
-    beta = logistic(x, data["label"].to_numpy(dtype=float))
+    beta = logistic(x, data["label"].to_numpy(dtype=float), data["times"].to_numpy(dtype=float))
     return Lexicon(lexicon.weights, lexicon.exceptions, float(beta[2]), (float(beta[0]), float(beta[1])))
 
 
