@@ -50,9 +50,15 @@ def check_arguments(protocol: str, split: str, attempt: int = 1, most: int = C.M
         raise ValueError(f"attempt must be 1 to {most}")
 
 
+#: What a run uses artifacts for, in order of staging; a group is a use, one of GROUPS, or all.
+USES = ("primary", "generator", "judge", "external", "embedding")
+GROUPS = {"main": ("primary",), "rewording": ("generator", "judge"), "transfer": ("external",), "intervention": ("primary", "embedding")}
+
+
 def artifacts(group: str, config: Mapping[str, list[tuple[str, str, str | None]]]) -> list[tuple[str, str, str | None]]:
-    """(kind, id, revision) of the artifacts that a group stages, from those the config
-    has by kind of use."""
-    if group not in C.ARTIFACT_GROUPS:
+    """(kind, id, revision) of the artifacts that a group stages, each once, from those
+    the config has by kind of use."""
+    uses = (*USES, *config) if group == "all" else GROUPS.get(group, (group,))
+    if group not in GROUPS and group != "all" and group not in config:
         raise ValueError(f"no group named {group!r}")
-    return [a for name in C.ARTIFACT_GROUPS[group] for a in config.get(name, [])]
+    return list(dict.fromkeys(a for use in uses for a in config.get(use, [])))

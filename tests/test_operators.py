@@ -308,8 +308,8 @@ def test_lifecycle():
         lifecycle.refuse_existing(True, False, "manifest")
     with pytest.raises(ValueError):
         lifecycle.check_arguments("controlled", "smoke")
-    config = {"primary": [("model", "a", None)], "embedding": [("model", "e", None)], C.FORMS[4][1].rsplit("_", 1)[1]: [("model", "p", None)]}
-    assert [a[1] for a in lifecycle.artifacts("ppcv", config)] == ["a", "e"]
+    config = {"primary": [("model", "a", None)], "embedding": [("model", "e", None)], "generator": [("model", "p", None)]}
+    assert [a[1] for a in lifecycle.artifacts("intervention", config)] == ["a", "e"]
     assert [a[1] for a in lifecycle.artifacts("all", config)] == ["a", "p", "e"]
 
 
