@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -29,7 +31,30 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return existing(spark, path, schema).select(*schema.names)
 
 
-def append_new(source: DataFrame, keys: list[str], out: str, checkpoint: str, progress: Callable[[dict], None] | None = None, should_stop: Callable[[], bool] | None = None) -> int:
+class Watch(StreamingQueryListener):
+    """Progress of one query as it runs, from the engine's own events: a row a batch,
+    with what came in and what was new among it."""
+
+    def __init__(self, run: str, tell: Callable[[dict], None]):
+        self.run, self.tell, self.ended = run, tell, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if str(p.runId) == self.run and (seen := p.observedMetrics.get("arrivals")) is not None:
+            self.tell({"batch": p.batchId, "arrived": seen.arrived, "logged": seen.logged, "seconds": p.batchDuration / 1000})
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.run:
+            self.ended.set()
+
+
+def append_new(source: DataFrame, keys: list[str], out: str, checkpoint: str, progress: Callable[[dict], None] | None = None, should_stop: Callable[[], bool] | None = None, watch: Callable[[dict], None] | None = None) -> int:
     """Drains a streaming source into a Parquet log, each key once over all runs.
 
     The keys that were seen are streaming state, kept on disk and checkpointed by its
@@ -41,7 +66,8 @@ def append_new(source: DataFrame, keys: list[str], out: str, checkpoint: str, pr
     batch that is replayed replaces it.
 
     Returns the number of batches. should_stop is asked before each batch: it ends the
-    run between batches, and the batch that was due is the next run's first.
+    run between batches, and the batch that was due is the next run's first. progress
+    is told of each batch once it is written, watch by the engine's listener.
     """
     spark, schema, seen = source.sparkSession, source.schema, {"batches": 0}
     run, known = hashlib.sha256(checkpoint.encode()).hexdigest()[:12], f"{checkpoint}-known"
@@ -50,6 +76,7 @@ def append_new(source: DataFrame, keys: list[str], out: str, checkpoint: str, pr
         existing(spark, out, schema).select(*keys).distinct().write.mode("overwrite").parquet(known)
     logged = spark.readStream.schema(kinds).parquet(known).withColumn("__logged", F.lit(True))
     both = source.withColumn("__logged", F.lit(False)).unionByName(logged, allowMissingColumns=True)
+    both = both.observe("arrivals", F.count_if(~F.col("__logged")).alias("arrived"), F.count_if("__logged").alias("logged"))
 
     def put(batch: DataFrame, batch_id: int) -> None:
         if should_stop and should_stop():
@@ -67,12 +94,18 @@ def append_new(source: DataFrame, keys: list[str], out: str, checkpoint: str, pr
         before[name] = spark.conf.get(name, None)
         spark.conf.set(name, value)
     query = both.dropDuplicates(keys).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    listener = Watch(str(query.runId), watch) if watch else None
+    if listener:
+        spark.streams.addListener(listener)
     try:
         query.awaitTermination()
     except StreamingQueryException:
         if not (should_stop and should_stop()):
             raise
     finally:
+        if listener:
+            listener.ended.wait(10)  # its events come after the query's own end
+            spark.streams.removeListener(listener)
         for name, value in before.items():
             if value is None:
                 spark.conf.unset(name)

@@ -55,6 +55,17 @@ def test_a_batch_reads_its_own_rows_only_and_may_be_replayed(spark, tmp_path):
     assert own() == once == [("a", 1), ("b", 1), ("c", 2)]
 
 
+def test_the_listener_tells_what_each_batch_brought(spark, tmp_path):
+    source, log, check = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "c")
+    told = []
+    for rows in ([("a", 1), ("a", 2), ("b", 1)], [("b", 2), ("c", 1)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(str(source))
+        resume.append_new(stream(spark, source), ["k"], log, check, watch=told.append)
+    assert [(t["batch"], t["arrived"], t["logged"]) for t in told if t["arrived"]] == [(0, 3, 0), (1, 2, 0)]
+    resume.append_new(stream(spark, source), ["k"], log, str(tmp_path / "d"), watch=told.append)
+    assert (told[-1]["arrived"], told[-1]["logged"]) == (5, 3) and all(t["seconds"] >= 0 for t in told)
+
+
 def test_fingerprints_and_stop():
     resume.check_fingerprint(None, "a")
     resume.check_fingerprint("a", "a")
