@@ -49,7 +49,8 @@ _FOLD = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32
 TIERS = (32, 256)
 #: Postings of a block, and pairs of item and term that travel to the tasks at once.
 BLOCK_POSTINGS, ITEM_TERMS = 1_000_000, 1_000_000
-ALL, LAST = len(TIERS) + 1, len(TIERS)
+#: Blocks that are searched first for a floor, if there are many more.
+AHEAD = 128
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -169,6 +170,9 @@ class TieredIndex:
             postings(docs, count, total, id_col, text_col, block_postings, tiers).write.partitionBy("tier").parquet(folder)
         return cls(terms.filter("term is not null").select("term", "df"), folder, count, total, len(tiers) + 1)
 
+    def blocks(self) -> int:
+        return self.read(0).filter("term is null").count()
+
     def read(self, deepest: int) -> DataFrame:
         """The postings of the tiers down to one; the others' folders aren't read."""
         spark = self.terms.sparkSession
@@ -250,8 +254,28 @@ def best_of(found: DataFrame, by: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def search(index: TieredIndex, items: DataFrame, k: int = 50, id_col: str = "item_id", text_col: str = "text", at_once: int = ITEM_TERMS, log: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """(item_id, rank, doc_id, score): the k best documents of every item. log gathers
+def ranks_of(rows: DataFrame, pairs: list[tuple[int, str, int]], floors: dict[int, int], k: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """(key, rank, doc_id, score) of the k best documents of each item by what the rows
+    give, and of each item that found anything (the score of its last rank, or 1 if it
+    has fewer; the highest open bound)."""
+    spark = rows.sparkSession
+    asked = spark.createDataFrame([(t,) for t in sorted({t for _, t, _ in pairs})], "term string")
+    rows = rows.filter("term is not null").join(F.broadcast(asked), "term", "left_semi").unionByName(rows.filter("term is null"))
+    found = save(search_blocks(rows, pairs, floors, k), "found")
+    # two steps, so that no task has all blocks' rows of an item
+    some = best_of(found.filter("score is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32))), ["key", "salt"], k)
+    best = save(best_of(some, ["key"], k).select("key", "rank", "doc_id", "score"), "best")
+    last = best.groupBy("key").agg(F.when(F.count("*") == k, F.min("score")).otherwise(1).alias("floor"))
+    loose = found.groupBy("key").agg(F.coalesce(F.max("loose"), F.lit(0)).alias("loose"))
+    state = {r.key: (r.floor, r.loose) for r in loose.join(last, "key", "left").select("key", F.coalesce("floor", F.lit(1)).alias("floor"), "loose").collect()}
+    drop(found)
+    return best, state
+
+
+def search(index: TieredIndex, items: DataFrame, k: int = 50, id_col: str = "item_id", text_col: str = "text", at_once: int = ITEM_TERMS, ahead: int = AHEAD, log: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """(item_id, rank, doc_id, score): the k best documents of every item. Of an index of
+    many blocks the first tier of some, about ahead, is searched before the others: the last
+    rank there is a floor for all, so the others give only what reaches it. log gathers
     (tier, items searched, items proved)."""
     spark = items.sparkSession
     kind = items.schema[id_col].dataType.simpleString()
@@ -261,25 +285,20 @@ def search(index: TieredIndex, items: DataFrame, k: int = 50, id_col: str = "ite
     wanted = save(item_terms(items, index, id_col, text_col), "wanted")
     parts = max(1, -(-wanted.count() // at_once))
     part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    every = index.blocks() // ahead
     for p in range(parts):
         # bounded by at_once, up to the hash's evenness
         block = wanted.filter(part == p) if parts > 1 else wanted
         pairs = [(r.key, r.term, r.weight) for r in block.select("key", "term", "weight").collect()]
         names = block.select("key", "item_id").distinct()
         floors: dict[int, int] = {}
+        if every > 1 and pairs:
+            some = index.read(0).filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0)
+            floors = {key: floor for key, (floor, _) in ranks_of(some, pairs, floors, k)[1].items()}
         for tier in range(index.tiers):
             if not pairs:
                 break
-            asked = spark.createDataFrame([(t,) for t in sorted({t for _, t, _ in pairs})], "term string")
-            rows = index.read(tier)
-            rows = rows.filter("term is not null").join(F.broadcast(asked), "term", "left_semi").unionByName(rows.filter("term is null"))
-            found = save(search_blocks(rows, pairs, floors, k), "found")
-            # two steps, so that no task has all blocks' rows of an item
-            some = best_of(found.filter("score is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32))), ["key", "salt"], k)
-            best = save(best_of(some, ["key"], k).select("key", "rank", "doc_id", "score"), "best")
-            last = best.groupBy("key").agg(F.when(F.count("*") == k, F.min("score")).otherwise(1).alias("floor"))
-            loose = found.groupBy("key").agg(F.coalesce(F.max("loose"), F.lit(0)).alias("loose"))
-            state = {r.key: (r.floor, r.loose) for r in loose.join(last, "key", "left").select("key", F.coalesce("floor", F.lit(1)).alias("floor"), "loose").collect()}
+            best, state = ranks_of(index.read(tier), pairs, floors, k)
             # items that no block has anything for are proved, too: they find nothing
             still = {key for key, (floor, bound) in state.items() if bound >= floor}
             if log is not None:
@@ -289,7 +308,6 @@ def search(index: TieredIndex, items: DataFrame, k: int = 50, id_col: str = "ite
             proved = best.join(F.broadcast(open_), "key", "left_anti")
             results = results.unionByName(proved.join(names, "key").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
             pairs = [x for x in pairs if x[0] in still]
-            drop(found)
     return results
 
 

@@ -53,10 +53,10 @@ def test_ranks_equal_plain_scoring_at_every_depth(spark):
     items = [(k, t) for k, t in corpus(25, seed=2)] + [(1, "w1 w2"), (None, "w3 THE"), (None, None), (50, ""), (51, "unseen words only"), (52, "the")]
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, term string, score int").repartition(5)
     asked = spark.createDataFrame([(i, t, 3) for i, t in items], "item_id long, text string, rank int")
-    for tiers, block, at_once, k in (((2, 8), 900, 10**6, 10), ((1,), 200, 100, 50), (ranking.TIERS, 10**6, 10**6, 50), ((4, 40, 100), 3000, 10**6, 3)):
+    for tiers, block, at_once, k, ahead in (((2, 8), 900, 10**6, 10, 128), ((1,), 200, 100, 50, 4), (ranking.TIERS, 10**6, 10**6, 50, 128), ((4, 40, 100), 3000, 10**6, 3, 1)):
         log = []
         index = ranking.TieredIndex.build(frame, tiers=tiers, block_postings=block)
-        got = ranking.search(index, asked, k=k, at_once=at_once, log=log).collect()
+        got = ranking.search(index, asked, k=k, at_once=at_once, ahead=ahead, log=log).collect()
         assert in_order(got) == in_order(plain(docs, items, k)), (tiers, block)
         assert all(searched == proved for tier, searched, proved in log if tier == len(tiers))
 
