@@ -45,6 +45,9 @@ from robusteval.llm.pieces import splitter
 STORE, CHUNK, MEMORY = 800_000, 2_000_000, "500MB"
 #: Pieces of more bytes take the query that contracts many places in a round.
 LONG = 64
+#: Pieces or ids of one aggregation, and new pieces of one contraction: longer texts
+#: are taken in parts, so the engine's memory doesn't depend on a text's length.
+PART, WORDS = 1_000_000, 50_000
 
 #: All pairs of tokens that make a token, and the tokens with a pair of lower rank.
 MERGES = """
@@ -132,7 +135,11 @@ class Engine:
 
     def learn(self, new: list[str]) -> None:
         """Puts the ids of pieces into the store, numbered from where it ends."""
-        first, raw = len(self.code) - len(new), [p.encode() for p in new]
+        first = len(self.code) - len(new)
+        for at in range(0, len(new), WORDS):
+            self._learn(first + at, [p.encode() for p in new[at : at + WORDS]])
+
+    def _learn(self, first: int, raw: list[bytes]) -> None:
         known = [(first + k, self.ranks[b]) for k, b in enumerate(raw) if b in self.ranks]
         self._give("whole", {"code": pa.array([c for c, _ in known], pa.int32()), "id": pa.array([i for _, i in known], pa.int32())})
         self.con.execute("INSERT INTO store SELECT code, [id] FROM whole")
@@ -148,6 +155,25 @@ class Engine:
                 })
                 self.con.execute(f"INSERT INTO store {sql}")
 
+    @staticmethod
+    def in_parts(rows: list) -> Iterator[tuple[list[int], list]]:
+        """Sequences in lists of at most PART elements, with the number of each one's row;
+        longer ones are cut."""
+        of: list[int] = []
+        held: list = []
+        size = 0
+        for k, row in enumerate(rows):
+            for at in range(0, max(1, len(row)), PART):
+                piece = row[at : at + PART]
+                if size + len(piece) > PART and held:
+                    yield of, held
+                    of, held, size = [], [], 0
+                of.append(k)
+                held.append(piece)
+                size += len(piece)
+        if held:
+            yield of, held
+
     def aggregated(self, sql: str, wanted: np.ndarray) -> pa.Table:
         """The rows of an aggregation by document whose places must be 1 to wanted.
         In one thread rows come in order, and sorting them is dear; so they are
@@ -180,6 +206,13 @@ class Engine:
             rows.append(row)
         if new:
             self.learn(new)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for of, part in self.in_parts(rows):
+            for doc, ids in zip(of, self._encode(part)):
+                out[doc].append(ids)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+    def _encode(self, rows: list[list[int]]) -> list[np.ndarray]:
         size = np.array([len(r) for r in rows], dtype=np.int64)
         self._give("uses", {
             "doc": np.repeat(np.arange(len(rows), dtype=np.int32), size),
@@ -189,13 +222,20 @@ class Engine:
         found = self.aggregated(ENCODE, size)
         lists = found["ids"].combine_chunks()
         values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        out = [np.zeros(0, dtype="<u4")] * len(texts)
+        out = [np.zeros(0, dtype="<u4")] * len(rows)
         for k, doc in enumerate(found["doc"].to_pylist()):
             out[doc] = values[ends[k] : ends[k + 1]].astype("<u4")
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        for of, part in self.in_parts(ids):
+            for doc, raw in zip(of, self._decode(part)):
+                out[doc].append(raw)
+        return [b"".join(x) for x in out]
+
+    def _decode(self, ids: list[np.ndarray]) -> list[bytes]:
         size = np.array([len(x) for x in ids], dtype=np.int64)
         flat = np.concatenate([np.zeros(0, dtype=np.int32), *ids]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(flat))

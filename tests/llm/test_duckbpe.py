@@ -55,6 +55,15 @@ def test_a_very_long_piece_takes_few_rounds(own, library):
     assert [x.tolist() for x in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_long_texts_are_taken_in_parts(library, monkeypatch):
+    monkeypatch.setattr(duckbpe, "PART", 7)
+    monkeypatch.setattr(duckbpe, "WORDS", 5)
+    small, texts = duckbpe.Engine(duckbpe.default_path()), ["one two three " * 20 + "etaoin shrdlu " * 9, None, "x", "", "four five six seven eight nine ten eleven"]
+    ids = small.encode(texts)
+    assert [x.tolist() for x in ids] == [library.encode_ordinary(t or "") for t in texts]
+    assert small.decode(ids) == [(t or "").encode() for t in texts]
+
+
 def test_rows_out_of_order_are_aggregated_by_place(own, library):
     ids = own.encode(["one two three four", "five six"])
     own._give("encoded", {"doc": np.arange(1, dtype=np.int32), "ids": [ids[0].astype(np.int32)]})
