@@ -10,8 +10,8 @@ in the tiers below, 0 if there is none. Tiers lie in folders of their own.
 A search reads the first tier. What its items lack is bounded: a document can gain at
 most the weighted residuals of the terms it was not found under. An item is proved
 exact if no document that may gain anything can reach its last rank; all other items
-fall through to the next tier, with the tiers above, and at the last tier there are
-no residuals left. Blocks are searched apart from each other, and only each one's best
+fall through to the next tier, with the tiers above, in the blocks that hold such a
+document, and at the last tier there are no residuals left. Blocks are searched apart from each other, and only each one's best
 documents of an item and its highest open bound leave it, so neither a common
 term nor a large corpus gathers anywhere. What travels to the tasks is the items'
 terms, dealt into blocks of items of bounded size.
@@ -192,7 +192,7 @@ def item_terms(items: DataFrame, index: TieredIndex, id_col: str = "item_id", te
 
 
 def search_blocks(rows: DataFrame, wanted: list[tuple[int, str, int]], floors: dict[int, int], k: int) -> DataFrame:
-    """(key, doc_id, score, loose) of every block: an item's k best documents by what
+    """(block, key, doc_id, score, loose) of every block: an item's k best documents by what
     the read tiers give, none below its floor, and in a row without a document the
     highest score that a document of the block with anything left to gain may have."""
     by_item: dict[int, list[tuple[str, int]]] = {}
@@ -202,16 +202,18 @@ def search_blocks(rows: DataFrame, wanted: list[tuple[int, str, int]], floors: d
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, least = shared.value
+        name = None
         lists: dict[str, tuple[list, list, int, int]] = {}
         ids, nulls = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         for batch in group:
-            table = {name: batch.column(name) for name in ("term", "tier", "places", "impacts", "residual", "ids")}
+            name = name or (batch.column("block")[0].as_py() if len(batch) else None)
+            table = {c: batch.column(c) for c in ("term", "tier", "places", "impacts", "residual", "ids")}
             for at, (term, tier, residual) in enumerate(zip(table["term"].to_pylist(), table["tier"].to_pylist(), table["residual"].to_pylist())):
                 if term is None:
                     own = table["ids"][at].values
                     nulls, ids = own.is_null().to_numpy(zero_copy_only=False), own.fill_null(2**63 - 1).to_numpy()
                     continue
-                places, values = (table[name][at].values.to_numpy() for name in ("places", "impacts"))
+                places, values = (table[c][at].values.to_numpy() for c in ("places", "impacts"))
                 found = lists.setdefault(term, ([], [], [-1, 0]))
                 found[0].append(places)
                 found[1].append(values)
@@ -244,9 +246,12 @@ def search_blocks(rows: DataFrame, wanted: list[tuple[int, str, int]], floors: d
             docs += [None if nulls[p] else int(ids[p]) for p in best]
             scores += score[best].astype(np.int64).tolist()
             bounds += [None] * len(best)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(scores, pa.int64()), pa.array(bounds, pa.int64())], ["key", "doc_id", "score", "loose"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(scores, pa.int64()), pa.array(bounds, pa.int64())],
+            ["block", "key", "doc_id", "score", "loose"],
+        )
 
-    return rows.groupBy("block").applyInArrow(run, "key long, doc_id long, score long, loose long")
+    return rows.groupBy("block").applyInArrow(run, "block string, key long, doc_id long, score long, loose long")
 
 
 def best_of(found: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -254,29 +259,33 @@ def best_of(found: DataFrame, by: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def ranks_of(rows: DataFrame, pairs: list[tuple[int, str, int]], floors: dict[int, int], k: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """(key, rank, doc_id, score) of the k best documents of each item by what the rows
-    give, and of each item that found anything (the score of its last rank, or 1 if it
-    has fewer; the highest open bound)."""
+POOL = "block string, key long, doc_id long, score long"
+
+
+def ranks_of(rows: DataFrame, pairs: list[tuple[int, str, int]], floors: dict[int, int], k: int, kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the rows give for the items, beside the documents kept from other blocks: all
+    of the documents found (POOL); the k best of each item (key, rank, doc_id, score);
+    and the open bounds (block, key, floor) that reach the score of the item's last rank."""
     spark = rows.sparkSession
     asked = spark.createDataFrame([(t,) for t in sorted({t for _, t, _ in pairs})], "term string")
     rows = rows.filter("term is not null").join(F.broadcast(asked), "term", "left_semi").unionByName(rows.filter("term is null"))
     found = save(search_blocks(rows, pairs, floors, k), "found")
+    pool = found.filter("score is not null").select("block", "key", "doc_id", "score")
+    pool = pool if kept is None else pool.unionByName(kept)
     # two steps, so that no task has all blocks' rows of an item
-    some = best_of(found.filter("score is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32))), ["key", "salt"], k)
+    some = best_of(pool.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(32))), ["key", "salt"], k)
     best = save(best_of(some, ["key"], k).select("key", "rank", "doc_id", "score"), "best")
     last = best.groupBy("key").agg(F.when(F.count("*") == k, F.min("score")).otherwise(1).alias("floor"))
-    loose = found.groupBy("key").agg(F.coalesce(F.max("loose"), F.lit(0)).alias("loose"))
-    state = {r.key: (r.floor, r.loose) for r in loose.join(last, "key", "left").select("key", F.coalesce("floor", F.lit(1)).alias("floor"), "loose").collect()}
-    drop(found)
-    return best, state
+    bounds = found.filter("loose is not null").join(last, "key", "left").filter(F.col("loose") >= F.coalesce("floor", F.lit(1)))
+    return pool, best, save(bounds.select("block", "key", F.coalesce("floor", F.lit(1)).alias("floor")), "open")
 
 
-def search(index: TieredIndex, items: DataFrame, k: int = 50, id_col: str = "item_id", text_col: str = "text", at_once: int = ITEM_TERMS, ahead: int = AHEAD, log: list[tuple[int, int, int]] | None = None) -> DataFrame:
+def search(index: TieredIndex, items: DataFrame, k: int = 50, id_col: str = "item_id", text_col: str = "text", at_once: int = ITEM_TERMS, ahead: int = AHEAD, log: list[tuple[int, int, int, int]] | None = None) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of every item. Of an index of
     many blocks the first tier of some, about ahead, is searched before the others: the last
-    rank there is a floor for all, so the others give only what reaches it. log gathers
-    (tier, items searched, items proved)."""
+    rank there is a floor for all, so the others give only what reaches it. Of the lower
+    tiers only blocks are read where an item is still open. log gathers (tier, items
+    searched, items proved, blocks read; 0 for all)."""
     spark = items.sparkSession
     kind = items.schema[id_col].dataType.simpleString()
     results = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
@@ -294,20 +303,26 @@ def search(index: TieredIndex, items: DataFrame, k: int = 50, id_col: str = "ite
         floors: dict[int, int] = {}
         if every > 1 and pairs:
             some = index.read(0).filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0)
-            floors = {key: floor for key, (floor, _) in ranks_of(some, pairs, floors, k)[1].items()}
+            best = ranks_of(some, pairs, floors, k)[1]
+            floors = {r.key: r.floor for r in best.groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k).collect()}
+        kept = blocks = None
         for tier in range(index.tiers):
             if not pairs:
                 break
-            best, state = ranks_of(index.read(tier), pairs, floors, k)
+            rows = index.read(tier) if blocks is None else index.read(tier).join(blocks, "block", "left_semi")
+            pool, best, open_ = ranks_of(rows, pairs, floors, k, kept)
             # items that no block has anything for are proved, too: they find nothing
-            still = {key for key, (floor, bound) in state.items() if bound >= floor}
+            floors = {r.key: r.floor for r in open_.select("key", "floor").distinct().collect()}
+            searched = {key for key, _, _ in pairs}
             if log is not None:
-                log.append((tier, len({key for key, _, _ in pairs}), len({key for key, _, _ in pairs} - still)))
-            floors = {key: floor for key, (floor, _) in state.items()}
-            open_ = spark.createDataFrame([(key,) for key in still], "key long")
-            proved = best.join(F.broadcast(open_), "key", "left_anti")
+                log.append((tier, len(searched), len(searched) - len(floors), 0 if blocks is None else blocks.count()))
+            still = spark.createDataFrame([(key,) for key in floors], "key long")
+            proved = best.join(F.broadcast(still), "key", "left_anti")
             results = results.unionByName(proved.join(names, "key").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
-            pairs = [x for x in pairs if x[0] in still]
+            pairs = [x for x in pairs if x[0] in floors]
+            blocks = save(open_.select("block").distinct(), "blocks")
+            if pairs:
+                kept = save(pool.join(F.broadcast(still), "key", "left_semi").join(blocks, "block", "left_anti"), "kept")
     return results
 
 

@@ -58,7 +58,7 @@ def test_ranks_equal_plain_scoring_at_every_depth(spark):
         index = ranking.TieredIndex.build(frame, tiers=tiers, block_postings=block)
         got = ranking.search(index, asked, k=k, at_once=at_once, ahead=ahead, log=log).collect()
         assert in_order(got) == in_order(plain(docs, items, k)), (tiers, block)
-        assert all(searched == proved for tier, searched, proved in log if tier == len(tiers))
+        assert all(searched == proved for tier, searched, proved, _ in log if tier == len(tiers))
 
 
 def test_an_item_whose_rare_terms_are_whole_in_the_first_tier_is_proved_there(spark):
@@ -66,10 +66,22 @@ def test_an_item_whose_rare_terms_are_whole_in_the_first_tier_is_proved_there(sp
     index = ranking.TieredIndex.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), tiers=(64, 256))
     log = []
     got = ranking.search(index, spark.createDataFrame([(1, "rare3"), (2, "common filler1")], "item_id long, text string"), log=log).collect()
-    assert log[0] == (0, 2, 1) and log[1][1] == 1
+    assert log[0] == (0, 2, 1, 0) and log[1][1] == 1
     assert in_order(got) == in_order(plain(docs, [(1, "rare3"), (2, "common filler1")], 50))
 
 
+def test_lower_tiers_are_read_of_open_blocks_only(spark):
+    """Item 1's documents are in one block, where more of them than the first tier holds
+    share its word; the other blocks have too little to matter."""
+    docs = [(k, "target " * 5 + f"pad{k}") for k in range(30)] + [(100 + k, f"common other{k} " + "filler " * 30 + ("target" if k % 20 == 0 else "")) for k in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    index = ranking.TieredIndex.build(frame, tiers=(20, 60), block_postings=60)
+    log, items = [], [(1, "target")]
+    got = ranking.search(index, spark.createDataFrame(items, "item_id long, text string"), k=25, log=log).collect()
+    assert in_order(got) == in_order(plain(docs, items, 25))
+    assert index.blocks() > 20 and len(log) > 1 and 0 < log[1][3] <= 2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
