@@ -1009,11 +1009,12 @@ SELECT b.item, critical_position, round(critical_score, 6) AS critical_score, b.
 FROM best b JOIN ro ON ro.item = b.item AND ro.i = b.i JOIN cr ON cr.item = b.item JOIN n ON n.item = b.item JOIN m ON m.item = b.item WHERE r = 1"""
 )
 def pp_run_item(spark, sf):
-    """The whole run over stored logits, with a stand-in for the model."""
+    """The whole run over stored logits, with a stand-in for the model. Stored
+    trajectories may be of one token; they have rows like the others."""
     rows = fixtures.trajectories(spark, sf)
     named = F.get(fixtures.literal_array(C.FORM_IDS), F.col("form_no"))
     surfaces = rows.filter("position = 0").select("item", "form_no", named.alias("form_id"), F.concat("item", F.lit(" "), named).alias("prompt"), F.lit("gsm_symbolic").alias("dataset"), F.lit("2").alias("canonical_answer"), F.col("logits").alias("v"))
-    return r6(intervening.run_items(rows, surfaces, _stub, 11, 8)).drop("selected_form")
+    return r6(intervening.run_items(rows, surfaces, _stub, 11, 8, shortest=1)).drop("selected_form")
 
 
 # -- reports, gates, lifecycle ---------------------------------------------------

@@ -41,7 +41,7 @@ def answered(asked: DataFrame, make: Make, cost: Callable[[str], Column]) -> Dat
     return answers.score(made).withColumn("output_tokens", cost("raw_output"))
 
 
-def run_items(trajectories: DataFrame, surfaces: DataFrame, make: Make, count: int = 11, samples: int = 0, special: DataFrame | None = None, cost: Callable[[str], Column] = words) -> DataFrame:
+def run_items(trajectories: DataFrame, surfaces: DataFrame, make: Make, count: int = 11, samples: int = 0, special: DataFrame | None = None, cost: Callable[[str], Column] = words, shortest: int = 2) -> DataFrame:
     """One row an item: its critical position, the chosen rollout and answer with its
     consistency and verdict, the verdict of the untouched response if one is given, the
     plain vote of further samples, and the tokens spent.
@@ -49,12 +49,12 @@ def run_items(trajectories: DataFrame, surfaces: DataFrame, make: Make, count: i
     trajectories: (item, position, form_no, actual, logits), form 0 the original;
     surfaces: (item, form_no, form_id, prompt, dataset, canonical_answer, v), v the
     vector forms are weighed by. count: candidates with the actual token; samples: how
-    often the original prompt is asked besides. A trajectory of fewer than two tokens
-    stops the run.
+    often the original prompt is asked besides. A trajectory of fewer than ``shortest``
+    tokens stops the run; one of a single token has its only position as the critical one.
     """
     own = trajectories.filter("form_no = 0").select("item", "position", "actual", "logits")
     length = own.groupBy("item").agg(F.count("*").alias("initial_tokens"))
-    short = F.when(F.col("initial_tokens") < 2, F.raise_error(F.concat(F.lit("too short a trajectory: "), "item"))).otherwise(F.col("initial_tokens"))
+    short = F.when(F.col("initial_tokens") < shortest, F.raise_error(F.concat(F.lit("too short a trajectory: "), "item"))).otherwise(F.col("initial_tokens"))
     critical = interventions.critical(interventions.position_scores(trajectories), special)
     before = own.join(critical, "item").filter(F.col("position") <= F.col("critical_position"))
     prefix = F.transform(F.array_sort(F.collect_list(F.when(F.col("position") < F.col("critical_position"), F.struct("position", "actual")))), lambda x: x["actual"])

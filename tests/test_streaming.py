@@ -343,6 +343,16 @@ def test_command_line_runs_interventions(spark, tmp_path, monkeypatch):
         intervening.run_items(short, spark.read.parquet(at("forms")), model).collect()
 
 
+def test_stored_trajectories_of_one_token_have_rows(spark, tmp_path):
+    from robusteval.catalog import QUERIES
+
+    vectors = [(i, i % 2, [float((3 * i + 7 * j) % 11) for j in range(64)]) for i in (0, 1, 2, 3, 101)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.item: r for r in QUERIES["pp_run_item"](spark, str(tmp_path)).collect()}
+    assert {k: r.initial_tokens for k, r in got.items()} == {"t0-0": 2, "t1-0": 2, "t1-1": 1}
+    assert got["t1-1"].critical_position == 0 and got["t1-1"].n_rollouts == 33
+
+
 def test_entry_point(spark):
     import __spark_entry__
 
