@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from robusteval import constants as C
 from robusteval.functions.keys import stable_seed
-from robusteval.session import spread
+from robusteval.session import dealt
 
 #: method, mode, first event, forms, samples per form.
 BLOCKS = [
@@ -136,7 +136,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 6, F.concat(F.lit("\\boxed{\\text{"), q, F.get(literal_array(["", ".5", ".0"]), (F.col("l_suppkey") % 3).cast("int")), F.lit("}%}")))
         .otherwise(F.lit("no number here"))
     )
-    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    rows = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return rows.select(
         F.when(F.col("l_orderkey") % 2 == 0, "gsm_symbolic").otherwise("math_500").alias("dataset"),
         F.col("l_orderkey").alias("order_id"),
@@ -158,8 +158,9 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.lit("I cannot say {not json}"))
         .otherwise(F.lit('{"equivalent": "yes", "uncertain": false}'))
     )
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), text.alias("reply"), F.lit(0).alias("position"))
-    again = rows.filter("order_id % 5 = 0").select("order_id", F.lit('{"equivalent": true, "uncertain": false, "target_preserved": true, "no_added_hint": true}').alias("reply"), F.lit(1).alias("position"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    rows = dealt(orders).select(F.col("o_orderkey").alias("order_id"), text.alias("reply"), F.lit(0).alias("position"))
+    again = orders.filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("order_id"), F.lit('{"equivalent": true, "uncertain": false, "target_preserved": true, "no_added_hint": true}').alias("reply"), F.lit(1).alias("position"))
     return rows.unionByName(again)
 
 
