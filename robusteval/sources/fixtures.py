@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from robusteval import constants as C
 from robusteval.functions.keys import stable_seed
-from robusteval.session import dealt
+from robusteval.session import dealt, small_batches
 
 #: method, mode, first event, forms, samples per form.
 BLOCKS = [
@@ -166,6 +166,7 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring documents as original and rewording: (pair_id, original, rewording)."""
+    small_batches(spark, 500)
     docs = table(spark, sf_dir, "documents")
     left = docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("original"))
     right = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("rewording"))

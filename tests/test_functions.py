@@ -170,6 +170,20 @@ def test_rows_are_dealt_by_their_number(spark, tmp_path):
     assert dealt(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_edit_distance_reads_one_pair_at_a_time(spark, sf_dir):
+    """Batches are of few rows, and texts aren't copied out of Arrow all at once."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        pairs = fixtures.gate_pairs(spark, sf_dir)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+        plan = pairs.select(gates.edit_distance("original", "rewording").alias("d"))._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "], 250" in plan
+        both = spark.createDataFrame([("a b c", "a  B c"), ("abc", None), (None, "x"), ("abcd", "abxd"), ("", "")], "a string, b string")
+        assert [r.d for r in both.select(gates.edit_distance("a", "b").alias("d")).collect()] == [0.0, None, None, 0.25, 0.0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def numbers_of(text):
     found = re.findall(r"(?<![\w.])[-+]?\d[\d,]*(?:\.\d+)?(?:/\d+)?%?", text)
     return Counter(x.replace(",", "").removeprefix("+") for x in found)
