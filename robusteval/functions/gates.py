@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +26,8 @@ def symbols(text) -> Column:
 
 
 def units(text) -> Column:
-    known = F.array(*[F.lit(u) for u in C.UNITS])
     found = F.transform(F.regexp_extract_all(as_column(text), F.lit(C.WORD), F.lit(0)), F.lower)
-    return F.array_sort(F.filter(found, lambda w: F.array_contains(known, w)))
+    return F.array_sort(F.filter(found, lambda w: w.isin(*C.UNITS)))
 
 
 def cleaned(rewording) -> Column:
@@ -44,11 +43,12 @@ def edit_ratio_distance(left: str, right: str) -> float:
 
 def edit_distance(original, rewording) -> Column:
     """The distance as an Arrow function: matching blocks have no SQL form. Both
-    texts are read whole."""
+    texts are read whole, one pair at a time: a batch's texts stay Arrow's until then."""
 
-    @F.pandas_udf("double")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else edit_ratio_distance(a, b) for a, b in zip(left, right)], dtype="float64")
+    @F.arrow_udf("double")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        pairs = ((a.as_py(), b.as_py()) for a, b in zip(left, right))
+        return pa.array([None if a is None or b is None else edit_ratio_distance(a, b) for a, b in pairs], pa.float64())
 
     return run(as_column(original), as_column(rewording))
 
