@@ -49,6 +49,11 @@ LONG = 64
 #: are taken in parts, so the engine's memory doesn't depend on a text's length.
 PART, WORDS = 1_000_000, 50_000
 
+#: Joins are run as written, the table on the right in memory and the left one streamed,
+#: so rows keep their order. Left to itself the engine guesses sizes, takes the rows of
+#: unnested lists for few, and turns the joins on tokens and store around.
+AS_WRITTEN = "join_order,build_side_probe_side"
+
 #: All pairs of tokens that make a token, and the tokens with a pair of lower rank.
 MERGES = """
 CREATE TABLE merges AS
@@ -94,10 +99,11 @@ WITH RECURSIVE step(word, pos, tok, open) AS (
 SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT open GROUP BY word
 """
 
-#: Ids of each document, and places that tell the order they were aggregated in.
+#: Ids of each document, and places that tell the order they were aggregated in. The join
+#: holds a second time only what the part uses, as one long text may make the store large.
 ENCODE = """
 SELECT doc, flatten(list(ids {order})) AS ids, list(place) AS places
-FROM uses JOIN store USING (code) GROUP BY doc ORDER BY doc
+FROM uses JOIN (SELECT * FROM store SEMI JOIN uses USING (code)) USING (code) GROUP BY doc ORDER BY doc
 """
 #: Bytes of each document, one Latin-1 character each.
 DECODE = """
@@ -119,6 +125,7 @@ class Engine:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": "", "autoinstall_known_extensions": False})
         self._give("given", {"id": pa.array(ranks.values(), pa.int32()), "t": [token.decode("latin-1") for token in ranks]})
         self.con.execute("CREATE TABLE tokens AS SELECT * FROM given ORDER BY id")
+        self.con.execute(f"SET disabled_optimizers = '{AS_WRITTEN}'")
         self.con.execute(MERGES)
         self.most = STORE
         self.forget()
@@ -176,8 +183,9 @@ class Engine:
 
     def aggregated(self, sql: str, wanted: np.ndarray) -> pa.Table:
         """The rows of an aggregation by document whose places must be 1 to wanted.
-        In one thread rows come in order, and sorting them is dear; so they are
-        aggregated as they come, and again by place if any place was out of order."""
+        In one thread, with joins as written, rows come in order, and sorting them is
+        dear; so they are aggregated as they come, and again by place if any place was
+        out of order."""
         for order in ("", "ORDER BY place"):
             found = self._take(sql.format(order=order))
             docs, places = found["doc"].combine_chunks(), found["places"].combine_chunks()

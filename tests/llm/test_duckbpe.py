@@ -71,6 +71,29 @@ def test_rows_out_of_order_are_aggregated_by_place(own, library):
     assert own.aggregated(turned, np.array([len(ids[0])]))["t"].to_pylist() == ["one two three four"]
 
 
+def test_rows_come_in_order_so_nothing_is_aggregated_twice(library, monkeypatch):
+    """Few long texts, as many ids as the vocabulary has tokens or more; then few pieces
+    beside a large store."""
+    fresh, asked = duckbpe.Engine(duckbpe.default_path()), []
+    take = fresh._take
+    monkeypatch.setattr(fresh, "_take", lambda sql: asked.append(sql) or take(sql))
+    rnd = random.Random(7)
+    for texts in (["".join(rnd.choice("etaoinshrdlu ") for _ in range(70_000)) for _ in range(3)], ["one two three " * 50, "four five"]):
+        ids = fresh.encode(texts)
+        assert [x.tolist() for x in ids] == [library.encode_ordinary(t) for t in texts]
+        assert fresh.decode(ids) == [t.encode() for t in texts]
+    assert len(asked) == 4 and not any("ORDER BY place" in sql for sql in asked)
+
+
+def test_a_large_store_is_not_held_twice(library):
+    fresh = duckbpe.Engine(duckbpe.default_path())
+    fresh.encode(["x"])
+    fresh.con.execute("INSERT INTO store SELECT range, [1, 2, 3, 4] FROM range(1_000_000, 3_000_000)")
+    used = fresh.con.sql("SELECT sum(memory_usage_bytes) FROM duckdb_memory()").fetchall()[0][0]
+    fresh.con.execute(f"SET memory_limit = '{int(used / 1e6) + 70}MB'")
+    assert fresh.encode(["one two three"])[0].tolist() == library.encode_ordinary("one two three")
+
+
 def test_unknown_ids_raise(own):
     with pytest.raises(ValueError):
         own.decode([np.array([1, 60_000], dtype="<u4")])
